@@ -60,8 +60,9 @@ def usd(tokens, price_per_million) -> Column:
 
 
 def millis_between(start, end) -> Column:
-    a, b = _c(start), _c(end)
-    return F.timestamp_diff("MILLISECOND", a, b)
+    """Whole milliseconds on the clock at ``end`` less those at ``start``."""
+    a, b = (F.unix_millis(_c(x).cast("timestamp")) for x in (start, end))
+    return b - a
 
 
 def seconds_between(start, end) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tollbook.functions.metrics import (
-    bands, pct, ratio, rows, rows_where, sum_where, total, usd, version_key, zero,
+    bands, pct, ratio, rows, rows_where, seconds_between, sum_where, total, usd, version_key, zero,
 )
 from tollbook.functions.models import model_family
 from tollbook.operators.quantiles import med
@@ -365,7 +365,7 @@ def fast_sessions(ws: Workspace) -> DataFrame:
         "session_id", "session_cost_usd", "committed_lines",
         F.when(F.col("n_fast_calls") > 0, "uses fast").otherwise("never fast").alias("kind"))
     timed = ws.turns.where("user_ts IS NOT NULL AND last_call_ts_adj IS NOT NULL").select(
-        "session_id", (F.timestamp_diff("MILLISECOND", "user_ts", "last_call_ts_adj") / 1000.0).alias("took_s"))
+        "session_id", seconds_between("user_ts", "last_call_ts_adj").alias("took_s"))
     pace = ws.grouped(timed, ["session_id"], [rows().alias("_turns")], {"median_agent_time_s": med("took_s")})
     return ws.grouped(
         s.join(pace, "session_id"), ["kind"],

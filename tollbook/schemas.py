@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType,
+)
+
+_TYPES: dict[str, DataType] = {
+    "STRING": StringType(), "INT": IntegerType(), "BIGINT": LongType(), "DOUBLE": DoubleType(),
+    "BOOLEAN": BooleanType(), "TIMESTAMP_NTZ": TimestampNTZType(),
+}
+
+
+def columns(text: str) -> StructType:
+    """'name TYPE, ...' as a schema; unlike DDL parsing this needs no running session."""
+    pairs = (field.split() for field in text.split(","))
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
 
 _ROW = "session_id STRING, agent STRING, repo STRING, seq INT"
 
-CALLS = StructType.fromDDL(
+CALLS = columns(
     f"{_ROW}, ts TIMESTAMP_NTZ, msg_id STRING, request_id STRING, parent_id STRING, "
     "is_sidechain BOOLEAN, model STRING, harness_version STRING, stop_reason STRING, "
     "speed STRING, service_tier STRING, input_tokens BIGINT, cache_read_tokens BIGINT, "
@@ -17,7 +31,7 @@ CALLS = StructType.fromDDL(
     "n_tool_uses INT, text_head STRING, cwd STRING, git_branch STRING, timezone STRING"
 )
 
-TOOL_CALLS = StructType.fromDDL(
+TOOL_CALLS = columns(
     "session_id STRING, agent STRING, repo STRING, seq INT, msg_id STRING, "
     "ts TIMESTAMP_NTZ, tool_use_id STRING, tool_name STRING, tool_kind STRING, "
     "file_path_raw STRING, file_path STRING, patched_files STRING, command_head STRING, "
@@ -27,18 +41,18 @@ TOOL_CALLS = StructType.fromDDL(
     "result_latency_ms BIGINT, is_interrupted BOOLEAN"
 )
 
-USER_TURNS = StructType.fromDDL(
+USER_TURNS = columns(
     f"{_ROW}, ts TIMESTAMP_NTZ, prompt_id STRING, text STRING, chars BIGINT, "
     "human_chars BIGINT, is_meta BOOLEAN, is_interrupt BOOLEAN, "
     "is_slash_command BOOLEAN, has_system_reminder BOOLEAN"
 )
 
-EVENTS = StructType.fromDDL(
+EVENTS = columns(
     f"{_ROW}, ts TIMESTAMP_NTZ, event_type STRING, subtype STRING, value STRING, "
     "payload_chars BIGINT"
 )
 
-SESSIONS = StructType.fromDDL(
+SESSIONS = columns(
     "session_id STRING, session_id_meta STRING, agent STRING, agent_raw STRING, "
     "detected_format STRING, repo STRING, created_at STRING, branch STRING, "
     "strategy STRING, bytes BIGINT, trajectory STRING, models STRING, "
@@ -48,18 +62,18 @@ SESSIONS = StructType.fromDDL(
     "attr_agent_percentage DOUBLE, attr_total_committed BIGINT"
 )
 
-PRICES = StructType.fromDDL(
+PRICES = columns(
     "model_pattern STRING, provider STRING, p_input DOUBLE, p_cache_read DOUBLE, "
     "p_cache_write_5m DOUBLE, p_cache_write_1h DOUBLE, p_output DOUBLE"
 )
 
-ERRORS = StructType.fromDDL("session_id STRING, line_no INT, exception STRING")
+ERRORS = columns("session_id STRING, line_no INT, exception STRING")
 
-CASES = StructType.fromDDL(
+CASES = columns(
     "session_id STRING, seq INT, k_before INT, k_after INT, stratum STRING, population_n BIGINT"
 )
 
-LABELS = StructType.fromDDL(
+LABELS = columns(
     "session_id STRING, agent STRING, repo STRING, seq INT, label STRING, pushback BOOLEAN, "
     "sentiment STRING, language STRING, mentions_file BOOLEAN, model STRING, cost_usd DOUBLE"
 )
