@@ -124,7 +124,7 @@ SELECT ifnull(speed, 'not recorded') AS speed, count(*) AS calls, {pc('count(*)'
        ifnull(sum(cost), 0) AS usd, {pc('ifnull(sum(cost), 0)', f'(SELECT sum(cost) FROM {CC})')} AS pct_of_usd, ifnull(sum(output_tokens), 0) AS output_tokens FROM {CC} GROUP BY 1"""
 SQL["t21_fast_sessions_vs_standard"] = f"""
 SELECT CASE WHEN s.fast > 0 THEN 'uses fast' ELSE 'never fast' END AS kind, count(*) AS sessions, median(t.m) AS median_agent_time_s_per_turn, sum(s.cost) AS usd, {rt('sum(s.cost)', 'sum(s.lines_)')} AS usd_per_committed_line
-FROM b_live s JOIN (SELECT session_id, median(epoch_ms(ts_adj) - epoch_ms(uts)) / 1000.0E0 AS m FROM b_turn WHERE uts IS NOT NULL AND ts_adj IS NOT NULL GROUP BY session_id) t ON t.session_id = s.session_id
+FROM b_live s JOIN (SELECT session_id, median((epoch_us(ts_adj) // 1000) - (epoch_us(uts) // 1000)) / 1000.0E0 AS m FROM b_turn WHERE uts IS NOT NULL AND ts_adj IS NOT NULL GROUP BY session_id) t ON t.session_id = s.session_id
 WHERE s.agent = 'claude_code' GROUP BY 1"""
 SQL["t21_fast_by_month"] = f"""
 SELECT mon AS month, {n_if("speed = 'fast'")} AS fast_calls, count(*) AS calls, {pc(n_if("speed = 'fast'"), 'count(*)')} AS pct_fast, {s_if("speed = 'fast'", 'ifnull(cost, 0)')} AS fast_usd
@@ -173,7 +173,7 @@ SELECT count(*) AS codex_sessions_with_a_timezone, {pc(n_if(_N), 'count(*)')} AS
 # ---- context --------------------------------------------------------------------
 
 GAP = """(SELECT *, gap_ms / 60000.0E0 AS gap, ifnull(cache_create_tokens, 0) AS made, prev_ctx > 0 AND 2 * ifnull(cache_create_tokens, 0) >= prev_ctx AS broke FROM (
-  SELECT *, epoch_ms(ts) - lag(epoch_ms(ts)) OVER w AS gap_ms, lag(ctx) OVER w AS prev_ctx FROM b_main
+  SELECT *, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w AS gap_ms, lag(ctx) OVER w AS prev_ctx FROM b_main
   WHERE agent = 'claude_code' AND ts IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq)) WHERE gap_ms IS NOT NULL) g"""
 WR = "ifnull(u_write, 0) * CASE WHEN known THEN 1 ELSE 0 END"
 SQL["t02_by_gap_bucket"] = f"""
@@ -452,7 +452,7 @@ SELECT count(*) AS interrupts, count(DISTINCT session_id) AS sessions_with_at_le
 
 # ---- people ---------------------------------------------------------------------
 
-REPLY = """(SELECT t.agent, t.session_id, t.no, t.useq, t.nseq, c.n_text_chars AS ch, c.n_text_chars * 0.048E0 AS need, (epoch_ms(t.nts) - epoch_ms(t.ts_adj)) / 1000.0E0 AS had,
+REPLY = """(SELECT t.agent, t.session_id, t.no, t.useq, t.nseq, c.n_text_chars AS ch, c.n_text_chars * 0.048E0 AS need, ((epoch_us(t.nts) // 1000) - (epoch_us(t.ts_adj) // 1000)) / 1000.0E0 AS had,
         c.n_text_chars / 4.0E0 AS tok, c.n_text_chars / 4e6 * s.pout AS usd
  FROM b_turn t JOIN b_main c ON c.session_id = t.session_id AND c.seq = t.seq_adj JOIN b_sess s ON s.session_id = t.session_id
  WHERE t.nts IS NOT NULL AND t.ts_adj IS NOT NULL AND t.nstop IS DISTINCT FROM true AND c.n_text_chars > 0) r"""
@@ -470,14 +470,14 @@ SQL["t11_longest_unread_replies"] = f"""
 SELECT session_id, no AS turn_idx, agent, ch AS n_text_chars, need AS read_time_s, had AS delta_s, usd AS text_usd FROM {REPLY} WHERE {UN} ORDER BY ch DESC, session_id, no LIMIT 20"""
 SQL["t11_ordering_diagnostic"] = f"""
 SELECT agent, count(*) AS turns_with_a_next_prompt, count(*) - count(seq_adj) AS turns_dropped_no_call_before_next_prompt, {n_if('last_seq IS DISTINCT FROM seq_adj')} AS turns_where_last_call_ts_was_after_next_prompt,
-       median(epoch_ms(nts) - epoch_ms(last_ts)) / 1000.0E0 AS median_raw_delta_s, median(epoch_ms(nts) - epoch_ms(ts_adj)) / 1000.0E0 AS median_adjusted_delta_s
+       median((epoch_us(nts) // 1000) - (epoch_us(last_ts) // 1000)) / 1000.0E0 AS median_raw_delta_s, median((epoch_us(nts) // 1000) - (epoch_us(ts_adj) // 1000)) / 1000.0E0 AS median_adjusted_delta_s
 FROM b_turn WHERE nts IS NOT NULL AND last_ts IS NOT NULL GROUP BY agent"""
 SQL["t11_headline"] = f"""
 SELECT {s_if(UN, 'usd')} AS usd_final_text_that_could_not_be_read, {pc(s_if(UN, 'usd'), ALL_OUT)} AS pct_of_all_output_usd, {pc(s_if(UN, 'tok'), 'sum(tok)')} AS pct_of_final_text_tokens_unread,
        {n_if(UN)} AS unread_replies, count(*) AS final_replies_measured, median(had) AS median_seconds_before_next_prompt, median(need) AS median_seconds_needed_to_read FROM {REPLY}"""
 
 TIME = """(SELECT t.session_id, t.agent, s.mode, t.cost, t.work / 1000.0E0 AS work, CASE WHEN t.wait BETWEEN 0 AND 1800000 THEN t.wait / 1000.0E0 END AS wait
- FROM (SELECT *, epoch_ms(ts_adj) - epoch_ms(uts) AS work, epoch_ms(uts) - epoch_ms(lag(ts_adj) OVER (PARTITION BY session_id ORDER BY no)) AS wait FROM b_turn) t
+ FROM (SELECT *, (epoch_us(ts_adj) // 1000) - (epoch_us(uts) // 1000) AS work, (epoch_us(uts) // 1000) - (epoch_us(lag(ts_adj) OVER (PARTITION BY session_id ORDER BY no)) // 1000) AS wait FROM b_turn) t
  JOIN b_sess s ON s.session_id = t.session_id WHERE t.work >= 0) t"""
 HR = "sum(work) / 3600"
 SQL["t12_by_agent"] = f"""
