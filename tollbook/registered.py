@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, ShortType
 
 from tollbook.plans import RESULTS, Workspace, studies
+from tollbook.registered_text import TEXT_QUERIES
 from tollbook.sources.testbed import ledger_from_events
 
 DIGITS, SHIFT = 6, 2.137e-8
@@ -84,6 +85,12 @@ def _labelled(fn):
     return run
 
 
+def _with_text(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return presented(fn(workspace(spark, sf_dir), spark, sf_dir))
+    return run
+
+
 # Derived tables that are registered themselves, with the columns that are compared.
 DERIVED = {
     "model_prices": None,
@@ -114,4 +121,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = _result(name)
     for name in ("unread_by_next_label", "cost_by_label", "pushback_cost", "bill_summary"):
         out[name] = _labelled(getattr(studies, name))
+    for name, fn in TEXT_QUERIES.items():
+        out[name] = _with_text(fn)
     return out

@@ -6,7 +6,7 @@ an independent engine can rebuild the very same ledger.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollbook.schemas import LEDGER, conform
 from tollbook.sources.ledger import Ledger
@@ -79,7 +79,10 @@ FROM {rows} WHERE event_type = 'signup' AND k % 6 < 4
 SESSIONS = """
 SELECT session_id, agent, repo,
        CASE WHEN user_id % 13 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 99.0E0 WHEN user_id % 3 = 1 THEN 2.0E0 ELSE 50.0E0 END AS attr_agent_percentage,
-       CASE WHEN user_id % 13 = 0 THEN NULL WHEN user_id % 7 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(user_id * 3 AS BIGINT) END AS attr_total_committed
+       CASE WHEN user_id % 13 = 0 THEN NULL WHEN user_id % 7 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(user_id * 3 AS BIGINT) END AS attr_total_committed,
+       CAST(user_id % 17 AS BIGINT) AS stat_assistant_messages, CAST(user_id % 23 * 500 AS BIGINT) AS stat_output_tokens,
+       CAST(user_id % 61 AS BIGINT) AS stat_tool_calls, CAST(user_id % 19 AS BIGINT) AS stat_user_messages,
+       CAST(user_id % 16 AS BIGINT) AS ckpt_api_call_count, CAST(user_id % 29 * 400 AS BIGINT) AS ckpt_output_tokens
 FROM (SELECT DISTINCT session_id, agent, repo, user_id FROM {rows}) s
 """
 
@@ -100,3 +103,44 @@ def ledger_from_events(events: DataFrame) -> Ledger:
         name: conform(spark.sql(text, rows=rows), LEDGER[name]) for name, text in TABLE_SQL.items()
     }
     return Ledger(**frames)
+
+
+# ---------------------------------------------------------------- conversations as transcripts
+
+
+def conversation_lines(conversations: DataFrame, fmt: str) -> DataFrame:
+    """Conversations written as raw lines of one harness: session columns, seq, line."""
+    c = conversations.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.lit(fmt).alias("agent"), F.lit("talk").alias("repo"),
+        F.lit(fmt).alias("fmt"), F.col("turn").cast("int").alias("turn"), "role", "text")
+    user, said = F.col("role") == "user", F.col("role") == "assistant"
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    if fmt == "cursor":
+        lines = F.array(F.to_json(F.struct("role", F.struct(block.alias("content")).alias("message"))))
+    elif fmt == "claude_code":
+        asked = F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+        usage = F.struct(F.length("text").alias("output_tokens"))
+        reply = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(
+            F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), F.lit("claude-opus-4-6").alias("model"), block.alias("content"),
+            usage.alias("usage")).alias("message")))
+        rest = F.to_json(F.struct(F.lit("system").alias("type"), F.lit("note").alias("subtype"), F.col("text").alias("content")))
+        lines = F.array(F.when(user, asked).when(said, reply).otherwise(rest))
+    else:
+        asked = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("user_message").alias("type"), F.col("text").alias("message")).alias("payload")))
+        message = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", block.alias("content")).alias("payload")))
+        count = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(
+            F.struct(F.length("text").alias("output_tokens")).alias("last_token_usage")).alias("info")).alias("payload")))
+        lines = F.when(user, F.array(asked, message)).when(said, F.array(message, count)).otherwise(F.array(message, F.lit("{}")))
+    width = 2 if fmt == "codex" else 1
+    return c.select("session_id", "agent", "repo", "fmt", "turn", F.posexplode(lines).alias("_i", "line")).select(
+        "session_id", "agent", "repo", "fmt", (F.col("turn") * width + F.col("_i")).cast("int").alias("seq"), "line")
+
+
+def conversation_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations as messages of the document harness."""
+    info = F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), "role", F.struct((F.col("turn") + 1777000000).alias("created")).alias("time"))
+    part = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    return conversations.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.lit("opencode").alias("agent"), F.lit("talk").alias("repo"),
+        F.lit("opencode").alias("fmt"), F.lit("1.0").alias("version"), F.lit(None).cast("string").alias("directory"),
+        F.col("turn").cast("int").alias("seq"), F.parse_json(F.to_json(F.struct(info.alias("info"), part.alias("parts")))).alias("v"))
