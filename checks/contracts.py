@@ -143,4 +143,49 @@ CONTRACTS = {
     "cost_by_label": "label:s turns:l usd:d median_turn_usd:d median_calls:d pct_of_bill:d",
     "pushback_cost": "turns:l usd_after_fix_requests:d pct_after_fix_requests:d usd_after_pushback:d pct_after_pushback:d",
     "bill_summary": "line_no:l item:s usd:d pct_of_total_usd:d running_usd:d total_usd:d",
+    "ingest_claude_code_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
+    "ingest_codex_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
+    "ingest_cursor_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
+    "ingest_opencode_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
+    "ingest_claude_code_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
+    "ingest_codex_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
+    "ingest_cursor_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
+    "ingest_opencode_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
+    "ingest_claude_code_events": "session_id:s seq:l event_type:s subtype:s payload_chars:l",
+    "probe_read_measures": "doc_id:l result_chars:l n_lines:l style:s n_prefixed_lines:l prefix_chars:l prefix_share:d prefixed_line_share:d",
+    "probe_final_measures": "doc_id:l text_chars:l n_lines:l n_headers:l n_bullets:l n_fences:l header_chars:l bullet_chars:l summary_chars:l summary_share:d bullet_share:d",
+    "probe_write_measures": "doc_id:l ext:s string_leaf_chars:l content_chars:l n_newlines:l n_quotes:l indent_chars:l newline_share:d quote_share:d indent_share:d",
+    "probe_bash_measures": "doc_id:l agent:s result_chars:l result_bytes:l gzip_bytes:l gzip_ratio:d bucket:s",
+    "probe_read_by_agent": "agent:s sampled:l mean_share:d char_weighted_share:d mean_prefixed_line_share:d median_share:d median_lines:d",
+    "probe_read_by_style": "style:s sampled:l result_chars:l char_weighted_prefix_share:d share_of_results:d",
+    "probe_write_by_ending": "ext:s sampled:l newline_share:d quote_share:d indent_share:d median_content_chars:d",
+    "probe_bash_by_bucket": "bucket:s sampled:l result_chars:l median_ratio:d median_chars:d share_of_results:d share_of_result_chars:d",
+    "probe_bash_by_agent": "agent:s sampled:l mean_ratio:d share_of_chars_over_10:d median_ratio:d",
+    "probe_final_by_language": "lang:s sampled:l mean_headers:d mean_bullets:d mean_fences:d bullet_char_share:d summary_char_share:d structured:l median_chars:d median_headers:d median_bullets:d",
+    "probe_populations": "probe:s agent:s model:s n_items:l population_chars:l",
+    "probe_extrapolation_numbers": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_bullets": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_coverage": "probe:s sampled:l measured:l hit_rate:d",
+    "prompt_context": "session_id:s agent:s repo:s seq:l prompt:s prev_text:s prev_tools:s",
+    "label_requests": "batch_no:l request_id:s n_items:l first:s text:s est_out_tokens:l",
+    "label_pending": "request_id:s batch_no:l n_items:l",
+    "label_work_estimate": "model:s requests:l input_tokens:l output_tokens:l cost_usd:d",
+    "label_rows": "session_id:s agent:s seq:l label:s pushback:b sentiment:s language:s mentions_file:b model:s",
+    "label_repairs": "field:s coerced:l invalid:l first_bad_value:s",
+    "label_distribution": "label:s claude_code:l codex:l cursor:l opencode:l total:l",
+    "label_pushback_rate": "agent:s prompts:l pushback:l rate:d",
+    "label_languages": "language:s prompts:l share:d",
+    "label_file_mentions": "mentions_file:l prompts:l share:d",
+    "slice_cursor": "session_id:s focus:l slice:s first_seq:l last_seq:l",
+    "slice_codex": "session_id:s focus:l slice:s first_seq:l last_seq:l",
+    "slice_claude_code": "session_id:s focus:l slice:s first_seq:l last_seq:l",
+    "slice_skips": "reason:s cases:l",
+    "verdict_rates": "stratum:s cases:l hits:l population:l rate:d low:d high:d extrapolated:d",
+    "verdict_rows": "session_id:s seq:l case_type:s stratum:s was_full_rewrite_needed:b estimated_lines_actually_changed:l reason:s model:s cost_usd:d",
+    "verdict_summary": "stratum:s cases:l hits:l population:l rate:d low:d high:d extrapolated:d",
+    "verdict_causes": "cause:s n:l pct:d",
+    "synthetic_cases": "session_id:s seq:l k_before:l k_after:l stratum:s population_n:l",
+    "reconcile_sessions": "session_id:s n_calls:l sum_output_tokens:l sum_output_net:l n_tool_calls:l n_user_turns:l n_user_turns_all:l agent:s stat_assistant_messages:l stat_output_tokens:l stat_tool_calls:l stat_user_messages:l ckpt_api_call_count:l ckpt_output_tokens:l",
+    "reconcile_agreement": "metric:s agent:s sessions:l ledger_total:l metadata_total:l exact:l metadata_zero:l median_rel_delta:d",
+    "reconcile_worst": "session_id:s agent:s metric:s ours:l theirs:l rel_delta:d",
 }

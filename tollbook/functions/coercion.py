@@ -73,6 +73,6 @@ def shown_value(v: Column) -> Column:
     for spark_name, short in kinds.items():
         name = name.when(k == spark_name, short)
     name = name.when(k.startswith("OBJECT"), "dict").when(k.startswith("ARRAY"), "list").otherwise("float")
-    plain = F.coalesce(_plain(v), F.lit(""))
+    plain = F.when(_there(v), _plain(v)).otherwise("")
     cut = F.when(F.length(plain) > 60, F.concat(F.substring(plain, 1, 57), F.lit("..."))).otherwise(plain)
     return F.rtrim(F.concat(name, F.lit(" "), cut))
