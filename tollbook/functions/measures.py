@@ -7,6 +7,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 from tollbook.functions.variants import as_text
 
@@ -109,7 +110,7 @@ def reply_columns(text: Column, folded: Column) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def leaf_chars(dumped: pd.Series) -> pd.Series:
     """Characters of all string values inside a JSON text (names of fields do not count)."""
     def weigh(x) -> int:
@@ -121,7 +122,7 @@ def leaf_chars(dumped: pd.Series) -> pd.Series:
     return dumped.map(lambda t: None if t is None else weigh(json.loads(t))).astype("Int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def deflated_bytes(text: pd.Series) -> pd.Series:
     """Size of the text after zlib at level 6."""
     return text.map(lambda t: None if t is None else len(zlib.compress(t.encode("utf-8", "replace"), 6))).astype("Int64")

@@ -8,7 +8,9 @@ columns it names.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -38,18 +40,33 @@ class Workspace:
         self._one_task_rows = one_task_rows
         self._block_span = block_span
         self._small: bool | None = None
+        self._guard = threading.Lock()
+        self._locks: dict[str, threading.RLock] = {}
 
     # -- plumbing ---------------------------------------------------------------
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._built:
-            df = build()
-            if self._store:
-                path = f"{self._store}/{name}"
-                df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-                df = self.spark.read.schema(df.schema).parquet(path)
-            self._built[name] = df
-        return self._built[name]
+        """A derived table, built at its first use. Results may be run from several threads;
+        each table is then built by one of them while the others wait for it."""
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.RLock())
+        with lock:
+            if name not in self._built:
+                df = build()
+                if self._store:
+                    path = f"{self._store}/{name}"
+                    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+                    df = self.spark.read.schema(df.schema).parquet(path)
+                self._built[name] = df
+            return self._built[name]
+
+    def prepare(self) -> "Workspace":
+        """Build the shared tables in one go, independent ones side by side."""
+        for wave in (["calls", "tool_calls", "user_turns", "events", "sessions"], ["model_prices"], ["calls_priced"],
+                     ["calls_idx", "seq_pos", "session_price", "turn_rows"], ["sessions_x", "turns"], ["tool_facts"]):
+            with ThreadPoolExecutor(len(wave)) as pool:
+                list(pool.map(lambda n: getattr(self, n), wave))
+        return self
 
     @property
     def small(self) -> bool:

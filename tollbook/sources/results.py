@@ -7,14 +7,13 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def write_result(df: DataFrame, folder: str, name: str) -> str:
-    """One headed CSV folder per named result. Nested columns become JSON text; results
-    are report-sized, so each is written as a single part."""
+    """One headed CSV folder per named result; nested columns become JSON text."""
     flat = [
         F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else F.col(f.name)
         for f in df.schema.fields
     ]
     target = f"{folder}/{name}"
-    df.select(*flat).coalesce(1).write.mode("overwrite").csv(target, header=True)
+    df.select(*flat).write.mode("overwrite").csv(target, header=True)
     return target
 
 
