@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollbook.ingest import claude_code, codex, cursor, opencode
@@ -25,7 +27,9 @@ def records(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     return parse_records(conversation_lines(_table(spark, sf_dir, "conversations"), fmt))[0]
 
 
+@lru_cache(maxsize=16)
 def parts(spark: SparkSession, sf_dir: str, fmt: str):
+    """Ledger parts of the conversations in one format; planned once per session."""
     if fmt == "opencode":
         return in_ledger_shape(opencode.parse(conversation_messages(_table(spark, sf_dir, "conversations"))))
     parse = {"claude_code": claude_code.parse, "codex": codex.parse, "cursor": cursor.parse}[fmt]
