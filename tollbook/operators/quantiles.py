@@ -78,11 +78,8 @@ def grouped(
         exact = [F.percentile(v.cast("double"), F.lit(q)).alias(n) for n, (v, q) in wanted.items()]
         return df.groupBy(*keys).agg(*aggs, *exact)
     if not keys:
-        df = df.withColumn("_all", F.lit(1))
-        one = grouped(df, ["_all"], aggs, wanted, small)
-        totals = df.agg(*aggs)
-        filler = F.broadcast(one.select("_all", *wanted))
-        return totals.withColumn("_all", F.lit(1)).join(filler, "_all", "left").drop("_all")
+        values = quantiles(df.withColumn("_all", F.lit(1)), ["_all"], wanted).select(F.struct(*wanted)).scalar()
+        return df.agg(*aggs).withColumn("_q", values).select("*", "_q.*").drop("_q")
     base = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
     return attach(base, quantiles(df, keys, wanted), keys)
 
