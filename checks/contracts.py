@@ -151,19 +151,27 @@ CONTRACTS = {
     "ingest_codex_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
     "ingest_cursor_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
     "ingest_opencode_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
+    "ingest_totals": "agent:s calls:l tool_calls:l user_turns:l events:l sessions:l bad_lines:l",
     "ingest_claude_code_events": "session_id:s seq:l event_type:s subtype:s payload_chars:l",
     "probe_read_measures": "doc_id:l result_chars:l n_lines:l style:s n_prefixed_lines:l prefix_chars:l prefix_share:d prefixed_line_share:d",
     "probe_final_measures": "doc_id:l text_chars:l n_lines:l n_headers:l n_bullets:l n_fences:l header_chars:l bullet_chars:l summary_chars:l summary_share:d bullet_share:d",
-    "probe_write_measures": "doc_id:l ext:s string_leaf_chars:l content_chars:l n_newlines:l n_quotes:l indent_chars:l newline_share:d quote_share:d indent_share:d",
+    "probe_write_measures": "doc_id:l ext:s json_bytes:l json_overhead_bytes:l json_overhead_share:d string_leaf_chars:l content_chars:l n_newlines:l n_quotes:l indent_chars:l newline_share:d quote_share:d indent_share:d",
     "probe_bash_measures": "doc_id:l agent:s result_chars:l result_bytes:l gzip_bytes:l gzip_ratio:d bucket:s",
     "probe_read_by_agent": "agent:s sampled:l mean_share:d char_weighted_share:d mean_prefixed_line_share:d median_share:d median_lines:d",
     "probe_read_by_style": "style:s sampled:l result_chars:l char_weighted_prefix_share:d share_of_results:d",
-    "probe_write_by_ending": "ext:s sampled:l newline_share:d quote_share:d indent_share:d median_content_chars:d",
+    "probe_write_by_ending": "ext:s sampled:l char_weighted_overhead_share:d newline_share:d quote_share:d indent_share:d median_overhead_share:d median_content_chars:d median_input_bytes:d",
+    "probe_write_by_tool": "agent:s tool_kind:s sampled:l char_weighted_overhead_share:d newline_share:d quote_share:d indent_share:d median_overhead_share:d median_content_chars:d median_input_bytes:d",
     "probe_bash_by_bucket": "bucket:s sampled:l result_chars:l median_ratio:d median_chars:d share_of_results:d share_of_result_chars:d",
     "probe_bash_by_agent": "agent:s sampled:l mean_ratio:d share_of_chars_over_10:d median_ratio:d",
     "probe_final_by_language": "lang:s sampled:l mean_headers:d mean_bullets:d mean_fences:d bullet_char_share:d summary_char_share:d structured:l median_chars:d median_headers:d median_bullets:d",
     "probe_populations": "probe:s agent:s model:s n_items:l population_chars:l",
-    "probe_extrapolation_numbers": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_lineno_prefixes": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_image_base64": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_json_overhead": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_newlines_and_indent": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_high_ratio_results": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_compressible_redundancy": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
+    "probe_extrapolation_summary_sections": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
     "probe_extrapolation_bullets": "measure:s agent:s model:s n_items:l population_chars:l sample_share:d wasted_chars:d wasted_tokens:d price_usd_per_mtok:d usd:d priced:b",
     "probe_coverage": "probe:s sampled:l measured:l hit_rate:d",
     "prompt_context": "session_id:s agent:s repo:s seq:l prompt:s prev_text:s prev_tools:s",

@@ -46,6 +46,9 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'md' WHEN 2 THEN 'ts
        length(text) + length(concat('src/a', doc_id, '.', CASE doc_id % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'md' WHEN 2 THEN 'TSX' ELSE 'bin' END)) AS leaves,
        len(string_split(text, chr(10))) - 1 AS nls, len(string_split(text, '"')) - 1 AS quotes,
        list_sum([length(x) - length(ltrim(x, concat(' ', chr(9)))) FOR x IN string_split(text, chr(10))]) AS indent FROM documents""",
+    "x_weight": """
+SELECT w.*, strlen(CAST(json_object('file_path', concat('src/a', d.doc_id, '.', CASE d.doc_id % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'md' WHEN 2 THEN 'TSX' ELSE 'bin' END), 'content', d.text) AS VARCHAR)) AS bytes_
+FROM x_write w JOIN documents d ON d.doc_id = w.doc_id""",
     "x_pop": """
 SELECT p.probe, p.agent, m.model, p.size_ FROM (
   SELECT CASE tool_kind WHEN 'read' THEN 'read' WHEN 'bash' THEN 'bash' ELSE 'write' END AS probe, session_id, agent,
@@ -114,6 +117,11 @@ for _fmt in ("claude_code", "codex", "cursor", "opencode"):
 SELECT sid AS session_id, turn * {2 if _fmt == 'codex' else 1} AS seq, '{_fmt}' AS agent, text, length(text) AS chars, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS human_chars,
        length(text) > 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS is_meta, contains(text, '[Request interrupted by') AS is_interrupt,
        regexp_matches(text, '^\\s*/([^/]|$)') AS is_slash_command FROM x_talk WHERE role = 'user'"""
+SQL["ingest_totals"] = f"""
+WITH k AS (SELECT {n_if("role = 'user'")} AS u, {n_if("role = 'assistant'")} AS a, {n_if("role NOT IN ('user', 'assistant')")} AS s, {n_if("role NOT IN ('user', 'assistant') AND text <> ''")} AS t FROM x_talk)
+SELECT 'claude_code' AS agent, a AS calls, 0 AS tool_calls, u AS user_turns, s AS events, 0 AS sessions, 0 AS bad_lines FROM k
+UNION ALL SELECT 'codex', a, 0, u, 2 * s, 0, 0 FROM k UNION ALL SELECT 'cursor', a, 0, u, s, 0, 0 FROM k UNION ALL SELECT 'opencode', a + t, 0, u, 0, 0, 0 FROM k
+UNION ALL SELECT NULL, 0, 0, 0, 0, 0, (SELECT count(*) FROM x_talk WHERE turn = 0)"""
 SQL["ingest_claude_code_events"] = "SELECT sid AS session_id, turn AS seq, 'system' AS event_type, 'note' AS subtype, length(text) AS payload_chars FROM x_talk WHERE role NOT IN ('user', 'assistant')"
 
 SQL["probe_read_measures"] = f"""
@@ -131,11 +139,12 @@ SELECT lang, count(*) AS sampled, avg(heads) AS mean_headers, avg(bullets) AS me
        {rt('sum(sw)', 'sum(size_)')} AS summary_char_share, {n_if('heads > 0 OR bullets >= 3')} AS structured, median(size_) AS median_chars, median(heads) AS median_headers, median(bullets) AS median_bullets
 FROM x_final GROUP BY lang"""
 SQL["probe_write_measures"] = f"""
-SELECT doc_id, ext, leaves AS string_leaf_chars, size_ AS content_chars, nls AS n_newlines, quotes AS n_quotes, indent AS indent_chars, ifnull({rt('nls', 'size_')}, 0) AS newline_share,
-       ifnull({rt('quotes', 'size_')}, 0) AS quote_share, ifnull({rt('indent', 'size_')}, 0) AS indent_share FROM x_write"""
-SQL["probe_write_by_ending"] = f"""
-SELECT ext, count(*) AS sampled, {rt('sum(nls)', 'sum(size_)')} AS newline_share, {rt('sum(quotes)', 'sum(size_)')} AS quote_share, {rt('sum(indent)', 'sum(size_)')} AS indent_share,
-       median(size_) AS median_content_chars FROM x_write GROUP BY ext"""
+SELECT doc_id, ext, bytes_ AS json_bytes, bytes_ - leaves AS json_overhead_bytes, {rt('bytes_ - leaves', 'bytes_')} AS json_overhead_share, leaves AS string_leaf_chars, size_ AS content_chars, nls AS n_newlines,
+       quotes AS n_quotes, indent AS indent_chars, ifnull({rt('nls', 'size_')}, 0) AS newline_share, ifnull({rt('quotes', 'size_')}, 0) AS quote_share, ifnull({rt('indent', 'size_')}, 0) AS indent_share FROM x_weight"""
+_WS = f"""count(*) AS sampled, {rt('sum(bytes_ - leaves)', 'sum(bytes_)')} AS char_weighted_overhead_share, {rt('sum(nls)', 'sum(size_)')} AS newline_share, {rt('sum(quotes)', 'sum(size_)')} AS quote_share,
+       {rt('sum(indent)', 'sum(size_)')} AS indent_share, median({rt('bytes_ - leaves', 'bytes_')}) AS median_overhead_share, median(size_) AS median_content_chars, median(bytes_) AS median_input_bytes"""
+SQL["probe_write_by_ending"] = f"SELECT ext, {_WS} FROM x_weight GROUP BY ext"
+SQL["probe_write_by_tool"] = f"SELECT 'codex' AS agent, 'write' AS tool_kind, {_WS} FROM x_weight"
 SQL["probe_populations"] = "SELECT probe, agent, model, count(*) AS n_items, sum(size_) AS population_chars FROM x_pop GROUP BY probe, agent, model"
 
 
@@ -147,8 +156,15 @@ FROM (SELECT agent, model, count(*) AS k, sum(size_) AS ch FROM x_pop WHERE prob
 LEFT JOIN ({share}) s ON s.agent = q.agent LEFT JOIN b_card k ON k.model = q.model"""
 
 
-SQL["probe_extrapolation_numbers"] = _scaled("lineno_prefixes", "read", "pin", f"SELECT agent, {rt('sum(pre)', 'sum(size_)')} AS sh FROM x_read GROUP BY agent")
-SQL["probe_extrapolation_bullets"] = _scaled("bullets", "final", "pout", f"SELECT 'codex' AS agent, {rt('sum(bw)', 'sum(size_)')} AS sh FROM x_final")
+for _m, _probe, _price, _share in [
+    ("lineno_prefixes", "read", "pin", f"SELECT agent, {rt('sum(pre)', 'sum(size_)')} AS sh FROM x_read GROUP BY agent"),
+    ("image_base64", "read", "pin", "SELECT agent, 0.0E0 AS sh FROM x_read GROUP BY agent"),
+    ("json_overhead", "write", "pout", f"SELECT 'codex' AS agent, {rt('sum(bytes_ - leaves)', 'sum(bytes_)')} AS sh FROM x_weight"),
+    ("newlines_and_indent", "write", "pout", f"SELECT 'codex' AS agent, {rt('sum(nls + indent)', 'sum(bytes_)')} AS sh FROM x_weight"),
+    ("summary_sections", "final", "pout", f"SELECT 'codex' AS agent, {rt('sum(sw)', 'sum(size_)')} AS sh FROM x_final"),
+    ("bullets", "final", "pout", f"SELECT 'codex' AS agent, {rt('sum(bw)', 'sum(size_)')} AS sh FROM x_final"),
+]:
+    SQL[f"probe_extrapolation_{_m}"] = _scaled(_m, _probe, _price, _share)
 SQL["probe_coverage"] = f"""
 SELECT 'read' AS probe, count(*) AS sampled, {n_if('length(t) >= 200')} AS measured, {rt(n_if('length(t) >= 200'), 'count(*)')} AS hit_rate
 FROM (SELECT t FROM x_listing ORDER BY md5(concat(doc_id, ':20260705')), doc_id LIMIT 100)"""

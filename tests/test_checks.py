@@ -57,7 +57,8 @@ def test_all_queries_in_blocks(spark, expected, monkeypatch):
 
 def test_rows_only_queries(spark):
     only = set(entry.queries()) - set(entry.oracle_sql())
-    assert only == {"probe_bash_measures", "probe_bash_by_bucket", "probe_bash_by_agent"}
+    assert only == {
+        "probe_bash_measures", "probe_bash_by_bucket", "probe_bash_by_agent", "probe_extrapolation_high_ratio_results", "probe_extrapolation_compressible_redundancy"}
 
 
 def test_entry(spark):

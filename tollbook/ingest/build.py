@@ -12,7 +12,7 @@ from tollbook.schemas import LEDGER, conform
 from tollbook.session import configure, fresh_folder
 from tollbook.sources.catalog import plan_inputs, scan_catalog
 from tollbook.sources.ledger import Ledger
-from tollbook.sources.transcripts import document_messages, parse_records, scan_documents, scan_jsonl
+from tollbook.sources.transcripts import document_messages, parsed_lines, scan_documents, scan_jsonl, split_errors
 
 LINE_PARSERS = {"claude_code": claude_code.parse, "codex": codex.parse, "cursor": cursor.parse}
 FACTS = ["calls", "tool_calls", "user_turns", "events"]
@@ -24,14 +24,17 @@ def parse_lines(records: DataFrame) -> list[Parts]:
 
 
 def gather(parts: list[Parts], sessions: DataFrame) -> Ledger:
-    shaped = [in_ledger_shape(p) for p in parts]
+    return gather_facts([in_ledger_shape(p) for p in parts], sessions)
+
+
+def gather_facts(shaped: list[Parts], sessions: DataFrame) -> Ledger:
     facts = {name: reduce(DataFrame.unionByName, [getattr(p, name) for p in shaped]) for name in FACTS}
     return Ledger(**facts, sessions=conform(sessions, LEDGER["sessions"], keep_extra=True))
 
 
 def _staged(df: DataFrame, label: str) -> DataFrame:
-    """Numbered raw rows as a compressed table in the shared folder, one part per format: the
-    text is read and numbered once, however many tables are drawn from it."""
+    """Numbered and parsed rows as a compressed table in the shared folder, one part per
+    format: the text is read, numbered and parsed once, however many tables are drawn from it."""
     path = fresh_folder(df.sparkSession, label)
     df.write.partitionBy("fmt").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -43,7 +46,7 @@ def build_ledger(spark: SparkSession, catalog: str, transcripts: str, agents: li
     configure(spark)
     sessions = scan_catalog(spark, catalog)
     plan = plan_inputs(sessions, agents, ids, limit)
-    records, bad_lines = parse_records(_staged(scan_jsonl(spark, transcripts, plan), "lines"))
+    records, bad_lines = split_errors(_staged(parsed_lines(scan_jsonl(spark, transcripts, plan)), "records"))
     messages, bad_documents = document_messages(_staged(scan_documents(spark, transcripts, plan), "documents"))
     ledger = gather([*parse_lines(records), opencode.parse(messages)], sessions)
     return ledger, bad_lines.unionByName(bad_documents)

@@ -40,6 +40,7 @@ class Workspace:
         self._one_task_rows = one_task_rows
         self._block_span = block_span
         self._small: bool | None = None
+        self.notes: dict = {}
         self._guard = threading.Lock()
         self._locks: dict[str, threading.RLock] = {}
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import threading
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollbook.ingest import claude_code, codex, cursor, opencode
-from tollbook.ingest.common import in_ledger_shape
+from tollbook.ingest.build import gather_facts, ingest_totals
+from tollbook.ingest.common import Parts, in_ledger_shape
 from tollbook.functions.metrics import rows
 from tollbook.plans import labels as lab, probes, reconcile, verdicts
 from tollbook.plans.studies import cause_shares
 from tollbook.plans.workspace import Workspace
 from tollbook.sources.testbed import conversation_lines, conversation_messages
-from tollbook.sources.transcripts import parse_records
+from tollbook.sources.transcripts import parsed_lines, split_errors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +24,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- parsing
 
 
-def records(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    return parse_records(conversation_lines(_table(spark, sf_dir, "conversations"), fmt))[0]
+_BUILD = threading.Lock()
 
 
-@lru_cache(maxsize=16)
-def parts(spark: SparkSession, sf_dir: str, fmt: str):
-    """Ledger parts of the conversations in one format; planned once per session."""
-    if fmt == "opencode":
-        return in_ledger_shape(opencode.parse(conversation_messages(_table(spark, sf_dir, "conversations"))))
-    parse = {"claude_code": claude_code.parse, "codex": codex.parse, "cursor": cursor.parse}[fmt]
-    return in_ledger_shape(parse(records(spark, sf_dir, fmt)))
+def records(ws: Workspace, spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """Parsed lines of the conversations in one format, staged like those of real transcripts."""
+    lines = conversation_lines(_table(spark, sf_dir, "conversations"), fmt)
+    return split_errors(ws.table(f"records_{fmt}", lambda: parsed_lines(lines)))[0]
+
+
+def parts(ws: Workspace, spark: SparkSession, sf_dir: str, fmt: str) -> Parts:
+    """Ledger parts of the conversations in one format; planned once per workspace."""
+    with _BUILD:
+        found = ws.notes.get(("parts", fmt))
+        if found is None:
+            if fmt == "opencode":
+                messages = ws.table("messages", lambda: conversation_messages(_table(spark, sf_dir, "conversations")))
+                found = in_ledger_shape(opencode.parse(messages))
+            else:
+                parse = {"claude_code": claude_code.parse, "codex": codex.parse, "cursor": cursor.parse}[fmt]
+                found = in_ledger_shape(parse(records(ws, spark, sf_dir, fmt)))
+            ws.notes["parts", fmt] = found
+        return found
+
+
+def _totals(ws, spark, sf_dir):
+    nobody = ws.sessions.limit(0)
+    ledger = gather_facts([parts(ws, spark, sf_dir, f) for f in AGENTS], nobody)
+    broken = split_errors(parsed_lines(_table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").cast("int").alias("seq"),
+        F.when(F.col("turn") == 0, "{oops").otherwise("{}").alias("line"))))[1]
+    return ingest_totals(ledger, broken)
 
 
 CALL_COLUMNS = ["session_id", "seq", "agent", "model", "output_tokens", "n_text_chars", "n_tool_uses", "text_head", "stop_reason"]
@@ -42,7 +63,7 @@ EVENT_COLUMNS = ["session_id", "seq", "event_type", "subtype", "payload_chars"]
 
 
 def _parsed(fmt: str, table: str, cols: list[str]):
-    return lambda ws, spark, sf_dir: getattr(parts(spark, sf_dir, fmt), table).select(*cols)
+    return lambda ws, spark, sf_dir: getattr(parts(ws, spark, sf_dir, fmt), table).select(*cols)
 
 
 # ---------------------------------------------------------------- measures
@@ -74,7 +95,7 @@ def written_documents(spark, sf_dir):
 
 READ_COLUMNS = ["doc_id", "result_chars", "n_lines", "style", "n_prefixed_lines", "prefix_chars", "prefix_share", "prefixed_line_share"]
 FINAL_COLUMNS = ["doc_id", "text_chars", "n_lines", "n_headers", "n_bullets", "n_fences", "header_chars", "bullet_chars", "summary_chars", "summary_share", "bullet_share"]
-WRITE_COLUMNS = ["doc_id", "ext", "string_leaf_chars", "content_chars", "n_newlines", "n_quotes", "indent_chars", "newline_share", "quote_share", "indent_share"]
+WRITE_COLUMNS = ["doc_id", "ext", "json_bytes", "json_overhead_bytes", "json_overhead_share", "string_leaf_chars", "content_chars", "n_newlines", "n_quotes", "indent_chars", "newline_share", "quote_share", "indent_share"]
 
 
 def _read(spark, sf_dir):
@@ -94,6 +115,11 @@ def _bash(spark, sf_dir):
     return probes.measure_bash(d)
 
 
+def _extrapolated(measure):
+    source = {"read": _read, "final": _final, "write": _write, "bash": _bash}[probes.MEASURES[measure]]
+    return lambda ws, s, d: probes.extrapolate(ws, measure, source(s, d))
+
+
 def _coverage(ws, spark, sf_dir):
     d = numbered_documents(spark, sf_dir).withColumn("probe", F.lit("read"))
     drawn = probes.seeded_sample(d, 100, 20260705, ["doc_id"])
@@ -169,7 +195,7 @@ def _slices(fmt):
             cases = cases.withColumn("seq", F.col("seq") * 2)
         sessions = cases.select("session_id", F.lit(fmt).alias("fmt"), F.lit("talk").alias("repo"))
         windows = verdicts.case_windows(cases, sessions)
-        got = verdicts.render_slices(verdicts.blocks(verdicts.slice_records(windows, records(spark, sf_dir, fmt))))
+        got = verdicts.render_slices(verdicts.blocks(verdicts.slice_records(windows, records(ws, spark, sf_dir, fmt))))
         return got.select("session_id", "focus", "slice", "first_seq", "last_seq")
     return run
 
@@ -180,7 +206,7 @@ def _skips(ws, spark, sf_dir):
     cases = cases.withColumn("seq", F.when(number % 5 == 1, 100_000).otherwise(F.col("seq")))
     sessions = cases.where(number % 5 != 0).select("session_id", F.lit("cursor").alias("fmt"), F.lit("talk").alias("repo"))
     windows = verdicts.case_windows(cases, sessions)
-    recs = verdicts.slice_records(windows, records(spark, sf_dir, "cursor"))
+    recs = verdicts.slice_records(windows, records(ws, spark, sf_dir, "cursor"))
     return verdicts.skip_reasons(windows, recs, verdicts.render_slices(verdicts.blocks(recs)))
 
 
@@ -221,6 +247,7 @@ AGENTS = ["claude_code", "codex", "cursor", "opencode"]
 TEXT_QUERIES = {
     **{f"ingest_{fmt}_calls": _parsed(fmt, "calls", CALL_COLUMNS) for fmt in AGENTS},
     **{f"ingest_{fmt}_turns": _parsed(fmt, "user_turns", TURN_COLUMNS) for fmt in AGENTS},
+    "ingest_totals": _totals,
     "ingest_claude_code_events": _parsed("claude_code", "events", EVENT_COLUMNS),
     "probe_read_measures": _plain(lambda s, d: _read(s, d).select(*READ_COLUMNS)),
     "probe_final_measures": _plain(lambda s, d: _final(s, d).select(*FINAL_COLUMNS)),
@@ -228,13 +255,13 @@ TEXT_QUERIES = {
     "probe_bash_measures": _plain(lambda s, d: _bash(s, d).drop("text")),
     "probe_read_by_agent": lambda ws, s, d: probes.summarize_read_by_agent(ws, _read(s, d)),
     "probe_read_by_style": _plain(lambda s, d: probes.summarize_read_by_style(_read(s, d))),
-    "probe_write_by_ending": lambda ws, s, d: probes.summarize_write(ws, _write(s, d), ["ext"]).drop("char_weighted_overhead_share", "median_overhead_share", "median_input_bytes"),
+    "probe_write_by_ending": lambda ws, s, d: probes.summarize_write(ws, _write(s, d), ["ext"]),
+    "probe_write_by_tool": lambda ws, s, d: probes.summarize_write(ws, _write(s, d), ["agent", "tool_kind"]),
     "probe_bash_by_bucket": lambda ws, s, d: probes.summarize_bash_by_bucket(ws, _bash(s, d)),
     "probe_bash_by_agent": lambda ws, s, d: probes.summarize_bash_by_agent(ws, _bash(s, d)),
     "probe_final_by_language": lambda ws, s, d: probes.summarize_final(ws, _final(s, d), "lang"),
     "probe_populations": _populations,
-    "probe_extrapolation_numbers": lambda ws, s, d: probes.extrapolate(ws, "lineno_prefixes", _read(s, d)),
-    "probe_extrapolation_bullets": lambda ws, s, d: probes.extrapolate(ws, "bullets", _final(s, d)),
+    **{f"probe_extrapolation_{m}": _extrapolated(m) for m in probes.MEASURES},
     "probe_coverage": _coverage,
     "prompt_context": lambda ws, s, d: context(ws).withColumn("prev_tools", F.array_join("prev_tools", ",")),
     "label_requests": lambda ws, s, d: _requests(ws),

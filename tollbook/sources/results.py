@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from tollbook.schemas import LABELS, conform
+
 
 def write_result(df: DataFrame, folder: str, name: str) -> str:
     """One headed CSV folder per named result; nested columns become JSON text."""
@@ -22,3 +24,8 @@ def write_table(df: DataFrame, folder: str, name: str) -> str:
     target = f"{folder}/{name}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(target)
     return target
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of prompts, to be joined to turns."""
+    return conform(spark.read.schema(LABELS).parquet(path), LABELS)

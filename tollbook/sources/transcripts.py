@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tollbook.functions.variants import is_list, is_object, items, node
+from tollbook.functions.variants import is_object, items, node
 from tollbook.operators.running import Carry, running
 from tollbook.schemas import ERRORS, conform
 
@@ -34,12 +34,20 @@ def scan_jsonl(spark: SparkSession, folder: str, plan: DataFrame) -> DataFrame:
     return numbered.join(wanted, "session_id")
 
 
-def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records with a VARIANT column ``v``, lines that are no JSON)."""
-    parsed = lines.withColumn("v", F.try_parse_json("line"))
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Lines as a VARIANT column ``v``; NULL where a line is no JSON."""
+    return lines.withColumn("v", F.try_parse_json("line")).drop("line")
+
+
+def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, lines that are no JSON)."""
     errors = parsed.where("v IS NULL").select(
         "session_id", F.col("seq").alias("line_no"), F.lit("ValueError: line is not valid JSON").alias("exception"))
-    return parsed.where("v IS NOT NULL").drop("line"), conform(errors, ERRORS)
+    return parsed.where("v IS NOT NULL"), conform(errors, ERRORS)
+
+
+def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split_errors(parsed_lines(lines))
 
 
 def scan_documents(spark: SparkSession, folder: str, plan: DataFrame) -> DataFrame:
