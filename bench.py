@@ -52,7 +52,7 @@ def main():
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("tollbook-bench")
         .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
-        .config("spark.scheduler.mode", "FAIR").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.scheduler.mode", "FAIR").config("spark.sql.codegen.cache.maxEntries", "20000").config("spark.locality.wait", "0").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     warm = os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")

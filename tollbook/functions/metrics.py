@@ -90,3 +90,8 @@ def version_key(version) -> Column:
     """'2.10.3-beta' -> [2, 10, 3], so that versions sort by number."""
     parts = F.split(F.regexp_replace(_c(version), "-.*$", ""), "[.]")
     return F.transform(parts, lambda p: p.try_cast("int"))
+
+
+def call_tie() -> Column:
+    """Order among several calls on one record number: by message, then time, then size."""
+    return F.concat_ws("|", "msg_id", F.col("ts").cast("string"), F.lpad(F.col("output_tokens").cast("string"), 12, "0"), F.col("n_text_chars").cast("string"))

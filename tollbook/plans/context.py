@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tollbook.functions.metrics import (
-    bands, chars_as_tokens, lead_part, millis_between, pct, rows, rows_where, sum_where, total, usd, yes, zero,
+    bands, call_tie, chars_as_tokens, lead_part, millis_between, pct, rows, rows_where, sum_where, total, usd, yes, zero,
 )
 from tollbook.operators.neighbourhood import pairs_within, rows_in_reach
 from tollbook.operators.quantiles import med
@@ -23,7 +23,7 @@ def call_gaps(ws: Workspace) -> DataFrame:
     def build():
         c = ws.calls_priced.where("agent = 'claude_code' AND NOT is_sidechain AND ts IS NOT NULL").select(
             "session_id", "seq", "ts", "month", "ctx_tokens", "cache_create_tokens", "c5m_tokens", "c1h_tokens",
-            "cache_write_usd", "cost_usd", F.coalesce("msg_id", F.lit("")).alias("_tie"))
+            "cache_write_usd", "cost_usd", call_tie().alias("_tie"))
         c = running(c, ["session_id"], ["ts", "seq", "_tie"], [lookback("prev", "ctx_tokens", "ts")], ws.time_blocks())
         before = F.col("prev.ctx_tokens")
         return c.where("prev IS NOT NULL").withColumns({
@@ -265,7 +265,7 @@ def continuations(ws: Workspace) -> DataFrame:
         side = zero("input_usd") + zero("cache_read_usd") + zero("cache_write_usd")
         c = ws.calls_priced.where(~F.col("is_sidechain")).select(
             "session_id", "agent", "seq", "model", "stop_reason", "output_tokens", "ctx_tokens",
-            zero("cost_usd").alias("cost_usd"), side.alias("input_side_usd"), F.coalesce("msg_id", F.lit("")).alias("_tie"))
+            zero("cost_usd").alias("cost_usd"), side.alias("input_side_usd"), call_tie().alias("_tie"))
         c = running(c, ["session_id"], ["seq", "_tie"], [lookahead("after", "input_side_usd", "ctx_tokens")], ws.blocks())
         return c.withColumns({
             "next_call_input_usd": F.col("after.input_side_usd"), "next_call_ctx_tokens": F.col("after.ctx_tokens"),

@@ -8,7 +8,7 @@ from tollbook.functions.measures import (
     count_of, deflated_bytes, file_ending, indent_chars, leaf_chars, numbered_listing, ratio_bucket, reply_columns, reply_structure,
     share, written_content,
 )
-from tollbook.functions.metrics import pct, ratio, rows, yes, zero
+from tollbook.functions.metrics import call_tie, pct, ratio, rows, yes, zero
 from tollbook.functions.variants import size_of
 from tollbook.operators.quantiles import attach, med
 from tollbook.operators.ranking import hash_order, most_frequent
@@ -25,7 +25,7 @@ PROBES = ["read", "bash", "write", "final"]
 def final_replies(ws: Workspace) -> DataFrame:
     """Main-line calls with text whose successor in the session is a human prompt."""
     c = ws.calls.where(~yes("is_sidechain")).select(
-        "session_id", "agent", "seq", "msg_id", "n_text_chars", F.lit(0).alias("side"), F.coalesce("msg_id", F.lit("")).alias("_tie"))
+        "session_id", "agent", "seq", "msg_id", "n_text_chars", F.lit(0).alias("side"), call_tie().alias("_tie"))
     asked = ws.user_turns.where("is_meta = false AND human_chars > 0").select(
         "session_id", "agent", "seq", F.lit(None).cast("string").alias("msg_id"), F.lit(0).cast("long").alias("n_text_chars"),
         F.lit(1).alias("side"), F.lit("").alias("_tie"))

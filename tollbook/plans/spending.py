@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tollbook.functions.metrics import (
-    bands, pct, ratio, rows, rows_where, seconds_between, sum_where, total, usd, version_key, zero,
+    call_tie, bands, pct, ratio, rows, rows_where, seconds_between, sum_where, total, usd, version_key, zero,
 )
 from tollbook.functions.models import model_family
 from tollbook.operators.quantiles import med
@@ -134,7 +134,7 @@ def bill_headline(ws: Workspace) -> DataFrame:
 def entries(ws: Workspace) -> DataFrame:
     """The first priced main-line call of every session and what its fresh prompt cost."""
     def build():
-        c = ws.calls_priced.where(~F.col("is_sidechain") & F.col("is_priced")).withColumn("_tie", F.coalesce("msg_id", F.lit("")))
+        c = ws.calls_priced.where(~F.col("is_sidechain") & F.col("is_priced")).withColumn("_tie", call_tie())
         keep = ["agent", "harness_version", "month", "model", "provider", "input_tokens", "cache_create_tokens",
                 "p_cache_write_5m", "p_input", "cost_usd"]
         first = first_row(c, "session_id", ["seq", "_tie"], keep)
@@ -475,7 +475,7 @@ def local_starts(ws: Workspace) -> DataFrame:
     """Local hour of the first timed codex call of every session."""
     def build():
         c = ws.calls_priced.where("agent = 'codex' AND ts IS NOT NULL AND timezone IS NOT NULL")
-        c = c.withColumn("_tie", F.coalesce("msg_id", F.lit("")))
+        c = c.withColumn("_tie", call_tie())
         first = first_row(c, "session_id", ["seq", "_tie"], ["timezone", "ts"])
         offsets = F.create_map(*[F.lit(x) for pair in ZONE_MINUTES.items() for x in pair])
         moved = first.withColumn("offset_min", F.try_element_at(offsets, F.col("timezone"))).where("offset_min IS NOT NULL")

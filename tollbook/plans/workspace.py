@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tollbook.functions.metrics import month_of, rows, rows_where, total, yes, zero
+from tollbook.functions.metrics import call_tie, month_of, rows, rows_where, total, yes, zero
 from tollbook.functions.models import norm_model
 from tollbook.operators.quantiles import grouped
 from tollbook.operators.ranking import most_frequent, top_per
@@ -69,6 +69,13 @@ class Workspace:
                 list(pool.map(lambda n: getattr(self, n), wave))
         return self
 
+    def discard(self) -> None:
+        """Remove the written tables from the shared folder; the workspace cannot be used after."""
+        self._built.clear()
+        if self._store:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._store)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     @property
     def small(self) -> bool:
         """Measured, not guessed: are all ledger rows together few enough for one task?"""
@@ -182,7 +189,7 @@ class Workspace:
     def calls_idx(self) -> DataFrame:
         """Main-line calls numbered inside their session, with the bill so far."""
         def build():
-            main = self.calls_priced.where(~F.col("is_sidechain")).withColumn("_tie", F.coalesce("msg_id", F.lit("")))
+            main = self.calls_priced.where(~F.col("is_sidechain")).withColumn("_tie", call_tie())
             numbered = running(
                 main, ["session_id"], ["seq", "_tie"],
                 [Carry("call_idx", F.lit(1).cast("long")), Carry("cum_cost_usd", zero("cost_usd"))],
@@ -295,7 +302,7 @@ class Workspace:
             done = self.calls_priced.where(~F.col("is_sidechain")).select(
                 "session_id", "agent", "seq", "ts", F.lit(0).alias("is_user"), none.cast("long").alias("human_chars"),
                 F.lit(False).alias("is_interrupt"), zero("cost_usd").alias("cost_usd"), zero("output_usd").alias("output_usd"),
-                F.coalesce("msg_id", F.lit("")).alias("tie"))
+                call_tie().alias("tie"))
             both = asked.unionByName(done).withColumn("side", 1 - F.col("is_user"))
             prompt = F.when(F.col("is_user") == 1, F.struct("seq", "ts", "is_interrupt", "human_chars"))
             return running(
