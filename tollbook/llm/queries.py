@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tollbook.llm import pieces, sharding, token_counts, url_filters
+from tollbook.llm import decontaminate, pieces, quality, sharding, token_counts, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }
 
