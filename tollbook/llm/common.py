@@ -23,3 +23,10 @@ def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 def parts(amount: int | None, per_part: int, least: int = 1) -> int:
     """So many partitions that each gets about ``per_part`` of an amount."""
     return max(least, -(-int(amount or 0) // per_part))
+
+
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if it holds at most ``most`` (narrow) rows, else as it is, to be joined by shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

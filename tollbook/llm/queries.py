@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tollbook.llm import decontaminate, pieces, quality, sharding, token_counts, url_filters
+from tollbook.llm import decontaminate, jaccard, pieces, quality, sharding, token_counts, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_token_counts": token_counts.op7_token_counts,
