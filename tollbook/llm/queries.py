@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollbook.llm import decontaminate, jaccard, pieces, quality, sharding, token_counts, url_filters
+from tollbook.llm import decontaminate, jaccard, neardup, pieces, quality, sharding, token_counts, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_embedding_neardup": neardup.op8_embedding_neardup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sharding": sharding.op10_sharding,
 }
