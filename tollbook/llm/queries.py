@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tollbook.llm import decontaminate, jaccard, neardup, pieces, quality, sharding, token_counts, url_filters
+from tollbook.llm import chat, decontaminate, jaccard, language, neardup, pieces, quality, sharding, token_counts, url_filters
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_embedding_neardup": neardup.op8_embedding_neardup,
@@ -17,4 +19,5 @@ QUERIES = {
 
 SQL = {
     "op2_url_filters": url_filters.OP2_SQL,
+    "op5_chat_formatting": chat.OP5_SQL,
 }
