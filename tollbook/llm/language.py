@@ -20,6 +20,7 @@ the result columns are replaced."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import few, table
+from tollbook.llm.common import few, staged, table
 from tollbook.llm.quality import fold
 from tollbook.llm.url_filters import host_and_path
 
@@ -35,6 +36,7 @@ BUCKETS = 1 << 15
 SAMPLE, LANGUAGES = 2_000, 64
 WEIGHT, LEAST, SURE = 60, 3, 0.5
 SMOOTH = 5.0
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def trigrams(raw: bytes) -> np.ndarray:
@@ -44,12 +46,8 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 
 def prepared(text: str | None) -> bytes:
-    """The text lower-cased, its runs of other characters than letters as one space."""
-    words = "".join(c if c.isalpha() else " " for c in text).split() if text and not text.isascii() else (text or "").translate(_ASCII).split()
-    return f" {' '.join(words)} ".lower().encode("utf-8", "replace")
-
-
-_ASCII = {i: 32 for i in range(128) if not chr(i).isalpha()}
+    """The runs of letters of a text, lower-cased, with one space between them."""
+    return f" {' '.join(LETTERS.findall((text or '').lower()))} ".encode("utf-8", "replace")
 
 
 @dataclass
@@ -172,7 +170,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def document_languages(docs: DataFrame, pages: DataFrame, model: TextModel) -> DataFrame:
     """Language of every document (row): doc_id, text_key (a hash of the text), evidence, text_lang, lang and confidence.
     A document without a page has its source as host and no domain."""
-    rows = with_text_scores(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key")), model, ["doc_id", "source", "text_key"])
+    rows = staged(with_text_scores(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key")), model, ["doc_id", "source", "text_key"]), "text-scores")
     seen = rows.join(page_evidence(pages), F.col("doc_id") == F.col("_doc"), "left")
     seen = seen.withColumn("host", F.coalesce("host", F.concat(F.lit("source:"), "source"))).drop("_doc", "source")
     return fused(seen, model.languages)
