@@ -2,9 +2,10 @@
 
 1. Tasks cut their documents into blocks of a bounded size of text. A block holds a word
    list of its distinct pre-tokens and, for every document, which of them it has and how often.
-2. The distinct pre-tokens of all blocks are counted once each by the tokenizer's model.
-3. The counts are joined to the blocks' word lists, one array per block, and every document
-   sums frequency times count. No token ids are made.
+2. The word lists are dealt out and sorted by pre-token, so that each distinct pre-token of
+   all blocks is counted once by the tokenizer's model.
+3. The counts of a block's words are joined to the block, one array per block, and every
+   document sums frequency times count. No token ids are made.
 
 A word list names a pre-token once per block, so a very common word is no hot key.
 The tokenizer's own normalizer and pre-tokenizer cut the words. Text is first cut at ASCII
@@ -32,7 +33,7 @@ from tollbook.llm.common import staged, table
 BLOCK_BYTES = 32 * 1024 * 1024
 LIMIT = 2048
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-BLOCK_SCHEMA = "block string, ids array<long>, n_bytes array<long>, special array<long>, n_words array<long>, packed binary, words array<string>"
+BLOCK_SCHEMA = "block long, ids array<long>, n_bytes array<long>, special array<long>, n_words array<long>, packed binary, words array<string>"
 
 
 def load(path: str):
@@ -62,7 +63,7 @@ class Block:
         size = len(text.encode("utf-8", "surrogatepass"))
         self.ids.append(key)
         self.sizes.append(size)
-        self.found.append(np.fromiter(map(self.words.__getitem__, WORD.findall(text)), np.int64))
+        self.found.append(np.fromiter(map(self.words.__getitem__, WORD.findall(text)), np.int32))
         self.bytes += size
 
     def pre_tokens(self, word):
@@ -99,7 +100,7 @@ class Block:
         return row
 
 
-ARROW_BLOCK = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("special", pa.list_(pa.int64())),
+ARROW_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("special", pa.list_(pa.int64())),
                          ("n_words", pa.list_(pa.int64())), ("packed", pa.binary()), ("words", pa.list_(pa.string()))])
 
 
@@ -108,7 +109,7 @@ def blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
 
     def cut(batches):
         block, task, n = Block(*load(path)), TaskContext.get(), 0
-        row = lambda: pa.RecordBatch.from_pylist([block.closed(f"{task.partitionId()}-{n}")], ARROW_BLOCK)
+        row = lambda: pa.RecordBatch.from_pylist([block.closed((task.partitionId() << 32) + n)], ARROW_BLOCK)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block.add(key, text.as_py() or "")
@@ -122,14 +123,21 @@ def blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
 
 
 def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """Number of pieces of every pre-token; ``words`` holds each once."""
+    """Block and place of every word (place) with its number of pieces, packed as place * 2^32 + pieces.
+    ``words`` is dealt out and sorted by word, so equal ones follow each other and are counted once."""
 
     def count(batches):
-        model = load(path)[0].model
+        model, last, pieces = load(path)[0].model, None, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(model.tokenize(w)) for w in batch.column(0).to_pylist()], pa.int32())], ["word", "pieces"])
+            words, packed = batch.column("word").to_pylist(), batch.column("pos").to_numpy().astype(np.int64) << 32
+            counts = np.empty(len(words), np.int64)
+            for i, word in enumerate(words):
+                if word != last:
+                    last, pieces = word, len(model.tokenize(word))
+                counts[i] = pieces
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed + counts)], ["block", "packed_count"])
 
-    return words.mapInArrow(count, "word string, pieces int")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(count, "block long, packed_count long")
 
 
 def summed(batches):
@@ -141,9 +149,9 @@ def summed(batches):
             n_words = n_words.to_numpy()
             raw = np.frombuffer(zstandard.decompress(one.column("packed")[0].as_py()), np.uint32).astype(np.int64)
             steps, counts = raw[: len(raw) // 2], raw[len(raw) // 2:]
-            pairs = one.column("pieces").flatten()
+            pairs = one.column("counts").flatten().to_numpy()
             pieces = np.zeros(len(pairs), np.int64)
-            pieces[pairs.field("pos").to_numpy()] = pairs.field("pieces").to_numpy()
+            pieces[pairs >> 32] = pairs & 0xFFFFFFFF
             ends = np.cumsum(n_words)
             starts, sums = ends - n_words, np.concatenate([[0], np.cumsum(steps)])
             own = sums[1:] - np.repeat(sums[starts], n_words)  # steps begin anew in each document
@@ -156,9 +164,8 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """Id, n_bytes and n_tokens of every document by the tokenizer file at ``path`` (present on all machines)."""
     cut = staged(blocks(docs.select(F.col(key).cast("long"), F.col(text)), path, block_bytes), "token-blocks")
     words = cut.select("block", F.posexplode("words").alias("pos", "word"))
-    counted = piece_counts(words.select("word").distinct(), path)
-    lists = words.join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "pieces")).alias("pieces"))
-    full = cut.drop("words").join(lists, "block", "left").withColumn("pieces", F.coalesce("pieces", F.expr("cast(array() as array<struct<pos:int,pieces:int>>)")))
+    lists = piece_counts(words, path).groupBy("block").agg(F.collect_list("packed_count").alias("counts"))
+    full = cut.drop("words").join(lists, "block", "left").withColumn("counts", F.coalesce("counts", F.expr("cast(array() as array<long>)")))
     return full.mapInArrow(summed, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", key)
 
 
