@@ -30,3 +30,11 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with line marks added until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

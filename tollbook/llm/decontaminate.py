@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import parts, table
+from tollbook.llm.common import free_name, parts, table
 
 WINDOW, SHARE, SHORT = 8, 0.5, 5
 SLICE_WORDS = 400_000  # words of the benchmark that tasks hold at once
@@ -160,23 +160,24 @@ class Benchmark:
         return [best[i] for i in sorted(best)]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:
-    """Kept columns of every document with ``leaks``: the items it holds. A benchmark larger than a slice takes a pass for each slice."""
-    keep = [c for c in keep if c.lower() not in ("leaks", "_text")]
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", slice_words: int = SLICE_WORDS, name: str = "leaks") -> DataFrame:
+    """Kept columns of every document with ``leaks`` (or as named): the items it holds. A benchmark larger than a slice takes a pass for each slice."""
+    keep = [c for c in keep if c.lower() != name.lower()]
+    body = free_name(docs, "_text")
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
     slices = parts(items.select(F.sum(F.size(F.split("t", r"\s+")))).first()[0], slice_words)
-    out = docs.select(*[docs[c] for c in keep], docs[text].alias("_text"), F.expr("cast(array() as array<struct<item_id:long,equal_words:int,item_words:int,changed_slots:int>>)").alias("leaks"))
+    out = docs.select(*[docs[c] for c in keep], docs[text].alias(body), F.expr("cast(array() as array<struct<item_id:long,equal_words:int,item_words:int,changed_slots:int>>)").alias(name))
     for k in range(slices):
         held = Benchmark(items.filter(F.pmod(F.xxhash64("t", "i"), F.lit(slices)) == k).orderBy("i", "t").toPandas().itertuples(index=False, name=None))
 
         def run(batches, held=held):
             lexicon = Lexicon()
             for batch in batches:
-                found = [before + held.leaks(lexicon.look(x.as_py() or "")) for before, x in zip(batch.column("leaks").to_pylist(), batch.column("_text"))]
+                found = [before + held.leaks(lexicon.look(x.as_py() or "")) for before, x in zip(batch.column(name).to_pylist(), batch.column(body))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, ARROW_LEAK)], batch.schema.names)
 
-        out = out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField("leaks", LEAK)]))
-    return out.drop("_text")
+        out = out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField(name, LEAK)]))
+    return out.drop(body)
 
 
 def op9_decontamination(spark, sf_dir):

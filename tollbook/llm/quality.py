@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import table
+from tollbook.llm.common import free_name, table
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -146,7 +146,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def measured(docs: DataFrame, text: str, keep: list[str], then=None, name: str = "measures", kind=None) -> DataFrame:
     """Kept columns and the measures of the text, or what ``then`` makes of a batch of them."""
-    keep = [c for c in keep if c.lower() != name]
+    keep = [c for c in keep if c.lower() != name.lower()]
     arrow = pa.list_(pa.float64()) if then is None else pa.float64()
 
     def run(batches):
@@ -156,7 +156,7 @@ def measured(docs: DataFrame, text: str, keep: list[str], then=None, name: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, arrow)], [*keep, name])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, kind or T.ArrayType(T.DoubleType()))])
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
@@ -168,9 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(np.array([found["measures"][i] for i in order], float).reshape(-1, len(MEASURES)), found["_label"].to_numpy(float)[order])
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """Kept columns and the score of every document."""
-    return measured(docs, text, keep, model.score, "score", T.DoubleType())
+    return measured(docs, text, keep, model.score, name, T.DoubleType())
 
 
 def op4_quality_classifier(spark, sf_dir):
