@@ -1,15 +1,72 @@
-"""The corpus pipeline: a list of stages over documents."""
+"""The corpus pipeline: from raw documents to token ids of clean ones.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame; all but the last return the columns of documents. Rows with null ids stay as long
+as their texts are good, as nothing can name them. A stage's own columns get names that no
+column of documents has."""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tollbook.llm import decontaminate, jaccard, language, pieces, quality
+from tollbook.llm.common import few, free_name, staged, table
+
+SHINGLE, PERCENT = 5, 80  # words and similarity of near-duplicates
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. A null text counts as empty."""
+    model, name = quality.train(docs, table(spark, sf_dir, "labels")), free_name(docs, "_score")
+    return quality.score(docs, model, docs.columns, name=name).filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told (null and empty texts go, unless their id is null)."""
+    found = language.document_languages(docs, table(spark, sf_dir, "pages"), language.fit_text(docs))
+    rejected = found.filter("lang = 'und'").select(F.col("doc_id").alias("_rejected"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(few(rejected), (docs["doc_id"] == F.col("_rejected")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id. Rows of one id count as one document."""
+    found = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
+    double = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_double")).distinct()
+    kept = docs.join(few(double), docs["doc_id"] == F.col("_double"), "left_anti")
+    repeated = few(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated")))
+    at = kept["doc_id"] == F.col("_repeated")
+    return kept.join(repeated, at, "left_anti").unionByName(kept.join(repeated, at, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    name = free_name(docs, "_leaks")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), docs.columns, name=name).filter(F.size(name) == 0).select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, and whether decoding gives the text again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(docs, path)
+    name = free_name(encoded, "_decoded")
+    out = pieces.decode(encoded, path, name=name)
+    return out.withColumns({"n_tokens": F.size("token_ids").cast("long"), "exact": F.col(name).eqNullSafe(F.col("text"))}).drop(name)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier), ("language_id", language_id), ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination), ("sentencepiece", sentencepiece),
+]
+
+# No SQL: the classifier is fitted, components are iterative, pieces are merged.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    """All stages in order, each written and read again."""
-    from tollbook.llm.common import staged, table
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
