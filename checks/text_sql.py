@@ -212,7 +212,7 @@ _CX = f"""SELECT * FROM (SELECT a.sid, a.seq, 2 AS f, a.tag, a.body, CASE WHEN a
            CASE WHEN role IN ('user', 'assistant') THEN {_TRIM} ELSE {_TRIM.replace('trim(text', 'trim(left(text, 300)')} END AS body FROM x_talk
     UNION ALL SELECT sid, 2 * turn + 1, 'USER:', {_TRIM} FROM x_talk WHERE role = 'user') a
   JOIN x_case k ON k.sid = a.sid AND a.seq BETWEEN greatest(2 * k.focus - 2, 0) AND 2 * k.focus + 1
-  QUALIFY row_number() OVER (PARTITION BY a.sid, a.tag, left(a.body, 400) ORDER BY a.seq) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY a.sid, a.tag, a.body ORDER BY a.seq) = 1)"""
 SQL["slice_codex"] = _slice(_CX, "true")
 SQL["slice_skips"] = """
 SELECT CASE WHEN CAST(substr(sid, 2) AS BIGINT) % 5 = 0 THEN 'session not in ledger' ELSE 'no records in range' END AS reason, count(*) AS cases FROM x_case WHERE CAST(substr(sid, 2) AS BIGINT) % 5 < 2 GROUP BY 1"""

@@ -221,3 +221,42 @@ def test_line_numbers_do_not_depend_on_splits(spark, built, tmp_path):
         assert got.count() == 3000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_that_look_whole_are_not_lost(spark):
+    """Text after a value is an error, repeated keys and long strings are not, reasons differ."""
+    from tollbook.sources import transcripts
+
+    lines = ['{"a":1}', '{"a":1}{"b":2}', '{"a":1} more', '{"a":1},{"b":2}', '{"a":1,"a":2}', "junk", "5"]
+    frame = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session_id string, seq int, line string")
+    long = frame.where("seq = 0").withColumn("seq", F.lit(99)).withColumn("line", F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 24 << 20), F.lit('"}')))
+    records, errors = transcripts.parse_records(frame.unionByName(long))
+    found = {r.seq: r.a for r in records.select("seq", F.length(F.try_variant_get("v", "$.a", "string")).alias("a")).collect()}
+    assert found == {0: 1, 4: 1, 6: None, 99: 24 << 20}
+    assert {r.line_no for r in errors.collect()} == {1, 2, 3, 5}
+    kept = records.where("seq = 4").select(F.try_variant_get("v", "$.a", "int").alias("a")).collect()
+    assert kept[0].a == 2
+
+
+def test_a_record_that_is_too_large_gets_its_own_reason(spark, monkeypatch):
+    from tollbook.sources import transcripts
+
+    monkeypatch.setattr(transcripts, "RECORD_BYTES", 20)
+    frame = spark.createDataFrame([("s", 0, '{"a":"' + "x" * 40 + '"}'), ("s", 1, '{"a":1}'), ("s", 2, "junk")], "session_id string, seq int, line string")
+    _, errors = transcripts.parse_records(frame)
+    assert {r.line_no: "too large" in r.exception for r in errors.collect()} == {0: True, 2: False}
+
+
+def test_one_large_message_does_not_take_the_others_with_it(spark, monkeypatch):
+    from tollbook.sources import transcripts
+
+    head = {"info": {"version": "9", "directory": "/d"}, "messages": [{"info": {"id": str(i)}, "parts": []} for i in range(3)]}
+    head["messages"][1]["parts"] = [{"type": "text", "text": "y" * (24 << 20)}]
+    frame = spark.createDataFrame([("s", "opencode", "r", "opencode", json.dumps(head, indent=1))], "session_id string, agent string, repo string, fmt string, blob string")
+    messages, errors = transcripts.document_messages(frame)
+    got = messages.select("seq", "version", F.length(F.try_variant_get("v", "$.parts[0].text", "string")).alias("n")).collect()
+    assert sorted((r.seq, r.version, r.n) for r in got) == [(0, "9", None), (1, "9", 24 << 20), (2, "9", None)] and errors.count() == 0
+    monkeypatch.setattr(transcripts, "RECORD_BYTES", 1000)
+    messages, errors = transcripts.document_messages(frame)
+    assert sorted(r.seq for r in messages.select("seq").collect()) == [0, 2]
+    assert [(r.line_no, "too large" in r.exception) for r in errors.collect()] == [(1, True)]

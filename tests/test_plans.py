@@ -15,7 +15,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def big(spark):
-    return registered.workspace(spark, TESTDATA, one_task_rows=0, block_span=50)
+    return registered.workspace(spark, TESTDATA, block_span=50)
 
 
 def test_no_cross_products(big):

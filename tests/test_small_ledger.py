@@ -59,10 +59,10 @@ SESSIONS = [
 EVENTS = [dict(session_id="a", agent="codex", seq=3, event_type="compacted"), dict(session_id="b", agent="claude_code", seq=1, event_type="attachment", payload_chars=60)]
 
 
-@pytest.fixture(scope="module", params=[1_000_000, 0], ids=["plain", "blocks"])
+@pytest.fixture(scope="module", params=[2, 1000], ids=["narrow blocks", "wide blocks"])
 def w(request, spark):
     ledger = Ledger(**{n: table(spark, n, rows) for n, rows in dict(calls=CALLS, tool_calls=TOOLS, user_turns=TURNS, events=EVENTS, sessions=SESSIONS).items()})
-    return Workspace(ledger, one_task_rows=request.param, block_span=2)
+    return Workspace(ledger, block_span=request.param)
 
 
 def one(df):

@@ -1,7 +1,6 @@
 """Raw texts behind ledger rows: tool results, tool inputs, final replies.
 
-Sampled keys meet the exploded records by equality on session and id; the distance a
-harness may put between a call and its result is a residual condition."""
+Sampled keys meet the exploded records by equality on session and id, however far apart."""
 
 from __future__ import annotations
 
@@ -11,8 +10,6 @@ from tollbook.functions.variants import as_text, dump, filled, is_object, items,
 from tollbook.ingest import claude_code, codex, cursor, opencode
 from tollbook.ingest.common import of_type, texts_of
 
-RESULT_REACH, TEXT_REACH = 4000, 400
-
 
 def _claude(records: DataFrame, typ: str) -> DataFrame:
     v = F.col("v")
@@ -22,7 +19,7 @@ def _claude(records: DataFrame, typ: str) -> DataFrame:
 
 def result_texts(sampled: DataFrame, records: DataFrame, messages: DataFrame) -> DataFrame:
     """``sampled`` (session_id, seq, tool_use_id, ...) with the text of the first result that
-    names the call, at most ``RESULT_REACH`` records on."""
+    names the call."""
     p = node(F.col("v"), "payload")
     item = records.where((F.col("fmt") == "codex") & (text(F.col("v"), "type") == "response_item")).withColumns({
         "p": p, "ptype": text(p, "type"), "ts": F.lit(None).cast("timestamp_ntz")})
@@ -36,7 +33,7 @@ def result_texts(sampled: DataFrame, records: DataFrame, messages: DataFrame) ->
         .unionByName(codex._outputs(item).select("session_id", "seq", "tool_use_id", F.col("result").alias("text")))
         .unionByName(inline)
     ).withColumnRenamed("seq", "r_seq")
-    near = sampled.join(found, ["session_id", "tool_use_id"]).where((F.col("r_seq") >= F.col("seq")) & (F.col("r_seq") - F.col("seq") <= RESULT_REACH))
+    near = sampled.join(found, ["session_id", "tool_use_id"]).where(F.col("r_seq") >= F.col("seq"))
     keys = sampled.columns
     return near.groupBy(*keys).agg(F.min_by("text", "r_seq").alias("text"))
 
@@ -61,7 +58,7 @@ def reply_texts(sampled: DataFrame, records: DataFrame, messages: DataFrame) ->
     said = _claude(records, "assistant").select(
         "session_id", F.col("seq").alias("r_seq"), filled(F.col("v"), "message.id").alias("msg_id"),
         F.array_join(texts_of(of_type(F.col("blocks"), "text")), "").alias("piece"))
-    near = sampled.join(said, ["session_id", "msg_id"]).where((F.col("r_seq") >= F.col("seq")) & (F.col("r_seq") - F.col("seq") <= TEXT_REACH))
+    near = sampled.join(said, ["session_id", "msg_id"]).where(F.col("r_seq") >= F.col("seq"))
     ordered = F.array_sort(F.collect_list(F.struct("r_seq", "piece")))
     claude = near.groupBy(*sampled.columns).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("text"))
     plain = text(F.col("v"), "message.content")

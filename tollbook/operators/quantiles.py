@@ -1,7 +1,7 @@
 """Exact interpolated quantiles per group.
 
-``percentile`` keeps every distinct value of a group in one task. When the input is not
-known to be small the quantile is found by narrowing instead: values are counted, counts
+``percentile`` keeps every distinct value of a group in one task, so the quantile is found
+by narrowing instead: values are counted, counts
 are gathered into buckets of a monotone scale, the bucket holding the wanted rank is read
 off a running total of bucket counts, and only that bucket's values are ranked.
 """
@@ -69,14 +69,8 @@ def grouped(
     keys: list[str],
     aggs: list[Column],
     wanted: dict[str, tuple[Column, float]],
-    small: bool,
 ) -> DataFrame:
-    """``groupBy(keys).agg(aggs)`` plus the wanted quantiles.
-
-    ``small`` is the caller's proof that one task can hold a group."""
-    if small:
-        exact = [F.percentile(v.cast("double"), F.lit(q)).alias(n) for n, (v, q) in wanted.items()]
-        return df.groupBy(*keys).agg(*aggs, *exact)
+    """``groupBy(keys).agg(aggs)`` plus the wanted quantiles."""
     if not keys:
         values = quantiles(df.withColumn("_all", F.lit(1)), ["_all"], wanted).select(F.struct(*wanted)).scalar()
         return df.agg(*aggs).withColumn("_q", values).select("*", "_q.*").drop("_q")

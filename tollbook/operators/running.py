@@ -9,8 +9,8 @@ cut into blocks along its ordering column first:
 3. the carried value is joined back on (key, block) and combined.
 
 A block holds a bounded stretch of the ordering column, so a key with a third of all rows
-spreads over as many tasks as it has blocks. Where the caller knows the input is small,
-``blocks=None`` takes the plain window instead; both give the same answer.
+spreads over as many tasks as it has blocks. ``blocks=None`` takes the plain window instead,
+for keys that are bounded by themselves; both give the same answer.
 """
 
 from __future__ import annotations

@@ -261,7 +261,7 @@ def last_prompt_position(ws: Workspace, min_calls: int = 3) -> DataFrame:
     placed = s.join(last, "session_id").join(at, ["session_id", "seq"]).withColumn(
         "rel_position", ratio("calls_before", "n_calls"))
     steps = placed.groupBy("outcome", "rel_position").agg(F.sum("session_cost_usd").alias("step_usd"))
-    parts = None if ws.small else F.floor(F.col("rel_position") * 1024).cast("long")
+    parts = F.floor(F.col("rel_position") * 1024).cast("long")
     climbed = running(steps, ["outcome"], ["rel_position"], [Carry("cum_usd", F.col("step_usd"))], parts)
     halves = climbed.groupBy("outcome").agg(F.sum("step_usd").alias("tot_usd"))
     mid = climbed.join(halves, "outcome").groupBy("outcome").agg(

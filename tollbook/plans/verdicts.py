@@ -17,7 +17,7 @@ from tollbook.plans.labels import coerced
 from tollbook.schemas import CASES
 
 # Limits of a rendered slice.
-TEXT_CHARS, ARGS_CHARS, RESULT_HEAD, RESULT_TAIL, SYSTEM_CHARS, SLICE_CHARS, SAME_CHARS = 3000, 1500, 2000, 500, 300, 60_000, 400
+TEXT_CHARS, ARGS_CHARS, RESULT_HEAD, RESULT_TAIL, SYSTEM_CHARS, SLICE_CHARS = 3000, 1500, 2000, 500, 300, 60_000
 OPENCODE_DIVISOR = 4
 DEFAULT_REACH = {"rewrite_necessary": (12, 6), "tool_result_used": (2, 14), "hot_file_cause": (10, 10)}
 # Fields of each rubric, their rule, and which value counts as a hit.
@@ -165,7 +165,7 @@ def clip(body: Column, head: int, tail: int = 0) -> Column:
 
 def render_slices(shown: DataFrame, max_chars: int = SLICE_CHARS) -> DataFrame:
     """One transcript per case. codex writes prompts and replies twice; the later copy goes."""
-    same = F.struct("kind", "name", F.substring("body", 1, SAME_CHARS))
+    same = F.struct("kind", "name", F.sha1("body").alias("body"))
     keyed = shown.withColumn("_same", F.when(F.col("fmt") == "codex", F.to_json(same)).otherwise(F.concat_ws(":", "seq", "pos")))
     first = keyed.groupBy("session_id", "focus", "_same").agg(F.min_by(F.struct("seq", "pos", "kind", "name", "body"), F.struct("seq", "pos")).alias("b"))
     first = first.select("session_id", "focus", "b.*")

@@ -19,27 +19,22 @@ from tollbook.functions.models import norm_model
 from tollbook.operators.quantiles import grouped
 from tollbook.operators.ranking import most_frequent, top_per
 from tollbook.operators.running import Carry, lookback, running, span_blocks
-from tollbook.session import configure, fresh_folder
+from tollbook.session import configure, discard, fresh_folder
 from tollbook.sources.ledger import Ledger
 from tollbook.sources.prices import builtin_prices
 
-# A ledger of at most this many rows fits one task, so plain windows and percentiles are safe.
-ONE_TASK_ROWS = 1_000_000
-
 
 class Workspace:
     """Lazily built derived tables over one ledger."""
 
     def __init__(self, ledger: Ledger, prices: DataFrame | None = None, *, store: bool = True,
-                 one_task_rows: int = ONE_TASK_ROWS, block_span: int | None = None):
+                 block_span: int | None = None):
         self.spark: SparkSession = configure(ledger.calls.sparkSession)
         self.prices = prices if prices is not None else builtin_prices(self.spark)
         self._store = fresh_folder(self.spark, "tables") if store else None
         self._built: dict[str, DataFrame] = {}
         self._source = ledger
-        self._one_task_rows = one_task_rows
         self._block_span = block_span
-        self._small: bool | None = None
         self.notes: dict = {}
         self._guard = threading.Lock()
         self._locks: dict[str, threading.RLock] = {}
@@ -73,33 +68,20 @@ class Workspace:
         """Remove the written tables from the shared folder; the workspace cannot be used after."""
         self._built.clear()
         if self._store:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._store)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            discard(self.spark, self._store)
 
-    @property
-    def small(self) -> bool:
-        """Measured, not guessed: are all ledger rows together few enough for one task?"""
-        if self._small is None:
-            n = sum(df.count() for df in (self.calls, self.tool_calls, self.user_turns, self.events, self.sessions))
-            self._small = n <= self._one_task_rows
-        return self._small
-
-    def blocks(self, col: str = "seq", span: int | None = None) -> Column | None:
-        """Blocks for ``running``: none when a whole key is known to fit one task."""
-        if self.small:
-            return None
+    def blocks(self, col: str = "seq", span: int | None = None) -> Column:
+        """Blocks for ``running``."""
         width = self._block_span or span
         return span_blocks(col, width) if width else span_blocks(col)
 
-    def time_blocks(self, col: str = "ts", minutes: int = 10) -> Column | None:
-        if self.small:
-            return None
+    def time_blocks(self, col: str = "ts", minutes: int = 10) -> Column:
         return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
 
     def grouped(self, df: DataFrame, keys: list[str], aggs: list[Column], wanted=None) -> DataFrame:
         if not wanted:
             return df.groupBy(*keys).agg(*aggs)
-        return grouped(df, keys, aggs, wanted, self.small)
+        return grouped(df, keys, aggs, wanted)
 
     # -- ledger -----------------------------------------------------------------
 

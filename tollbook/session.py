@@ -16,6 +16,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -29,9 +30,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
+    """The cluster's shared checkpoint folder. Where none is named a temporary folder is taken,
+    but only by a local master: executors elsewhere could not see it."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-tollbook-", dir="/tmp")
         spark.conf.set(CHECKPOINT_SETTING, folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,6 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new, unique path below the shared folder."""
     return f"{shared_folder(spark)}/tollbook-{label}-{uuid.uuid4().hex[:12]}"

@@ -4,11 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tollbook.functions.variants import is_object, items, node
+from tollbook.functions.variants import is_object, node
 from tollbook.operators.running import Carry, running
 from tollbook.schemas import ERRORS, conform
 
 SESSION_COLUMNS = ["session_id", "agent", "repo", "fmt"]
+# A larger record does not fit a VARIANT value.
+RECORD_BYTES = 120 * 1024 * 1024
+LONG_STRINGS = {"maxStringLen": "2147483647"}
+
+
+def _only(text: Column, kind: str) -> Column:
+    """The one JSON value that a text holds; NULL for none or several, or text after it."""
+    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>", LONG_STRINGS)
+    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+
+
+def record(text: Column) -> Column:
+    """A text as VARIANT, with strings of any length; of repeated keys the last counts."""
+    return F.when(F.octet_length(text) <= RECORD_BYTES, _only(text, "variant"))
+
+
+def refusal(text: Column) -> Column:
+    """Why a text is no record."""
+    return F.when(F.octet_length(text) > RECORD_BYTES, "ValueError: record is too large to be parsed").otherwise("ValueError: line is not valid JSON")
 
 
 def _file_session(path: Column) -> Column:
@@ -35,15 +54,14 @@ def scan_jsonl(spark: SparkSession, folder: str, plan: DataFrame) -> DataFrame:
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """Lines as a VARIANT column ``v``; NULL where a line is no JSON."""
-    return lines.withColumn("v", F.try_parse_json("line")).drop("line")
+    """Lines as a VARIANT column ``v``; where that is NULL, ``refused`` says why."""
+    return lines.withColumn("v", record(F.col("line"))).withColumn("refused", F.when(F.col("v").isNull(), refusal(F.col("line")))).drop("line")
 
 
 def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, lines that are no JSON)."""
-    errors = parsed.where("v IS NULL").select(
-        "session_id", F.col("seq").alias("line_no"), F.lit("ValueError: line is not valid JSON").alias("exception"))
-    return parsed.where("v IS NOT NULL"), conform(errors, ERRORS)
+    """(records, lines that are no records)."""
+    errors = parsed.where("v IS NULL").select("session_id", F.col("seq").alias("line_no"), F.col("refused").alias("exception"))
+    return parsed.where("v IS NOT NULL").drop("refused"), conform(errors, ERRORS)
 
 
 def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,29 +78,24 @@ def scan_documents(spark: SparkSession, folder: str, plan: DataFrame) -> DataFra
 
 
 def document_messages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages with ``seq``, ``v``, ``version``, ``directory``; lines that are no JSON).
-
-    A file is one document with a message list, one single message, or one message per line."""
-    # a complete first line with more text after it means one message per line: the JSON
-    # parser itself would stop after the first value and not see the rest
-    first_line = F.regexp_extract("blob", r"^\s*([^\r\n]+)[\r\n]+\s*\S", 1)
-    by_lines = F.try_parse_json(F.nullif(first_line, F.lit(""))).isNotNull()
-    d = docs.withColumn("doc", F.when(~by_lines, F.try_parse_json("blob")))
-    listed, single = items(F.col("doc"), "messages"), node(F.col("doc"), "info").isNotNull() & node(F.col("doc"), "parts").isNotNull()
-    one = F.when(is_object(F.col("doc")) & single, F.array("doc"))
-    d = d.withColumn("messages", F.when(is_object(F.col("doc")), F.coalesce(listed, one)))
-    head = F.when(listed.isNotNull(), node(F.col("doc"), "info"))
-    whole = d.where("messages IS NOT NULL").select(
-        *SESSION_COLUMNS, F.try_variant_get(node(head, "version"), "$", "string").alias("version"),
-        F.try_variant_get(node(head, "directory"), "$", "string").alias("directory"), F.posexplode("messages").alias("seq", "v"))
-
-    # only files of the third shape are cut into lines; each file is already one row
-    cut = d.where("messages IS NULL").select(*SESSION_COLUMNS, F.split("blob", "\r\n|\n|\r").alias("lines"))
-    tried = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.try_parse_json(x).alias("v")))
-    cut = cut.withColumn("tried", F.filter(tried, lambda t: F.trim(t["line"]) != "")).drop("lines")
-    errors = cut.select("session_id", F.explode(F.filter("tried", lambda t: t["v"].isNull())).alias("t")).select(
-        "session_id", "t.line_no", F.lit("ValueError: line is not valid JSON").alias("exception"))
-    good = F.transform(F.filter("tried", lambda t: t["v"].isNotNull() & is_object(t["v"])), lambda t: t["v"])
-    by_line = cut.select(*SESSION_COLUMNS, F.lit(None).cast("string").alias("version"),
-                         F.lit(None).cast("string").alias("directory"), F.posexplode(good).alias("seq", "v"))
-    return whole.unionByName(by_line), conform(errors, ERRORS)
+    """(messages with ``seq``, ``v``, ``version``, ``directory``; messages and lines that are no records).
+
+    A file is one document with a message list, one single message, or one message per line.
+    The document is only cut here: each message is parsed by itself, so one that cannot be
+    does not take the others with it."""
+    d = docs.withColumn("doc", _only(F.col("blob"), "struct<info:string,parts:string,messages:array<string>>"))
+    doc = F.col("doc")
+    one = F.when(doc["info"].isNotNull() & doc["parts"].isNotNull(), F.array("blob"))
+    d = d.withColumn("texts", F.coalesce(doc["messages"], one)).withColumn("head", record(F.when(doc["messages"].isNotNull(), doc["info"])))
+    cut = F.coalesce(F.col("texts"), F.split("blob", "\r\n|\n|\r"))
+    d = d.withColumn("tried", F.filter(F.transform(cut, lambda x, i: F.struct(i.alias("place"), x.alias("text"), record(x).alias("v"))), lambda m: F.trim(m["text"]) != ""))
+    errors = d.select("session_id", F.explode(F.filter("tried", lambda m: m["v"].isNull())).alias("m")).select(
+        "session_id", F.col("m.place").alias("line_no"), refusal(F.col("m.text")).alias("exception"))
+    # messages by line are numbered without the lines between them
+    by_line = F.transform(F.filter("tried", lambda m: m["v"].isNotNull() & is_object(m["v"])), lambda m, i: F.struct(i.alias("seq"), m["v"].alias("v")))
+    listed = F.transform(F.filter("tried", lambda m: m["v"].isNotNull()), lambda m: F.struct(m["place"].alias("seq"), m["v"].alias("v")))
+    messages = d.select(
+        *SESSION_COLUMNS, F.try_variant_get(node(F.col("head"), "version"), "$", "string").alias("version"),
+        F.try_variant_get(node(F.col("head"), "directory"), "$", "string").alias("directory"),
+        F.explode(F.when(F.col("texts").isNull(), by_line).otherwise(listed)).alias("m"))
+    return messages.select(*SESSION_COLUMNS, "version", "directory", "m.seq", "m.v"), conform(errors, ERRORS)
