@@ -11,7 +11,8 @@ piece begins, and the best is kept, as in a Viterbi pass. What "best" means is t
 * ``scores``: the highest sum of scores.
 
 No piece holds the space mark after another character, so words are encoded one by one and
-kept in a bounded cache. Characters that no piece holds become byte pieces.
+kept in a bounded cache; a word is first cut wherever no piece holds both neighbours, so that
+a stem is known whatever punctuation follows it. Characters that no piece holds become byte pieces.
 
 Results by case: a null text has null ids and decodes to null; an empty text has no ids;
 byte pieces that are no UTF-8 decode to the replacement character; repeated rows are
@@ -24,6 +25,7 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from tollbook.llm.common import table
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 400_000, 1_000_000, 48
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 250_000, 2_000_000, 48
 
 
 class Pieces:
@@ -67,51 +69,66 @@ class Pieces:
         self.bytes = {i: b for b, i in self.byte_ids.items()}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
-        self.pairs, self.cache = {}, {}
+        self.neighbours = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        self.pairs, self.known, self.cache, self.older = {}, 0, {}, {}
 
     def merged(self, text: str) -> list[str]:
         """Merging by score, leftmost first: for short texts."""
-        parts = list(text)
-        while len(parts) > 1:
-            score, at = max(((self.scores.get(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if score == float("-inf"):
-                break
-            parts[-at: 2 - at] = [parts[-at] + parts[1 - at]]
-        return parts
+        parts, scores = list(text), self.scores
+        found = [scores.get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best = at = None
+            for i, score in enumerate(found):
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if at is None:
+                return parts
+            parts[at: at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = scores.get(parts[at - 1] + parts[at])
+            if at < len(found):
+                found[at] = scores.get(parts[at] + parts[at + 1])
+
+    def row(self, before: str | None) -> dict[str, bool]:
+        """What is known of the pieces that may follow a piece (or begin a stretch)."""
+        if (row := self.pairs.get(before)) is None:
+            if self.known > CACHED_PAIRS:
+                self.pairs, self.known = {}, 0
+            row = self.pairs[before] = {}
+        return row
 
     def fits(self, before: str | None, piece: str) -> bool:
         """Whether merging leaves the two pieces (or the one, at a start) as they are."""
-        key = (before, piece)
-        if (known := self.pairs.get(key)) is None:
-            if before is None or before not in self.ids:
-                known = self.merged(piece) == [piece]
-            else:
-                known = self.merged(before + piece) == [before, piece]
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
+        if before is None or before not in self.ids:
+            return self.merged(piece) == [piece]
+        return self.merged(before + piece) == [before, piece]
 
     def split(self, word: str) -> list[str]:
         """Best pieces of a word; characters that no piece holds stand alone."""
-        size, pairs = len(word), self.pairs
+        size = len(word)
         last: list[str | None] = [None] * (size + 1)
         if self.rule == "merges":
-            for at, piece in self.automaton.iter(word):  # of pieces with one end, longer ones come first
-                if last[at + 1] is None:
-                    before = last[at + 1 - len(piece)]
-                    if before is None and at >= len(piece):
-                        before = last[at + 1 - len(piece)] = word[at - len(piece)]
-                    if (good := pairs.get((before, piece))) is None:
-                        good = self.fits(before, piece)
+            rows: list[dict | None] = [self.row(None), *last[1:]]
+            for at, (n, piece) in self.automaton.iter(word):  # of pieces with one end, longer ones come first
+                at += 1
+                if rows[at] is None:
+                    start = at - n
+                    if (row := rows[start]) is None:
+                        before = last[start] = word[start - 1]  # no piece ends there
+                        row = rows[start] = self.row(before)
+                    if (good := row.get(piece)) is None:
+                        good = row[piece] = self.fits(last[start], piece)
+                        self.known += 1
                     if good:
-                        last[at + 1] = piece
+                        last[at] = piece
+                        rows[at] = self.row(piece)
         else:
             best: list[float | None] = [0.0] + [None] * size
             ends: list[list[str]] = [[] for _ in range(size)]
-            for at, piece in self.automaton.iter(word):
+            for at, (_, piece) in self.automaton.iter(word):
                 ends[at].append(piece)
             for end in range(1, size + 1):
                 alone = [] if word[end - 1] in self.ids else [word[end - 1]]
@@ -126,21 +143,43 @@ class Pieces:
             size -= len(piece)
         return out[::-1]
 
-    def word_ids(self, word: str) -> list[int]:
-        if (known := self.cache.get(word)) is None:
-            known = []
-            for piece in self.split(word):
-                if (i := self.ids.get(piece)) is not None:
-                    known.append(i)
-                elif self.byte_ids:
-                    known.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
-                else:
-                    known.append(self.unknown)
-            if len(word) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHED_WORDS:
-                    self.cache.clear()
-                self.cache[word] = known
-        return known
+    def kept(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """Ids put into the cache; when it is full the older half goes."""
+        if len(self.cache) >= CACHED_WORDS:
+            self.cache, self.older = {}, self.cache
+        self.cache[word] = ids
+        return ids
+
+    def stem_ids(self, stem: str) -> tuple[int, ...]:
+        """Ids of a stretch that pieces may span."""
+        out: list[int] = []
+        for piece in self.split(stem):
+            if (i := self.ids.get(piece)) is not None:
+                out.append(i)
+            elif self.byte_ids:
+                out.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
+            else:
+                out.append(self.unknown)
+        return tuple(out)
+
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        """Ids of a word, by its stretches."""
+        if (known := self.older.get(word)) is not None:
+            return self.kept(word, known)
+        cuts = [i for i, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in self.neighbours]
+        if not cuts:
+            ids = self.stem_ids(word)
+        else:
+            found: list[int] = []
+            for a, b in zip([0, *cuts], [*cuts, len(word)]):
+                stem = word[a:b]
+                if (known := self.cache.get(stem) or self.older.get(stem)) is None:
+                    known = self.stem_ids(stem)
+                    if b - a <= CACHED_LENGTH:
+                        self.kept(stem, known)
+                found += known
+            ids = tuple(found)
+        return self.kept(word, ids) if len(word) <= CACHED_LENGTH else ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text: a space is put before it, spaces become marks."""
@@ -148,7 +187,7 @@ class Pieces:
             return []
         ids: list[int] = []
         for word in WORD.findall(MARK + text.replace(" ", MARK)):
-            ids.extend(self.word_ids(word))
+            ids += self.cache.get(word) or self.word_ids(word)
         return ids
 
     def decode(self, ids) -> str:
@@ -166,14 +205,27 @@ def loaded(path: str, rule: str) -> Pieces:
     return Pieces(path, rule)
 
 
-def _mapped(df: DataFrame, path: str, rule: str, name: str, source: str, kind, arrow, act: str) -> DataFrame:
+def _encoded(column, pieces: Pieces) -> pa.ListArray:
+    """Ids of a column of texts."""
+    found = [None if (x := v.as_py()) is None else np.array(pieces.encode(x), np.int32) for v in column]
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in found]).tolist()
+    flat = np.concatenate([np.zeros(0, np.int32), *(x for x in found if x is not None)])
+    return pa.ListArray.from_arrays(pa.array([None if x is None else a for a, x in zip(ends, found)] + ends[-1:], pa.int32()), pa.array(flat))
+
+
+def _decoded(column, pieces: Pieces) -> pa.StringArray:
+    """Texts of a column of ids."""
+    ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return pa.array([None if null else pieces.decode(ids[a:b].tolist()) for null, a, b in zip(column.is_null().to_pylist(), ends, ends[1:])], pa.string())
+
+
+def _mapped(df: DataFrame, path: str, rule: str, name: str, source: str, kind, convert) -> DataFrame:
     kept = [c for c in df.columns if c.lower() != name.lower()]
     df = df.select(*[df[c] for c in kept])
 
     def run(batches):
-        convert = getattr(loaded(path, rule), act)
         for batch in batches:
-            made = pa.array([None if (v := x.as_py()) is None else convert(v) for x in batch.column(source)], arrow)
+            made = convert(batch.column(source), loaded(path, rule))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
@@ -181,12 +233,12 @@ def _mapped(df: DataFrame, path: str, rule: str, name: str, source: str, kind, a
 
 def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_ids", rule: str = "merges") -> DataFrame:
     """Documents with their ids by the model file at ``path`` (present on all machines)."""
-    return _mapped(docs, path, rule, name, text, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), "encode")
+    return _mapped(docs, path, rule, name, text, T.ArrayType(T.IntegerType()), _encoded)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded", rule: str = "merges") -> DataFrame:
     """Rows with the text of their ids."""
-    return _mapped(tokens, path, rule, name, ids, T.StringType(), pa.string(), "decode")
+    return _mapped(tokens, path, rule, name, ids, T.StringType(), _decoded)
 
 
 def op6_sentencepiece(spark, sf_dir):
