@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.base_sql import n_if, pc, rt, s_if
+from tollbook.plans.tooling import MISSING, POLL
 
 ALL_USD = "(SELECT sum(cost) FROM b_bill)"
 ALL_OUT = "(SELECT sum(u_out) FROM b_bill)"
@@ -145,7 +146,7 @@ SELECT model AS session_model, count(*) AS user_repo_cells, sum(k) AS sessions,
 _EXTREMES = f"""SELECT who, repo, arg_min(model, (u, model)) AS am, min(u) AS au, arg_max(model, (u, model)) AS zm, max(u) AS zu FROM (SELECT *, c / l AS u FROM {CELL} WHERE l > 0) GROUP BY who, repo HAVING count(*) > 1"""
 SQL["t22_within_pair_comparison"] = f"""
 SELECT who AS user_hash, repo, am AS cheapest_model, au AS cheapest_usd_per_line, zm AS dearest_model, zu AS dearest_usd_per_line, zu / nullif(au, 0) AS ratio
-FROM ({_EXTREMES}) ORDER BY ratio DESC NULLS LAST, user_hash, repo LIMIT 30"""
+FROM ({_EXTREMES}) ORDER BY ratio DESC NULLS LAST, user_hash, repo"""
 SQL["t22_headline"] = f"""
 SELECT count(DISTINCT (who, repo)) AS user_repo_pairs_that_switched_models, count(DISTINCT model) AS models_involved, sum(k) AS sessions, sum(c) AS usd,
        {rt('sum(c)', 'sum(l)')} AS usd_per_committed_line_overall, (SELECT median(zu / nullif(au, 0)) FROM ({_EXTREMES})) AS median_dearest_to_cheapest_ratio_within_a_pair FROM {CELL}"""
@@ -210,10 +211,10 @@ SELECT agent, {_ACH} AS repeated_chars, {_ACH} / 4.0E0 AS repeated_tokens, {s_if
        {s_if('again', 'result_chars / 4.0E0 * pread / 1e6')} AS usd_if_cached_once FROM {SEEN} GROUP BY agent"""
 SQL["t03_top_repeated_bash_commands"] = f"""
 SELECT left(command_head, 90) AS command_head_90, {_AG} AS repeated_occurrences, count(DISTINCT session_id) AS sessions, {_ACH} AS repeated_chars
-FROM {SEEN} WHERE tool_kind = 'bash' AND command_head IS NOT NULL GROUP BY 1 HAVING bool_or(again) ORDER BY 2 DESC, 1 LIMIT 20"""
+FROM {SEEN} WHERE tool_kind = 'bash' AND command_head IS NOT NULL GROUP BY command_head HAVING bool_or(again) ORDER BY 2 DESC, 1 LIMIT 20"""
 SQL["t03_top_repeated_files"] = f"""
 SELECT left(file_path, 90) AS file_path_90, tool_kind, {_AG} AS repeated_occurrences, count(DISTINCT session_id) AS sessions, {_ACH} AS repeated_chars
-FROM {SEEN} WHERE tool_kind = 'read' AND file_path IS NOT NULL GROUP BY 1, 2 HAVING bool_or(again) ORDER BY 5 DESC, 1 LIMIT 20"""
+FROM {SEEN} WHERE tool_kind = 'read' AND file_path IS NOT NULL GROUP BY file_path, 2 HAVING bool_or(again) ORDER BY 5 DESC, 1 LIMIT 20"""
 SQL["t03_worst_offender_sessions"] = f"""
 SELECT a.session_id, a.agent, a.r AS repeated_results, a.ch AS repeated_chars, b.m AS max_times_same_result
 FROM (SELECT session_id, agent, {_AG} AS r, {_ACH} AS ch FROM {SEEN} GROUP BY session_id, agent) a
@@ -226,7 +227,7 @@ SELECT {pc(_ACH, 'sum(result_chars)')} AS pct_of_tool_result_chars_exact_repeats
 RENT = """(SELECT *, later * result_chars / 4.0E0 AS rtok, later * result_chars / 4.0E0 * pread / 1e6 AS rusd
  FROM (SELECT *, CASE WHEN s_calls > nc THEN s_calls - nc ELSE 0 END AS later FROM b_use WHERE result_chars > 0)) r"""
 RSUM = "sum(result_chars) AS result_chars, avg(later) AS avg_later_calls, sum(rtok) AS rent_tokens, sum(rusd) AS rent_usd"
-SQL["t04_by_tool_kind"] = f"SELECT agent, tool_kind, count(*) AS tool_results, {RSUM} FROM {RENT} GROUP BY agent, tool_kind ORDER BY sum(rusd) DESC NULLS LAST, 1, 2 LIMIT 40"
+SQL["t04_by_tool_kind"] = f"SELECT agent, tool_kind, count(*) AS tool_results, {RSUM} FROM {RENT} GROUP BY agent, tool_kind ORDER BY sum(rusd) DESC NULLS LAST, 1, 2"
 SQL["t04_by_result_size_bucket"] = f"""
 SELECT CASE WHEN result_chars >= 50000 THEN '4. >50k' WHEN result_chars >= 10000 THEN '3. 10-50k' WHEN result_chars >= 1000 THEN '2. 1-10k' ELSE '1. <1k' END AS size_bucket,
        count(*) AS tool_results, {pc('count(*)', f'(SELECT count(*) FROM {RENT})')} AS pct_of_results, {RSUM},
@@ -274,7 +275,7 @@ SQL["t19_rereads_after_boundary"] = f"""
 SELECT agent, what AS event_kind, count(*) AS reads_in_next_20_tool_calls, {n_if(_KP)} AS reads_of_already_seen_paths, {pc(n_if(_KP), 'count(*)')} AS pct_rereads, {s_if(_KP, 'ch')} AS reread_chars,
        {s_if(_KP, 'once')} AS reread_usd_one_pass, {s_if(_KP, 'twice')} AS reread_usd_recached FROM {NEAR} GROUP BY agent, what"""
 SQL["t19_top_reread_files"] = f"""
-SELECT left(file_path, 80) AS file_path_80, count(*) AS rereads_after_a_boundary, count(DISTINCT session_id) AS sessions, sum(ch) AS chars FROM {NEAR} WHERE {_KP} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
+SELECT left(file_path, 80) AS file_path_80, count(*) AS rereads_after_a_boundary, count(DISTINCT session_id) AS sessions, sum(ch) AS chars FROM {NEAR} WHERE {_KP} GROUP BY file_path ORDER BY 2 DESC, 1 LIMIT 20"""
 SQL["t19_headline"] = f"""
 SELECT (SELECT count(*) FROM {EDGE}) AS compaction_boundaries, (SELECT count(DISTINCT session_id) FROM {EDGE}) AS sessions_with_a_boundary,
        count(*) AS reads_in_the_20_tool_calls_after_a_boundary, {pc(n_if(_KP), 'count(*)')} AS pct_of_those_reads_already_seen, {s_if(_KP, 'ch')} AS reread_chars,
@@ -297,15 +298,14 @@ SELECT agent, count(*) AS edits, {n_if('burst > 2')} AS edits_in_a_thrash_window
        count(DISTINCT CASE WHEN burst > 2 THEN concat(session_id, ' ', file_path) END) AS distinct_thrashed_files FROM {CHURN} GROUP BY agent"""
 SQL["t20_top_thrashed_files"] = f"""
 SELECT left(file_path, 80) AS file_path_80, max(agent) AS agent, count(*) AS edits_in_thrash_windows, count(DISTINCT session_id) AS sessions, max(burst) AS worst_burst
-FROM {CHURN} WHERE burst > 2 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20"""
+FROM {CHURN} WHERE burst > 2 GROUP BY file_path ORDER BY 3 DESC, 1 LIMIT 20"""
 SQL["t20_headline"] = f"""
 SELECT {n_if(BACK)} AS reads_of_a_just_written_file, {pc(n_if(BACK), 'count(*)')} AS pct_of_all_reads, {s_if(BACK, 'ch')} AS reread_chars, {s_if(BACK, 'ch / 4e6 * pin')} AS usd_at_fresh_input_price,
        (SELECT {n_if('burst > 2')} FROM {CHURN}) AS edits_inside_a_thrash_window, (SELECT {pc(n_if('burst > 2'), 'count(*)')} FROM {CHURN}) AS pct_of_edits_in_thrash FROM {READS}"""
 
 # ---- tooling --------------------------------------------------------------------
 
-FILES = """(SELECT t.*, ifnull(t.is_error, false) AND (contains(t.error_head, 'does not exist') OR contains(t.error_head, 'No such file') OR contains(t.error_head, 'ENOENT')
-             OR contains(t.error_head, 'not found')) AS gone,
+FILES = f"""(SELECT t.*, ifnull(t.is_error, false) AND regexp_matches(t.error_head, '{MISSING}') AS gone,
         ifnull((SELECT m.spent FROM b_main m WHERE m.session_id = t.session_id AND m.pos = least(t.nc + 3, t.s_calls)) - t.spent, 0) AS then3
  FROM b_use t WHERE t.tool_kind IN ('edit', 'read', 'write')) t"""
 SQL["t07_by_agent"] = f"""
@@ -317,7 +317,7 @@ FROM {FILES} GROUP BY s_model HAVING count(*) >= 50"""
 SQL["t07_by_tool_kind"] = f"""
 SELECT agent, tool_kind, count(*) AS calls, {n_if('gone')} AS missing_path_errors, {pc(n_if('gone'), 'count(*)')} AS pct_missing_path FROM {FILES} GROUP BY agent, tool_kind"""
 SQL["t07_top_missing_paths"] = f"""
-SELECT left(file_path, 80) AS file_path_80, count(*) AS errors, count(DISTINCT session_id) AS sessions FROM {FILES} WHERE gone AND file_path IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
+SELECT left(file_path, 80) AS file_path_80, count(*) AS errors, count(DISTINCT session_id) AS sessions FROM {FILES} WHERE gone AND file_path IS NOT NULL GROUP BY file_path ORDER BY 2 DESC, 1 LIMIT 20"""
 SQL["t07_headline"] = f"""
 SELECT {n_if('gone')} AS missing_path_errors, {pc(n_if('gone'), 'count(*)')} AS pct_of_file_tool_calls, count(DISTINCT CASE WHEN gone THEN session_id END) AS sessions_affected,
        {s_if('gone', 'then3')} AS usd_of_the_next_3_calls_after_the_error, {pc(s_if('gone', 'then3'), ALL_USD)} AS pct_of_total_usd FROM {FILES}"""
@@ -336,7 +336,7 @@ SQL["t08_headline"] = f"""
 SELECT {n_if('rite')} AS ceremony_tool_calls, {pc(n_if('rite'), 'count(*)')} AS pct_of_all_tool_calls, {s_if('rite', 'ctok')} AS output_tokens_spent_on_ceremony, {s_if('rite', 'cusd')} AS ceremony_usd,
        {pc(s_if('rite', 'cusd'), ALL_OUT)} AS pct_of_all_output_usd FROM {RITE}"""
 
-WAIT = r"""(SELECT t.*, regexp_matches(command_head, '(?:^|[ ;&|])(?:sleep [0-9]+|wait(?:$|[ ;&|]))|gh run watch') AS waits FROM b_use t WHERE tool_kind = 'bash' AND command_head IS NOT NULL) t"""
+WAIT = f"""(SELECT t.*, regexp_matches(command_head, '{POLL}') AS waits FROM b_use t WHERE tool_kind = 'bash' AND command_head IS NOT NULL) t"""
 POLLS = f"""(SELECT p.*, m.cost AS cusd, m.ctx AS cctx, (SELECT count(*) FROM {WAIT.replace(') t', ') o')} WHERE o.waits AND o.session_id = p.session_id AND o.nc BETWEEN p.nc AND p.nc + 4) AS burst
  FROM {WAIT.replace(') t', ') p')} LEFT JOIN b_main m ON m.session_id = p.session_id AND m.pos = p.nc WHERE p.waits) p"""
 SQL["t09_by_agent"] = f"""
@@ -346,7 +346,7 @@ SQL["t09_polling_sequences"] = f"""
 SELECT CASE least(burst, 4) WHEN 4 THEN '4+ polls in 5 calls' WHEN 3 THEN '3 polls in 5 calls' WHEN 2 THEN '2 polls in 5 calls' ELSE 'isolated' END AS burst, count(*) AS polling_calls,
        sum(cusd) AS usd, sum(cctx) AS ctx_tokens FROM {POLLS} GROUP BY 1"""
 SQL["t09_top_polling_commands"] = f"""
-SELECT left(command_head, 80) AS command_head_80, count(*) AS polling_calls, count(DISTINCT session_id) AS sessions, sum(cusd) AS usd FROM {POLLS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
+SELECT left(command_head, 80) AS command_head_80, count(*) AS polling_calls, count(DISTINCT session_id) AS sessions, sum(cusd) AS usd FROM {POLLS} GROUP BY command_head ORDER BY 2 DESC, 1 LIMIT 20"""
 SQL["t09_headline"] = f"""
 SELECT count(*) AS polling_bash_calls, {pc('count(*)', f'(SELECT count(*) FROM {WAIT})')} AS pct_of_all_bash_calls, count(DISTINCT session_id) AS sessions_that_poll, sum(cusd) AS usd_of_calls_that_issued_a_poll,
        {n_if('burst > 1')} AS polls_inside_a_burst, {s_if('burst > 1', 'cusd')} AS usd_in_bursts, {pc('sum(cusd)', ALL_USD)} AS pct_of_total_usd FROM {POLLS}"""
@@ -369,7 +369,7 @@ SQL["t10_json_overhead_for_writes"] = f"""
 SELECT agent, count(*) AS writes, median(extra) AS median_json_overhead_ratio, quantile_cont(extra, 0.9) AS p90_json_overhead_ratio, sum(input_chars - content_chars) / 4.0E0 AS extra_tokens_vs_bare_content
 FROM {FULL} WHERE extra IS NOT NULL GROUP BY agent"""
 SQL["t10_top_rewritten_files"] = f"""
-SELECT left(file_path, 80) AS file_path_80, max(agent) AS agent, count(*) AS writes_on_known_file, sum(content_chars) AS content_chars, sum(wusd) AS usd FROM {FULL} WHERE had GROUP BY 1
+SELECT left(file_path, 80) AS file_path_80, max(agent) AS agent, count(*) AS writes_on_known_file, sum(content_chars) AS content_chars, sum(wusd) AS usd FROM {FULL} WHERE had GROUP BY file_path
 ORDER BY sum(wusd) DESC NULLS LAST, 1 LIMIT 20"""
 SQL["t10_headline"] = f"""
 SELECT {s_if('had', 'wusd')} AS usd_output_writes_to_files_already_in_context, {pc(s_if('had', 'wusd'), ALL_OUT)} AS pct_of_all_output_usd, {n_if('had')} AS writes_on_known_files,
@@ -387,7 +387,7 @@ SELECT repo, left(file_path, 70) AS file_path_70, agent, s AS sessions, u AS use
 FROM (SELECT *, sum(s) OVER (PARTITION BY repo) AS busy FROM {PATHS}) WHERE busy >= 20 ORDER BY s DESC, k DESC, repo, file_path LIMIT 30"""
 SQL["t14_concentration_by_repo"] = f"""
 SELECT repo, count(*) AS files, sum(k) AS edits, {pc(s_if('pr < 0.05', 'k'), 'sum(k)')} AS pct_of_edits_in_top_5pct_of_files, {pc(s_if('pr < 0.2', 'k'), 'sum(k)')} AS pct_of_edits_in_top_20pct_of_files
-FROM {RANKS} GROUP BY repo HAVING count(*) >= 3 ORDER BY 3 DESC, 1 LIMIT 30"""
+FROM {RANKS} GROUP BY repo HAVING count(*) >= 3 ORDER BY 3 DESC, 1"""
 SQL["t14_hot_vs_cold"] = f"""
 SELECT {HEAT} AS heat, count(*) AS files, sum(k) AS edits, {pc('sum(k)', f'(SELECT count(*) FROM {EDITS})')} AS pct_of_all_edits, avg({pc('e3', 'k')}) AS avg_pct_edits_followed_by_error,
        avg({pc('sh', 'k')}) AS avg_pct_edits_followed_by_short_correction, median(k) AS median_edits_per_file FROM {PATHS} GROUP BY 1"""
@@ -500,7 +500,7 @@ INJ = "(SELECT e.*, ifnull(e.subtype, e.event_type) AS sub, s.ver, CASE WHEN e.e
 TYPED = "(SELECT t.*, s.ver FROM b_turns t JOIN b_sess s ON s.session_id = t.session_id WHERE NOT t.is_meta) h"
 SQL["t24_injected_by_subtype"] = f"""
 SELECT agent, event_type, sub AS subtype, count(*) AS events, sum(payload_chars) AS payload_chars, sum(payload_chars) / 4.0E0 AS payload_tokens, median(payload_chars) AS median_payload_chars
-FROM {INJ} GROUP BY agent, event_type, sub ORDER BY 5 DESC, 1, 2, 3 LIMIT 30"""
+FROM {INJ} GROUP BY agent, event_type, sub ORDER BY 5 DESC, 1, 2, 3"""
 SQL["t24_injected_vs_human_by_agent"] = f"""
 SELECT a.agent, a.p AS injected_chars, a.t AS attachment_chars, b.h AS human_chars, {pc('a.p', 'a.p + b.h')} AS pct_injected_of_prompt_side, {pc('a.t', 'a.t + b.h')} AS pct_attachments_of_prompt_side
 FROM (SELECT agent, sum(payload_chars) AS p, sum(att) AS t FROM {INJ} GROUP BY agent) a LEFT JOIN (SELECT agent, sum(human_chars) AS h FROM {TYPED} GROUP BY agent) b ON a.agent = b.agent"""

@@ -78,6 +78,11 @@ def bands(x, edges: list[tuple[float, str]], beyond: str) -> Column:
     return out.otherwise(beyond)
 
 
+def at_most(df, n: int | None):
+    """The first n rows, or all."""
+    return df if n is None else df.limit(n)
+
+
 def lead_part(x, n: int) -> Column:
     return F.substring(_c(x), 1, n)
 

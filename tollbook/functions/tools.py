@@ -8,26 +8,36 @@ from tollbook.functions.variants import as_text, dump, is_list, is_object, text,
 
 # Lower-cased tool names by kind.
 KINDS = {
-    "read": "read view read_file readfile file_read notebookread readlints readmanyfiles read_many_files already_read_file",
-    "edit": "edit multiedit notebookedit str_replace strreplace str_replace_editor apply_patch applypatch patch edit_file "
-            "update_file editfile",
-    "write": "write write_file writefile create create_file file_write delete remove move rename",
-    "bash": "bash shell shell_command exec_command exec run_command terminal runterminalcmd awaitshell write_stdin send_input "
-            "kill_shell killshell bashoutput runcommand",
-    "glob": "glob ls list listdir list_dir find findfiles",
-    "grep": "grep search rg ripgrep codesearch searchtext grep_search",
-    "web": "webfetch web_fetch fetch websearch web_search web_search_call browser open_url",
-    "task": "task agent spawn_agent wait_agent close_agent dispatch_agent subagent collab",
-    "todo": "todowrite todoread todo update_plan createplan exitplanmode updatetodos update_goal create_goal get_goal",
-    "mcp": "callmcptool call_mcp_tool read_mcp_resource list_mcp_resources use_mcp_tool",
+    "read": [
+        "read", "view", "read_file", "readfile", "file_read", "notebookread", "readlints", "readmanyfiles", "read_many_files",
+        "already_read_file"
+    ],
+    "edit": [
+        "edit", "multiedit", "notebookedit", "str_replace", "strreplace", "str_replace_editor", "apply_patch", "applypatch", "patch",
+        "edit_file", "update_file", "editfile"
+    ],
+    "write": ["write", "write_file", "writefile", "create", "create_file", "file_write", "delete", "remove", "move", "rename"],
+    "bash": [
+        "bash", "shell", "shell_command", "exec_command", "exec", "run_command", "terminal", "runterminalcmd", "awaitshell",
+        "write_stdin", "send_input", "kill_shell", "killshell", "bashoutput", "runcommand"
+    ],
+    "glob": ["glob", "ls", "list", "listdir", "list_dir", "find", "findfiles"],
+    "grep": ["grep", "search", "rg", "ripgrep", "codesearch", "searchtext", "grep_search"],
+    "web": ["webfetch", "web_fetch", "fetch", "websearch", "web_search", "web_search_call", "browser", "open_url"],
+    "task": ["task", "agent", "spawn_agent", "wait_agent", "close_agent", "dispatch_agent", "subagent", "collab"],
+    "todo": [
+        "todowrite", "todoread", "todo", "update_plan", "createplan", "exitplanmode", "updatetodos", "update_goal", "create_goal",
+        "get_goal"
+    ],
+    "mcp": ["callmcptool", "call_mcp_tool", "read_mcp_resource", "list_mcp_resources", "use_mcp_tool"],
 }
 # Keys of a tool input, in order of preference.
-PATH_KEYS = "filePath file_path path target_file notebook_path filename file absolute_path target_directory".split()
-COMMAND_KEYS = "command cmd script shell_command query search_term chars stdin".split()
-OLD_KEYS = "old_string oldString old_str".split()
-NEW_KEYS = "new_string newString new_str".split()
-CONTENT_KEYS = "content contents file_text new_content text".split()
-PATCH_KEYS = "patchText patch input diff".split()
+PATH_KEYS = ["filePath", "file_path", "path", "target_file", "notebook_path", "filename", "file", "absolute_path", "target_directory"]
+COMMAND_KEYS = ["command", "cmd", "script", "shell_command", "query", "search_term", "chars", "stdin"]
+OLD_KEYS = ["old_string", "oldString", "old_str"]
+NEW_KEYS = ["new_string", "newString", "new_str"]
+CONTENT_KEYS = ["content", "contents", "file_text", "new_content", "text"]
+PATCH_KEYS = ["patchText", "patch", "input", "diff"]
 PATCH_LINE = r"(?m)^\*\*\*\s+(Update|Add|Delete)\s+File:\s*(.+?)\s*$"
 COMMAND_HEAD = 500
 
@@ -36,7 +46,7 @@ def tool_kind(name: Column) -> Column:
     low = F.lower(F.trim(name))
     out = F.when(F.coalesce(name, F.lit("")) == "", "other").when(low.startswith("mcp__") | low.startswith("mcp_"), "mcp")
     for kind, names in KINDS.items():
-        out = out.when(low.isin(*names.split()), kind)
+        out = out.when(low.isin(*names), kind)
     return out.otherwise("other")
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tollbook.functions.metrics import (
-    bands, call_tie, chars_as_tokens, lead_part, millis_between, pct, rows, rows_where, sum_where, total, usd, yes, zero,
+    at_most, bands, call_tie, chars_as_tokens, lead_part, millis_between, pct, rows, rows_where, sum_where, total, usd, yes, zero,
 )
 from tollbook.operators.neighbourhood import pairs_within, rows_in_reach
 from tollbook.operators.quantiles import med
@@ -154,20 +154,20 @@ def repeats_usd(ws: Workspace) -> DataFrame:
 
 @result("t03_top_repeated_bash_commands")
 def repeated_commands(ws: Workspace, n: int = 20) -> DataFrame:
-    return repeat_marks(ws).where("tool_kind = 'bash' AND command_head IS NOT NULL").groupBy(
-        lead_part("command_head", 90).alias("command_head_90")).agg(
+    return repeat_marks(ws).where("tool_kind = 'bash' AND command_head IS NOT NULL").groupBy("command_head").agg(
         _again().alias("repeated_occurrences"), F.count_distinct("session_id").alias("sessions"),
         _again_chars().alias("repeated_chars"),
-    ).where("repeated_occurrences > 0").orderBy(F.desc("repeated_occurrences"), "command_head_90").limit(n)
+    ).select(
+        lead_part("command_head", 90).alias("command_head_90"), "*").drop("command_head").where("repeated_occurrences > 0").orderBy(F.desc("repeated_occurrences"), "command_head_90").limit(n)
 
 
 @result("t03_top_repeated_files")
 def repeated_files(ws: Workspace, n: int = 20) -> DataFrame:
-    return repeat_marks(ws).where("tool_kind = 'read' AND file_path IS NOT NULL").groupBy(
-        lead_part("file_path", 90).alias("file_path_90"), "tool_kind").agg(
+    return repeat_marks(ws).where("tool_kind = 'read' AND file_path IS NOT NULL").groupBy("file_path", "tool_kind").agg(
         _again().alias("repeated_occurrences"), F.count_distinct("session_id").alias("sessions"),
         _again_chars().alias("repeated_chars"),
-    ).where("repeated_occurrences > 0").orderBy(F.desc("repeated_chars"), "file_path_90").limit(n)
+    ).select(
+        lead_part("file_path", 90).alias("file_path_90"), "*").drop("file_path").where("repeated_occurrences > 0").orderBy(F.desc("repeated_chars"), "file_path_90").limit(n)
 
 
 @result("t03_worst_offender_sessions")
@@ -205,9 +205,9 @@ def _rent_sums():
 
 
 @result("t04_by_tool_kind")
-def rent_by_kind(ws: Workspace, n: int = 40) -> DataFrame:
-    return rents(ws).groupBy("agent", "tool_kind").agg(rows().alias("tool_results"), *_rent_sums()).orderBy(
-        F.desc_nulls_last("rent_usd"), "agent", "tool_kind").limit(n)
+def rent_by_kind(ws: Workspace, n: int | None = None) -> DataFrame:
+    return at_most(rents(ws).groupBy("agent", "tool_kind").agg(rows().alias("tool_results"), *_rent_sums()).orderBy(
+        F.desc_nulls_last("rent_usd"), "agent", "tool_kind"), n)
 
 
 @result("t04_by_result_size_bucket")
@@ -384,11 +384,11 @@ def rereads(ws: Workspace) -> DataFrame:
 
 @result("t19_top_reread_files")
 def reread_files(ws: Workspace, n: int = 20) -> DataFrame:
-    return reads_after_boundary(ws).where("was_read_before_boundary").groupBy(
-        lead_part("file_path", 80).alias("file_path_80")).agg(
+    return reads_after_boundary(ws).where("was_read_before_boundary").groupBy("file_path").agg(
         rows().alias("rereads_after_a_boundary"), F.count_distinct("session_id").alias("sessions"),
         F.sum("result_chars").alias("chars"),
-    ).orderBy(F.desc("rereads_after_a_boundary"), "file_path_80").limit(n)
+    ).select(
+        lead_part("file_path", 80).alias("file_path_80"), "*").drop("file_path").orderBy(F.desc("rereads_after_a_boundary"), "file_path_80").limit(n)
 
 
 @result("t19_headline")
@@ -469,10 +469,11 @@ def edit_thrash(ws: Workspace) -> DataFrame:
 
 @result("t20_top_thrashed_files")
 def thrashed_files(ws: Workspace, n: int = 20) -> DataFrame:
-    return thrash(ws).where(_thrashed()).groupBy(lead_part("file_path", 80).alias("file_path_80")).agg(
+    return thrash(ws).where(_thrashed()).groupBy("file_path").agg(
         F.max("agent").alias("agent"), rows().alias("edits_in_thrash_windows"),
         F.count_distinct("session_id").alias("sessions"), F.max("edits_in_last_10_calls").alias("worst_burst"),
-    ).orderBy(F.desc("edits_in_thrash_windows"), "file_path_80").limit(n)
+    ).select(
+        lead_part("file_path", 80).alias("file_path_80"), "*").drop("file_path").orderBy(F.desc("edits_in_thrash_windows"), "file_path_80").limit(n)
 
 
 @result("t20_headline")

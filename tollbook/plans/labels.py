@@ -170,7 +170,7 @@ def pushback_rate(labels: DataFrame) -> DataFrame:
 
 
 def value_shares(labels: DataFrame, field: str, n: int | None = None) -> DataFrame:
-    """Values of a field by frequency (``sentiment``; ``language`` with n=12)."""
+    """Values of a field by frequency (``sentiment``, ``language``), all or the first n."""
     whole = labels.agg(rows()).scalar()
     out = labels.groupBy(field).agg(rows().alias("prompts")).withColumn("share", pct("prompts", whole)).orderBy(F.desc("prompts"), field)
     return out if n is None else out.limit(n)

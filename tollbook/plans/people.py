@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tollbook.functions.metrics import (
-    bands, chars_as_tokens, pct, ratio, rows, rows_where, seconds_between, sum_where, usd, version_key, yes, zero,
+    at_most, bands, chars_as_tokens, pct, ratio, rows, rows_where, seconds_between, sum_where, usd, version_key, yes, zero,
 )
 from tollbook.operators.quantiles import med
 from tollbook.plans.catalog_of_results import result
@@ -197,12 +197,12 @@ def _attached():
 
 
 @result("t24_injected_by_subtype")
-def injected_kinds(ws: Workspace, n: int = 30) -> DataFrame:
-    return ws.grouped(
+def injected_kinds(ws: Workspace, n: int | None = None) -> DataFrame:
+    return at_most(ws.grouped(
         injections(ws).withColumnRenamed("payload_chars", "_c"), ["agent", "event_type", "subtype"],
         [rows().alias("events"), F.sum("_c").alias("payload_chars"), chars_as_tokens(F.sum("_c")).alias("payload_tokens")],
         {"median_payload_chars": med("_c")},
-    ).orderBy(F.desc("payload_chars"), "agent", "event_type", "subtype").limit(n)
+    ).orderBy(F.desc("payload_chars"), "agent", "event_type", "subtype"), n)
 
 
 def _typed(ws):

@@ -76,7 +76,7 @@ def measure_write(inputs: DataFrame) -> DataFrame:
     w = inputs.withColumns({
         "ext": file_ending(F.col("file_path")), "_dump": F.to_json("inp"), "_content": written_content(F.col("inp"))})
     w = w.withColumns({
-        "json_bytes": F.octet_length("_dump").cast("long"), "string_leaf_chars": leaf_chars("_dump"), "content_chars": F.length("_content").cast("long"),
+        "json_bytes": F.octet_length("_dump").cast("long"), "string_leaf_chars": leaf_chars(F.col("_dump")), "content_chars": F.length("_content").cast("long"),
         "n_newlines": count_of(F.col("_content"), "\n").cast("long"), "n_quotes": count_of(F.col("_content"), '"').cast("long"),
         "indent_chars": indent_chars(F.col("_content")).cast("long")})
     w = w.withColumn("json_overhead_bytes", F.col("json_bytes") - F.col("string_leaf_chars"))

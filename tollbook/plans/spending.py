@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tollbook.functions.metrics import (
-    call_tie, bands, pct, ratio, rows, rows_where, seconds_between, sum_where, total, usd, version_key, zero,
+    at_most, call_tie, bands, pct, ratio, rows, rows_where, seconds_between, sum_where, total, usd, version_key, zero,
 )
 from tollbook.functions.models import model_family
 from tollbook.operators.quantiles import med
@@ -436,13 +436,13 @@ def _cheapest_and_dearest(ws, min_sessions):
 
 
 @result("t22_within_pair_comparison")
-def switch_extremes(ws: Workspace, min_sessions: int = 3, n: int = 30) -> DataFrame:
-    return _cheapest_and_dearest(ws, min_sessions).select(
+def switch_extremes(ws: Workspace, min_sessions: int = 3, n: int | None = None) -> DataFrame:
+    return at_most(_cheapest_and_dearest(ws, min_sessions).select(
         "user_hash", "repo",
         F.col("a.session_model").alias("cheapest_model"), F.col("a.upl").alias("cheapest_usd_per_line"),
         F.col("z.session_model").alias("dearest_model"), F.col("z.upl").alias("dearest_usd_per_line"),
         ratio("z.upl", "a.upl").alias("ratio"),
-    ).orderBy(F.desc_nulls_last("ratio"), "user_hash", "repo").limit(n)
+    ).orderBy(F.desc_nulls_last("ratio"), "user_hash", "repo"), n)
 
 
 @result("t22_headline")

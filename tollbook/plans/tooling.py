@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tollbook.functions.metrics import (
-    bands, chars_as_tokens, lead_part, pct, ratio, rows, rows_where, sum_where, total, usd, yes, zero,
+    at_most, bands, chars_as_tokens, lead_part, pct, ratio, rows, rows_where, sum_where, total, usd, yes, zero,
 )
 from tollbook.operators.neighbourhood import rows_in_reach
 from tollbook.operators.quantiles import med
@@ -71,10 +71,10 @@ def missing_by_kind(ws: Workspace) -> DataFrame:
 
 @result("t07_top_missing_paths")
 def missing_paths(ws: Workspace, n: int = 20) -> DataFrame:
-    return file_calls(ws).where("missing_path AND file_path IS NOT NULL").groupBy(
-        lead_part("file_path", 80).alias("file_path_80")).agg(
+    return file_calls(ws).where("missing_path AND file_path IS NOT NULL").groupBy("file_path").agg(
         rows().alias("errors"), F.count_distinct("session_id").alias("sessions"),
-    ).orderBy(F.desc("errors"), "file_path_80").limit(n)
+    ).select(
+        lead_part("file_path", 80).alias("file_path_80"), "*").drop("file_path").orderBy(F.desc("errors"), "file_path_80").limit(n)
 
 
 @result("t07_headline")
@@ -187,9 +187,10 @@ def poll_bursts(ws: Workspace) -> DataFrame:
 
 @result("t09_top_polling_commands")
 def poll_commands(ws: Workspace, n: int = 20) -> DataFrame:
-    return polls(ws).groupBy(lead_part("command_head", 80).alias("command_head_80")).agg(
+    return polls(ws).groupBy("command_head").agg(
         rows().alias("polling_calls"), F.count_distinct("session_id").alias("sessions"), F.sum("call_usd").alias("usd"),
-    ).orderBy(F.desc("polling_calls"), "command_head_80").limit(n)
+    ).select(
+        lead_part("command_head", 80).alias("command_head_80"), "*").drop("command_head").orderBy(F.desc("polling_calls"), "command_head_80").limit(n)
 
 
 @result("t09_headline")
@@ -268,9 +269,10 @@ def write_overhead(ws: Workspace) -> DataFrame:
 
 @result("t10_top_rewritten_files")
 def rewritten_files(ws: Workspace, n: int = 20) -> DataFrame:
-    return full_writes(ws).where("known").groupBy(lead_part("file_path", 80).alias("file_path_80")).agg(
+    return full_writes(ws).where("known").groupBy("file_path").agg(
         F.max("agent").alias("agent"), rows().alias("writes_on_known_file"), F.sum("content_chars").alias("content_chars"),
-        F.sum("content_usd").alias("usd")).orderBy(F.desc_nulls_last("usd"), "file_path_80").limit(n)
+        F.sum("content_usd").alias("usd")).select(
+        lead_part("file_path", 80).alias("file_path_80"), "*").drop("file_path").orderBy(F.desc_nulls_last("usd"), "file_path_80").limit(n)
 
 
 @result("t10_headline")
@@ -359,13 +361,13 @@ def hottest_files(ws: Workspace, min_repo_sessions: int = 20, n: int = 30) -> Da
 
 
 @result("t14_concentration_by_repo")
-def edit_concentration(ws: Workspace, min_files: int = 50, n: int = 30) -> DataFrame:
+def edit_concentration(ws: Workspace, min_files: int = 50, n: int | None = None) -> DataFrame:
     def top(share):
         return pct(sum_where(F.col("pr") < share, "step_edits"), F.sum("step_edits"))
-    return file_ranks(ws).groupBy("repo").agg(
+    return at_most(file_ranks(ws).groupBy("repo").agg(
         F.sum("_files").alias("files"), F.sum("step_edits").alias("edits"),
         top(0.05).alias("pct_of_edits_in_top_5pct_of_files"), top(0.20).alias("pct_of_edits_in_top_20pct_of_files"),
-    ).where(F.col("files") >= min_files).orderBy(F.desc("edits"), "repo").limit(n)
+    ).where(F.col("files") >= min_files).orderBy(F.desc("edits"), "repo"), n)
 
 
 @result("t14_hot_vs_cold")

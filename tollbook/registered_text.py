@@ -271,7 +271,7 @@ TEXT_QUERIES = {
     "label_repairs": lambda ws, s, d: lab.repair_counts(_labelled(ws), "rec", list(lab.ANSWER_RULES), ["session_id", "seq"]),
     "label_distribution": lambda ws, s, d: lab.label_distribution(_labels(ws), AGENTS),
     "label_pushback_rate": lambda ws, s, d: lab.pushback_rate(_labels(ws)),
-    "label_languages": lambda ws, s, d: lab.value_shares(_labels(ws), "language", 12),
+    "label_languages": lambda ws, s, d: lab.value_shares(_labels(ws), "language"),
     "label_file_mentions": lambda ws, s, d: lab.file_mentions(_labels(ws)),
     "slice_cursor": _slices("cursor"),
     "slice_codex": _slices("codex"),
