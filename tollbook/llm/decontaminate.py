@@ -148,13 +148,13 @@ class Benchmark:
                     laid[i, at - own] = size
         best: dict[int, dict] = {}
         for (i, shift) in laid:
-            key, its_words, its_kinds, its_shape = self.items[i]
+            key, its_words, _, its_shape = self.items[i]
             a, b = max(0, -shift), min(len(its_words), len(words) - shift)
             same = shape[a + shift: b + shift] == its_shape[a:b]
-            mine, theirs, slot = words[a + shift: b + shift][same], its_words[a:b][same], its_kinds[a:b][same] != PLAIN
+            mine, theirs = words[a + shift: b + shift][same], its_words[a:b][same]
             equal, changed = int((mine == theirs).sum()), int((mine != theirs).sum())
             fillers: dict[int, int] = {}
-            fits = all(fillers.setdefault(t, m) == m for t, m in zip(theirs[slot].tolist(), mine[slot].tolist()))
+            fits = all(fillers.setdefault(t, m) == m for t, m in zip(theirs.tolist(), mine.tolist()))
             if fits and equal >= SHARE * len(its_words) and equal > best.get(i, {"equal_words": 0})["equal_words"]:
                 best[i] = {"item_id": key, "equal_words": equal, "item_words": len(its_words), "changed_slots": changed}
         return [best[i] for i in sorted(best)]
