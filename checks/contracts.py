@@ -144,6 +144,10 @@ CONTRACTS = {
     "pushback_cost": "turns:l usd_after_fix_requests:d pct_after_fix_requests:d usd_after_pushback:d pct_after_pushback:d",
     "bill_summary": "line_no:l item:s usd:d pct_of_total_usd:d running_usd:d total_usd:d",
     "ingest_claude_code_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
+    "ingest_claude_code_tool_calls": "session_id:s seq:l agent:s msg_id:s tool_use_id:s tool_name:s tool_kind:s file_path_raw:s file_path:s command_head:s input_chars:l old_string_chars:l new_string_chars:l "
+                                     "read_offset:l read_limit:l result_chars:l result_hash:s is_error:b error_head:s result_latency_ms:l",
+    "ingest_errors": "session_id:s line_no:l exception:s",
+    "ingest_records": "session_id:s seq:l a:l",
     "ingest_codex_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
     "ingest_cursor_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
     "ingest_opencode_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",

@@ -103,6 +103,19 @@ _HEAD = "CASE WHEN text <> '' THEN left(text, 300) END"
 SQL["ingest_claude_code_calls"] = f"""
 SELECT sid AS session_id, turn AS seq, 'claude_code' AS agent, 'claude-opus-4-6' AS model, length(text) AS output_tokens, length(text) AS n_text_chars, 0 AS n_tool_uses, {_HEAD} AS text_head,
        NULL AS stop_reason FROM x_talk WHERE role = 'assistant'"""
+SQL["ingest_claude_code_tool_calls"] = """
+SELECT sid AS session_id, 2 * turn AS seq, 'claude_code' AS agent, concat('m', turn) AS msg_id, concat('t', turn) AS tool_use_id,
+       CASE turn % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Edit' WHEN 2 THEN 'Bash' ELSE 'mcp__a__b' END AS tool_name, CASE turn % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'edit' WHEN 2 THEN 'bash' ELSE 'mcp' END AS tool_kind,
+       CASE WHEN turn % 4 < 2 THEN concat('/w/src/a', turn, '.py') END AS file_path_raw, CASE WHEN turn % 4 < 2 THEN concat('src/a', turn, '.py') END AS file_path,
+       CASE WHEN turn % 4 = 2 AND text <> '' THEN left(text, 500) END AS command_head,
+       strlen(CAST(CASE turn % 4 WHEN 0 THEN json_object('file_path', concat('/w/src/a', turn, '.py'), 'offset', turn, 'limit', 20)
+                   WHEN 1 THEN json_object('file_path', concat('/w/src/a', turn, '.py'), 'old_string', text, 'new_string', 'x') WHEN 2 THEN json_object('command', text) ELSE json_object() END AS VARCHAR)) AS input_chars,
+       CASE WHEN turn % 4 = 1 THEN length(text) END AS old_string_chars, CASE WHEN turn % 4 = 1 THEN 1 END AS new_string_chars,
+       CASE WHEN turn % 4 = 0 THEN turn END AS read_offset, CASE WHEN turn % 4 = 0 THEN 20 END AS read_limit,
+       length(text) AS result_chars, sha1(text) AS result_hash, turn % 3 = 0 AS is_error, CASE WHEN turn % 3 = 0 THEN left(text, 200) END AS error_head, 250 AS result_latency_ms
+FROM x_talk WHERE role = 'assistant'"""
+SQL["ingest_errors"] = "SELECT sid AS session_id, turn AS line_no, 'ValueError: line is not valid JSON' AS exception FROM x_talk WHERE turn % 5 IN (0, 1, 3)"
+SQL["ingest_records"] = "SELECT sid AS session_id, turn AS seq, turn AS a FROM x_talk WHERE turn % 5 IN (2, 4)"
 SQL["ingest_cursor_calls"] = f"""
 SELECT sid AS session_id, turn AS seq, 'cursor' AS agent, NULL AS model, NULL AS output_tokens, length(text) AS n_text_chars, 0 AS n_tool_uses, {_HEAD} AS text_head, 'end_turn' AS stop_reason
 FROM x_talk WHERE role = 'assistant'"""

@@ -63,25 +63,28 @@ def attach_results(tools: DataFrame, results: DataFrame, span: int | None = None
     yet seen belongs to none. Of several results the last one counts, but an explicit error
     flag outlives later results without one."""
     blocks = span_blocks("seq", span) if span else span_blocks("seq")
+    # only what the ledger keeps of a result goes through the exchanges, not its text
+    facts = F.struct(F.length("result").cast("long").alias("result_chars"), F.sha1("result").alias("result_hash"),
+                     interrupted(F.col("result")).alias("is_interrupted"), F.substring("result", 1, ERROR_HEAD).alias("head"))
+    results = results.withColumn("facts", facts).drop("result")
     key, place = ["session_id", "tool_use_id"], F.struct("seq", "pos")
     marks = tools.where("tool_use_id <> ''").select(*key, "seq", "pos", F.lit(0).alias("side"), place.alias("call")).unionByName(
-        results.where("tool_use_id <> ''").select(*key, "seq", "pos", F.lit(1).alias("side"), "result", "explicit", "result_ts"),
+        results.where("tool_use_id <> ''").select(*key, "seq", "pos", F.lit(1).alias("side"), "facts", "explicit", "result_ts"),
         allowMissingColumns=True)
     owned = running(marks, key, ["seq", "pos", "side"], [Carry("owner", F.col("call"), "last")], blocks)
     owned = owned.where("side = 1 AND owner IS NOT NULL").select(
-        *key, "seq", "pos", F.col("owner.seq").alias("o_seq"), F.col("owner.pos").alias("o_pos"), "result", "explicit", "result_ts")
+        *key, "seq", "pos", F.col("owner.seq").alias("o_seq"), F.col("owner.pos").alias("o_pos"), "facts", "explicit", "result_ts")
     owner = [*key, "o_seq", "o_pos"]
     states = running(owned, owner, ["seq", "pos"], [Carry("state", F.col("explicit"), "last")], blocks)
     states = states.withColumn("state", F.coalesce("state", F.lit(False)))
     timed = F.when(F.col("result_ts").isNotNull(), place)
     last = states.groupBy(*owner).agg(
-        F.max_by("result", place).alias("result"), F.max_by("state", place).alias("is_error"),
-        F.max_by(F.substring("result", 1, ERROR_HEAD), F.when(F.col("state"), place)).alias("error_head"),
+        F.max_by("facts", place).alias("facts"), F.max_by("state", place).alias("is_error"),
+        F.max_by("facts.head", F.when(F.col("state"), place)).alias("error_head"),
         F.max_by("result_ts", timed).alias("result_ts"))
     last = last.select(
         *key, F.col("o_seq").alias("seq"), F.col("o_pos").alias("pos"), "is_error", "error_head", "result_ts",
-        F.length("result").cast("long").alias("result_chars"), F.sha1("result").alias("result_hash"),
-        interrupted(F.col("result")).alias("is_interrupted"))
+        "facts.result_chars", "facts.result_hash", "facts.is_interrupted")
     return tools.join(last, [*key, "seq", "pos"], "left").withColumn("result_latency_ms", latency_ms(F.col("ts"), F.col("result_ts")).cast("long"))
 
 

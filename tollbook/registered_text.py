@@ -13,7 +13,7 @@ from tollbook.functions.metrics import rows
 from tollbook.plans import labels as lab, probes, reconcile, verdicts
 from tollbook.plans.studies import cause_shares
 from tollbook.plans.workspace import Workspace
-from tollbook.sources.testbed import conversation_lines, conversation_messages
+from tollbook.sources.testbed import broken_lines, conversation_lines, conversation_messages, conversation_tools
 from tollbook.sources.transcripts import parsed_lines, split_errors
 
 
@@ -66,6 +66,24 @@ def _parsed(fmt: str, table: str, cols: list[str]):
     return lambda ws, spark, sf_dir: getattr(parts(ws, spark, sf_dir, fmt), table).select(*cols)
 
 
+TOOL_COLUMNS = ["session_id", "seq", "agent", "msg_id", "tool_use_id", "tool_name", "tool_kind", "file_path_raw", "file_path", "command_head", "input_chars", "old_string_chars", "new_string_chars",
+                "read_offset", "read_limit", "result_chars", "result_hash", "is_error", "error_head", "result_latency_ms"]
+
+
+def _tool_calls(ws, spark, sf_dir):
+    lines = conversation_tools(_table(spark, sf_dir, "conversations"))
+    parsed = split_errors(ws.table("records_tools", lambda: parsed_lines(lines)))[0]
+    return in_ledger_shape(claude_code.parse(parsed)).tool_calls.select(*TOOL_COLUMNS)
+
+
+def _broken(ws, spark, sf_dir):
+    return split_errors(ws.table("records_broken", lambda: parsed_lines(broken_lines(_table(spark, sf_dir, "conversations")))))
+
+
+def _kept_records(ws, spark, sf_dir):
+    return _broken(ws, spark, sf_dir)[0].select("session_id", "seq", F.try_variant_get("v", "$.a", "long").alias("a"))
+
+
 # ---------------------------------------------------------------- measures
 
 
@@ -249,6 +267,9 @@ TEXT_QUERIES = {
     **{f"ingest_{fmt}_turns": _parsed(fmt, "user_turns", TURN_COLUMNS) for fmt in AGENTS},
     "ingest_totals": _totals,
     "ingest_claude_code_events": _parsed("claude_code", "events", EVENT_COLUMNS),
+    "ingest_claude_code_tool_calls": _tool_calls,
+    "ingest_errors": lambda ws, s, d: _broken(ws, s, d)[1].select("session_id", "line_no", "exception"),
+    "ingest_records": _kept_records,
     "probe_read_measures": _plain(lambda s, d: _read(s, d).select(*READ_COLUMNS)),
     "probe_final_measures": _plain(lambda s, d: _final(s, d).select(*FINAL_COLUMNS)),
     "probe_write_measures": _plain(lambda s, d: _write(s, d).select(*WRITE_COLUMNS)),

@@ -144,3 +144,33 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.lit("opencode").alias("agent"), F.lit("talk").alias("repo"),
         F.lit("opencode").alias("fmt"), F.lit("1.0").alias("version"), F.lit(None).cast("string").alias("directory"),
         F.col("turn").cast("int").alias("seq"), F.parse_json(F.to_json(F.struct(info.alias("info"), part.alias("parts")))).alias("v"))
+
+
+def conversation_tools(conversations: DataFrame) -> DataFrame:
+    """Replies of conversations as tool calls of claude_code, each with its result in the record
+    after it: reads, edits, commands and foreign tools in turn, every third result an error."""
+    c = conversations.where("role = 'assistant'").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.lit("claude_code").alias("agent"), F.lit("talk").alias("repo"),
+        F.lit("claude_code").alias("fmt"), F.col("turn").cast("int").alias("turn"), "text")
+    n, word = F.col("turn") % 4, F.col("turn").cast("string")
+    clock = F.concat(F.lit("2026-01-01T00:00:"), F.lpad(word, 2, "0"))
+    path = F.concat(F.lit("/w/src/a"), word, F.lit(".py"))
+    inputs = (F.when(n == 0, F.to_json(F.struct(path.alias("file_path"), F.col("turn").alias("offset"), F.lit(20).alias("limit"))))
+              .when(n == 1, F.to_json(F.struct(path.alias("file_path"), F.col("text").alias("old_string"), F.lit("x").alias("new_string"))))
+              .when(n == 2, F.to_json(F.struct(F.col("text").alias("command")))).otherwise(F.lit("{}")))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("Read", "Edit", "Bash", "mcp__a__b")]), (n + 1).cast("int"))
+    used = F.concat(F.lit('{"type":"assistant","timestamp":"'), clock, F.lit('.000Z","cwd":"/w","message":{"id":"m'), word, F.lit('","content":[{"type":"tool_use","id":"t'), word,
+                    F.lit('","name":"'), name, F.lit('","input":'), inputs, F.lit("}]}}"))
+    got = F.to_json(F.struct(F.lit("user").alias("type"), F.concat(clock, F.lit(".250Z")).alias("timestamp"), F.struct(F.array(F.struct(
+        F.lit("tool_result").alias("type"), F.concat(F.lit("t"), word).alias("tool_use_id"), F.col("text").alias("content"), (F.col("turn") % 3 == 0).alias("is_error"))).alias("content")).alias("message")))
+    return c.select("session_id", "agent", "repo", "fmt", "turn", F.posexplode(F.array(used, got)).alias("_i", "line")).select(
+        "session_id", "agent", "repo", "fmt", (F.col("turn") * 2 + F.col("_i")).cast("int").alias("seq"), "line")
+
+
+def broken_lines(conversations: DataFrame) -> DataFrame:
+    """Lines of which some only look like records: text after a value, two values, repeated keys."""
+    text = F.concat(F.lit('{"a":'), F.col("turn").cast("string"), F.lit("}"))
+    kind = F.col("turn") % 5
+    line = (F.when(kind == 0, F.concat(text, text)).when(kind == 1, F.concat(text, F.lit(" more"))).when(kind == 2, F.concat(F.lit('{"a":0,"a":'), F.col("turn").cast("string"), F.lit("}")))
+            .when(kind == 3, F.lit("{oops")).otherwise(text))
+    return conversations.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").cast("int").alias("seq"), line.alias("line"))
