@@ -170,10 +170,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def document_languages(docs: DataFrame, pages: DataFrame, model: TextModel) -> DataFrame:
     """Language of every document (row): doc_id, text_key (a hash of the text), evidence, text_lang, lang and confidence.
     A document without a page has its source as host and no domain."""
-    rows = staged(with_text_scores(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key")), model, ["doc_id", "source", "text_key"]), "text-scores")
+    rows = with_text_scores(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key")), model, ["doc_id", "source", "text_key"])
     seen = rows.join(page_evidence(pages), F.col("doc_id") == F.col("_doc"), "left")
     seen = seen.withColumn("host", F.coalesce("host", F.concat(F.lit("source:"), "source"))).drop("_doc", "source")
-    return fused(seen, model.languages)
+    return fused(staged(seen, "language-evidence"), model.languages)
 
 
 def op1_language_id(spark, sf_dir):
