@@ -101,11 +101,15 @@ def _tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Leaf values of a grid: one cut of the first measure, then one of the second on each side."""
-    _, at = _best_cut(g.sum(1), h.sum(1))
+    """Leaf values of a grid: one cut of the first measure, then one of the second on each side,
+    of all first cuts the one that leaves the least to explain."""
+    def sides(at):
+        parts = [(part, g[part].sum(0), h[part].sum(0)) for part in (slice(0, at), slice(at, None))]
+        cuts = [(part, *_best_cut(x, y), x.sum() ** 2 / (y.sum() + RIDGE)) for part, x, y in parts]
+        return sum(gain + own for _, gain, _, own in cuts), [(part, cut) for part, _, cut, _ in cuts]
+
     out = np.zeros_like(g)
-    for part in (slice(0, at), slice(at, None)):
-        gain, cut = _best_cut(g[part].sum(0), h[part].sum(0))
+    for part, cut in max((sides(at) for at in range(1, len(g))), key=lambda x: x[0], default=(0, [(slice(None), 0)]))[1]:
         for side in (slice(0, cut), slice(cut, None)):
             out[part, side] = g[part, side].sum() / (h[part, side].sum() + RIDGE)
     return out
