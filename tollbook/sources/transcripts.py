@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tollbook.functions.variants import is_object, node
-from tollbook.operators.running import Carry, running
 from tollbook.schemas import ERRORS, conform
 
 SESSION_COLUMNS = ["session_id", "agent", "repo", "fmt"]
@@ -40,17 +39,23 @@ def scan_jsonl(spark: SparkSession, folder: str, plan: DataFrame) -> DataFrame:
 
     Blank lines count but are not returned. Files may be split: a line's index is its place
     inside its split plus the lines of the splits before it, so no file has to pass through
-    one task."""
+    one task, and only counts are exchanged, never text. Files that are not planned are dropped
+    before anything is counted."""
+    wanted = plan.where("fmt <> 'opencode'").select(*SESSION_COLUMNS)
     lines = (
         spark.read.option("recursiveFileLookup", "true").text(folder, lineSep="\n")
-        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        .select(_file_session(F.col("_metadata.file_path")).alias("session_id"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+        .join(wanted, "session_id")
     )
-    numbered = running(lines, ["_file"], ["_at"], [Carry("_n", F.lit(1).cast("long"))], F.col("_split"))
-    numbered = numbered.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select(
-        _file_session(F.col("_file")).alias("session_id"), (F.col("_n") - 1).cast("int").alias("seq"), "line")
-    wanted = plan.where("fmt <> 'opencode'").select(*SESSION_COLUMNS)
-    return numbered.join(wanted, "session_id")
+    # a split is read by one task, so the numbers of its lines follow each other
+    splits = lines.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    # one row per split of a file
+    numbered = lines.join(F.broadcast(starts), ["_file", "_split"])
+    return numbered.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").select(
+        *SESSION_COLUMNS, (F.col("_base") + F.col("_at")).cast("int").alias("seq"), "line")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
