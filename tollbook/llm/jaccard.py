@@ -7,13 +7,14 @@ Documents are sets of hashed word n-grams. Equal sets form a class; classes are
    not empty. Segments are keyed by the hash of all they hold; only keys that two classes
    share matter from then on. Sets meet at the size level of the smaller one; a set with too
    many empty segments is cut again with another seed (and at last its empty ones count too).
-2. *Groups.* Classes that share segments are compared with one leader of each shared segment
-   (three rounds, each with other leaders); linked ones are similar, and each component found
-   so far is a part of the partition, cut into groups of a bounded size. A row of the matrix
-   holds a group's token union.
-3. *Bound and open.* A class is a query for every group of another part with which it shares a
-   segment. Its overlap with the group's union bounds its overlap with any member; only where
-   that reaches the threshold are the members compared. One link per group and query suffices.
+2. *Groups.* Each class is first compared with one leader of its shared segments (two rounds,
+   each with other leaders), which joins most near copies to parts. What still shares a segment
+   across parts is partitioned: classes that share segments are one cluster, clusters are cut or
+   put together to groups of a bounded size. A row of the matrix holds a group's token union,
+   and where in it each member's tokens are.
+3. *Bound and open.* A class is a query for every group that holds a class of another part with
+   which it shares a segment. Its overlap with the group's union bounds its overlap with any
+   member; only where that reaches the threshold are the members' rows counted.
 
 All comparisons are exact; components come out whole, without all pairs of a group.
 
@@ -43,8 +44,8 @@ from tollbook.llm.decontaminate import windows
 WORDS_KEPT = 1_000_000
 BLOCK_DOCS, BLOCK_KEYS = 16_384, 3_000_000
 KEYS_PER_TASK = 1_500_000
-GROUP_TOKENS, GROUP_QUERIES = 100_000, 500_000  # tokens of a group's members; tokens of the queries beside it in a task
-LEVEL, SLACK, SEEDS, STAR_ROUNDS = 1.5, 1.15, 4, 3
+GROUP_TOKENS, GROUP_QUERIES = 200_000, 200_000  # tokens of a group's members; tokens of the queries beside it in a task
+LEVEL, SLACK, SEEDS, STAR_ROUNDS = 1.5, 1.15, 4, 2
 U64 = np.uint64
 
 
@@ -245,34 +246,75 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
+def grouped(left: DataFrame) -> DataFrame:
+    """``left`` (key, node, n, part: the shared keys that still hold several parts) with ``group``.
+
+    Nodes are similar if they share keys: the smallest node that a node shares one with names its
+    cluster. Large clusters are cut, small ones put together, to groups of some GROUP_TOKENS."""
+    lead = left.groupBy("key").agg(F.min("node").alias("lead"))
+    cluster = left.select("key", "node", "n").join(lead, "key").groupBy("node").agg(F.min("lead").alias("cluster"), F.max("n").alias("n"))
+    cluster = staged(cluster, "clusters")
+    sizes = cluster.groupBy("cluster").agg(F.sum("n").alias("tokens"))
+    large = few(sizes.filter(F.col("tokens") > GROUP_TOKENS))
+    together = parts(cluster.select(F.sum("n")).first()[0], GROUP_TOKENS)
+    own = F.concat_ws("-", F.lit("cluster"), "cluster", F.pmod(F.xxhash64("node"), F.expr(f"tokens div {GROUP_TOKENS} + 1")))
+    mixed_group = F.concat_ws("-", F.lit("mixed"), F.pmod(F.xxhash64("cluster"), F.lit(together)))
+    groups = cluster.join(large, "cluster", "left").select("node", F.when(F.col("tokens").isNull(), mixed_group).otherwise(own).alias("group"))
+    return left.join(few(groups), "node")
+
+
 def token_group_matrix(members: DataFrame) -> DataFrame:
-    """One row per group: its token union, and its members' sizes and tokens behind it. ``members`` holds group, node and tokens."""
+    """One row per group: its token union, and for each member its node, part, size and the places
+    of its tokens in the union. ``members`` holds group, node, part and tokens."""
 
     def union(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
         sets = [np.frombuffer(x, U64) for x in rows["tokens"]]
-        return pd.DataFrame({"group": [rows["group"][0]], "tokens_union": [np.unique(np.concatenate(sets)).tobytes()], "nodes": [rows["node"].to_numpy()],
-                             "sizes": [np.array([len(s) for s in sets], np.int64)], "tokens": [b"".join(rows["tokens"])]})
+        every, places = np.unique(np.concatenate(sets), return_inverse=True)
+        return pd.DataFrame({"group": [rows["group"].iloc[0]], "tokens_union": [every.tobytes()], "nodes": [rows["node"].to_numpy()], "parts": [rows["part"].to_numpy()],
+                             "sizes": [np.array([len(s) for s in sets], np.int64)], "places": [places.astype(np.int32).tobytes()]})
 
-    return members.groupBy("group").applyInPandas(union, "group string, tokens_union binary, nodes array<long>, sizes array<long>, tokens binary")
+    return members.groupBy("group").applyInPandas(union, "group string, tokens_union binary, nodes array<long>, parts array<long>, sizes array<long>, places binary")
 
 
 def opened(queries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """A link (a, b) for every query (node a, group, tokens) and group with a member within the threshold.
+    """Links (a, b) between a query (node a, its part and group ``own``, tokens) and members of a
+    group that are in other parts: enough of them to join all parts that are linked here.
     Queries of one group are dealt over several tasks by their number of tokens."""
     salts = queries.groupBy("group").agg((F.expr(f"sum(octet_length(tokens)) div {8 * GROUP_QUERIES}") + 1).cast("int").alias("salts"))
     asked = queries.join(salts, "group").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
     held = matrix.join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def bound_and_open(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(held) and len(asked):
-            row = held.iloc[0]
-            union, cuts = np.frombuffer(row["tokens_union"], U64), np.cumsum(row["sizes"])[:-1]
-            sets = np.split(np.frombuffer(row["tokens"], U64), cuts)
-            for a, tokens in zip(asked["a"], asked["tokens"]):
+        out, joined = [], {}
+
+        def root(part):
+            while (up := joined.get(part, part)) != part:
+                part = up
+            return part
+
+        for row in held.itertuples():
+            union, places, sizes = np.frombuffer(row.tokens_union, U64), np.frombuffer(row.places, np.int32), np.asarray(row.sizes)
+            nodes, parts_, starts = np.asarray(row.nodes), np.asarray(row.parts), np.cumsum(row.sizes) - row.sizes
+            mark = np.zeros(len(union), np.int32)
+            for a, part, own, tokens in zip(asked["a"], asked["part"], asked["own"], asked["tokens"]):
                 query = np.frombuffer(tokens, U64)
-                if 100 * overlap(query, union) >= percent * len(query):
-                    out += next(([(a, b)] for b, s in zip(row["nodes"], sets) if linked(query, s, percent)), [])
+                at = np.searchsorted(union, query)
+                at[at == len(union)] = 0
+                at = at[union[at] == query]
+                if 100 * len(at) < percent * len(query):
+                    continue  # no member can overlap enough
+                mark[at] = 1
+                common = np.add.reduceat(mark[places], starts)
+                mark[at] = 0
+                good = (100 * common >= percent * (len(query) + sizes - common)) & (parts_ != part)
+                if own == row.group:
+                    good &= nodes > a
+                for b, other in zip(nodes[good].tolist(), parts_[good].tolist()):
+                    x, y = root(part), root(other)
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return asked.groupBy("group", "salt").cogroup(held.groupBy("group", "salt")).applyInPandas(bound_and_open, "a long, b long")
@@ -314,17 +356,18 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
         links = links.union(staged(linked_pairs(star_pairs(shared, parts_of, seed, percent), sets, percent), "links"))
         parts_of = components(links)
 
-    # what is left: a node and a group of another part that share a key
+    # what is left: nodes that share a key but are in different parts
     placed = shared.join(parts_of, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     still = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    sizes = placed.select("node", "part", "n").distinct().groupBy("part").agg(F.count(F.lit(1)).alias("weight"), F.sum("n").alias("tokens"))
-    cut = F.concat_ws("-", "part", F.pmod(F.xxhash64("node"), F.expr(f"tokens div {GROUP_TOKENS} + 1")))
-    left = staged(placed.join(still, "key").join(sizes, "part").withColumn("group", cut), "left")
-    heavier = F.struct("weight", "part")
-    asked = left.select("key", F.col("node").alias("a"), "n", heavier.alias("mine"))
-    met = left.groupBy("key", "group").agg(F.max(heavier).alias("theirs"))
-    queries = staged(asked.join(met, "key").filter("mine < theirs").select("a", "group").distinct(), "queries")
-    members = placed.join(sizes, "part").select(cut.alias("group"), "node").distinct().join(queries.select("group").distinct(), "group")
+    left = staged(grouped(staged(placed.join(still, "key"), "open-keys")), "grouped")
+    # a query meets its own group and those after it; the groups of a key are listed once, not once per node
+    ranges = left.groupBy("key", "group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    listed = ranges.groupBy("key").agg(F.collect_list(F.struct("group", "low", "high")).alias("met"))
+    asked = left.select("key", F.col("node").alias("a"), "part", F.col("group").alias("own")).join(listed, "key")
+    asked = asked.withColumn("met", F.expr("transform(filter(met, g -> g.group >= own and not (g.low = part and g.high = part)), g -> g.group)"))
+    queries = asked.groupBy("a", "part", "own").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("a", "part", "own", F.explode("met").alias("group"))
+    queries = staged(queries, "queries")
+    members = left.select("group", "node", "part").distinct().join(queries.select("group").distinct(), "group")
     matrix = staged(token_group_matrix(members.join(sets.select("node", "tokens"), "node")), "matrix")
     found = opened(queries.join(sets.select(F.col("node").alias("a"), "tokens"), "a"), matrix, percent)
     parts_of = components(links.union(staged(found, "links")))
