@@ -7,8 +7,8 @@ Documents are sets of hashed word n-grams. Equal sets form a class; classes are
    not empty. Segments are keyed by the hash of all they hold; only keys that two classes
    share matter from then on. Sets meet at the size level of the smaller one; a set with too
    many empty segments is cut again with another seed (and at last its empty ones count too).
-2. *Groups.* Each class is first compared with one leader of its shared segments (two rounds,
-   each with other leaders), which joins most near copies to parts. What still shares a segment
+2. *Groups.* Of segments that the same classes share one is kept. Each class is first compared
+   with one leader of its shared segments, which joins most near copies to parts. What still shares a segment
    across parts is partitioned: classes that share segments are one cluster, clusters are cut or
    put together to groups of a bounded size. A row of the matrix holds a group's token union,
    and where in it each member's tokens are.
@@ -45,7 +45,7 @@ WORDS_KEPT = 1_000_000
 BLOCK_DOCS, BLOCK_KEYS = 16_384, 3_000_000
 KEYS_PER_TASK = 1_500_000
 GROUP_TOKENS, GROUP_QUERIES = 200_000, 200_000  # tokens of a group's members; tokens of the queries beside it in a task
-LEVEL, SLACK, SEEDS, STAR_ROUNDS = 1.5, 1.15, 4, 2
+LEVEL, SLACK, SEEDS, STAR_ROUNDS = 1.5, 1.15, 4, 1
 U64 = np.uint64
 
 
@@ -338,13 +338,13 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     classes = staged(nodes.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n")), "classes")
     tasks = parts(int((classes.select(F.sum("n")).first()[0] or 0) * keys_per_token(percent)), KEYS_PER_TASK)
     packed = packed_keys(source, key, text, n, percent, tasks).repartitionById(tasks, F.col("task"))
-    shared_docs = staged(packed.mapInArrow(shared_keys, "key long, doc long"), "shared-keys")
-
     own_class = nodes.select("doc", "set_key").distinct()
-    named = own_class.join(few(shared_docs.select("doc").distinct()), "doc").join(classes, "set_key").select("doc", F.col("rep").alias("node"), "n")
-    shared = shared_docs.join(named, "doc").groupBy("key", "node").agg(F.max("n").alias("n"))
-    several = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
-    shared = staged(shared.join(several, "key"), "shared")
+    named = own_class.join(classes, "set_key").select("doc", F.col("rep").alias("node"), "n")
+    shared = packed.mapInArrow(shared_keys, "key long, doc long").join(few(named), "doc")
+    shared = staged(shared.groupBy("key", "node").agg(F.max("n").alias("n")), "shared-keys")
+    # of keys that the same nodes share one is enough
+    who = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    shared = staged(shared.join(few(who.groupBy("x", "y", "many").agg(F.min("key").alias("key")).select("key")), "key"), "shared")
     wanted = few(shared.select(F.col("node").alias(key)).distinct())
     sets = staged(shingled(source.join(wanted, key), key, text, n, True).filter("n > 0").select(F.col("doc").alias("node"), "n", "tokens").distinct(), "sets")
 
