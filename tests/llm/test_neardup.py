@@ -52,7 +52,7 @@ def test_tree_covers_its_points():
     assert (points[order] == tree.points).all()
     for i in range(len(tree.start)):
         own = tree.points[tree.start[i]: tree.end[i]]
-        assert np.sqrt(np.maximum(0, 2 - 2 * own @ own[0])).max() <= tree.radius[i] + 1e-12
+        assert np.sqrt(np.maximum(0, 2 - 2 * own @ own[0])).max() <= tree.radius[i] + n.SAFE
         if tree.children[i]:
             below = tree.below(i)
             assert tree.start[below[0]] == tree.start[i] and tree.end[below[-1]] == tree.end[i]

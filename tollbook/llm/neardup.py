@@ -28,7 +28,7 @@ from tollbook.llm.common import few, staged, table
 from tollbook.llm.components import components
 
 CENTRES, BLOCK, BUCKET, TILE = 256, 4096, 16, 512
-SAFE = 1e-9  # bounds this close to the threshold are not trusted: the node is opened
+SAFE = 1e-6  # rounding in distances from cosines near one; bounds this close to the threshold open the node
 
 
 def unit(vector) -> np.ndarray | None:
