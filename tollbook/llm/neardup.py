@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import few, staged, table
+from tollbook.llm.common import few, parts, staged, table
 from tollbook.llm.components import components
 
 CENTRES, BLOCK, BUCKET, TILE = 256, 4096, 16, 512
@@ -192,7 +192,7 @@ def compared(cosine: float):
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 same = r["block"] == r["block_2"]
                 a = _tree(r["points"], r["tree"], len(r["nodes"]))
                 b = None if same else _tree(r["points_2"], r["tree_2"], len(r["nodes_2"]))
@@ -211,7 +211,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
     classes = rows.filter("id is not null and direction is not null").groupBy("direction").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     tops: dict[int, list[np.ndarray]] = {}
-    for r in classes.orderBy(F.xxhash64("direction")).limit(CENTRES).select("unit").collect():  # a bounded sample
+    wanted = min(CENTRES, parts(classes.count(), BLOCK))  # about one block to a cell: every pair of blocks that meets is moved
+    for r in classes.orderBy(F.xxhash64("direction")).limit(wanted).select("unit").collect():  # a bounded sample
         tops.setdefault(len(r["unit"]) // 8, []).append(np.frombuffer(r["unit"], np.float64))
     centres = {size: np.stack(x) for size, x in tops.items()}
 
@@ -246,7 +247,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
     met = head.join(F.broadcast(pairs), ["size", "cell"]).join(other, ["size", "cell_2"]).filter("cell < cell_2 or block <= block_2").filter(near).select("block", "block_2")
     body = blocks.select("block", "nodes", "weights", "points", "tree")
     full = met.join(body, "block").join(body.select(*[F.col(c).alias(f"{c}_2") for c in body.columns]), "block_2")
-    found = staged(full.repartition("block", "block_2").mapInArrow(compared(cosine), "node long, n long, other long"), "links")
+    found = staged(full.mapInArrow(compared(cosine), "node long, n long, other long"), "links")
 
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     parts_of = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
