@@ -66,14 +66,6 @@ def test_like_all_pairs(spark, monkeypatch, n, percent, seed):
     assert got == brute(rows, n, percent)
 
 
-def test_without_star_rounds_the_groups_find_all(spark, monkeypatch):
-    monkeypatch.setattr(j, "STAR_ROUNDS", 0)
-    monkeypatch.setattr(j, "GROUP_TOKENS", 300)
-    rows = corpus(4)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=str)
-    assert got == brute(rows, 3, 90)
-
-
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_linked_sets_share_a_key(percent):
     r = np.random.default_rng(percent)
@@ -84,7 +76,8 @@ def test_linked_sets_share_a_key(percent):
         for _ in range(int(r.integers(0, max(2, size * (100 - percent) // percent + 1)))):
             b = np.delete(b, r.integers(len(b))) if r.random() < 0.5 and len(b) > 1 else np.append(b, r.integers(0, 2**63, 1).astype(np.uint64))
         a, b = np.unique(a), np.unique(b)
-        if j.linked(a, b, percent) and not np.array_equal(a, b):
+        common = np.intersect1d(a, b).size
+        if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
             assert np.intersect1d(j.segment_keys(a, percent), j.segment_keys(b, percent)).size
 
 

@@ -7,14 +7,13 @@ Documents are sets of hashed word n-grams. Equal sets form a class; classes are
    not empty. Segments are keyed by the hash of all they hold; only keys that two classes
    share matter from then on. Sets meet at the size level of the smaller one; a set with too
    many empty segments is cut again with another seed (and at last its empty ones count too).
-2. *Groups.* Of segments that the same classes share one is kept. Each class is first compared
-   with one leader of its shared segments, which joins most near copies to parts. What still shares a segment
-   across parts is partitioned: classes that share segments are one cluster, clusters are cut or
-   put together to groups of a bounded size. A row of the matrix holds a group's token union,
-   and where in it each member's tokens are.
-3. *Bound and open.* A class is a query for every group that holds a class of another part with
-   which it shares a segment. Its overlap with the group's union bounds its overlap with any
-   member; only where that reaches the threshold are the members' rows counted.
+2. *Groups.* Of segments that the same classes share one is kept. Classes that share segments
+   are one cluster; clusters are cut or put together to groups of a bounded size. A row of the
+   matrix holds a group's token union, and where in it each member's tokens are.
+3. *Bound and open.* First the members of each group are its queries. Then a class is a query for
+   every other group that holds a class of another component with which it shares a segment. Its
+   overlap with the group's union bounds its overlap with any member; only where that reaches
+   the threshold are the members' rows counted.
 
 All comparisons are exact; components come out whole, without all pairs of a group.
 
@@ -45,7 +44,7 @@ WORDS_KEPT = 1_000_000
 BLOCK_DOCS, BLOCK_KEYS = 16_384, 3_000_000
 KEYS_PER_TASK = 1_500_000
 GROUP_TOKENS, GROUP_QUERIES = 200_000, 200_000  # tokens of a group's members; tokens of the queries beside it in a task
-LEVEL, SLACK, SEEDS, STAR_ROUNDS = 1.5, 1.15, 4, 1
+LEVEL, SLACK, SEEDS = 1.5, 1.15, 4
 U64 = np.uint64
 
 
@@ -221,115 +220,104 @@ def shared_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys[shared]), pa.array(docs[shared])], ["key", "doc"])
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted distinct arrays."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    return int((large[at] == small).sum())
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = overlap(a, b)
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
-def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are within the threshold."""
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
-
-    def run(batches):
-        for batch in batches:
-            good = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return full.mapInArrow(run, "a long, b long")
-
-
-def grouped(left: DataFrame) -> DataFrame:
-    """``left`` (key, node, n, part: the shared keys that still hold several parts) with ``group``.
+def groups_of(shared: DataFrame) -> DataFrame:
+    """Node and group of every node of ``shared`` (key, node, n).
 
     Nodes are similar if they share keys: the smallest node that a node shares one with names its
     cluster. Large clusters are cut, small ones put together, to groups of some GROUP_TOKENS."""
-    lead = left.groupBy("key").agg(F.min("node").alias("lead"))
-    cluster = left.select("key", "node", "n").join(lead, "key").groupBy("node").agg(F.min("lead").alias("cluster"), F.max("n").alias("n"))
+    lead = shared.groupBy("key").agg(F.min("node").alias("lead"))
+    cluster = shared.join(lead, "key").groupBy("node").agg(F.min("lead").alias("cluster"), F.max("n").alias("n"))
     cluster = staged(cluster, "clusters")
-    sizes = cluster.groupBy("cluster").agg(F.sum("n").alias("tokens"))
-    large = few(sizes.filter(F.col("tokens") > GROUP_TOKENS))
+    large = few(cluster.groupBy("cluster").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > GROUP_TOKENS))
     together = parts(cluster.select(F.sum("n")).first()[0], GROUP_TOKENS)
     own = F.concat_ws("-", F.lit("cluster"), "cluster", F.pmod(F.xxhash64("node"), F.expr(f"tokens div {GROUP_TOKENS} + 1")))
     mixed_group = F.concat_ws("-", F.lit("mixed"), F.pmod(F.xxhash64("cluster"), F.lit(together)))
-    groups = cluster.join(large, "cluster", "left").select("node", F.when(F.col("tokens").isNull(), mixed_group).otherwise(own).alias("group"))
-    return left.join(few(groups), "node")
+    return cluster.join(large, "cluster", "left").select("node", F.when(F.col("tokens").isNull(), mixed_group).otherwise(own).alias("group"))
 
 
 def token_group_matrix(members: DataFrame) -> DataFrame:
-    """One row per group: its token union, and for each member its node, part, size and the places
-    of its tokens in the union. ``members`` holds group, node, part and tokens."""
+    """One row per group: its token union, and for each member its node, size and the places of
+    its tokens in the union. ``members`` holds group, node and tokens."""
 
     def union(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
         sets = [np.frombuffer(x, U64) for x in rows["tokens"]]
         every, places = np.unique(np.concatenate(sets), return_inverse=True)
-        return pd.DataFrame({"group": [rows["group"].iloc[0]], "tokens_union": [every.tobytes()], "nodes": [rows["node"].to_numpy()], "parts": [rows["part"].to_numpy()],
+        return pd.DataFrame({"group": [rows["group"].iloc[0]], "tokens_union": [every.tobytes()], "nodes": [rows["node"].to_numpy()],
                              "sizes": [np.array([len(s) for s in sets], np.int64)], "places": [places.astype(np.int32).tobytes()]})
 
-    return members.groupBy("group").applyInPandas(union, "group string, tokens_union binary, nodes array<long>, parts array<long>, sizes array<long>, places binary")
+    return members.groupBy("group").applyInPandas(union, "group string, tokens_union binary, nodes array<long>, sizes array<long>, places binary")
+
+
+class Group:
+    """A row of the matrix, and the links found with its members."""
+
+    def __init__(self, tokens_union, nodes, sizes, places, percent):
+        self.union, self.places, self.percent = np.frombuffer(tokens_union, U64), np.frombuffer(places, np.int32), percent
+        self.nodes, self.sizes = np.asarray(nodes), np.asarray(sizes)
+        self.starts, self.mark = np.cumsum(self.sizes) - self.sizes, np.zeros(len(self.union), np.int32)
+        self.links, self.up = [], {}
+
+    def root(self, node):
+        while (up := self.up.get(node, node)) != node:
+            node = up
+        return node
+
+    def ask(self, a: int, at: np.ndarray, size: int, only_after: bool):
+        """Link a query, whose tokens are at these places of the union, with the members within
+        the threshold: each link that joins what was not joined yet."""
+        if 100 * len(at) < self.percent * size:
+            return  # no member can overlap enough
+        self.mark[at] = 1
+        common = np.add.reduceat(self.mark[self.places], self.starts)
+        self.mark[at] = 0
+        good = 100 * common >= self.percent * (size + self.sizes - common)
+        if only_after:
+            good &= self.nodes > a
+        for b in self.nodes[good].tolist():
+            x, y = self.root(a), self.root(b)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                self.links.append((a, b))
+
+
+def inside(matrix: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each group."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                group = Group(row["tokens_union"], row["nodes"], row["sizes"], row["places"], percent)
+                for a, start, size in zip(row["nodes"], group.starts, group.sizes):
+                    group.ask(a, group.places[start: start + size], int(size), True)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in group.links], pa.int64()), pa.array([b for _, b in group.links], pa.int64())], ["a", "b"])
+
+    return matrix.mapInArrow(run, "a long, b long")
 
 
 def opened(queries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between a query (node a, its part and group ``own``, tokens) and members of a
-    group that are in other parts: enough of them to join all parts that are linked here.
-    Queries of one group are dealt over several tasks by their number of tokens."""
+    """Links (a, b) of queries (node a, group, tokens) with members of these groups. Queries of
+    one group are dealt over several tasks by their number of tokens."""
     salts = queries.groupBy("group").agg((F.expr(f"sum(octet_length(tokens)) div {8 * GROUP_QUERIES}") + 1).cast("int").alias("salts"))
-    asked = queries.join(salts, "group").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
-    held = matrix.join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    asked = queries.join(few(salts), "group").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    held = matrix.join(few(salts), "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def bound_and_open(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out, joined = [], {}
-
-        def root(part):
-            while (up := joined.get(part, part)) != part:
-                part = up
-            return part
-
+        out = []
         for row in held.itertuples():
-            union, places, sizes = np.frombuffer(row.tokens_union, U64), np.frombuffer(row.places, np.int32), np.asarray(row.sizes)
-            nodes, parts_, starts = np.asarray(row.nodes), np.asarray(row.parts), np.cumsum(row.sizes) - row.sizes
-            mark = np.zeros(len(union), np.int32)
-            for a, part, own, tokens in zip(asked["a"], asked["part"], asked["own"], asked["tokens"]):
+            group = Group(row.tokens_union, row.nodes, row.sizes, row.places, percent)
+            for a, tokens in zip(asked["a"], asked["tokens"]):
                 query = np.frombuffer(tokens, U64)
-                at = np.searchsorted(union, query)
-                at[at == len(union)] = 0
-                at = at[union[at] == query]
-                if 100 * len(at) < percent * len(query):
-                    continue  # no member can overlap enough
-                mark[at] = 1
-                common = np.add.reduceat(mark[places], starts)
-                mark[at] = 0
-                good = (100 * common >= percent * (len(query) + sizes - common)) & (parts_ != part)
-                if own == row.group:
-                    good &= nodes > a
-                for b, other in zip(nodes[good].tolist(), parts_[good].tolist()):
-                    x, y = root(part), root(other)
-                    if x != y:
-                        joined[max(x, y)] = min(x, y)
-                        out.append((a, b))
+                at = np.searchsorted(group.union, query)
+                at[at == len(group.union)] = 0
+                group.ask(a, at[group.union[at] == query], len(query), False)
+            out += group.links
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return asked.groupBy("group", "salt").cogroup(held.groupBy("group", "salt")).applyInPandas(bound_and_open, "a long, b long")
 
 
-def star_pairs(shared: DataFrame, parts_of: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Each node with one leader: of the leaders of its shared keys that are in another part, the first by seeded hash."""
-    rank = F.col("node") if seed == 0 else F.xxhash64(F.lit(seed), "node")
-    rows = shared.join(parts_of, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    leaders = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "part", "n")).alias("lead"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key", "lead")
-    pairs = rows.join(leaders, "key").filter(F.col("part") != F.col("lead.part")).filter(
-        (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
-    return pairs.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("lead")).select("a", F.col("lead.node").alias("b"))
-
-
 def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document (row) with n_shingles and component_id, under links of a Jaccard similarity of ``percent`` / 100 or more."""
     source = docs.select(F.col(key).cast("long").alias(key), text)
@@ -346,30 +334,26 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     who = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     shared = staged(shared.join(few(who.groupBy("x", "y", "many").agg(F.min("key").alias("key")).select("key")), "key"), "shared")
     wanted = few(shared.select(F.col("node").alias(key)).distinct())
-    sets = staged(shingled(source.join(wanted, key), key, text, n, True).filter("n > 0").select(F.col("doc").alias("node"), "n", "tokens").distinct(), "sets")
+    sets = staged(shingled(source.join(wanted, key), key, text, n, True).filter("n > 0").select(F.col("doc").alias("node"), "n", "tokens"), "sets")
 
     # classes of one id are one document
     links = own_class.join(classes, "set_key").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = staged(links.union(own_class.join(classes, "set_key").filter("doc <> rep").join(own_class.groupBy("doc").count().filter("count > 1"), "doc").select("rep", "doc")), "links")
+    groups = staged(groups_of(shared), "groups")
+    matrix = staged(token_group_matrix(sets.join(few(groups), "node")), "matrix")
+    links = links.union(staged(inside(matrix, percent), "links"))
     parts_of = components(links)
-    for seed in range(STAR_ROUNDS):
-        links = links.union(staged(linked_pairs(star_pairs(shared, parts_of, seed, percent), sets, percent), "links"))
-        parts_of = components(links)
-
-    # what is left: nodes that share a key but are in different parts
-    placed = shared.join(parts_of, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    still = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    left = staged(grouped(staged(placed.join(still, "key"), "open-keys")), "grouped")
-    # a query meets its own group and those after it; the groups of a key are listed once, not once per node
-    ranges = left.groupBy("key", "group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    listed = ranges.groupBy("key").agg(F.collect_list(F.struct("group", "low", "high")).alias("met"))
-    asked = left.select("key", F.col("node").alias("a"), "part", F.col("group").alias("own")).join(listed, "key")
-    asked = asked.withColumn("met", F.expr("transform(filter(met, g -> g.group >= own and not (g.low = part and g.high = part)), g -> g.group)"))
-    queries = asked.groupBy("a", "part", "own").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("a", "part", "own", F.explode("met").alias("group"))
+
+    # what is left: nodes that share a key but are in different parts and groups
+    placed = shared.join(parts_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")).join(few(groups), "node")
+    ranges = placed.groupBy("key", "group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    listed = ranges.groupBy("key").agg(F.collect_list(F.struct("group", "low", "high")).alias("met")).filter("size(met) > 1")
+    # a query meets the groups after its own; the groups of a key are listed once, not once per node
+    asked = placed.select("key", F.col("node").alias("a"), "part", F.col("group").alias("own")).join(listed, "key")
+    asked = asked.withColumn("met", F.expr("transform(filter(met, g -> g.group > own and not (g.low = part and g.high = part)), g -> g.group)")).filter("size(met) > 0")
+    queries = asked.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("a", F.explode("met").alias("group"))
     queries = staged(queries, "queries")
-    members = left.select("group", "node", "part").distinct().join(queries.select("group").distinct(), "group")
-    matrix = staged(token_group_matrix(members.join(sets.select("node", "tokens"), "node")), "matrix")
-    found = opened(queries.join(sets.select(F.col("node").alias("a"), "tokens"), "a"), matrix, percent)
+    found = opened(sets.select(F.col("node").alias("a"), "tokens").join(few(queries), "a"), matrix, percent)
     parts_of = components(links.union(staged(found, "links")))
 
     placed = rows.join(classes.select("set_key", "rep"), "set_key", "left").join(parts_of, F.col("rep") == F.col("node"), "left")
