@@ -35,7 +35,8 @@ from tollbook.llm.common import table
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 250_000, 2_000_000, 48
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 150_000, 1_000_000, 48
+ROWS_AT_ONCE = 1_000
 
 
 class Pieces:
@@ -224,7 +225,7 @@ def _mapped(df: DataFrame, path: str, rule: str, name: str, source: str, kind, c
     df = df.select(*[df[c] for c in kept])
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             made = convert(batch.column(source), loaded(path, rule))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
