@@ -41,3 +41,34 @@ def test_empty_tables(spark):
 def test_templates():
     words, kinds, _ = d.template(d.Lexicon().look("He met Tom Ford. Tom ran 5 km, not 7.5kg or m at 10 % of $30"))
     assert kinds.tolist() == [0, 0, 3, 3, 0, 0, 1, 2, 0, 1, 0, 0, 0, 1, 2, 0, 1]
+
+
+def found(item, text):
+    return [(x["equal_words"], x["item_words"], x["changed_slots"]) for x in d.Benchmark([(1, item)]).leaks(d.Lexicon().look(text))]
+
+
+LONG = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+
+
+def test_passages_of_less_than_half():
+    passage = LONG.split()[70:130]
+    assert found(LONG, PAD + " ".join(passage) + " " + PAD) == [(60, 200, 0)]
+    assert found(LONG, PAD + " ".join(passage[:13]) + " " + PAD) == [(13, 200, 0)]
+    assert found(LONG, PAD + " ".join(passage[:12]) + " " + PAD) == []
+    assert found(LONG, PAD + " ".join(passage[:10]) + " " + PAD + " ".join(passage[20:30])) == [(20, 200, 0)]  # of two shifts
+    assert found(LONG, " ".join(passage[:10]) + " " + PAD + " ".join(passage[:10])) == []  # the same words twice count once
+
+
+def test_inserted_and_dropped_words():
+    w = LONG.split()[:24]
+    assert found(" ".join(w), PAD + " ".join([*w[:8], "grey", *w[8:16], "very", *w[16:]])) == [(24, 24, 0)]
+    assert found(" ".join(w), PAD + " ".join([*w[:8], *w[9:17], *w[18:]])) == [(16, 24, 0)]  # six words are left without a window
+
+
+def test_slots_beyond_a_passage():
+    item = "we saw Tom and then Ann there with a big dog near the lake in 3 boats, Tom rowed 3 miles while Ann slept"
+    w = item.split()
+    cut = w.index("rowed") - 1
+    assert found(item, " ".join(w[:cut]) + " Max and nobody else had time") == [(17, 24, 0)]  # "Max" lies on the second "Tom"
+    assert found(item, " ".join(w[:cut]) + " Max rowed 3 miles while Ann slept") == []  # other roles, so another question
+    assert found(LONG + " Q " + item, PAD + LONG + " Q " + item.replace("Tom rowed", "Max rowed")) == [(218, 225, 0)]  # verbatim all the same

@@ -3,16 +3,20 @@
 Numbers, names and units become typed slots; what is left of a text is its template. Windows
 of the benchmark's templates are hashed; the windows of every document are looked up among
 them (a hash join whose benchmark side is sent to the tasks in slices of a fixed size). Where
-windows meet, document and item are laid over each other: the covered words of the item must
-match, and its slots must be filled consistently (one filler of the item, one filler of the
-document). So a question with other numbers or names is still found.
+windows meet, document and item are laid over each other and the meeting windows are grown to
+stretches, runs of words that match. A stretch's slots must be filled consistently (one filler
+of the item, one filler of the document); of one that is not, up to ``SHORT`` words from a
+changed slot to an end may be left out, as text beside a passage can match by accident, and else
+only its runs of ``VERBATIM`` or more equal words count. So a question with other numbers or names is still found.
 
 A word is a run of non-space characters without the punctuation around it, lower-cased. A
 number is digits with separators, a unit is a word of the list after a number or glued to it,
 a name is a capitalised word that does not begin a sentence.
 
-A document holds an item when words that are equal, in matching places, make up at least
-``SHARE`` of the item. Items shorter than a window are looked up as one window of their
+The stretches of an item are added up, however they are shifted, each word of the item once.
+A document holds an item when ``ENOUGH`` words of it are equal, or ``SHARE`` of it if that is
+less. It also holds an item that is laid over it at one shift with consistent slots throughout
+and ``SHARE`` of equal words, in stretches or not. Items shorter than a window are looked up as one window of their
 length; those of fewer than ``SHORT`` words only count when the document holds nothing else.
 
 Results by case: null and empty texts hold nothing; items without words are left out; equal
@@ -34,6 +38,7 @@ from pyspark.sql import types as T
 from tollbook.llm.common import free_name, parts, table
 
 WINDOW, SHARE, SHORT = 8, 0.5, 5
+ENOUGH, VERBATIM = 13, 26  # equal words of an item of any length; such that count in a row although other slots conflict
 SLICE_WORDS = 400_000  # words of the benchmark that tasks hold at once
 WORDS_KEPT = 500_000
 UNITS = {
@@ -113,6 +118,28 @@ def windows(shape: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def consistent(theirs: np.ndarray, mine: np.ndarray) -> bool:
+    """Whether every word of the item has one filler."""
+    fillers: dict[int, int] = {}
+    return all(fillers.setdefault(t, m) == m for t, m in zip(theirs.tolist(), mine.tolist()))
+
+
+def runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Begin and end of each run of at least ``least`` places that hold."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    return [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= least]
+
+
+def stretches(theirs: np.ndarray, mine: np.ndarray, same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Begin and end of the stretches of two texts laid over each other."""
+    out = []
+    for a, b in runs(same, least):
+        cuts = ((a + front, b - cut + front) for cut in range(SHORT + 1) for front in range(cut + 1) if b - a - cut >= least)
+        whole = next(((x, y) for x, y in cuts if (x == a or theirs[x - 1] != mine[x - 1]) and (y == b or theirs[y] != mine[y]) and consistent(theirs[x:y], mine[x:y])), None)
+        out += [whole] if whole else [(a + x, a + y) for x, y in runs(theirs[a:b] == mine[a:b], VERBATIM)]
+    return out
+
+
 class Benchmark:
     """Templates of some items and their windows, by window size."""
 
@@ -147,18 +174,28 @@ class Benchmark:
                 for i, own in places.get(int(hashes[at]), ()):
                     laid[i, at - own] = size
         best: dict[int, dict] = {}
-        for (i, shift) in laid:
-            key, its_words, _, its_shape = self.items[i]
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # places of an item: equal, matching
+        for (i, shift), size in laid.items():
+            _, its_words, _, its_shape = self.items[i]
             a, b = max(0, -shift), min(len(its_words), len(words) - shift)
-            same = shape[a + shift: b + shift] == its_shape[a:b]
-            mine, theirs = words[a + shift: b + shift][same], its_words[a:b][same]
-            equal, changed = int((mine == theirs).sum()), int((mine != theirs).sum())
-            fillers: dict[int, int] = {}
-            fits = all(fillers.setdefault(t, m) == m for t, m in zip(theirs.tolist(), mine.tolist()))
-            if fits and equal >= SHARE * len(its_words) and equal > best.get(i, {"equal_words": 0})["equal_words"]:
-                best[i] = {"item_id": key, "equal_words": equal, "item_words": len(its_words), "changed_slots": changed}
+            mine, theirs, same = words[a + shift: b + shift], its_words[a:b], shape[a + shift: b + shift] == its_shape[a:b]
+            equal, match = held.setdefault(i, (np.zeros(len(its_words), bool), np.zeros(len(its_words), bool)))
+            for x, y in stretches(theirs, mine, same, size):
+                match[a + x: a + y] = True
+                equal[a + x: a + y] |= theirs[x:y] == mine[x:y]
+            mine, theirs = mine[same], theirs[same]
+            n = int((mine == theirs).sum())
+            if n >= SHARE * len(its_words) and n > best.get(i, {"equal_words": 0})["equal_words"] and consistent(theirs, mine):
+                best[i] = self.leak(i, n, len(mine) - n)
+        for i, (equal, match) in held.items():
+            n = int(equal.sum())
+            if n >= min(ENOUGH, SHARE * len(equal)) and n > best.get(i, {"equal_words": 0})["equal_words"]:
+                best[i] = self.leak(i, n, int((match & ~equal).sum()))
         return [best[i] for i in sorted(best)]
 
+    def leak(self, i: int, equal: int, changed: int) -> dict:
+        return {"item_id": self.items[i][0], "equal_words": equal, "item_words": len(self.items[i][1]), "changed_slots": changed}
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", slice_words: int = SLICE_WORDS, name: str = "leaks") -> DataFrame:
     """Kept columns of every document with ``leaks`` (or as named): the items it holds. A benchmark larger than a slice takes a pass for each slice."""
