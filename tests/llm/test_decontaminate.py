@@ -72,3 +72,26 @@ def test_slots_beyond_a_passage():
     assert found(item, " ".join(w[:cut]) + " Max and nobody else had time") == [(17, 24, 0)]  # "Max" lies on the second "Tom"
     assert found(item, " ".join(w[:cut]) + " Max rowed 3 miles while Ann slept") == []  # other roles, so another question
     assert found(LONG + " Q " + item, PAD + LONG + " Q " + item.replace("Tom rowed", "Max rowed")) == [(218, 225, 0)]  # verbatim all the same
+
+
+NAMES = "Then Anna met Bob near Paris while Carla and Dora saw Emil with Fritz in Rome, where Greta gave Hans a book for Ida."
+
+
+@pytest.mark.parametrize("item", [ITEM, NAMES, "Der Hund von Anna läuft im Garten über die Straße zum Haus, wo die Katze auf dem Dach in der Sonne liegt."])
+@pytest.mark.parametrize("changed", [str.lower, str.upper, str.title], ids=["lower", "upper", "title"])
+def test_changed_case(item, changed):
+    n = len(item.split())
+    assert found(item, PAD + changed(item) + " " + PAD) == [(n, n, 0)]
+
+
+def test_changed_case_of_the_planted_item(spark):
+    docs = spark.createDataFrame([(1, DOCS["case"][0])], "doc_id long, text string")
+    out = d.find_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), ["doc_id"]).collect()
+    assert {x.item_id for x in out[0].leaks} == {1, 6}
+
+
+def test_names_that_begin_sentences():
+    item = "Alice has 3 apples. Bob has 4 apples."
+    assert found(item, PAD + "Carol has 3 apples. Dave has 4 apples. " + PAD) == [(6, 8, 2)]
+    assert found(item, PAD + "Carol has 5 apples. Dave has 7 apples. " + PAD) == [(4, 8, 4)]
+    assert found(item, PAD + "Carol likes 5 apples. Dave sold 7 pears. " + PAD) == []

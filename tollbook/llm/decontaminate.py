@@ -11,7 +11,10 @@ only its runs of ``VERBATIM`` or more equal words count. So a question with othe
 
 A word is a run of non-space characters without the punctuation around it, lower-cased. A
 number is digits with separators, a unit is a word of the list after a number or glued to it,
-a name is a capitalised word that does not begin a sentence.
+a name is a capitalised word. Whether a word is a name cannot always be told by its case, so
+windows are hashed and looked up in three readings: names are plain words (a copy in other case
+still meets), capitalised words are names inside a sentence, and also at its begin unless they
+are ``COMMON`` words. In a stretch equal words match whatever their case.
 
 The stretches of an item are added up, however they are shifted, each word of the item once.
 A document holds an item when ``ENOUGH`` words of it are equal, or ``SHARE`` of it if that is
@@ -46,6 +49,18 @@ UNITS = {
     "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "percent", "%", "degrees", "°c", "°f", "mph", "kmh", "km/h", "w", "kw", "v", "hz",
 }
+COMMON = frozenset("""
+a about after all also although an and another any are as at because before both but by can could do does did each either every few find for from give given had has have he her here his how however
+i if in is it its let many most must my name no not now of on one only or our over she should show since so some such than that the their then there these they this those though through thus to
+two under until up was we were what when where which while who whom whose why will with without would write yet you your
+aber alle als also am an auch auf aus bei beim bis da dabei damit dann das dass dein dem den der des die dies diese dieser dieses doch durch ein eine einem einen einer eines er es für gegen hat
+ich ihr im in ist ja jede jeder jedes kann kein keine man mehr mein mit nach nicht noch nun nur ob oder ohne sein seine seit sich sie sind so über um und uns unter viele vom von vor wann war warum
+was weil welche welcher wenn wer werden wie wieviel wir wird wo zu zum zur
+à après au aussi aux avant avec c ce cela ces cet cette chaque comme comment combien d dans de depuis des donc du elle elles en est et était ici il ils j je l la le les leur lors mais même mon ne nous
+on ou où par pas pendant plus pour pourquoi puis qu quand que quel quelle quels qui s sa sans se ses si son sont sous sur tous tout toute très tu un une vers vous
+a al ante antes así aunque cada como cómo con cual cuál cuando cuándo cuánto cuántos de del desde después donde dónde dos el él ella ellas ellos en entonces entre era es esa ese eso esta este esto
+fue ha hasta hay la las le lo los más mi mientras muy no nos o para pero por porque pues qué que quién se según ser si sí sin sobre son su sus también tan todo todos un una uno y ya yo
+""".split())
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*")
 GLUED = re.compile(r"([$€£]?[+-]?\d[\d.,:/]*)([^\W\d].*|%)", re.S)
@@ -60,7 +75,7 @@ class Lexicon(dict):
     """Places of the facts on each distinct run of characters, kept up to a bound."""
 
     def __init__(self):
-        self.facts, self.new = np.zeros((1024, 5), np.uint64), []  # hash, kind, capitalised, ends a sentence, has a word
+        self.facts, self.new = np.zeros((1024, 5), np.uint64), []  # hash, kind, capitalised (2: and not common), ends a sentence, has a word
 
     def __missing__(self, run: str) -> int:
         self[run] = at = len(self)
@@ -90,7 +105,8 @@ class Lexicon(dict):
         elif low in UNITS:
             kind = UNIT
         ends = run.rstrip("\"')]»”’")[-1:] in ".!?:…"
-        return xxhash.xxh64_intdigest((sign + low).encode("utf-8", "replace")), kind, bare.istitle() and bare.isalpha(), ends, bool(low)
+        title = 0 if not (bare.istitle() and bare.isalpha()) else 1 if low in COMMON else 2
+        return xxhash.xxh64_intdigest((sign + low.casefold()).encode("utf-8", "replace")), kind, title, ends, bool(low)
 
 
 def template(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,16 +122,44 @@ def template(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return facts[:, 0], kinds, np.where(kinds == PLAIN, facts[:, 0], SLOT_HASH[kinds])
 
 
+def readings(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Word hashes and kinds, names at sentence begins included, of the words of a text, and its templates:
+    names inside sentences are slots, no names are, all names are."""
+    words, kinds, shape = template(facts)
+    wide = kinds.copy()
+    wide[(kinds == PLAIN) & (facts[facts[:, 4] > 0, 2] > 1)] = NAME
+    return words, wide, [shape, np.where(kinds == NAME, words, shape), np.where(wide == NAME, SLOT_HASH[NAME], shape)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of STEP and of its inverse."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (STEP, np.uint64(pow(int(STEP), -1, 1 << 64))))
+
+
+POWERS = powers(1 << 15)
+
+
 def windows(shape: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every window of a template."""
+    """Hash of every window of a template: the sum of its words times the powers of STEP."""
     n = len(shape) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = (out ^ shape[k: k + n]) * STEP
-        out ^= out >> np.uint64(29)
-    return out
+    up, down = POWERS if len(shape) < len(POWERS[0]) else powers(len(shape))
+    sums = np.zeros(len(shape) + 1, np.uint64)
+    np.cumsum(shape * up[: len(shape)], out=sums[1:])
+    return (sums[size:] - sums[:-size]) * down[:n]
+
+
+def placed(shapes: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every window of some templates of one text, each hash once at a place."""
+    first = windows(shapes[0], size)
+    places, hashes = [np.arange(len(first))], [first]
+    for shape in shapes[1:]:
+        other = windows(shape, size)
+        at = np.flatnonzero(other != first)
+        places.append(at)
+        hashes.append(other[at])
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 def consistent(theirs: np.ndarray, mine: np.ndarray) -> bool:
@@ -145,12 +189,12 @@ class Benchmark:
 
     def __init__(self, items):
         lexicon = Lexicon()
-        self.items = [(key, *template(lexicon.look(text))) for key, text in items]
+        self.items = [(key, *readings(lexicon.look(text))) for key, text in items]
         self.items = [x for x in self.items if len(x[1])]
         found: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for i, (_, words, _, shape) in enumerate(self.items):
+        for i, (_, words, _, shapes) in enumerate(self.items):
             size = min(WINDOW, len(words))
-            for at, h in enumerate(windows(shape, size).tolist()):
+            for at, h in zip(*(x.tolist() for x in placed(shapes, size))):
                 found[size][h].append((i, at))
         self.places = {size: dict(x) for size, x in found.items()}
         self.marks = {size: self.marked(np.fromiter(x, np.uint64)) for size, x in self.places.items()}
@@ -164,32 +208,35 @@ class Benchmark:
 
     def leaks(self, facts: np.ndarray) -> list[dict]:
         """Items that a document holds."""
-        words, kinds, shape = template(facts)
+        words, kinds, shapes = readings(facts)
         laid: dict[tuple[int, int], int] = {}
         for size, places in self.places.items():
             if size < SHORT and len(words) != size:
                 continue
-            hashes = windows(shape, size)
-            for at in np.flatnonzero(self.marks[size][(hashes >> np.uint64(44)).astype(np.int64)]).tolist():
-                for i, own in places.get(int(hashes[at]), ()):
-                    laid[i, at - own] = size
+            at, hashes = placed(shapes, size)
+            for k in np.flatnonzero(self.marks[size][(hashes >> np.uint64(44)).astype(np.int64)]).tolist():
+                for i, own in places.get(int(hashes[k]), ()):
+                    laid[i, int(at[k]) - own] = size
         best: dict[int, dict] = {}
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # places of an item: equal, matching
         for (i, shift), size in laid.items():
-            _, its_words, _, its_shape = self.items[i]
+            _, its_words, its_kinds, its_shapes = self.items[i]
             a, b = max(0, -shift), min(len(its_words), len(words) - shift)
-            mine, theirs, same = words[a + shift: b + shift], its_words[a:b], shape[a + shift: b + shift] == its_shape[a:b]
+            mine, theirs, same = words[a + shift: b + shift], its_words[a:b], shapes[0][a + shift: b + shift] == its_shapes[0][a:b]
             equal, match = held.setdefault(i, (np.zeros(len(its_words), bool), np.zeros(len(its_words), bool)))
-            for x, y in stretches(theirs, mine, same, size):
-                match[a + x: a + y] = True
-                equal[a + x: a + y] |= theirs[x:y] == mine[x:y]
+            alike = theirs == mine
+            narrow, wide = alike | same, alike | (kinds[a + shift: b + shift] == its_kinds[a:b]) & (its_kinds[a:b] != PLAIN)
+            for fits in [narrow] if np.array_equal(narrow, wide) else [narrow, wide]:
+                for x, y in stretches(theirs, mine, fits, size):
+                    match[a + x: a + y] = True
+                    equal[a + x: a + y] |= alike[x:y]
             mine, theirs = mine[same], theirs[same]
             n = int((mine == theirs).sum())
             if n >= SHARE * len(its_words) and n > best.get(i, {"equal_words": 0})["equal_words"] and consistent(theirs, mine):
                 best[i] = self.leak(i, n, len(mine) - n)
         for i, (equal, match) in held.items():
             n = int(equal.sum())
-            if n >= min(ENOUGH, SHARE * len(equal)) and n > best.get(i, {"equal_words": 0})["equal_words"]:
+            if n >= min(ENOUGH, SHARE * len(equal)) and n >= best.get(i, {"equal_words": 0})["equal_words"]:
                 best[i] = self.leak(i, n, int((match & ~equal).sum()))
         return [best[i] for i in sorted(best)]
 
