@@ -23,10 +23,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told (null and empty texts go, unless their id is null)."""
+    """Documents whose language can be told (null and empty texts and those of no labelled language go). Rows of one id, source and text are judged alike."""
     found = language.document_languages(docs, table(spark, sf_dir, "pages"), language.fit_text(docs))
-    rejected = found.filter("lang = 'und'").select(F.col("doc_id").alias("_rejected"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(few(rejected), (docs["doc_id"] == F.col("_rejected")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+    rejected = found.filter("lang = 'und'").select(F.col("doc_id").alias("_id"), F.col("_source").alias("_of"), F.col("text_key").alias("_key")).distinct()
+    rejected = rejected.select(*[F.col(c).alias(free_name(docs, c)) for c in rejected.columns])
+    by_id, of, key = (F.col(c) for c in rejected.columns)
+    return docs.join(few(rejected), docs["doc_id"].eqNullSafe(by_id) & docs["source"].eqNullSafe(of) & (F.xxhash64(docs["text"]) == key), "left_anti")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,32 @@ def test_language_cases(spark):
     bare = lang.document_languages(docs, pages.limit(0), lang.fit_text(docs.limit(0)))
     assert {r.lang for r in bare.collect()} == {"und"}
     assert lang.document_languages(docs.limit(0), pages, lang.fit_text(docs)).count() == 0
+
+
+FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, ja heille on annettu järki ja omatunto. "
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem. "
+
+
+def foreign_rows():
+    r = np.random.default_rng(3)
+    letters = [" ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(2, 9))) for _ in range(n)) for n in (30, 300, 3000)]
+    return [FINNISH, FINNISH * 20, POLISH, POLISH * 20, "<div class='a'><span id=b></span></div>" * 30, *letters]
+
+
+def test_texts_of_no_labelled_language_are_undetermined(spark):
+    docs, pages = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "pages")
+    planted = spark.createDataFrame([(10**9 + i, x, "planted") for i, x in enumerate(foreign_rows())], "doc_id long, text string, source string")
+    out = lang.document_languages(docs.unionByName(planted, allowMissingColumns=True), pages, lang.fit_text(docs)).collect()
+    assert {r.lang for r in out if r.doc_id >= 10**9} == {"und"}
+    assert all(r.lang != "und" for r in out if r.doc_id < 10**9)
+
+
+def test_the_stage_rejects_by_row(spark):
+    import corpus_pipeline
+
+    docs = table(spark, MIDDLE, "documents")
+    odd = [(i, x, "planted") for x in foreign_rows() for i in (None, 10**9)] + [(None, None, None), (None, "", "planted")]
+    both = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, source string"), allowMissingColumns=True)
+    both = both.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    out = corpus_pipeline.language_id(spark, both, MIDDLE).select("doc_id", "source").collect()
+    assert len(out) == docs.count() + 1 and all(r.source != "planted" for r in out)

@@ -4,7 +4,9 @@ Evidence on a text's language, each as a likelihood or prior that is learned by
 
 * *text*: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of labelled
   rows (``SAMPLE`` of each language, by hash). The mean log-likelihood of the whole text counts
-  as ``WEIGHT`` trigrams at most, as neighbouring trigrams are not independent.
+  as ``WEIGHT`` trigrams at most, as neighbouring trigrams are not independent. A text whose
+  mean log-likelihood lies more than ``FAR`` standard deviations below that of the sampled rows
+  of each language (their spread, and that of a mean of so many trigrams) is of none of them.
 * *declared markup language* and *address suffix*: the likelihood of what is declared given the
   language, from counts over all rows of what goes with which text language.
 * *host prior*: the share of each language on the host, smoothed towards that of its domain,
@@ -12,8 +14,9 @@ Evidence on a text's language, each as a likelihood or prior that is learned by
 
 The posterior is their normalised product. Missing evidence is left out of the product.
 
-Results by case: a null or empty text, or one of fewer than ``LEAST`` letters, is undetermined
-(``und``), as is a posterior below ``SURE``; null declared language, suffix, domain or host are
+Results by case: a null or empty text, or one of fewer than ``LEAST`` letters' bytes, is
+undetermined (``und``), as is a text of no fitted language (it gives no votes to the evidence
+either) and a posterior below ``SURE``; null declared language, suffix, domain or host are
 no evidence (the next level up is the prior); repeated rows are judged row by row and counted
 as often; without labels all is undetermined; an empty table gives no rows; columns named like
 the result columns are replaced."""
@@ -36,6 +39,7 @@ BUCKETS = 1 << 15
 SAMPLE, LANGUAGES = 2_000, 64
 WEIGHT, LEAST, SURE = 60, 3, 0.5
 SMOOTH = 5.0
+FAR, OVERLAP, PRIOR_ROWS = 8.0, 3, 20  # standard deviations; trigrams that share a byte; rows of spread 1 that are added to those of a language
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -54,6 +58,14 @@ def prepared(text: str | None) -> bytes:
 class TextModel:
     languages: list[str]
     logs: np.ndarray  # trigram bucket x language
+    usual: np.ndarray | None = None  # mean, variance over rows and variance over trigrams of the log-likelihood of own rows, x language
+
+    def known(self, mean: np.ndarray, n: int) -> bool:
+        """Whether a mean over ``n`` trigrams is usual in any language."""
+        if self.usual is None:
+            return True
+        own, rows, single = self.usual
+        return bool((mean >= own - FAR * np.sqrt(rows + OVERLAP * single / n)).any())
 
     def scores(self, text: str | None) -> list[float]:
         """Log-likelihood of a whole text in each language; empty if there is too little of it."""
@@ -61,7 +73,8 @@ class TextModel:
         if len(raw) - 2 < LEAST or not self.languages:
             return []
         found = trigrams(raw)
-        return (self.logs[found].mean(0) * min(len(found), WEIGHT)).tolist()
+        mean = self.logs[found].mean(0)
+        return (mean * min(len(found), WEIGHT)).tolist() if self.known(mean, len(found)) else []
 
 
 def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> TextModel:
@@ -94,7 +107,30 @@ def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", key: str
     for k, lang in enumerate(names_in_order):
         own = sums[sums["lang"] == lang]
         counts[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
-    return TextModel(names_in_order, np.log(counts / counts.sum(0)))
+    logs = np.log(counts / counts.sum(0))
+    return TextModel(names_in_order, logs, usual(rows, names_in_order, logs))
+
+
+def usual(rows: DataFrame, languages: list[str], logs: np.ndarray) -> np.ndarray:
+    """Mean, variance over rows and variance over trigrams of the log-likelihood of each language's own rows."""
+    column = {x: k for k, x in enumerate(languages)}
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lang, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = prepared(x.as_py())
+                if len(raw) - 2 >= LEAST:
+                    own = logs[trigrams(raw), column[lang]]
+                    out.append((lang, float(own.mean()), float(own.var()), len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.float64(), pa.float64(), pa.int64()))], ["lang", "own", "single", "n"])
+
+    found = rows.mapInArrow(run, "lang string, own double, single double, n long").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("rows"), (F.sum(F.col("own") * F.col("n")) / F.sum("n")).alias("own"), F.var_pop("own").alias("var"), (F.sum(F.col("single") * F.col("n")) / F.sum("n")).alias("single")).collect()
+    out = np.array([[0.0], [1.0], [1.0]]).repeat(len(languages), 1)
+    for r in found:
+        out[:, column[r["lang"]]] = r["own"], (r["rows"] * r["var"] + PRIOR_ROWS) / (r["rows"] + PRIOR_ROWS), r["single"]
+    return out
 
 
 def with_text_scores(rows: DataFrame, model: TextModel, keep: list[str], text: str = "text") -> DataFrame:
@@ -168,11 +204,11 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def document_languages(docs: DataFrame, pages: DataFrame, model: TextModel) -> DataFrame:
-    """Language of every document (row): doc_id, text_key (a hash of the text), evidence, text_lang, lang and confidence.
+    """Language of every document (row): doc_id, _source, text_key (a hash of the text), evidence, text_lang, lang and confidence.
     A document without a page has its source as host and no domain."""
-    rows = with_text_scores(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key")), model, ["doc_id", "source", "text_key"])
+    rows = with_text_scores(docs.select("doc_id", F.col("source").alias("_source"), "text", F.xxhash64("text").alias("text_key")), model, ["doc_id", "_source", "text_key"])
     seen = rows.join(page_evidence(pages), F.col("doc_id") == F.col("_doc"), "left")
-    seen = seen.withColumn("host", F.coalesce("host", F.concat(F.lit("source:"), "source"))).drop("_doc", "source")
+    seen = seen.withColumn("host", F.coalesce("host", F.concat(F.lit("source:"), "_source"))).drop("_doc")
     return fused(staged(seen, "language-evidence"), model.languages)
 
 
