@@ -101,3 +101,26 @@ def test_the_stage_rejects_by_row(spark):
     both = both.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     out = corpus_pipeline.language_id(spark, both, MIDDLE).select("doc_id", "source").collect()
     assert len(out) == docs.count() + 1 and all(r.source != "planted" for r in out)
+
+
+def test_every_label_is_fitted(spark):
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" * 3 for i in range(70)]
+    docs = spark.createDataFrame([(100 * i + k, f"{w} {w} {w}", f"l{i:02}", "s") for i, w in enumerate(words) for k in range(8)], "doc_id long, text string, lang string, source string")
+    model = lang.fit_text(docs)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    assert {model.languages[int(np.argmax(model.scores(f"{w} {w} {w}")))] for w in words} == set(model.languages)
+
+
+def test_all_pages_of_a_document_are_evidence(spark):
+    docs = spark.createDataFrame([(i, "the dog and the cat", "en", "s") for i in range(9)] + [(20 + i, "le chien et le chat", "fr", "s") for i in range(9)] + [(None, "le chat", None, "s")], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(1, "http://nosuffix/3", "<p>"), (2, "http://x.com/3", "<html lang=en>"), (3, "http://y.fr/3", "<html lang=fr>")], "page_id long, url string, html string")
+    first = lang.first_evidence(lang.page_evidence(pages)).collect()
+    assert [tuple(r) for r in first] == [(3, "en", "com", None, "nosuffix")]
+    model = lang.fit_text(docs)
+    out = {r.doc_id: r for r in lang.document_languages(docs, pages, model).collect()}
+    assert len(out) == 19 and (out[3].declared, out[3].suffix, out[3].host) == ("en", "com", "nosuffix")
+    schema = "doc_id long, text_scores array<double>, declared string, suffix string, domain string, host string"
+    rows = spark.createDataFrame([(1, [0.0, -1.0], None, None, None, "a"), (2, [0.0, 0.0], None, None, None, "b")], schema)
+    seen = rows.withColumn("n", F.lit(1)).union(spark.createDataFrame([(1, [0.0, -1.0], None, None, None, "b", 5)], schema + ", n int"))  # five more pages on b
+    few, more = ({r.doc_id: r.confidence for r in lang.fused(rows, ["en", "fr"], s).collect()} for s in (None, seen))
+    assert few[1] == pytest.approx(more[1]) and few[2] < more[2]

@@ -3,12 +3,12 @@
 Evidence on a text's language, each as a likelihood or prior that is learned by grouped sums:
 
 * *text*: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of labelled
-  rows (``SAMPLE`` of each language, by hash). The mean log-likelihood of the whole text counts
+  rows (``SAMPLE`` of each language, by hash; every label is fitted). The mean log-likelihood of the whole text counts
   as ``WEIGHT`` trigrams at most, as neighbouring trigrams are not independent. A text whose
   mean log-likelihood lies more than ``FAR`` standard deviations below that of the sampled rows
   of each language (their spread, and that of a mean of so many trigrams) is of none of them.
 * *declared markup language* and *address suffix*: the likelihood of what is declared given the
-  language, from counts over all rows of what goes with which text language.
+  language, from counts over all rows and all their pages of what goes with which text language.
 * *host prior*: the share of each language on the host, smoothed towards that of its domain,
   which is smoothed towards that of all rows (a host with few rows follows its domain).
 
@@ -36,7 +36,7 @@ from tollbook.llm.quality import fold
 from tollbook.llm.url_filters import host_and_path
 
 BUCKETS = 1 << 15
-SAMPLE, LANGUAGES = 2_000, 64
+SAMPLE = 2_000
 WEIGHT, LEAST, SURE = 60, 3, 0.5
 SMOOTH = 5.0
 FAR, OVERLAP, PRIOR_ROWS = 8.0, 3, 20  # standard deviations; trigrams that share a byte; rows of spread 1 that are added to those of a language
@@ -82,12 +82,12 @@ def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", key: str
     from pyspark.sql import Window as W
 
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~fold(F.col(key)))
-    common = [r[0] for r in labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()]
-    if not common:
+    names_in_order = sorted(r[0] for r in labelled.select(label).distinct().collect())
+    if not names_in_order:
         return TextModel([], np.zeros((BUCKETS, 0)))
     first = W.partitionBy(label).orderBy(F.xxhash64(key), key)
-    chosen = labelled.filter(F.col(label).isin(common)).select(label, key).distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample).select(key)
-    rows = docs.select(key, text, label).join(F.broadcast(chosen), key).select(label, text)  # at most sample x LANGUAGES ids
+    chosen = labelled.select(label, key).distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample).select(key)
+    rows = docs.select(key, text, label).filter(F.col(label).isNotNull()).join(few(chosen), key).select(label, text)  # at most sample ids of each language
 
     def counted(batches):
         total: dict[str, np.ndarray] = {}
@@ -100,14 +100,14 @@ def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", key: str
             held = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held)), pa.array(held), pa.array(n[held])], ["lang", "bucket", "n"])
 
-    names = set(common)
-    sums = rows.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names_in_order = sorted(common)
-    counts = np.full((BUCKETS, len(names_in_order)), 0.5)
-    for k, lang in enumerate(names_in_order):
-        own = sums[sums["lang"] == lang]
-        counts[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
-    logs = np.log(counts / counts.sum(0))
+    names = set(names_in_order)
+    sums = rows.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    logs = np.full((BUCKETS, len(names_in_order)), -np.log(BUCKETS))
+    column = {x: k for k, x in enumerate(names_in_order)}
+    for lang, held in sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("held")).toLocalIterator():  # at most BUCKETS pairs each
+        counts, at = np.full(BUCKETS, 0.5), np.array(held)
+        counts[at[:, 0]] += at[:, 1]
+        logs[:, column[lang]] = np.log(counts / counts.sum())
     return TextModel(names_in_order, logs, usual(rows, names_in_order, logs))
 
 
@@ -153,8 +153,9 @@ def softmax(scores: Column) -> Column:
     return F.transform(top, lambda x: x / F.aggregate(top, F.lit(0.0), lambda s, y: s + y))
 
 
-def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """Rows with text_lang, lang and confidence. ``rows`` holds text_scores, declared, suffix, domain and host.
+def fused(rows: DataFrame, languages: list[str], seen: DataFrame | None = None) -> DataFrame:
+    """Rows with text_lang, lang and confidence. ``rows`` holds text_scores, declared, suffix, domain and host;
+    ``seen`` the same and n, the pages that say so, if what is counted is more than the rows.
 
     Every count is of soft votes (the text's own posterior), summed per group before any join;
     the joined sides have one row per declared language, suffix, domain or host."""
@@ -162,7 +163,10 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
         return rows.withColumns({"text_lang": F.lit("und"), "lang": F.lit("und"), "confidence": F.lit(0.0)})
     n = len(languages)
     every = F.array(*[F.lit(x) for x in languages])
-    voted = rows.withColumn("_vote", F.when(F.size("text_scores") > 0, softmax(F.col("text_scores"))))
+    vote = lambda frame: frame.withColumn("_vote", F.when(F.size("text_scores") > 0, softmax(F.col("text_scores"))))
+    voted = vote(rows)
+    pages = vote(rows.withColumn("n", F.lit(1)) if seen is None else seen)
+    pages = pages.withColumn("_vote", F.transform("_vote", lambda x: x * F.col("n")))
     sums = lambda frame, *by: frame.filter("_vote is not null").groupBy(*by).agg(F.array(*[F.sum(F.col("_vote")[k]) for k in range(n)]).alias("_sum"))
     total = (sums(voted).first() or [None])[0]
     total = [x or 0.0 for x in total or [0.0] * n]
@@ -171,14 +175,14 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
 
     def likelihood(name):
         """log P(value | language), smoothed over the number of values."""
-        counts = sums(voted.filter(F.col(name).isNotNull()), name)
+        counts = sums(pages.filter(F.col(name).isNotNull()), name)
         m = counts.agg(F.count(F.lit(1)), *[F.sum(F.col("_sum")[k]) for k in range(n)]).first()
         of_all = F.array(*[F.lit(float(x or 0)) for x in m[1:]])
         return few(counts.select(name, F.zip_with("_sum", of_all, lambda x, t: F.log((x + 0.5) / (t + 0.5 * max(1, m[0])))).alias(f"_{name}")))
 
     smoothed = lambda own, above: F.zip_with(own, above, lambda x, p: (x + SMOOTH * p) / (F.aggregate(own, F.lit(0.0), lambda s, y: s + y) + SMOOTH))
-    domains = sums(voted.filter("domain is not null"), "domain").select("domain", smoothed(F.col("_sum"), overall).alias("_domain"))
-    hosts = sums(voted.filter("host is not null"), "domain", "host").withColumnRenamed("_sum", "_own").join(domains, "domain", "left")
+    domains = sums(pages.filter("domain is not null"), "domain").select("domain", smoothed(F.col("_sum"), overall).alias("_domain"))
+    hosts = sums(pages.filter("host is not null"), "domain", "host").withColumnRenamed("_sum", "_own").join(domains, "domain", "left")
     hosts = hosts.select("host", F.col("domain").alias("_of"), smoothed(F.col("_own"), F.coalesce("_domain", overall)).alias("_host"))
     out = (voted.join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
            .join(few(domains), "domain", "left").join(few(hosts.withColumnRenamed("host", "_h")), (F.col("host") == F.col("_h")) & F.col("domain").eqNullSafe(F.col("_of")), "left"))
@@ -193,23 +197,32 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """What pages say of the document whose id ends their path: declared markup language, suffix, domain and host (the first page's, by id)."""
+    """What every page says of the document whose id ends its path: declared markup language, suffix, domain and host."""
     host, path = host_and_path(F.col("url"))
     doc = F.expr(r"try_cast(nullif(regexp_extract(path, '/([0-9]+)(?:[.]html|/)?$', 1), '') as long)")
     declared = F.nullif(F.lower(F.regexp_extract("html", r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([a-z]+)", 1)), F.lit(""))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), declared.alias("declared")).withColumn("_doc", doc).filter("_doc is not null")
     rows = rows.select("_doc", "page_id", "declared", F.nullif(F.regexp_extract("host", r"\.([a-z]+)$", 1), F.lit("")).alias("suffix"),
                        F.nullif(F.regexp_extract("host", r"([^.]+\.[a-z]+)$", 1), F.lit("")).alias("domain"), F.nullif("host", F.lit("")).alias("host"))
-    return rows.groupBy("_doc").agg(F.min(F.struct("page_id", "declared", "suffix", "domain", "host")).alias("_page")).select("_doc", *[F.col(f"_page.{c}").alias(c) for c in ("declared", "suffix", "domain", "host")])
+    return rows
+
+
+def first_evidence(evidence: DataFrame) -> DataFrame:
+    """The first declared language, suffix and host (with its domain) of each document that are not null, by page id."""
+    first = lambda c, *more: F.min(F.when(F.col(c).isNotNull(), F.struct("page_id", c, *more))).alias(f"_{c}")
+    found = evidence.groupBy("_doc").agg(first("declared"), first("suffix"), first("host", "domain"))
+    return found.select("_doc", *[F.col(c).alias(c.split(".")[1]) for c in ("_declared.declared", "_suffix.suffix", "_host.domain", "_host.host")])
 
 
 def document_languages(docs: DataFrame, pages: DataFrame, model: TextModel) -> DataFrame:
     """Language of every document (row): doc_id, _source, text_key (a hash of the text), evidence, text_lang, lang and confidence.
     A document without a page has its source as host and no domain."""
     rows = with_text_scores(docs.select("doc_id", F.col("source").alias("_source"), "text", F.xxhash64("text").alias("text_key")), model, ["doc_id", "_source", "text_key"])
-    seen = rows.join(page_evidence(pages), F.col("doc_id") == F.col("_doc"), "left")
-    seen = seen.withColumn("host", F.coalesce("host", F.concat(F.lit("source:"), "_source"))).drop("_doc")
-    return fused(staged(seen, "language-evidence"), model.languages)
+    rows, evidence = staged(rows, "language-scores"), page_evidence(pages)
+    with_source = lambda said: rows.join(said, F.col("doc_id") == F.col("_doc"), "left").withColumn("host", F.coalesce("host", F.concat(F.lit("source:"), "_source"))).drop("_doc")
+    said = evidence.groupBy("_doc", "declared", "suffix", "domain", "host").agg(F.count(F.lit(1)).alias("n"))
+    seen = with_source(said).withColumn("n", F.coalesce("n", F.lit(1)))
+    return fused(staged(with_source(first_evidence(evidence)), "language-evidence"), model.languages, staged(seen, "language-pages"))
 
 
 def op1_language_id(spark, sf_dir):
