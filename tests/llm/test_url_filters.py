@@ -55,3 +55,11 @@ def test_empty_tables(spark):
     assert u.apply_rules(none, u.rule_table(spark)).count() == 0
     one = spark.createDataFrame([(1, "http://x.com/")], "page_id long, url string")
     assert [r.verdict for r in u.apply_rules(one, u.rule_table(spark, [])).collect()] == ["allow"]
+
+
+def test_hosts_with_spaces(spark):
+    urls = ["https://bad host.example.com/en/x", "https://a b.net/es/1", "https://x.com /b", "https:// /ads/1", "https://q\n.a-b.io/ x/", "http://x y/z.com/ads/"]
+    pages = spark.createDataFrame([(i, x) for i, x in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in u.apply_rules(pages, u.rule_table(spark, RULES)).collect()}
+    assert got == {i: judged(x, RULES) for i, x in enumerate(urls)}
+    assert got[0][3] == "block"

@@ -44,8 +44,8 @@ def prepared(rules: DataFrame) -> DataFrame:
     rules = rules.filter(F.col("host").isNotNull() | F.col("path").isNotNull()).select(
         lower_az(F.coalesce("host", F.lit(""))).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.coalesce("verdict", F.lit("block")).alias("r_verdict"))
     literal = F.regexp_replace("r_path", r"([\\.\[\]{}()+?^$|])", r"\\$1")
-    pattern = F.concat(
-        F.when(F.col("r_host") == "", "^[^ ]*? ").otherwise(F.concat(F.lit("^(?:[^ ]*\\.)?"), F.regexp_replace("r_host", r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(" "))),
+    pattern = F.concat(  # on host, '#' (which neither host nor path can hold) and path
+        F.when(F.col("r_host") == "", "^[^#]*#").otherwise(F.concat(F.lit("^(?:[^#]*\\.)?"), F.regexp_replace("r_host", r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit("#"))),
         F.regexp_replace(literal, r"\*", ".*"))
     # a token at the end of a path, or beside a wildcard, need not be whole in the url
     whole = F.regexp_replace(F.regexp_replace("r_path", f"{TOKEN}$", ""), r"[A-Za-z0-9]*\*+[A-Za-z0-9]*", "*")
@@ -80,7 +80,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     index = rule_index(rules, rows)
     rows = rows.select(F.struct(*kept).alias("_kept"), "host", "path", F.monotonically_increasing_id().alias("_row"))
     probes = rows.select("*", F.explode(url_tokens()).alias("_token"))
-    hit = (F.col("_token") == F.col("key")) & F.expr("regexp_like(concat(host, ' ', path), pattern)")
+    hit = (F.col("_token") == F.col("key")) & F.expr("regexp_like(concat(host, '#', path), pattern)")
     if index.count() <= BROADCAST_RULES:
         found = probes.join(F.broadcast(index), hit, "left")
     else:  # each rule stands once for every salt, a hot token is dealt over the salts
