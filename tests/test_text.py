@@ -180,3 +180,15 @@ def test_raw_texts_of_sampled_rows(spark):
     assert json.loads(inputs["t1"])["offset"] == 3 and json.loads(inputs["c2"]) == {"command": ["ls", "-l"]}
     replies = spark.createDataFrame([("s-claude_code", 1, "m1")], "session_id string, seq int, msg_id string")
     assert reply_texts(replies, records, messages).first().text == "Reading é"
+
+
+def test_tool_inputs_of_messages(spark):
+    from tollbook.ingest.texts import tool_inputs
+    part = lambda i, given, **more: {"type": "tool", "tool": "write", "callID": i, "state": {"input": given}, **more}
+    message = {"parts": [{"type": "text", "text": "k1"}, part("k1", {"filePath": "/a", "content": "é"}, filePath="/b"), part("k1", {"content": "second"}), part("k2", "echo hi"), part("k3", '{"a": 1}', filePath='/q"x'),
+                         part("k4", None, filePath="/c"), part("", {"z": 2}, id="k5"), part("k6", {"filePath": "", "n": 1}, filePath="/d")]}
+    messages = spark.createDataFrame([("s", 1, json.dumps(message))], "session_id string, seq int, j string").select("session_id", "seq", F.parse_json("j").alias("v"))
+    records = messages.limit(0).withColumn("fmt", F.lit("codex"))
+    asked = spark.createDataFrame([("s", 1, f"k{i}") for i in range(1, 8)], "session_id string, seq int, tool_use_id string")
+    got = {r.tool_use_id: json.loads(r.j) for r in tool_inputs(asked, records, messages).withColumn("j", F.to_json("inp")).collect()}
+    assert got == {"k1": {"filePath": "/a", "content": "é"}, "k2": {"command": "echo hi"}, "k3": {"a": 1, "filePath": '/q"x'}, "k4": {"filePath": "/c"}, "k5": {"z": 2}, "k6": {"filePath": "/d", "n": 1}}

@@ -38,9 +38,26 @@ def result_texts(sampled: DataFrame, records: DataFrame, messages: DataFrame) ->
     return near.groupBy(*keys).agg(F.min_by("text", "r_seq").alias("text"))
 
 
-def tool_inputs(sampled: DataFrame, records: DataFrame) -> DataFrame:
-    """``sampled`` with the input object of the call, ``inp``, as JSON parsed again; line-based
-    harnesses only carry it in the record the call is in."""
+def _message_inputs(messages: DataFrame) -> DataFrame:
+    """Inputs of the calls of messages: the first call of an id counts, a text that is no JSON is a
+    command, and a path beside the input belongs to it."""
+    b, state = F.col("b"), node(F.col("b"), "state")
+    given, raw, beside = node(state, "input"), text(state, "input"), filled(b, "filePath")
+    parsed = F.try_parse_json(raw)
+    inp = (F.when(is_object(given), dump(given)).when(raw.isNotNull() & parsed.isNull(), F.to_json(F.struct(raw.alias("command"))))
+           .when(is_object(parsed), dump(parsed)).otherwise(F.lit("{}")))
+    own = F.coalesce(dump(node(F.try_parse_json("_dump"), "filePath")), F.lit("null"))
+    comma = F.when(F.col("_dump") == "{}", "").otherwise(",")
+    joined = F.concat(F.expr("left(_dump, length(_dump) - 1)"), comma, F.expr("substring(to_json(named_struct('filePath', _beside)), 2)"))
+    calls = messages.select("session_id", "seq", F.posexplode(items(F.col("v"), "parts")).alias("_at", "b")).where(text(b, "type") == "tool").select(
+        "session_id", "seq", "_at", F.coalesce(filled(b, "callID"), filled(b, "id")).alias("tool_use_id"), inp.alias("_dump"), beside.alias("_beside"))
+    calls = calls.withColumn("_dump", F.when(F.col("_beside").isNotNull() & own.isin("null", '""', "0", "false", "[]", "{}"), joined).otherwise(F.col("_dump")))
+    return calls.groupBy("session_id", "seq", "tool_use_id").agg(F.min_by("_dump", "_at").alias("_dump"))
+
+
+def tool_inputs(sampled: DataFrame, records: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """``sampled`` with the input object of the call, ``inp``, as JSON parsed again; harnesses
+    only carry it in the record (or message, of the document harness) the call is in."""
     b = F.col("b")
     claude = _claude(records, "assistant").select("session_id", "seq", F.explode("blocks").alias("b")).select(
         "session_id", "seq", text(b, "id").alias("tool_use_id"), dump(node(b, "input")).alias("_dump"))
@@ -49,7 +66,10 @@ def tool_inputs(sampled: DataFrame, records: DataFrame) -> DataFrame:
     coded = records.where(F.col("fmt") == "codex").select(
         "session_id", "seq", F.coalesce(text(p, "call_id"), text(p, "id")).alias("tool_use_id"),
         F.coalesce(F.when(F.try_parse_json(as_text(args)).isNotNull(), as_text(args)), dump(args)).alias("_dump"))
-    return sampled.join(claude.unionByName(coded), ["session_id", "seq", "tool_use_id"]).withColumn("inp", F.try_parse_json("_dump")).drop("_dump")
+    found = claude.unionByName(coded)
+    if messages is not None:
+        found = found.unionByName(_message_inputs(messages))
+    return sampled.join(found, ["session_id", "seq", "tool_use_id"]).withColumn("inp", F.try_parse_json("_dump")).drop("_dump")
 
 
 def reply_texts(sampled: DataFrame, records: DataFrame, messages: DataFrame) -> DataFrame:
