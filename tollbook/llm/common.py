@@ -38,3 +38,30 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 * 1024 * 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, after its session was told to send Python at most 8 MB of rows (or one row) at once
+    (64 MB by default); a smaller setting stays. Workers hold a batch several times over."""
+    conf = df.sparkSession.conf
+    now = conf.get(ARROW_BYTES).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    return df
+
+
+def slices(batch, column: str, most: int = 4 * 1024 * 1024):
+    """A batch in slices whose texts in ``column`` have about ``most`` bytes, or that hold one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
