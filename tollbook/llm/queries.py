@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollbook.llm import bpe, chat, decontaminate, jaccard, language, neardup, pieces, quality, sharding, token_counts, url_filters
+from tollbook.llm import bpe, chat, decontaminate, jaccard, language, neardup, negatives, pieces, quality, sharding, token_counts, url_filters
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_embedding_neardup": neardup.op8_embedding_neardup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_sharding": sharding.op10_sharding,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_bpe": bpe.op12_bpe,
 }
 
 SQL = {
     "op2_url_filters": url_filters.OP2_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }
