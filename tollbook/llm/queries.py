@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollbook.llm import bpe, chat, decontaminate, jaccard, language, neardup, negatives, pieces, quality, sharding, token_counts, url_filters
+from tollbook.llm import bpe, chat, decontaminate, jaccard, language, neardup, negatives, pieces, quality, sharding, token_counts, url_filters, whitening
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_bpe": bpe.op12_bpe,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 SQL = {
