@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -51,34 +52,38 @@ def test_ids_that_are_no_text(spark):
     assert words[2] == "" and words[3] is None and words[4] == Tokenizer.from_file(WORD).decode([64], skip_special_tokens=False)
 
 
-def test_tree_like_looking_for_the_lowest_pair_each_time():
+def test_trees_like_looking_for_the_lowest_pair_each_time(monkeypatch):
     r = random.Random(4)
-    for _ in range(300):
-        pairs = r.sample([(x, y) for x in range(9) for y in range(9)], 30)
-        merges = {p: (rank // 2, r.randint(0, 8)) for rank, p in enumerate(pairs)}  # ranks tie
-        symbols = [r.randint(0, 8) for _ in range(r.randint(0, 40))]
-        want = list(symbols)
-        while True:
-            found = [(merges[p][0], i) for i, p in enumerate(zip(want, want[1:])) if p in merges]
-            if not found:
-                break
-            _, i = min(found)
-            want[i: i + 2] = [merges[want[i], want[i + 1]][1]]
-        assert b.merged(list(symbols), merges) == want
-
-
-def test_small_caches_and_slices_change_nothing(spark, monkeypatch):
+    for cells in (1 << 20, 40):
+        monkeypatch.setattr(b, "TREE_CELLS", cells)
+        for _ in range(40):
+            pairs = r.sample([(x, y) for x in range(9) for y in range(9)], 30)
+            merges = {p: (rank // 2, r.randint(0, 8)) for rank, p in enumerate(pairs)}  # ranks tie
+            words = [[r.randint(0, 8) for _ in range(r.choice([0, 1, 2, 3, 4, 5, 9, 17, 40]))] for _ in range(30)]
+            flat, left = b.merged(np.array([x for w in words for x in w], np.int64), np.array([len(w) for w in words], np.int64), b.Merges([(*p, *rule) for p, rule in merges.items()]))
+            flat = flat.tolist()
+            for want, size in zip(words, left):
+                while found := [(merges[p][0], i) for i, p in enumerate(zip(want, want[1:])) if p in merges]:
+                    _, i = min(found)
+                    want[i: i + 2] = [merges[want[i], want[i + 1]][1]]
+                assert flat[:size] == want
+                del flat[:size]
+            assert not flat
+
+
+def test_small_caches_change_nothing():
     codec = b.Codec(WORD)
-    want = [codec.encode(x) for x in texts(200)]
+    want = codec.encode_texts(texts(200))
     small = b.Codec(WORD)
     small.words.most = small.pieces.most = 3
-    assert [small.encode(x) for x in texts(200)] == want
+    assert [small.encode_texts([x])[0] for x in texts(200)] == want == codec.encode_texts(texts(200))
+    assert all(len(w) <= b.CACHED_LENGTH for w in [*codec.words, *codec.pieces])
 
 
 def test_long_words_stay_quick():
     codec, own = b.Codec(WORD), Tokenizer.from_file(WORD)
     text = "".join(random.Random(1).choices("abcdefgh", k=100_000))
-    assert list(memoryview(codec.encode(text)).cast("i")) == own.encode(text, add_special_tokens=False).ids
+    assert list(memoryview(codec.encode_texts([text])[0]).cast("i")) == own.encode(text, add_special_tokens=False).ids
 
 
 def test_other_kinds_of_files_are_refused(tmp_path):

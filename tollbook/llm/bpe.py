@@ -4,7 +4,8 @@ The leaves of the tree are the pairs of neighbouring symbols of a pre-token, eac
 its merge and its place; a node keeps the smaller of its two children. The root is then the
 leftmost of the merges of lowest rank. Carrying it out changes three leaves (the pair itself,
 the one before and the one after), each mended on its way to the root, until the root holds
-no merge. A pre-token of n symbols takes O(n log n) steps, however long it is.
+no merge. A pre-token of n symbols takes O(n log n) steps, however long it is. The trees of all
+new pre-tokens of a batch lie side by side in arrays and are worked on together.
 
 The tokenizer file (kind BPE) names the merges, the mark of a word's end and the special
 strings; its own normalizer and pre-tokenizer cut texts into pre-tokens. Ids of words and of
@@ -41,68 +42,113 @@ from tollbook.llm.common import slices, small_batches, table
 # The cutting rule of files whose pre-tokens hold no white space.
 SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACELESS_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-CACHED_WORDS, CACHED_LENGTH = 100_000, 48
+CACHED_WORDS, CACHED_LENGTH = 150_000, 48
+WORDS_AT_ONCE, TREE_CELLS = 1_000, 1 << 20
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 NONE = 1 << 62
 
 
-def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The symbols after all merges. ``merges`` maps a pair to its rank and the symbol it becomes."""
-    size = len(symbols)
-    if size < 2:
-        return symbols
-    half = 1 << (size - 2).bit_length()  # leaves; leaf i is the pair that begins at i
-    tree, into = [NONE] * (2 * half), [0] * size
-    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    for i in range(size - 1):
-        if (rule := merges.get((symbols[i], symbols[i + 1]))) is not None:
-            tree[half + i], into[i] = rule[0] * size + i, rule[1]
-    for i in range(half - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
-    while (best := tree[1]) != NONE:
-        at = best % size
-        gone, left = after[at], before[at]
-        symbols[at], symbols[gone] = into[at], -1
-        right = after[at] = after[gone]
-        changed = [(gone, None)] if gone < size - 1 else []
-        if right < size:
-            before[right] = at
-            changed.append((at, merges.get((symbols[at], symbols[right]))))
-        else:
-            changed.append((at, None))
-        if left >= 0:
-            changed.append((left, merges.get((symbols[left], symbols[at]))))
-        for place, rule in changed:
-            node = half + place
-            if rule is None:
-                tree[node] = NONE
-            else:
-                tree[node], into[place] = rule[0] * size + place, rule[1]
-            while node > 1:
-                low = min(tree[node], tree[node ^ 1])
-                node >>= 1
-                if tree[node] == low:
-                    break
-                tree[node] = low
-    return [s for s in symbols if s >= 0]
+class Merges:
+    """The merges of a file: for a pair of symbols its rank and what it becomes."""
+
+    def __init__(self, rules: list[tuple[int, int, int, int]]):
+        """``rules``: left, right, rank, result."""
+        left, right, rank, into = np.array(sorted(rules), np.int64).reshape(-1, 4).T
+        self.keys, self.ranks, self.into = left << 32 | right, np.append(rank, -1), np.append(into, -1)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and results of pairs; rank -1 where nothing merges."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.keys, keys)
+        at[self.keys[at] != keys] = len(self.keys) - 1
+        return self.ranks[at], self.into[at]
+
+
+def merged(flat: np.ndarray, sizes: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols left of many pre-tokens and how many each has. All trees of one depth are worked on at once."""
+    starts = np.cumsum(sizes) - sizes
+    kept = np.ones(len(flat), bool)
+    flat = flat.astype(np.int64)
+    depth = np.ceil(np.log2(np.maximum(sizes - 1, 1))).astype(int)
+    for d in np.unique(depth[sizes > 1]):
+        every, d = np.flatnonzero((sizes > 1) & (depth == d)), int(d)
+        each = max(1, TREE_CELLS >> (d + 1))
+        for some in (every[k: k + each] for k in range(0, len(every), each)):
+            _merge(flat, kept, starts[some], sizes[some], 1 << d, merges)
+    ends = np.concatenate([[0], np.cumsum(kept)])
+    left = ends[starts + sizes] - ends[starts]
+    return flat[kept].astype(np.int32), left
+
+
+def _merge(flat, kept, starts, sizes, leaves, merges):
+    """Merge pre-tokens whose trees have so many leaves; leaf i is the pair that begins at symbol i.
+    ``flat`` and ``kept`` are changed in place."""
+    n, wide = len(starts), 2 * leaves + 1  # the last cell is a leaf that no pair has
+    tree = np.full(n * wide, NONE)
+    row = np.repeat(np.arange(n), sizes - 1)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1)
+    at = starts[row] + place
+    rank, into = merges.find(flat[at], flat[at + 1])
+    tree[row * wide + leaves + place] = np.where(rank < 0, NONE, rank * wide + place)
+    becomes = np.full(n * wide, -1)
+    becomes[row * wide + place] = into
+    for level in range(leaves.bit_length() - 2, -1, -1):
+        nodes = (np.arange(n) * wide)[:, None] + np.arange(1 << level, 2 << level)
+        inside = nodes - (np.arange(n) * wide)[:, None]
+        tree[nodes] = np.minimum(tree[nodes + inside], tree[nodes + inside + 1])
+    after = np.tile(np.arange(1, wide + 1), n)
+    before = np.tile(np.arange(-1, wide - 1), n)
+    live = np.arange(n)
+    while True:
+        best = tree[live * wide + 1]
+        live, best = live[best != NONE], best[best != NONE]
+        if not len(live):
+            return
+        base, first, size = live * wide, starts[live], sizes[live]
+        at = best % wide
+        gone, left = after[base + at], before[base + at]
+        right = after[base + gone]
+        flat[first + at] = becomes[base + at]
+        kept[first + gone] = False
+        after[base + at] = right
+        there, begun = right < size, left >= 0
+        before[base[there] + right[there]] = at[there]
+        tree[base + np.minimum(leaves + gone, 2 * leaves)] = NONE
+        tree[base + leaves + at] = NONE
+        for own, a, b in ((there, at, right), (begun, left, at)):
+            rank, into = merges.find(flat[first[own] + a[own]], flat[first[own] + b[own]])
+            tree[base[own] + leaves + a[own]] = np.where(rank < 0, NONE, rank * wide + a[own])
+            becomes[base[own] + a[own]] = into
+        nodes = np.stack([at, np.minimum(gone, leaves - 1), np.where(begun, left, at)]) + leaves
+        for _ in range(leaves.bit_length() - 1):
+            nodes >>= 1
+            tree[base + nodes] = np.minimum(tree[base + 2 * nodes], tree[base + 2 * nodes + 1])
 
 
 class Kept(dict):
-    """Values of keys, made when first asked for. When it is full, the older half goes."""
+    """Packed ids of words. When it is full, the older half goes."""
 
-    def __init__(self, make, most: int = CACHED_WORDS):
+    def __init__(self, most: int = CACHED_WORDS):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key):
-        if (value := self.older.get(key)) is None:
-            value = self.make(key)
-        if len(key) <= CACHED_LENGTH:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+        self.most, self.older = most, {}
+
+    def missing(self, words) -> set[str]:
+        """The words that have to be encoded; the others are there from now on."""
+        new = words - self.keys()
+        if len(self) + len(new) > self.most:
+            self.older = dict(self)
+            self.clear()
+            new = words
+        for word in new & self.older.keys():
+            self[word] = self.older[word]
+        return new - self.keys()
+
+    def without_long(self, words) -> None:
+        """Long words are not kept."""
+        for word in words:
+            if len(word) > CACHED_LENGTH:
+                del self[word]
 
 
 class Codec:
@@ -125,7 +171,7 @@ class Codec:
         self.normalize = own.normalizer.normalize_str if own.normalizer else str
         self.cut = own.pre_tokenizer.pre_tokenize_str
         pairs = (pair if isinstance(pair, list) else pair.split(" ", 1) for pair in model["merges"])
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = Merges([(self.vocab[a], self.vocab[b], rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)])
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -133,7 +179,8 @@ class Codec:
             [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])] == SPACELESS_NORMALIZERS
             and steps[0].get("pattern", {}).get("Regex") == SPACELESS and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
         )
-        self.words, self.pieces = Kept(self.word), Kept(self.piece)
+        self.words, self.pieces = Kept(), Kept()
+        self.load_signs()
         self.load_pieces(self.vocab | self.special, bool(decoder))
 
     def load_pieces(self, ids: dict[str, int], by_bytes: bool):
@@ -151,39 +198,97 @@ class Codec:
         else:
             self.texts = pa.array(named, pa.string())
 
-    def piece(self, pre_token: str) -> bytes:
-        """Ids of a pre-token."""
-        signs = list(pre_token)
-        if signs:
-            signs[-1] += self.end
-        found = [i for s in signs if (i := self.vocab.get(s)) is not None]
-        return np.array(merged(found, self.merges), np.int32).tobytes()
-
-    def plain(self, text: str) -> bytes:
-        """Ids of a text without special strings."""
-        return b"".join([self.pieces[p] for p, _ in self.cut(self.normalize(text))])
-
-    def word(self, word: str) -> bytes:
-        """Ids of a word, or of a text, with special strings in it."""
-        if self.spaceless and word.isascii() and word.isalpha():
-            return self.pieces[word.lower()]
+    def load_signs(self):
+        """The symbol of every sign, inside a pre-token and at its end; -1 where there is none."""
+        inner = {ord(p): i for p, i in self.vocab.items() if len(p) == 1}
+        last = {ord(p[0]): i for p, i in self.vocab.items() if len(p) == 1 + len(self.end) and p.endswith(self.end)}
+        top = max([*inner, *last], default=0) + 2
+        self.inner, self.last = np.full(top, -1, np.int64), np.full(top, -1, np.int64)
+        for table_of, found in ((self.inner, inner), (self.last, last)):
+            table_of[list(found)] = list(found.values())
+
+    def encode_pre_tokens(self, pre_tokens: set[str]) -> list[str]:
+        """Put the ids of pre-tokens into the cache; the new ones."""
+        new = list(self.pieces.missing(pre_tokens))
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        signs = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = np.minimum(signs, len(self.inner) - 1)
+        first, ends = self.inner[signs], np.cumsum(lengths)
+        first[ends[lengths > 0] - 1] = self.last[signs[ends[lengths > 0] - 1]]
+        known = np.concatenate([[0], np.cumsum(first >= 0)])
+        sizes = known[ends] - known[ends - lengths]
+        flat, left = merged(first[first >= 0], sizes, self.merges)
+        raw, cuts = flat.tobytes(), (np.concatenate([[0], np.cumsum(left)]) * 4).tolist()
+        for word, a, b in zip(new, cuts, cuts[1:]):
+            self.pieces[word] = raw[a:b]
+        return new
+
+    def plain(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        return [p for p, _ in self.cut(self.normalize(text))]
+
+    def parts(self, text: str) -> list[str | int]:
+        """Pre-tokens of a text, and ids of special strings in it."""
         out, at = [], 0
-        for found in self.specials.finditer(word):
-            if found.start() > at:
-                out.append(self.plain(word[at: found.start()]))
-            out.append(np.int32(self.special[found[0]]).tobytes())
+        for found in self.specials.finditer(text):
+            out += self.plain(text[at: found.start()]) if found.start() > at else []
+            out.append(self.special[found[0]])
             at = found.end()
-        if at < len(word):
-            out.append(self.plain(word[at:]))
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text."""
-        return b"".join(map(self.words.__getitem__, WORD.findall(text))) if self.spaceless else self.word(text)
+        return out + self.plain(text[at:]) if at < len(text) else out
+
+    def many(self, words: list[str]) -> list[list[str]]:
+        """Pre-tokens of words without special strings and white space, cut in one go, joined by spaces."""
+        normal = self.normalize(" ".join(words)).split(" ")
+        if len(normal) != len(words):
+            return [self.plain(w) for w in words]
+        out, at, end = [[] for _ in words], -1, -1
+        for piece, (start, _) in self.cut(" ".join(normal)):
+            while start >= end:
+                at += 1
+                end += len(normal[at]) + 1
+            out[at].append(piece)
+        return out
+
+    def encode_words(self, words: set[str]) -> list[str]:
+        """Put the ids of words into the cache; the new ones."""
+        parts: dict[str, list[str | int]] = {}
+        joined = []
+        for word in self.words.missing(words):
+            if word.isascii() and word.isalpha():
+                parts[word] = [word.lower()]
+            elif len(word.split()) == 1 and not self.specials.search(word):
+                joined.append(word)
+            else:
+                parts[word] = self.parts(word)
+        for at in range(0, len(joined), WORDS_AT_ONCE):
+            some = joined[at: at + WORDS_AT_ONCE]
+            parts.update(zip(some, self.many(some)))
+        new = self.encode_pre_tokens({p for part in parts.values() for p in part if isinstance(p, str)})
+        for word, part in parts.items():
+            self.words[word] = self.packed(part)
+        self.pieces.without_long(new)
+        return list(parts)
+
+    def packed(self, parts: list[str | int]) -> bytes:
+        return b"".join([self.pieces[p] if isinstance(p, str) else np.int32(p).tobytes() for p in parts])
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes | None]:
+        """Packed ids of texts."""
+        if self.spaceless:
+            found = [None if t is None else WORD.findall(t) for t in texts]
+            new = self.encode_words(set().union(*(f for f in found if f)))
+            out = [None if f is None else b"".join(map(self.words.__getitem__, f)) for f in found]
+            self.words.without_long(new)
+            return out
+        parts = [None if t is None else self.parts(t) for t in texts]
+        new = self.encode_pre_tokens({p for part in parts if part for p in part if isinstance(p, str)})
+        out = [None if p is None else self.packed(p) for p in parts]
+        self.pieces.without_long(new)
+        return out
 
     def encode_column(self, texts) -> pa.ListArray:
         """Ids of a column of texts."""
-        packed = [None if text is None else self.encode(text) for text in texts.to_pylist()]
+        packed = self.encode_texts(texts.to_pylist())
         ends = np.cumsum([0] + [len(p) // 4 if p else 0 for p in packed])
         starts = pa.array(ends.astype(np.int32), mask=np.array([p is None for p in packed] + [False]))
         return pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32)))
