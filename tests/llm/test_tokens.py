@@ -81,3 +81,17 @@ def test_small_caches_change_nothing(monkeypatch):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert t.count_tokens(none, BPE).count() == 0 and p.decode(p.encode(none, MODEL), MODEL).count() == 0
+
+
+def test_decoding_of_any_ids(spark):
+    own = p.Pieces(MODEL)
+    a = own.ids["▁a"]
+    rows = [[1, 2, a, a], [a], [1], [], None, [0, a], [99_999_999, a], [-1], [1, own.ids["a"], a], [own.byte_ids[0x20], a], [None, a], [own.byte_ids[0xE2], own.byte_ids[0x82], own.byte_ids[0xAC]]]
+    got = [r.decoded for r in p.decode(spark.createDataFrame([(x,) for x in rows], "token_ids array<int>"), MODEL).collect()]
+    assert got == ["a a", "a", "", "", None, "⁇  a", "⁇  a", "⁇ ", "a a", " a", "⁇  a", "€"]
+
+
+def test_fused_decoding_is_the_same(spark):
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*texts(200), None])], "doc_id long, text string")
+    fused = {r.doc_id: r.decoded for r in p.encode(docs, MODEL, decoded="decoded").collect()}
+    assert fused == {r.doc_id: r.decoded for r in p.decode(p.encode(docs, MODEL), MODEL).collect()}

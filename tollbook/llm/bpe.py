@@ -37,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import slices, small_batches, table
+from tollbook.llm.common import CACHED_LENGTH, CACHED_WORDS, Kept, added, table
 
 # The cutting rule of files whose pre-tokens hold no white space.
 SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACELESS_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-CACHED_WORDS, CACHED_LENGTH = 150_000, 48
 WORDS_AT_ONCE, TREE_CELLS = 1_000, 1 << 20
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 NONE = 1 << 62
@@ -126,31 +125,6 @@ def _merge(flat, kept, starts, sizes, leaves, merges):
             tree[base + nodes] = np.minimum(tree[base + 2 * nodes], tree[base + 2 * nodes + 1])
 
 
-class Kept(dict):
-    """Packed ids of words. When it is full, the older half goes."""
-
-    def __init__(self, most: int = CACHED_WORDS):
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def missing(self, words) -> set[str]:
-        """The words that have to be encoded; the others are there from now on."""
-        new = words - self.keys()
-        if len(self) + len(new) > self.most:
-            self.older = dict(self)
-            self.clear()
-            new = words
-        for word in new & self.older.keys():
-            self[word] = self.older[word]
-        return new - self.keys()
-
-    def without_long(self, words) -> None:
-        """Long words are not kept."""
-        for word in words:
-            if len(word) > CACHED_LENGTH:
-                del self[word]
-
-
 class Codec:
     """Encoding and decoding by a tokenizer file. Ids are kept as packed 32-bit numbers."""
 
@@ -319,21 +293,6 @@ def loaded(path: str) -> Codec:
     return Codec(path)
 
 
-def _added(df: DataFrame, fields: list[T.StructField], source: str, make) -> DataFrame:
-    """Rows with further columns that ``make`` gives for slices of a batch."""
-    new = {f.name.lower() for f in fields}
-    kept = [c for c in df.columns if c.lower() not in new]
-    used = df.select(*[df[c] for c in kept], df[source].alias("_source")) if source.lower() in new else df.select(*[df[c] for c in kept])
-    column = "_source" if source.lower() in new else source
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, column) if pa.types.is_string(batch.column(column).type) or pa.types.is_large_string(batch.column(column).type) else [batch]:
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *make(part.column(column))], [*kept, *[f.name for f in fields]])
-
-    return small_batches(used).mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *fields]))
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Documents with their ids by the tokenizer file at ``path`` (present on all machines), and, where
     ``decoded`` names a column, what the ids decode to."""
@@ -344,12 +303,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_id
         ids = codec.encode_column(texts)
         return [ids, codec.decode_column(ids)] if decoded else [ids]
 
-    return _added(docs, fields, text, make)
+    return added(docs, fields, text, make)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
     """Rows with the text of their ids."""
-    return _added(tokens, [T.StructField(name, T.StringType())], ids, lambda lists: [loaded(path).decode_column(lists)])
+    return added(tokens, [T.StructField(name, T.StringType())], ids, lambda lists: [loaded(path).decode_column(lists)])
 
 
 def op12_bpe(spark, sf_dir):

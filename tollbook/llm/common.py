@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tollbook.session import fresh_folder
@@ -54,14 +57,62 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def slices(batch, column: str, most: int = 4 * 1024 * 1024):
-    """A batch in slices whose texts in ``column`` have about ``most`` bytes, or that hold one row."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    """A batch in slices whose texts (or numbers) in ``column`` have about ``most`` bytes, or that hold one row."""
+    values = batch.column(column)
+    listed = pa.types.is_list(values.type) or pa.types.is_large_list(values.type)
+    sizes = pc.multiply(pc.list_value_length(values), 4) if listed else pc.binary_length(values)
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         before = int(ends[start - 1]) if start else 0
         end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def added(df: DataFrame, fields: list, source: str, make) -> DataFrame:
+    """Rows with further columns (in the place of columns of their names, in any case of letters): ``make`` gives
+    them for the column ``source`` of a slice of a batch, which bounds what a worker holds."""
+    from pyspark.sql import types as T
+
+    new = {f.name.lower() for f in fields}
+    kept = [c for c in df.columns if c.lower() not in new]
+    column, used = source, df.select(*kept)
+    if source.lower() in new:  # it is replaced, but has to be read
+        column = free_name(df, "_source")
+        used = df.select(*kept, df[source].alias(column))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, column):
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *make(part.column(column))], [*kept, *[f.name for f in fields]])
+
+    return small_batches(used).mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *fields]))
+
+
+CACHED_WORDS, CACHED_LENGTH = 150_000, 48
+
+
+class Kept(dict):
+    """Packed ids of words. When it is full, the older half goes."""
+
+    def __init__(self, most: int | None = None):
+        super().__init__()
+        self.most, self.older = CACHED_WORDS if most is None else most, {}
+
+    def missing(self, words) -> set[str]:
+        """The words that have to be encoded; the others are there from now on."""
+        new = words - self.keys()
+        if len(self) + len(new) > self.most:
+            self.older = dict(self)
+            self.clear()
+            new = words
+        for word in new & self.older.keys():
+            self[word] = self.older[word]
+        return new - self.keys()
+
+    def without_long(self, words) -> None:
+        """Long words are not kept."""
+        for word in words:
+            if len(word) > CACHED_LENGTH:
+                del self[word]

@@ -10,9 +10,10 @@ piece begins, and the best is kept, as in a Viterbi pass. What "best" means is t
   gives the two again. Adding up scores instead would not give the library's ids.
 * ``scores``: the highest sum of scores.
 
-No piece holds the space mark after another character, so words are encoded one by one and
-kept in a bounded cache; a word is first cut wherever no piece holds both neighbours, so that
+No piece holds the space mark after another character, so the distinct words of a batch are encoded
+once and kept in a bounded cache; a word is first cut wherever no piece holds both neighbours, so that
 a stem is known whatever punctuation follows it. Characters that no piece holds become byte pieces.
+Decoding takes the pieces of all ids of a batch and joins them, without a step per id.
 
 Results by case: a null text has null ids and decodes to null; an empty text has no ids;
 byte pieces that are no UTF-8 decode to the replacement character; repeated rows are
@@ -27,16 +28,18 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import table
+from tollbook.llm.common import Kept, added, table
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 150_000, 1_000_000, 48
-ROWS_AT_ONCE = 1_000
+RUN = re.compile(" +[^ ]*")
+UNKNOWN = " ⁇ ".encode()
+CACHED_WORDS, CACHED_PAIRS = 100_000, 300_000  # of words and of stems; of what is known of pairs of pieces
 
 
 class Pieces:
@@ -72,8 +75,12 @@ class Pieces:
         for p in self.ids:
             self.automaton.add_word(p, (len(p), p))
         self.automaton.make_automaton()
-        self.neighbours = {a + b for p in self.ids for a, b in zip(p, p[1:])}
-        self.pairs, self.known, self.cache, self.older = {}, 0, {}, {}
+        self.neighbours = np.array(sorted({ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:])}) or [-1], np.int64)
+        self.pairs, self.known, self.words, self.stems = {}, 0, Kept(CACHED_WORDS), Kept(CACHED_WORDS)
+        spoken = {i: p.replace(MARK, " ").encode() for i, p in self.text.items()} | {i: bytes([b]) for i, b in self.bytes.items()} | dict.fromkeys(self.silent, b"")
+        top = max(spoken, default=-1) + 1
+        texts = [spoken.get(i, UNKNOWN) for i in range(top + 1)]  # the last one is that of all other ids
+        self.texts, self.spoken = pa.array(texts + [t.removeprefix(b" ") for t in texts], pa.binary()), np.array([t != b"" for t in texts])
 
     def merged(self, text: str) -> list[str]:
         """Merging by score, leftmost first: for short texts."""
@@ -144,14 +151,7 @@ class Pieces:
             size -= len(piece)
         return out[::-1]
 
-    def kept(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-        """Ids put into the cache; when it is full the older half goes."""
-        if len(self.cache) >= CACHED_WORDS:
-            self.cache, self.older = {}, self.cache
-        self.cache[word] = ids
-        return ids
-
-    def stem_ids(self, stem: str) -> tuple[int, ...]:
+    def stem_ids(self, stem: str) -> list[int]:
         """Ids of a stretch that pieces may span."""
         out: list[int] = []
         for piece in self.split(stem):
@@ -161,43 +161,68 @@ class Pieces:
                 out.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
             else:
                 out.append(self.unknown)
-        return tuple(out)
-
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of a word, by its stretches."""
-        if (known := self.older.get(word)) is not None:
-            return self.kept(word, known)
-        cuts = [i for i, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in self.neighbours]
-        if not cuts:
-            ids = self.stem_ids(word)
-        else:
-            found: list[int] = []
-            for a, b in zip([0, *cuts], [*cuts, len(word)]):
-                stem = word[a:b]
-                if (known := self.cache.get(stem) or self.older.get(stem)) is None:
-                    known = self.stem_ids(stem)
-                    if b - a <= CACHED_LENGTH:
-                        self.kept(stem, known)
-                found += known
-            ids = tuple(found)
-        return self.kept(word, ids) if len(word) <= CACHED_LENGTH else ids
+        return out
+
+    def stretches(self, words: list[str]) -> list[list[str]]:
+        """Each word cut wherever no piece holds both neighbours."""
+        whole, lengths = "".join(words), np.fromiter(map(len, words), np.int64, len(words))
+        if not whole:
+            return [[] for _ in words]
+        signs = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = signs[:-1] << 21 | signs[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pairs), len(self.neighbours) - 1)
+        begins = np.append(True, self.neighbours[at] != pairs)
+        starts = np.cumsum(lengths) - lengths
+        begins[starts[lengths > 0]] = True
+        cuts = np.append(np.flatnonzero(begins), len(whole)).tolist()
+        stems = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+        ends = np.searchsorted(cuts, np.append(starts, len(whole))).tolist()
+        return [stems[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode_words(self, words: set[str]) -> list[str]:
+        """Put the packed ids of words into the cache; the new ones."""
+        new = list(self.words.missing(words))
+        stretches = self.stretches([w.replace(" ", MARK) for w in new])
+        stems = self.stems.missing(set().union(*stretches))
+        for stem in stems:
+            self.stems[stem] = np.array(self.stem_ids(stem), np.int32).tobytes()
+        for word, own in zip(new, stretches):
+            self.words[word] = b"".join([self.stems[s] for s in own])
+        self.stems.without_long(stems)
+        return new
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes | None]:
+        """Packed ids of texts: a space is put before each, spaces are marks."""
+        found = [t and (RUN.findall(" " + t) if MARK not in t else WORD.findall(MARK + t.replace(" ", MARK))) for t in texts]
+        new = self.encode_words(set().union(*(f for f in found if f)))
+        out = [None if t is None else b"".join(map(self.words.__getitem__, f or ())) for t, f in zip(texts, found)]
+        self.words.without_long(new)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text: a space is put before it, spaces become marks."""
-        if not text:
-            return []
-        ids: list[int] = []
-        for word in WORD.findall(MARK + text.replace(" ", MARK)):
-            ids += self.cache.get(word) or self.word_ids(word)
-        return ids
+        """Ids of a text."""
+        return np.frombuffer(self.encode_texts([text])[0], np.int32).tolist()
+
+    def decode_column(self, lists) -> pa.StringArray:
+        """Texts of a column of ids, without the space put before them."""
+        ids, last = lists.flatten(), len(self.texts) // 2 - 1
+        known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, last))
+        ids = pc.fill_null(pc.if_else(known, ids, last), last).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.append(0, np.cumsum(sizes))
+        spoken = np.append(0, np.cumsum(self.spoken[ids]))
+        first = np.searchsorted(spoken, spoken[ends[:-1]], "right") - 1  # the first of a list's ids that says something
+        ids[first[first < ends[1:]]] += last + 1
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), self.texts.take(pa.array(ids))), b"")
+        try:
+            whole = whole.cast(pa.string())
+        except pa.ArrowInvalid:
+            whole = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+        return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.string()))
 
     def decode(self, ids) -> str:
-        """The text of ids, without the space put before it."""
-        if not self.bytes.keys().isdisjoint(ids):
-            whole = b"".join(bytes([self.bytes[i]]) if i in self.bytes else self.text.get(i, "" if i in self.silent else " ⁇ ").encode() for i in ids).decode("utf-8", "replace")
-        else:
-            whole = "".join([self.text.get(i, "" if i in self.silent else " ⁇ ") for i in ids])
-        return whole.replace(MARK, " ").removeprefix(" ")
+        """The text of ids."""
+        return self.decode_column(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py()
 
 
 @lru_cache(2)
@@ -208,38 +233,28 @@ def loaded(path: str, rule: str) -> Pieces:
 
 def _encoded(column, pieces: Pieces) -> pa.ListArray:
     """Ids of a column of texts."""
-    found = [None if (x := v.as_py()) is None else np.array(pieces.encode(x), np.int32) for v in column]
-    ends = np.cumsum([0] + [0 if x is None else len(x) for x in found]).tolist()
-    flat = np.concatenate([np.zeros(0, np.int32), *(x for x in found if x is not None)])
-    return pa.ListArray.from_arrays(pa.array([None if x is None else a for a, x in zip(ends, found)] + ends[-1:], pa.int32()), pa.array(flat))
-
-
-def _decoded(column, pieces: Pieces) -> pa.StringArray:
-    """Texts of a column of ids."""
-    ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return pa.array([None if null else pieces.decode(ids[a:b].tolist()) for null, a, b in zip(column.is_null().to_pylist(), ends, ends[1:])], pa.string())
-
-
-def _mapped(df: DataFrame, path: str, rule: str, name: str, source: str, kind, convert) -> DataFrame:
-    kept = [c for c in df.columns if c.lower() != name.lower()]
-    df = df.select(*[df[c] for c in kept])
+    packed = pieces.encode_texts(column.to_pylist())
+    ends = np.cumsum([0] + [len(p) // 4 if p else 0 for p in packed]).astype(np.int32)
+    starts = pa.array(ends, mask=np.array([p is None for p in packed] + [False]))
+    return pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32)))
 
-    def run(batches):
-        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
-            made = convert(batch.column(source), loaded(path, rule))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_ids", rule: str = "merges", decoded: str | None = None) -> DataFrame:
+    """Documents with their ids by the model file at ``path`` (present on all machines), and, where ``decoded``
+    names a column, the text that the ids decode to, in the same pass."""
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
+    def make(texts):
+        pieces = loaded(path, rule)
+        ids = _encoded(texts, pieces)
+        return [ids, pieces.decode_column(ids)] if decoded else [ids]
 
-def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_ids", rule: str = "merges") -> DataFrame:
-    """Documents with their ids by the model file at ``path`` (present on all machines)."""
-    return _mapped(docs, path, rule, name, text, T.ArrayType(T.IntegerType()), _encoded)
+    return added(docs, fields, text, make)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded", rule: str = "merges") -> DataFrame:
     """Rows with the text of their ids."""
-    return _mapped(tokens, path, rule, name, ids, T.StringType(), _decoded)
+    return added(tokens, [T.StructField(name, T.StringType())], ids, lambda lists: [loaded(path, rule).decode_column(lists)])
 
 
 def op6_sentencepiece(spark, sf_dir):
@@ -248,6 +263,6 @@ def op6_sentencepiece(spark, sf_dir):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path), path)
+    out = encode(docs, path, decoded="decoded")
     return out.select("doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("token_ids").alias("ids_hash"),
                       F.length("decoded").cast("long").alias("decoded_chars"), F.crc32("decoded").alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
