@@ -63,3 +63,13 @@ def test_odd_rows(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    say = lambda word: " ".join(f"{word}{i} and" for i in range(40))
+    rows = [(1, say("a"), "en"), (1, say("a"), "de"), (1, say("b"), "en"), (2, say("b") + " more", "en"), (3, say("c"), "en"), (4, say("c"), "en"), (4, say("d"), "en"), (4, None, "en"), (4, None, "en"), (5, "", "en"), (None, say("a"), "en"), (None, say("a"), "en")]
+    docs = spark.createDataFrame([(*r, {"k": 1}, 7) for r in rows], "doc_id long, text string, lang string, more map<string,int>, _row int")
+    kept = sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.jaccard_join(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, say("a"), "de"), (1, say("b"), "en"), (3, say("c"), "en"), (4, say("d"), "en"), (4, None, "en"), (4, None, "en"), (5, "", "en"), (None, say("a"), "en"), (None, say("a"), "en")], key=str)
+    far = docs.select(F.when(F.col("doc_id") == 5, F.lit((1 << 63) - 1)).otherwise(F.col("doc_id")).alias("doc_id"), "text", "lang")
+    assert corpus_pipeline.jaccard_join(spark, far, "").count() == len(kept)

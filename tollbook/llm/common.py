@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,6 +74,22 @@ def slices(batch, column: str, most: int = 4 * 1024 * 1024):
         start = end
 
 
+def tidy(run):
+    """A function of batches that leaves a worker's free memory to the system when its task ends: workers are
+    kept for later tasks, and what each kind of task once needed would add up."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def added(df: DataFrame, fields: list, source: str, make) -> DataFrame:
     """Rows with further columns (in the place of columns of their names, in any case of letters): ``make`` gives
     them for the column ``source`` of a slice of a batch, which bounds what a worker holds."""
@@ -87,7 +107,7 @@ def added(df: DataFrame, fields: list, source: str, make) -> DataFrame:
             for part in slices(batch, column):
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *make(part.column(column))], [*kept, *[f.name for f in fields]])
 
-    return small_batches(used).mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *fields]))
+    return small_batches(used).mapInArrow(tidy(run), T.StructType([*[df.schema[c] for c in kept], *fields]))
 
 
 CACHED_WORDS, CACHED_LENGTH = 150_000, 48

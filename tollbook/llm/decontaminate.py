@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import free_name, parts, table
+from tollbook.llm.common import free_name, parts, small_batches, table, tidy
 
 WINDOW, SHARE, SHORT = 8, 0.5, 5
 ENOUGH, VERBATIM = 13, 26  # equal words of an item of any length; such that count in a row although other slots conflict
 SLICE_WORDS = 400_000  # words of the benchmark that tasks hold at once
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 UNITS = {
     "mm", "cm", "m", "km", "inch", "inches", "ft", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres",
     "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
@@ -247,10 +247,10 @@ class Benchmark:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", slice_words: int = SLICE_WORDS, name: str = "leaks") -> DataFrame:
     """Kept columns of every document with ``leaks`` (or as named): the items it holds. A benchmark larger than a slice takes a pass for each slice."""
     keep = [c for c in keep if c.lower() != name.lower()]
-    body = free_name(docs, "_text")
+    body = text if text in keep else free_name(docs, "_text")  # a text that is kept is sent once
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
     slices = parts(items.select(F.sum(F.size(F.split("t", r"\s+")))).first()[0], slice_words)
-    out = docs.select(*[docs[c] for c in keep], docs[text].alias(body), F.expr("cast(array() as array<struct<item_id:long,equal_words:int,item_words:int,changed_slots:int>>)").alias(name))
+    out = docs.select(*[docs[c] for c in keep], *([] if text in keep else [docs[text].alias(body)]), F.expr("cast(array() as array<struct<item_id:long,equal_words:int,item_words:int,changed_slots:int>>)").alias(name))
     for k in range(slices):
         held = Benchmark(items.filter(F.pmod(F.xxhash64("t", "i"), F.lit(slices)) == k).orderBy("i", "t").toPandas().itertuples(index=False, name=None))
 
@@ -260,8 +260,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
                 found = [before + held.leaks(lexicon.look(x.as_py() or "")) for before, x in zip(batch.column(name).to_pylist(), batch.column(body))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, ARROW_LEAK)], batch.schema.names)
 
-        out = out.mapInArrow(run, T.StructType([*out.schema.fields[:-1], T.StructField(name, LEAK)]))
-    return out.drop(body)
+        out = small_batches(out).mapInArrow(tidy(run), T.StructType([*out.schema.fields[:-1], T.StructField(name, LEAK)]))
+    return out if text in keep else out.drop(body)
 
 
 def op9_decontamination(spark, sf_dir):

@@ -36,11 +36,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import few, parts, staged, table
+from tollbook.llm.common import few, parts, small_batches, staged, table, tidy
 from tollbook.llm.components import components
 from tollbook.llm.decontaminate import windows
 
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 BLOCK_DOCS, BLOCK_KEYS = 16_384, 3_000_000
 KEYS_PER_TASK = 1_500_000
 GROUP_TOKENS, GROUP_QUERIES = 200_000, 200_000  # tokens of a group's members; tokens of the queries beside it in a task
@@ -90,7 +90,7 @@ def shingled(docs: DataFrame, key: str, text: str, n: int, keep_tokens: bool) ->
                 columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "set_key", "tokens"][: len(columns)])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, set_key string" + ", tokens binary" * keep_tokens)
+    return small_batches(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))).mapInArrow(tidy(run), "doc long, n long, set_key string" + ", tokens binary" * keep_tokens)
 
 
 def least_size(size: int, percent: int) -> int:
@@ -195,7 +195,7 @@ def packed_keys(docs: DataFrame, key: str, text: str, n: int, percent: int, task
                     yield from block.rows()
         yield from block.rows()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "task int, sizes array<int>, packed binary")
+    return small_batches(docs.select(F.col(key).cast("long"), text)).mapInArrow(tidy(run), "task int, sizes array<int>, packed binary")
 
 
 def shared_keys(batches):
@@ -293,7 +293,7 @@ def inside(matrix: DataFrame, percent: int) -> DataFrame:
                     group.ask(a, group.places[start: start + size], int(size), True)
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in group.links], pa.int64()), pa.array([b for _, b in group.links], pa.int64())], ["a", "b"])
 
-    return matrix.mapInArrow(run, "a long, b long")
+    return matrix.mapInArrow(tidy(run), "a long, b long")
 
 
 def opened(queries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
@@ -328,7 +328,7 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     packed = packed_keys(source, key, text, n, percent, tasks).repartitionById(tasks, F.col("task"))
     own_class = nodes.select("doc", "set_key").distinct()
     named = own_class.join(classes, "set_key").select("doc", F.col("rep").alias("node"), "n")
-    shared = packed.mapInArrow(shared_keys, "key long, doc long").join(few(named), "doc")
+    shared = packed.mapInArrow(tidy(shared_keys), "key long, doc long").join(few(named), "doc")
     shared = staged(shared.groupBy("key", "node").agg(F.max("n").alias("n")), "shared-keys")
     # of keys that the same nodes share one is enough
     who = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import few, staged, table
+from tollbook.llm.common import few, small_batches, staged, table, tidy
 from tollbook.llm.quality import fold
 from tollbook.llm.url_filters import host_and_path
 
@@ -101,7 +101,7 @@ def fit_text(docs: DataFrame, text: str = "text", label: str = "lang", key: str
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held)), pa.array(held), pa.array(n[held])], ["lang", "bucket", "n"])
 
     names = set(names_in_order)
-    sums = rows.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = small_batches(rows).mapInArrow(tidy(counted), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     logs = np.full((BUCKETS, len(names_in_order)), -np.log(BUCKETS))
     column = {x: k for k, x in enumerate(names_in_order)}
     for lang, held in sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("held")).toLocalIterator():  # at most BUCKETS pairs each
@@ -125,7 +125,7 @@ def usual(rows: DataFrame, languages: list[str], logs: np.ndarray) -> np.ndarray
                     out.append((lang, float(own.mean()), float(own.var()), len(own)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.float64(), pa.float64(), pa.int64()))], ["lang", "own", "single", "n"])
 
-    found = rows.mapInArrow(run, "lang string, own double, single double, n long").groupBy("lang").agg(
+    found = small_batches(rows).mapInArrow(tidy(run), "lang string, own double, single double, n long").groupBy("lang").agg(
         F.count(F.lit(1)).alias("rows"), (F.sum(F.col("own") * F.col("n")) / F.sum("n")).alias("own"), F.var_pop("own").alias("var"), (F.sum(F.col("single") * F.col("n")) / F.sum("n")).alias("single")).collect()
     out = np.array([[0.0], [1.0], [1.0]]).repeat(len(languages), 1)
     for r in found:
@@ -145,7 +145,7 @@ def with_text_scores(rows: DataFrame, model: TextModel, keep: list[str], text: s
     source = rows.select(*[rows[c] for c in keep], rows[text].alias("_text"))
     from pyspark.sql import types as T
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("text_scores", T.ArrayType(T.DoubleType()))]))
+    return small_batches(source).mapInArrow(tidy(run), T.StructType([*source.schema.fields[:-1], T.StructField("text_scores", T.ArrayType(T.DoubleType()))]))
 
 
 def softmax(scores: Column) -> Column:

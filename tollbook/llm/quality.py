@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import free_name, table
+from tollbook.llm.common import free_name, small_batches, table, tidy
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -152,15 +152,17 @@ def measured(docs: DataFrame, text: str, keep: list[str], then=None, name: str =
     """Kept columns and the measures of the text, or what ``then`` makes of a batch of them."""
     keep = [c for c in keep if c.lower() != name.lower()]
     arrow = pa.list_(pa.float64()) if then is None else pa.float64()
+    sent = [docs[c] for c in keep] + ([] if text in keep else [docs[text].alias(free_name(docs, "_text"))])  # a text that is kept is sent once
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         for batch in batches:
-            rows = [measures(x.as_py() or "") for x in batch.column(len(keep))]
+            rows = [measures(x.as_py() or "") for x in batch.column(at)]
             values = rows if then is None else then(np.array(rows, float).reshape(-1, len(MEASURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, arrow)], [*keep, name])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, kind or T.ArrayType(T.DoubleType()))])
-    return docs.select(*[docs[c] for c in keep], docs[text].alias(free_name(docs, "_text"))).mapInArrow(run, schema)
+    return small_batches(docs.select(*sent)).mapInArrow(tidy(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
