@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollbook.llm import decontaminate, jaccard, language, pieces, quality
 from tollbook.llm.common import few, free_name, staged, table
+from tollbook.operators.numbering import numbered
 
 SHINGLE, PERCENT = 5, 80  # words and similarity of near-duplicates
 
@@ -32,29 +34,48 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Rows of one id count as one document."""
-    found = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
-    double = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_double")).distinct()
-    kept = docs.join(few(double), docs["doc_id"] == F.col("_double"), "left_anti")
-    repeated = few(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated")))
-    at = kept["doc_id"] == F.col("_repeated")
-    return kept.join(repeated, at, "left_anti").unionByName(kept.join(repeated, at, "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group of near-duplicates: the one with the smallest id, of several rows of that id the
+    first by text and further columns. Rows are judged one by one: of an id with several rows those stay whose texts
+    are neither equal nor linked to a kept one. Null ids, null and empty texts stay, as they are linked with nothing; a very long text is
+    one set of n-grams, whole; an empty table stays empty."""
+    row, rank, of = (free_name(docs, name) for name in ("_row", "_rank", "_of"))
+    repeated = staged(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(of)), "repeated-ids")
+    at = docs["doc_id"] == F.col(of)
+    single = docs.join(repeated, at, "left_anti").withColumn(row, F.col("doc_id"))
+    several = numbered(docs.join(repeated, at, "left_semi"), ["doc_id", "text", *ordered_columns(docs)], rank)
+    # rows of repeated ids get numbers that no id has
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    several = several.withColumn(row, F.lit(high or 0) + F.col(rank) if (high or 0) < 1 << 62 else F.lit(low) - F.col(rank))
+    every = single.select(row, "doc_id", "text").unionByName(several.select(row, "doc_id", "text"))
+    found = jaccard.jaccard_components(every.select(row, "text"), SHINGLE, PERCENT, key=row).filter(F.col(row).isNotNull())
+    named = found.join(several.select(F.col(row).alias("_number"), F.col("doc_id").alias("_id")), F.col(row) == F.col("_number"), "left")
+    order = F.struct(F.coalesce("_id", row).alias("id"), F.col(row).alias("row"))
+    first = named.groupBy("component_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    double = found.join(first, "component_id").filter(F.col(row) != F.col("first.row")).select(F.col(row).alias("_double"))
+    double = staged(double, "double-rows")
+    left = lambda part: part.join(double, part[row] == F.col("_double"), "left_anti").select(*docs.columns)
+    return left(single).unionByName(left(several))
+
+
+def ordered_columns(docs: DataFrame) -> list[str]:
+    """Columns other than id and text whose values have an order."""
+    return [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; a very long text is looked through whole."""
     name = free_name(docs, "_leaks")
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), docs.columns, name=name).filter(F.size(name) == 0).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and whether decoding gives the text again."""
+    """Documents with their token ids, and whether decoding gives the text again. A null text has null ids and no
+    count, an empty one no ids; a very long text is encoded whole."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(docs, path)
-    name = free_name(encoded, "_decoded")
-    out = pieces.decode(encoded, path, name=name)
+    name = free_name(docs, "_decoded")
+    out = pieces.encode(docs, path, decoded=name)
     return out.withColumns({"n_tokens": F.size("token_ids").cast("long"), "exact": F.col(name).eqNullSafe(F.col("text"))}).drop(name)
 
 
