@@ -41,8 +41,8 @@ from tollbook.llm.components import components
 from tollbook.llm.decontaminate import windows
 
 WORDS_KEPT = 200_000
-BLOCK_DOCS, BLOCK_KEYS = 16_384, 3_000_000
-KEYS_PER_TASK = 1_500_000
+BLOCK_DOCS, BLOCK_KEYS = 16_384, 1_000_000
+KEYS_PER_TASK = 1_000_000
 GROUP_TOKENS, GROUP_QUERIES = 200_000, 200_000  # tokens of a group's members; tokens of the queries beside it in a task
 LEVEL, SLACK, SEEDS = 1.5, 1.15, 4
 U64 = np.uint64

@@ -39,7 +39,7 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 RUN = re.compile(" +[^ ]*")
 UNKNOWN = " ⁇ ".encode()
-CACHED_WORDS, CACHED_PAIRS = 100_000, 300_000  # of words and of stems; of what is known of pairs of pieces
+CACHED_WORDS, CACHED_PAIRS = 40_000, 150_000  # of words and of stems; of what is known of pairs of pieces
 
 
 class Pieces:
