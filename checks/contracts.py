@@ -146,6 +146,11 @@ CONTRACTS = {
     "ingest_claude_code_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
     "ingest_claude_code_tool_calls": "session_id:s seq:l agent:s msg_id:s tool_use_id:s tool_name:s tool_kind:s file_path_raw:s file_path:s command_head:s input_chars:l old_string_chars:l new_string_chars:l "
                                      "read_offset:l read_limit:l result_chars:l result_hash:s is_error:b error_head:s result_latency_ms:l",
+    "ingest_inventory": "session_id:s agent:s fmt:s status:s filled:b",
+    "ingest_document_messages": "session_id:s version:s directory:s seq:l role:s text:s",
+    "ingest_files_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
+    "ingest_files_turns": "session_id:s seq:l agent:s text:s chars:l human_chars:l is_meta:b is_interrupt:b is_slash_command:b",
+    "ingest_files_totals": "agent:s calls:l tool_calls:l user_turns:l events:l sessions:l bad_lines:l",
     "ingest_errors": "session_id:s line_no:l exception:s",
     "ingest_records": "session_id:s seq:l a:l",
     "ingest_codex_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",

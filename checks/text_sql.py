@@ -6,7 +6,10 @@ from checks.base_sql import PARTS, n_if, pc, rt
 
 NL = "chr(10)"
 PARTS.update({
-    "x_talk": "SELECT concat('c', conv_id) AS sid, CAST(turn AS INT) AS turn, role, text FROM conversations",
+    "x_talk": "SELECT concat('c', conv_id) AS sid, CAST(turn AS INT) AS turn, role, text, conv_id FROM conversations",
+    "x_filed": """
+SELECT concat('c', conv_id % 25) AS sid, CAST(row_number() OVER (PARTITION BY conv_id % 25 ORDER BY conv_id, turn, role NULLS FIRST, text NULLS FIRST) - 1 AS INT) AS turn, role, text, conv_id % 25 AS n
+FROM conversations WHERE conv_id IS NOT NULL""",
     "x_listing": f"""
 SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'claude_code' ELSE 'opencode' END AS agent,
        CASE doc_id % 4 WHEN 0 THEN array_to_string(list_transform(string_split(text, {NL}), lambda x, i: concat(i, chr(9), x)), {NL})
@@ -130,11 +133,27 @@ for _fmt in ("claude_code", "codex", "cursor", "opencode"):
 SELECT sid AS session_id, turn * {2 if _fmt == 'codex' else 1} AS seq, '{_fmt}' AS agent, text, length(text) AS chars, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS human_chars,
        length(text) > 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' AS is_meta, contains(text, '[Request interrupted by') AS is_interrupt,
        regexp_matches(text, '^\\s*/([^/]|$)') AS is_slash_command FROM x_talk WHERE role = 'user'"""
-SQL["ingest_totals"] = f"""
-WITH k AS (SELECT {n_if("role = 'user'")} AS u, {n_if("role = 'assistant'")} AS a, {n_if("role NOT IN ('user', 'assistant')")} AS s, {n_if("role NOT IN ('user', 'assistant') AND text <> ''")} AS t FROM x_talk)
-SELECT 'claude_code' AS agent, a AS calls, 0 AS tool_calls, u AS user_turns, s AS events, 0 AS sessions, 0 AS bad_lines FROM k
-UNION ALL SELECT 'codex', a, 0, u, 2 * s, 0, 0 FROM k UNION ALL SELECT 'cursor', a, 0, u, s, 0, 0 FROM k UNION ALL SELECT 'opencode', a + t, 0, u, 0, 0, 0 FROM k
-UNION ALL SELECT NULL, 0, 0, 0, 0, 0, (SELECT count(*) FROM x_talk WHERE turn = 0)"""
+SQL["ingest_totals"] = " UNION ALL ".join(f"""
+SELECT '{a}' AS agent, {calls} AS calls, 0 AS tool_calls, {n_if("role = 'user'")} AS user_turns, {events} AS events,
+       count(DISTINCT sid) + count(DISTINCT CASE WHEN conv_id % 4 = {k} THEN conv_id END) AS sessions, {n_if(f"turn = 0 AND conv_id % 4 = {k}")} AS bad_lines FROM x_talk"""
+    for k, (a, calls, events) in enumerate([
+        ("claude_code", n_if("role = 'assistant'"), n_if("role NOT IN ('user', 'assistant')")), ("codex", n_if("role = 'assistant'"), "2 * " + n_if("role NOT IN ('user', 'assistant')")),
+        ("cursor", n_if("role = 'assistant'"), n_if("role NOT IN ('user', 'assistant')")), ("opencode", n_if("role = 'assistant' OR role <> 'user' AND text <> ''"), "0")]))
+SQL["ingest_inventory"] = """
+SELECT concat('c', n) AS session_id, CASE WHEN n = 23 THEN 'aider' WHEN n < 24 THEN fmt END AS agent, CASE WHEN n < 23 AND fmt <> 'cursor' THEN fmt END AS fmt,
+       CASE WHEN n = 24 THEN 'unplanned_file' WHEN n = 23 THEN 'skipped_agent' WHEN fmt = 'cursor' THEN 'not_planned' WHEN n = 22 THEN 'empty' WHEN found THEN 'present' ELSE 'absent' END AS status,
+       CASE WHEN n = 22 THEN false WHEN found THEN true END AS filled
+FROM (SELECT n, n NOT IN (20, 21, 22) AND n IN (SELECT conv_id % 25 FROM conversations) AS found, CASE n % 4 WHEN 0 THEN 'claude_code' WHEN 1 THEN 'codex' WHEN 2 THEN 'cursor' ELSE 'opencode' END AS fmt
+      FROM (SELECT unnest(range(25)) AS n)) x
+WHERE n < 24 OR found UNION ALL SELECT 'c99', NULL, NULL, 'unknown_id', NULL"""
+SQL["ingest_document_messages"] = "SELECT sid AS session_id, '1.0' AS version, '/w' AS directory, turn AS seq, role, text FROM x_filed WHERE n % 4 = 3 AND n < 20"
+SQL["ingest_files_calls"] = " UNION ALL ".join(f"SELECT * FROM ({SQL[f'ingest_{a}_calls'].replace('x_talk', f'(SELECT * FROM x_filed WHERE n < 20 AND n % 4 = {k}) f')}) q" for k, a in enumerate(["claude_code", "codex", "cursor", "opencode"]))
+SQL["ingest_files_turns"] = " UNION ALL ".join(f"SELECT * FROM ({SQL[f'ingest_{a}_turns'].replace('x_talk', f'(SELECT * FROM x_filed WHERE n < 20 AND n % 4 = {k}) f')}) q" for k, a in enumerate(["claude_code", "codex", "cursor", "opencode"]))
+SQL["ingest_files_totals"] = " UNION ALL ".join(f"""
+SELECT '{a}' AS agent, {calls} AS calls, 0 AS tool_calls, {n_if("role = 'user'")} AS user_turns, {events} AS events, {6 if k < 3 else 5} AS sessions, 0 AS bad_lines FROM x_filed WHERE n < 20 AND n % 4 = {k}"""
+    for k, (a, calls, events) in enumerate([
+        ("claude_code", n_if("role = 'assistant'"), n_if("role NOT IN ('user', 'assistant')")), ("codex", n_if("role = 'assistant'"), "2 * " + n_if("role NOT IN ('user', 'assistant')")),
+        ("cursor", n_if("role = 'assistant'"), n_if("role NOT IN ('user', 'assistant')")), ("opencode", n_if("role = 'assistant' OR role <> 'user' AND text <> ''"), "0")])) + " UNION ALL SELECT NULL, 0, 0, 0, 0, 1, 0"
 SQL["ingest_claude_code_events"] = "SELECT sid AS session_id, turn AS seq, 'system' AS event_type, 'note' AS subtype, length(text) AS payload_chars FROM x_talk WHERE role NOT IN ('user', 'assistant')"
 
 SQL["probe_read_measures"] = f"""

@@ -12,7 +12,8 @@ from tollbook.schemas import LEDGER, conform
 from tollbook.session import configure, fresh_folder
 from tollbook.sources.catalog import plan_inputs, scan_catalog
 from tollbook.sources.ledger import Ledger
-from tollbook.sources.transcripts import document_messages, parsed_lines, scan_documents, scan_jsonl, split_errors
+from tollbook.sources.inventory import planned_files
+from tollbook.sources.transcripts import DOCUMENT_BYTES, parsed_lines, scan_jsonl, scan_messages, split_errors
 
 LINE_PARSERS = {"claude_code": claude_code.parse, "codex": codex.parse, "cursor": cursor.parse}
 FACTS = ["calls", "tool_calls", "user_turns", "events"]
@@ -41,13 +42,14 @@ def _staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def build_ledger(spark: SparkSession, catalog: str, transcripts: str, agents: list[str] | None = None,
-                 ids: DataFrame | None = None, limit: int | None = None) -> tuple[Ledger, DataFrame]:
-    """(ledger, errors) of a catalog file and a folder of transcripts."""
+                 ids: DataFrame | None = None, limit: int | None = None, whole_bytes: int = DOCUMENT_BYTES) -> tuple[Ledger, DataFrame]:
+    """(ledger, errors) of a catalog file and a folder of transcripts. Documents of more than ``whole_bytes`` are read by several tasks."""
     configure(spark)
     sessions = scan_catalog(spark, catalog)
     plan = plan_inputs(sessions, agents, ids, limit)
-    records, bad_lines = split_errors(_staged(parsed_lines(scan_jsonl(spark, transcripts, plan)), "records"))
-    messages, bad_documents = document_messages(_staged(scan_documents(spark, transcripts, plan), "documents"))
+    files = planned_files(spark, transcripts, plan)
+    records, bad_lines = split_errors(_staged(parsed_lines(scan_jsonl(spark, transcripts, plan, files)), "records"))
+    messages, bad_documents = scan_messages(spark, transcripts, plan, files, whole_bytes)
     ledger = gather([*parse_lines(records), opencode.parse(messages)], sessions)
     return ledger, bad_lines.unionByName(bad_documents)
 

@@ -7,14 +7,17 @@ import threading
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tollbook.ingest import claude_code, codex, cursor, opencode
-from tollbook.ingest.build import gather_facts, ingest_totals
+from tollbook.ingest.build import build_ledger, gather_facts, ingest_totals
 from tollbook.ingest.common import Parts, in_ledger_shape
 from tollbook.functions.metrics import rows
 from tollbook.plans import labels as lab, probes, reconcile, verdicts
 from tollbook.plans.studies import cause_shares
 from tollbook.plans.workspace import Workspace
-from tollbook.sources.testbed import broken_lines, conversation_lines, conversation_messages, conversation_tools
-from tollbook.sources.transcripts import parsed_lines, split_errors
+from tollbook.session import fresh_folder
+from tollbook.sources.catalog import plan_inputs, scan_catalog
+from tollbook.sources.inventory import inventory, list_empty_files, list_files
+from tollbook.sources.testbed import broken_lines, conversation_lines, conversation_messages, conversation_tools, write_transcripts
+from tollbook.sources.transcripts import parsed_lines, scan_messages, split_errors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +52,59 @@ def parts(ws: Workspace, spark: SparkSession, sf_dir: str, fmt: str) -> Parts:
 
 
 def _totals(ws, spark, sf_dir):
-    nobody = ws.sessions.limit(0)
-    ledger = gather_facts([parts(ws, spark, sf_dir, f) for f in AGENTS], nobody)
-    broken = split_errors(parsed_lines(_table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").cast("int").alias("seq"),
-        F.when(F.col("turn") == 0, "{oops").otherwise("{}").alias("line"))))[1]
-    return ingest_totals(ledger, broken)
+    """Ingest totals: every conversation is a session of each harness; sessions named b... hold a bad line, one harness in turn."""
+    c = _table(spark, sf_dir, "conversations")
+    number = F.col("conv_id").cast("string")
+    broken = split_errors(parsed_lines(c.select(
+        F.concat(F.lit("b"), number).alias("session_id"), F.col("turn").cast("int").alias("seq"), F.when(F.col("turn") == 0, "{oops").otherwise("{}").alias("line"))))[1]
+    talks = c.select("conv_id").distinct()
+    names = F.array(*[F.lit(a) for a in AGENTS])
+    sessions = talks.select(F.concat(F.lit("c"), number).alias("session_id"), F.explode(names).alias("agent")).unionByName(
+        talks.select(F.concat(F.lit("b"), number).alias("session_id"), F.element_at(names, (F.pmod("conv_id", F.lit(4)) + 1).cast("int")).alias("agent")))
+    return ingest_totals(gather_facts([parts(ws, spark, sf_dir, f) for f in AGENTS], sessions), broken)
+
+
+# ---------------------------------------------------------------- files
+
+WHOLE_BYTES = 16 * 1024  # of the documents: most are read as larger ones are
+
+
+def filed(ws: Workspace, spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The conversations written as transcript files, with a catalog; once per workspace."""
+    with _BUILD:
+        if "files" not in ws.notes:
+            ws.notes["files"] = write_transcripts(spark, _table(spark, sf_dir, "conversations"), fresh_folder(spark, "files"))
+        return ws.notes["files"]
+
+
+def files_ledger(ws: Workspace, spark: SparkSession, sf_dir: str):
+    """(ledger, errors) read from the files."""
+    where = filed(ws, spark, sf_dir)
+    with _BUILD:
+        if "files_ledger" not in ws.notes:
+            ws.notes["files_ledger"] = build_ledger(spark, *where, whole_bytes=WHOLE_BYTES)
+        return ws.notes["files_ledger"]
+
+
+def _from_files(table: str, cols: list[str]):
+    return lambda ws, spark, sf_dir: getattr(files_ledger(ws, spark, sf_dir)[0], table).select(*cols)
+
+
+def _inventory(ws, spark, sf_dir):
+    """Sessions and files side by side; ids 1 and 99 are asked for besides those of the catalog."""
+    listed, folder = filed(ws, spark, sf_dir)
+    sessions = scan_catalog(spark, listed)
+    plan = plan_inputs(sessions, agents=["claude_code", "codex", "opencode"])
+    ids = spark.createDataFrame([("c1",), ("c99",)], "session_id string").unionByName(sessions.select("session_id"))
+    found = inventory(sessions, list_files(spark, folder).unionByName(list_empty_files(spark, folder)), plan, ids)
+    return found.select("session_id", "agent", "fmt", "status", (F.col("bytes") > 0).alias("filled"))
+
+
+def _document_messages(ws, spark, sf_dir):
+    listed, folder = filed(ws, spark, sf_dir)
+    plan = plan_inputs(scan_catalog(spark, listed), agents=["opencode"])
+    found = scan_messages(spark, folder, plan, upto=WHOLE_BYTES)[0]
+    return found.select("session_id", "version", "directory", "seq", F.try_variant_get("v", "$.info.role", "string").alias("role"), F.try_variant_get("v", "$.parts[0].text", "string").alias("text"))
 
 
 CALL_COLUMNS = ["session_id", "seq", "agent", "model", "output_tokens", "n_text_chars", "n_tool_uses", "text_head", "stop_reason"]
@@ -268,6 +318,11 @@ TEXT_QUERIES = {
     "ingest_totals": _totals,
     "ingest_claude_code_events": _parsed("claude_code", "events", EVENT_COLUMNS),
     "ingest_claude_code_tool_calls": _tool_calls,
+    "ingest_inventory": _inventory,
+    "ingest_document_messages": _document_messages,
+    "ingest_files_calls": _from_files("calls", CALL_COLUMNS),
+    "ingest_files_turns": _from_files("user_turns", TURN_COLUMNS),
+    "ingest_files_totals": lambda ws, s, d: ingest_totals(*files_ledger(ws, s, d)),
     "ingest_errors": lambda ws, s, d: _broken(ws, s, d)[1].select("session_id", "line_no", "exception"),
     "ingest_records": _kept_records,
     "probe_read_measures": _plain(lambda s, d: _read(s, d).select(*READ_COLUMNS)),

@@ -6,8 +6,11 @@ an independent engine can rebuild the very same ledger.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tollbook.operators.numbering import numbered
 from tollbook.schemas import LEDGER, conform
 from tollbook.sources.ledger import Ledger
 
@@ -174,3 +177,44 @@ def broken_lines(conversations: DataFrame) -> DataFrame:
     line = (F.when(kind == 0, F.concat(text, text)).when(kind == 1, F.concat(text, F.lit(" more"))).when(kind == 2, F.concat(F.lit('{"a":0,"a":'), F.col("turn").cast("string"), F.lit("}")))
             .when(kind == 3, F.lit("{oops")).otherwise(text))
     return conversations.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").cast("int").alias("seq"), line.alias("line"))
+
+
+# ---------------------------------------------------------------- conversations as files
+
+FILE_SESSIONS = 25  # conversations are dealt to so many sessions: 0-19 are good ones, each harness in turn
+ABSENT, EMPTY, FOREIGN, STRAY = (20, 21), 22, 23, 24  # without a file, with an empty one, of an unknown agent, a file without a session
+HARNESSES = ["claude_code", "codex", "cursor", "opencode"]
+
+
+def filed_conversations(conversations: DataFrame) -> DataFrame:
+    """Conversations with the session that files them as ``conv_id`` and their place in it as ``turn``."""
+    ordered = numbered(conversations.where("conv_id IS NOT NULL").withColumn("_of", F.pmod("conv_id", F.lit(FILE_SESSIONS))).select("_of", "conv_id", "turn", "role", "text"), ["_of", "conv_id", "turn", "role", "text"])
+    first = ordered.groupBy("_of").agg(F.min("row_no").alias("_first"))  # one row per session
+    return ordered.join(F.broadcast(first), "_of").select(F.col("_of").alias("conv_id"), (F.col("row_no") - F.col("_first")).cast("int").alias("turn"), "role", "text")
+
+
+def write_transcripts(spark: SparkSession, conversations: DataFrame, folder: str) -> tuple[str, str]:
+    """Write conversations as one transcript file per session below ``folder``; (catalog file, folder of transcripts)."""
+    filed = filed_conversations(conversations)
+    of = lambda fmt: filed.where((F.col("conv_id") % 4 == HARNESSES.index(fmt)) & ~F.col("conv_id").isin(*ABSENT, EMPTY))
+    lines = [conversation_lines(of(fmt), fmt).select("session_id", "seq", "line") for fmt in HARNESSES[:3]]
+    documents = conversation_messages(of("opencode")).select("session_id", "seq", F.to_json("v").alias("line"))
+    last = documents.groupBy("session_id").agg(F.max("seq").alias("_last"))
+    body = documents.join(F.broadcast(last), "session_id").select("session_id", "seq", F.concat("line", F.when(F.col("seq") < F.col("_last"), ",").otherwise("")).alias("line"))
+    frame = lambda at, text: last.select("session_id", F.lit(at).alias("seq"), F.lit(text).alias("line"))
+    lines += [body, frame(-1, '{"info": {"version": "1.0", "directory": "/w"}, "messages": ['), frame(2**31 - 1, "]}")]
+    every = lines[0]
+    for more in lines[1:]:
+        every = every.unionByName(more)
+    parts = f"{folder}/parts"
+    every.repartition("session_id").sortWithinPartitions("session_id", "seq").select("session_id", "line").write.partitionBy("session_id").text(parts)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{folder}/t"))
+    for status in fs.globStatus(path(f"{parts}/session_id=*/part-*")):  # one file per session
+        name = status.getPath().getParent().getName().split("=")[1]
+        fs.rename(status.getPath(), path(f"{folder}/t/{name}.jsonl"))
+    fs.create(path(f"{folder}/t/c{EMPTY}.jsonl")).close()
+    listed = [{"agent": "aider" if n == FOREIGN else HARNESSES[n % 4], "trajectory": f"t/c{n}.jsonl", "source": {"repository": "talk"}} for n in range(FILE_SESSIONS) if n != STRAY]
+    spark.createDataFrame([(json.dumps({"sessions": listed}),)], "line string").coalesce(1).write.text(f"{folder}/catalog")
+    return f"{folder}/catalog", f"{folder}/t"
