@@ -86,3 +86,20 @@ def test_repeated_ids_and_empty_table(spark):
     got = sorted((r.doc_id, r.component_id) for r in j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1)]
     assert j.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), 3, 90).count() == 0
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_linked_sets_share_the_keys_they_need(percent):
+    r = np.random.default_rng(percent)
+    tried = 0
+    for _ in range(400):
+        size = int(r.integers(2, 400))
+        a = np.unique(r.integers(0, 1 << 62, size).astype(np.uint64))
+        drop, more = r.random(len(a)) < r.choice([0.02, 0.1, 0.2]), r.integers(0, 1 << 62, int(size * r.choice([0, 0.02, 0.1]))).astype(np.uint64)
+        b = np.unique(np.concatenate([a[~drop], more]))
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+            shared = len(np.intersect1d(j.segment_keys(a, percent), j.segment_keys(b, percent)))
+            assert shared >= max(j.least_shared(a, percent), j.least_shared(b, percent))
+            tried += 1
+    assert tried > 40

@@ -11,7 +11,8 @@ Documents are sets of hashed word n-grams. Equal sets form a class; classes are
    are one cluster; clusters are cut or put together to groups of a bounded size. A row of the
    matrix holds a group's token union, and where in it each member's tokens are.
 3. *Bound and open.* First the members of each group are its queries. Then a class is a query for
-   every other group that holds a class of another component with which it shares a segment. Its
+   every other group that holds classes of another component, if it shares as many segments with them
+   as two sets within the threshold must have alike (``least_shared``). Its
    overlap with the group's union bounds its overlap with any member; only where that reaches
    the threshold are the members' rows counted.
 
@@ -43,8 +44,8 @@ from tollbook.llm.decontaminate import windows
 WORDS_KEPT = 200_000
 BLOCK_DOCS, BLOCK_KEYS = 16_384, 1_000_000
 KEYS_PER_TASK = 1_000_000
-GROUP_TOKENS, GROUP_QUERIES = 200_000, 200_000  # tokens of a group's members; tokens of the queries beside it in a task
-LEVEL, SLACK, SEEDS = 1.5, 1.15, 4
+GROUP_TOKENS, GROUP_QUERIES = 200_000, 1_000_000  # tokens of a group's members; tokens of the queries beside it in a task
+LEVEL, SLACK, SEEDS = 1.5, 1.3, 4
 U64 = np.uint64
 
 
@@ -78,19 +79,19 @@ def set_key(tokens: np.ndarray) -> str:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest()
 
 
-def shingled(docs: DataFrame, key: str, text: str, n: int, keep_tokens: bool) -> DataFrame:
-    """Id, set size and key of every document, and the tokens if asked for."""
+def shingled(docs: DataFrame, key: str, text: str, n: int, percent: int | None = None) -> DataFrame:
+    """Id, set size and key of every document, and for joins of ``percent`` the tokens and how many keys a link needs."""
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
             sets = [shingles(x.as_py(), n, words) for x in batch.column(1)]
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.string())]
-            if keep_tokens:
-                columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "set_key", "tokens"][: len(columns)])
+            if percent is not None:
+                columns += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([least_shared(s, percent) if len(s) else 1 for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "set_key", "tokens", "need"][: len(columns)])
 
-    return small_batches(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))).mapInArrow(tidy(run), "doc long, n long, set_key string" + ", tokens binary" * keep_tokens)
+    return small_batches(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))).mapInArrow(tidy(run), "doc long, n long, set_key string" + ", tokens binary, need long" * (percent is not None))
 
 
 def least_size(size: int, percent: int) -> int:
@@ -110,6 +111,23 @@ def segments_of(level: int, percent: int) -> tuple[int, int]:
     return (ceil(most * SLACK) + 2 if most else 0), most
 
 
+def segments(tokens: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The segment of every token."""
+    return ((mixed(tokens + U64(2 * seed + 1)) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+
+
+def least_shared(tokens: np.ndarray, percent: int) -> int:
+    """So many keys at least does a set share with any set that it links with: at the level at which they meet, its
+    segments that are not empty less those that can differ. All sets are cut with the first seed; where that leaves too few segments it is 1."""
+    size, least = len(tokens), None
+    for level in range(level_of(least_size(size, percent)), level_of(size) + 1):
+        n, most = segments_of(level, percent)
+        if n:
+            held = int((np.bincount(segments(tokens, n, 0), minlength=n) > 0).sum())
+            least = min(max(1, held - most), least or size)
+    return least or 1
+
+
 def segment_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the segments of a set, at all levels at which it can meet another set."""
     size, out = len(tokens), []
@@ -119,7 +137,7 @@ def segment_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             continue  # only equal sets link here, and they are one class
         for seed in range(SEEDS):
             base = np.array([level * SEEDS + seed + 1], U64) * U64(0xD6E8FEB86659FD93)
-            segment = ((mixed(tokens + U64(2 * seed + 1)) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+            segment = segments(tokens, n, seed)
             order = np.argsort(segment, kind="stable")
             held, starts = np.unique(segment[order], return_index=True)
             content = np.add.reduceat(mixed(tokens[order]), starts)
@@ -321,7 +339,7 @@ def opened(queries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document (row) with n_shingles and component_id, under links of a Jaccard similarity of ``percent`` / 100 or more."""
     source = docs.select(F.col(key).cast("long").alias(key), text)
-    rows = staged(shingled(source, key, text, n, False), "shingle-rows")
+    rows = staged(shingled(source, key, text, n), "shingle-rows")
     nodes = rows.filter("doc is not null and set_key is not null")
     classes = staged(nodes.groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("n").alias("n")), "classes")
     tasks = parts(int((classes.select(F.sum("n")).first()[0] or 0) * keys_per_token(percent)), KEYS_PER_TASK)
@@ -330,28 +348,29 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     named = own_class.join(classes, "set_key").select("doc", F.col("rep").alias("node"), "n")
     shared = packed.mapInArrow(tidy(shared_keys), "key long, doc long").join(few(named), "doc")
     shared = staged(shared.groupBy("key", "node").agg(F.max("n").alias("n")), "shared-keys")
-    # of keys that the same nodes share one is enough
+    # of keys that the same nodes share one is enough, with their number
     who = shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    shared = staged(shared.join(few(who.groupBy("x", "y", "many").agg(F.min("key").alias("key")).select("key")), "key"), "shared")
+    shared = staged(shared.join(few(who.groupBy("x", "y", "many").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "weight")), "key"), "shared")
     wanted = few(shared.select(F.col("node").alias(key)).distinct())
-    sets = staged(shingled(source.join(wanted, key), key, text, n, True).filter("n > 0").select(F.col("doc").alias("node"), "n", "tokens"), "sets")
+    sets = staged(shingled(source.join(wanted, key), key, text, n, percent).filter("n > 0").select(F.col("doc").alias("node"), "n", "tokens", "need"), "sets")
 
     # classes of one id are one document
     links = own_class.join(classes, "set_key").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = staged(links.union(own_class.join(classes, "set_key").filter("doc <> rep").join(own_class.groupBy("doc").count().filter("count > 1"), "doc").select("rep", "doc")), "links")
     groups = staged(groups_of(shared), "groups")
-    matrix = staged(token_group_matrix(sets.join(few(groups), "node")), "matrix")
+    matrix = staged(token_group_matrix(sets.select("node", "tokens").join(few(groups), "node")), "matrix")
     links = links.union(staged(inside(matrix, percent), "links"))
     parts_of = components(links)
 
     # what is left: nodes that share a key but are in different parts and groups
-    placed = shared.join(parts_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")).join(few(groups), "node")
+    placed = shared.join(parts_of, "node", "left").select("key", "weight", "node", F.coalesce("component", "node").alias("part")).join(few(groups), "node")
     ranges = placed.groupBy("key", "group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     listed = ranges.groupBy("key").agg(F.collect_list(F.struct("group", "low", "high")).alias("met")).filter("size(met) > 1")
     # a query meets the groups after its own; the groups of a key are listed once, not once per node
-    asked = placed.select("key", F.col("node").alias("a"), "part", F.col("group").alias("own")).join(listed, "key")
-    asked = asked.withColumn("met", F.expr("transform(filter(met, g -> g.group > own and not (g.low = part and g.high = part)), g -> g.group)")).filter("size(met) > 0")
-    queries = asked.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("a", F.explode("met").alias("group"))
+    asked = placed.select("key", "weight", F.col("node").alias("a"), "part", F.col("group").alias("own")).join(listed, "key")
+    asked = asked.select("a", "weight", F.explode(F.expr("transform(filter(met, g -> g.group > own and not (g.low = part and g.high = part)), g -> g.group)")).alias("group"))
+    # a node that shares fewer keys with a whole group than with anything it links with is no query for it
+    queries = asked.groupBy("a", "group").agg(F.sum("weight").alias("common")).join(sets.select(F.col("node").alias("a"), "need"), "a").filter("common >= need").select("a", "group")
     queries = staged(queries, "queries")
     found = opened(sets.select(F.col("node").alias("a"), "tokens").join(few(queries), "a"), matrix, percent)
     parts_of = components(links.union(staged(found, "links")))
