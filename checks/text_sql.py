@@ -278,3 +278,10 @@ SELECT metric, agent, count(*) AS sessions, sum(ours) AS ledger_total, sum(their
 FROM x_metric GROUP BY metric, agent"""
 SQL["reconcile_worst"] = """
 SELECT session_id, agent, metric, ours, theirs, rel AS rel_delta FROM x_metric WHERE theirs > 0 QUALIFY row_number() OVER (PARTITION BY metric ORDER BY abs(rel) DESC, session_id) <= 5"""
+SQL["probe_drops"] = """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 11 = 5 THEN '' ELSE t END AS t FROM x_listing),
+     r AS (SELECT 'read' AS probe, CASE WHEN t IS NULL THEN 'no_text' WHEN t = '' THEN 'empty_text' WHEN length(t) < 500 THEN 'too_short' ELSE 'measured' END AS reason FROM d
+           UNION ALL SELECT 'final', CASE WHEN t IS NULL THEN 'no_text' WHEN t = '' THEN 'empty_text' ELSE 'measured' END FROM d)
+SELECT p.probe, q.reason, (SELECT count(*) FROM r WHERE r.probe = p.probe AND r.reason = q.reason) AS items, (SELECT count(*) FROM d) AS sampled
+FROM (SELECT unnest(['read', 'final']) AS probe) p, (SELECT unnest(['no_text', 'empty_text', 'too_short', 'measured']) AS reason) q"""
+SQL["probe_large_sample"] = "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY md5(concat(doc_id, ':11')), doc_id) AS k FROM documents) x WHERE k <= (SELECT count(*) // 3 FROM documents)"

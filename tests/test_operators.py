@@ -9,6 +9,7 @@ from tollbook.operators.neighbourhood import pairs_within, rows_in_reach
 from tollbook.operators.numbering import numbered
 from tollbook.operators.quantiles import grouped, med, quantiles
 from tollbook.operators.ranking import first_row, most_frequent, top_per
+from tollbook.operators.sampling import first_by_hash
 from tollbook.operators.running import Carry, lookahead, lookback, running, span_blocks
 
 
@@ -118,3 +119,17 @@ def test_numbering_is_global_and_dense(spark):
     got = [r.k for r in numbered(df, ["k"], "no").orderBy("no").collect()]
     assert got == sorted(got)
     assert [r.no for r in numbered(df, ["k"], "no").orderBy("no").select("no").collect()] == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 500, 1999, 2000, 5000])
+def test_samples_are_the_lowest_hashes(spark, n):
+    df = spark.range(1000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v")).union(spark.range(1000).select(F.lit(-5).cast("long").alias("k"), F.col("id").alias("v")))  # half of all rows share a hash
+    want = sorted(map(tuple, df.orderBy(F.md5(F.col("k").cast("string")), "k", "v").limit(n).collect()))
+    assert sorted(map(tuple, first_by_hash(df, F.md5(F.col("k").cast("string")), n, ["k", "v"]).collect())) == want
+
+
+def test_samples_do_not_pass_through_one_task(spark):
+    plan = first_by_hash(spark.range(10**6), F.md5(F.col("id").cast("string")), 300_000, ["id"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in text and "GlobalLimit" not in text
+    assert plan.count() == 300_000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tollbook.functions.measures import (
     count_of, deflated_bytes, file_ending, indent_chars, leaf_chars, numbered_listing, ratio_bucket, reply_columns, reply_structure,
@@ -13,6 +13,7 @@ from tollbook.functions.variants import size_of
 from tollbook.operators.quantiles import attach, med
 from tollbook.operators.ranking import hash_order, most_frequent
 from tollbook.operators.running import Carry, running
+from tollbook.operators.sampling import first_by_hash
 from tollbook.plans.workspace import Workspace
 
 # Harnesses a probe covers.
@@ -54,7 +55,7 @@ def seeded_sample(items: DataFrame, n: int | None, seed: int, key: list[str]) ->
     """``n`` rows in seeded hash order; all of them where ``n`` is not given."""
     if n is None:
         return items
-    return items.orderBy(hash_order(*key, seed=str(seed)), *key).limit(n)
+    return first_by_hash(items, hash_order(*key, seed=str(seed)), n, key)
 
 
 # ---------------------------------------------------------------- measures
@@ -193,3 +194,22 @@ def coverage(sampled: DataFrame, measured: DataFrame, key: list[str]) -> DataFra
     both = attach(sampled.select("probe", *key), hit, ["probe", *key])
     return both.groupBy("probe").agg(rows().alias("sampled"), zero(F.sum("_hit")).alias("measured")).withColumn(
         "hit_rate", ratio("measured", "sampled")).orderBy("probe")
+
+
+# Why a sampled item is not measured, in the order in which it is looked at.
+DROPS = {
+    "no_text": F.col("text").isNull(), "empty_text": F.col("text") == "", "too_short": F.length("text") < F.col("least"), "measured": F.lit(True),
+}
+
+
+def measured_with_drops(sampled: DataFrame, measure, probe: str, write, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(measured items, counts by reason) of a sample whose ``text`` was looked for. The reasons are counted by the
+    very pass that measures the items (``observe``), which ``write`` carries out (it writes a frame and reads it back)."""
+    reason = F.coalesce(*[F.when(test, name) for name, test in DROPS.items()])
+    seen = Observation(f"drops_{probe}")
+    told = sampled.withColumn("least", F.lit(least)).withColumn("_reason", reason)
+    told = told.observe(seen, F.count(F.lit(1)).alias("sampled"), *[F.count_if(F.col("_reason") == name).alias(name) for name in DROPS])
+    found = write(measure(told.where("_reason = 'measured'").drop("_reason", "least")))
+    counts = seen.get
+    rows_of = [(probe, name, counts[name], counts["sampled"]) for name in DROPS]
+    return found, sampled.sparkSession.createDataFrame(rows_of, "probe string, reason string, items long, sampled long")

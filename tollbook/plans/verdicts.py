@@ -13,6 +13,7 @@ from tollbook.functions.tools import result_text
 from tollbook.functions.variants import as_text, dump, filled, flag, is_list, is_object, is_text, items, node, text
 from tollbook.ingest.codex import CALL_ITEMS
 from tollbook.operators.ranking import hash_order
+from tollbook.operators.sampling import first_by_hash
 from tollbook.plans.labels import coerced
 from tollbook.schemas import CASES
 
@@ -64,7 +65,7 @@ def synthetic_cases(tool_calls: DataFrame, case_type: str, n: int, seed: int, ag
     if agent:
         pool = pool.where(F.col("agent") == agent)
     before, after = DEFAULT_REACH[case_type]
-    return pool.orderBy(hash_order("session_id", "seq", seed=str(seed)), "session_id", "seq").limit(n).select(
+    return first_by_hash(pool, hash_order("session_id", "seq", seed=str(seed)), n, ["session_id", "seq"]).select(
         "session_id", "seq", F.lit(before).alias("k_before"), F.lit(after).alias("k_after"), F.col("agent").alias("stratum"), F.lit(0).cast("long").alias("population_n"))
 
 

@@ -195,6 +195,27 @@ def _coverage(ws, spark, sf_dir):
     return probes.coverage(drawn, found, ["doc_id"])
 
 
+def _drops(ws, spark, sf_dir):
+    """Of all documents, some of which have no text or an empty one here: what the read and the final probe leave out, and why."""
+    texts = numbered_documents(spark, sf_dir)
+    text = F.when(F.col("doc_id") % 7 == 3, F.lit(None).cast("string")).when(F.col("doc_id") % 11 == 5, "").otherwise(F.col("text"))
+    sampled, out = texts.withColumn("text", text), []
+    for probe, measure, least in (("read", probes.measure_read, 500), ("final", probes.measure_final, 0)):
+        write = lambda df, name=f"drops_{probe}": ws.table(name, lambda: df)
+        with _BUILD:
+            if ("drops", probe) not in ws.notes:
+                ws.notes["drops", probe] = probes.measured_with_drops(sampled, measure, probe, write, least)[1]
+        out.append(ws.notes["drops", probe])
+    return out[0].unionByName(out[1])
+
+
+def _large_sample(ws, spark, sf_dir):
+    """A third of all documents by the hash of their ids."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang")
+    n = d.count() // 3
+    return probes.seeded_sample(d, n, 11, ["doc_id"])
+
+
 def _populations(ws, spark, sf_dir):
     each = [probes.population(ws, p).withColumn("probe", F.lit(p)).groupBy("probe", "agent", "model").agg(
         rows().alias("n_items"), F.sum("ledger_chars").alias("population_chars")) for p in probes.PROBES]
@@ -339,6 +360,8 @@ TEXT_QUERIES = {
     "probe_populations": _populations,
     **{f"probe_extrapolation_{m}": _extrapolated(m) for m in probes.MEASURES},
     "probe_coverage": _coverage,
+    "probe_drops": _drops,
+    "probe_large_sample": _large_sample,
     "prompt_context": lambda ws, s, d: context(ws).withColumn("prev_tools", F.array_join("prev_tools", ",")),
     "label_requests": lambda ws, s, d: _requests(ws),
     "label_pending": _pending,
