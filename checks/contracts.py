@@ -195,6 +195,10 @@ CONTRACTS = {
     "label_pushback_rate": "agent:s prompts:l pushback:l rate:d",
     "label_languages": "language:s prompts:l share:d",
     "label_file_mentions": "mentions_file:l prompts:l share:d",
+    "label_sentiments": "sentiment:s prompts:l share:d",
+    "slice_opencode": "session_id:s focus:l slice:s first_seq:l last_seq:l",
+    "slice_claude_code_cut": "session_id:s focus:l slice:s first_seq:l last_seq:l",
+    "slice_opencode_cut": "session_id:s focus:l slice:s first_seq:l last_seq:l",
     "slice_cursor": "session_id:s focus:l slice:s first_seq:l last_seq:l",
     "slice_codex": "session_id:s focus:l slice:s first_seq:l last_seq:l",
     "slice_claude_code": "session_id:s focus:l slice:s first_seq:l last_seq:l",

@@ -219,6 +219,7 @@ SQL["label_distribution"] = f"""
 SELECT label, {', '.join(n_if(f"agent = '{a}'") + f' AS {a}' for a in ('claude_code', 'codex', 'cursor', 'opencode'))}, count(*) AS total FROM x_tagged GROUP BY label"""
 SQL["label_pushback_rate"] = f"SELECT agent, count(*) AS prompts, {n_if('pushback')} AS pushback, {pc(n_if('pushback'), 'count(*)')} AS rate FROM x_tagged GROUP BY agent"
 SQL["label_languages"] = f"SELECT language, count(*) AS prompts, {pc('count(*)', '(SELECT count(*) FROM x_tagged)')} AS share FROM x_tagged GROUP BY language"
+SQL["label_sentiments"] = f"SELECT sentiment, count(*) AS prompts, {pc('count(*)', '(SELECT count(*) FROM x_tagged)')} AS share FROM x_tagged GROUP BY sentiment"
 SQL["label_file_mentions"] = f"SELECT {n_if('mentions_file')} AS mentions_file, count(*) AS prompts, {pc(n_if('mentions_file'), 'count(*)')} AS share FROM x_tagged"
 
 _TRIM = f"trim(text, concat(' ', {NL}, chr(9), chr(13)))"
@@ -235,13 +236,26 @@ WITH r AS ({rows}), s AS (SELECT r.sid, c.focus * f AS focus, r.seq, concat('[',
 SELECT sid AS session_id, focus, string_agg(line, concat({NL}, {NL}) ORDER BY seq) AS slice, min(seq) AS first_seq, max(seq) AS last_seq FROM s GROUP BY sid, focus"""
 
 
-SQL["slice_cursor"] = _slice(f"SELECT sid, turn AS seq, 1 AS f, 3000 AS lim, CASE role WHEN 'user' THEN 'USER:' ELSE 'ASSISTANT:' END AS tag, {_TRIM} AS body FROM x_talk", "r.seq BETWEEN greatest(c.focus - 2, 0) AND c.focus + 1")
-SQL["slice_claude_code"] = _slice(
-    f"SELECT sid, turn AS seq, 1 AS f, CASE WHEN role IN ('user', 'assistant') THEN 3000 ELSE 300 END AS lim, CASE role WHEN 'user' THEN 'USER:' WHEN 'assistant' THEN 'ASSISTANT:' ELSE 'SYSTEM note:' END AS tag, "
-    f"CASE WHEN role IN ('user', 'assistant') THEN {_TRIM} ELSE {_TRIM.replace('trim(text', 'trim(left(text, 300)')} END AS body FROM x_talk", "r.seq BETWEEN greatest(c.focus - 2, 0) AND c.focus + 1")
-_CX = f"""SELECT * FROM (SELECT a.sid, a.seq, 2 AS f, a.tag, a.body, CASE WHEN a.tag LIKE 'SYSTEM%' THEN 300 ELSE 3000 END AS lim FROM (
+_ALL = 1_000_000_000
+
+
+def _line_slice(system, text=_ALL, short=_ALL, whole=_ALL):
+    """One record per line or message; ``system``: whether other roles are notes."""
+    user, other = "role IN ('user', 'assistant')", f"{_TRIM.replace('trim(text', f'trim(left(text, {short})')}"
+    tag = "CASE role WHEN 'user' THEN 'USER:' WHEN 'assistant' THEN 'ASSISTANT:' ELSE 'SYSTEM note:' END" if system else "CASE role WHEN 'user' THEN 'USER:' ELSE 'ASSISTANT:' END"
+    body = f"CASE WHEN {user} THEN {_TRIM} ELSE {other} END" if system else _TRIM
+    lim = f"CASE WHEN {user} THEN {text} ELSE {short} END" if system else text
+    inner = _slice(f"SELECT sid, turn AS seq, 1 AS f, {lim} AS lim, {tag} AS tag, {body} AS body FROM x_talk", "r.seq BETWEEN greatest(c.focus - 2, 0) AND c.focus + 1")
+    return f"""SELECT session_id, focus, CASE WHEN length(slice) > {whole} THEN concat(left(slice, {whole}), {NL}, {NL}, '[... transcript truncated ...]') ELSE slice END AS slice, first_seq, last_seq FROM ({inner}) q"""
+
+
+SQL["slice_cursor"] = SQL["slice_opencode"] = _line_slice(False)
+SQL["slice_claude_code"] = _line_slice(True)
+SQL["slice_claude_code_cut"] = _line_slice(True, 90, 40, 400)
+SQL["slice_opencode_cut"] = _line_slice(False, 90, 40, 400)
+_CX = f"""SELECT * FROM (SELECT a.sid, a.seq, 2 AS f, a.tag, a.body, {_ALL} AS lim FROM (
     SELECT sid, 2 * turn AS seq, CASE role WHEN 'user' THEN 'USER:' WHEN 'assistant' THEN 'ASSISTANT:' ELSE concat('SYSTEM ', role, ':') END AS tag,
-           CASE WHEN role IN ('user', 'assistant') THEN {_TRIM} ELSE {_TRIM.replace('trim(text', 'trim(left(text, 300)')} END AS body FROM x_talk
+           CASE WHEN role IN ('user', 'assistant') THEN {_TRIM} ELSE {_TRIM} END AS body FROM x_talk
     UNION ALL SELECT sid, 2 * turn + 1, 'USER:', {_TRIM} FROM x_talk WHERE role = 'user') a
   JOIN x_case k ON k.sid = a.sid AND a.seq BETWEEN greatest(2 * k.focus - 2, 0) AND 2 * k.focus + 1
   QUALIFY row_number() OVER (PARTITION BY a.sid, a.tag, a.body ORDER BY a.seq) = 1)"""

@@ -18,7 +18,8 @@ from tollbook.plans.workspace import Workspace
 # Label names, sentiments, limits and wordings of a request.
 LABELS = ["new_task", "follow_up", "approval", "correction", "failure_report", "interruption", "question", "meta_other"]
 SENTIMENTS = ["neutral", "frustrated", "positive"]
-PROMPT_CHARS, HEAD_CHARS, LAST_TOOLS, TOOL_REACH, BATCH = 1500, 300, 5, 40, 15
+LAST_TOOLS, TOOL_REACH, BATCH = 5, 40, 15
+REQUEST_CHARS = {"prompt_chars": 1500, "head_chars": 300}
 CUT_MARK = " [...truncated]"
 REQUEST_VERSION = "v1|"
 # USD per million tokens, input and output, of the labelling models.
@@ -28,8 +29,10 @@ MODEL_PRICES = {
 OUT_TOKENS_PER_ITEM, OUT_TOKENS_FIXED = 40, 20
 
 
-def prompt_context(ws: Workspace, prompts: DataFrame | None = None, tools: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
-    """Every human prompt with the reply head before it and the last five tools before it.
+def prompt_context(ws: Workspace, prompts: DataFrame | None = None, tools: DataFrame | None = None, calls: DataFrame | None = None,
+                   prompt_chars: int | None = None, head_chars: int | None = None) -> DataFrame:
+    """Every human prompt with the reply head before it and the last five tools before it, cut where
+    numbers of characters are given (``REQUEST_CHARS`` has those of a request to a model).
 
     Prompts, tool calls and replies are laid out in one line per session. The reply head is
     a running value; the tools are looked up by their running number, as the five numbers up
@@ -58,9 +61,13 @@ def prompt_context(ws: Workspace, prompts: DataFrame | None = None, tools: DataF
     names = near.groupBy("session_id", "seq").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tool_no", "tool_name"))), lambda x: x["tool_name"]).alias("prev_tools"))
     plain = items.withColumn("prompt", human_lines(F.col("text"))).where("prompt <> ''")
-    cut = F.when(F.length("prompt") > PROMPT_CHARS, F.concat(F.substring("prompt", 1, PROMPT_CHARS), F.lit(CUT_MARK))).otherwise(F.col("prompt"))
+    cut, head = F.col("prompt"), F.coalesce("prev_text", F.lit(""))
+    if prompt_chars is not None:
+        cut = F.when(F.length(cut) > prompt_chars, F.concat(F.substring(cut, 1, prompt_chars), F.lit(CUT_MARK))).otherwise(cut)
+    if head_chars is not None:
+        head = F.substring(head, 1, head_chars)
     return plain.join(names, ["session_id", "seq"], "left").select(
-        "session_id", "agent", "repo", "seq", cut.alias("prompt"), F.substring(F.coalesce("prev_text", F.lit("")), 1, HEAD_CHARS).alias("prev_text"),
+        "session_id", "agent", "repo", "seq", cut.alias("prompt"), head.alias("prev_text"),
         F.coalesce("prev_tools", F.array().cast("array<string>")).alias("prev_tools"))
 
 

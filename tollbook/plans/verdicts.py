@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,8 +18,20 @@ from tollbook.operators.sampling import first_by_hash
 from tollbook.plans.labels import coerced
 from tollbook.schemas import CASES
 
-# Limits of a rendered slice.
-TEXT_CHARS, ARGS_CHARS, RESULT_HEAD, RESULT_TAIL, SYSTEM_CHARS, SLICE_CHARS = 3000, 1500, 2000, 500, 300, 60_000
+@dataclass(frozen=True)
+class Limits:
+    """Characters shown of each kind of text in a slice, and of the slice; without a number all of them."""
+
+    text: int | None = None
+    args: int | None = None
+    result: tuple[int, int] | None = None  # from the start and from the end
+    system: int | None = None
+    slice: int | None = None
+
+
+WHOLE = Limits()
+# What a request to a judging model holds.
+REQUEST_LIMITS = Limits(text=3000, args=1500, result=(2000, 500), system=300, slice=60_000)
 OPENCODE_DIVISOR = 4
 DEFAULT_REACH = {"rewrite_necessary": (12, 6), "tool_result_used": (2, 14), "hot_file_cause": (10, 10)}
 # Fields of each rubric, their rule, and which value counts as a hit.
@@ -102,7 +115,11 @@ def _block(kind, name, body) -> Column:
     return F.struct(col(kind).alias("kind"), col(name).alias("name"), body.alias("body"))
 
 
-def blocks(recs: DataFrame) -> DataFrame:
+def _start(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
+
+
+def blocks(recs: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """Readable blocks of the records of all formats: (kind, name, body) in their order.
     Thoughts, attachments and counters are left out."""
     v, b = F.col("v"), F.col("b")
@@ -123,7 +140,7 @@ def blocks(recs: DataFrame) -> DataFrame:
                    _block(F.when(flag(b, "is_error"), "tool_error").otherwise("tool_result"), none, result_text(node(b, "content")))))
     listed = each.select(*keep, "pos", shown.alias("x"))
     system = recs.where((F.col("fmt") == "claude_code") & (typ == "system")).select(
-        *keep, F.lit(0).alias("pos"), _block("system", F.coalesce(filled(v, "subtype"), F.lit("system")), F.substring(_whole_text(node(v, "content")), 1, SYSTEM_CHARS)).alias("x"))
+        *keep, F.lit(0).alias("pos"), _block("system", F.coalesce(filled(v, "subtype"), F.lit("system")), _start(_whole_text(node(v, "content")), limits.system)).alias("x"))
 
     p = node(v, "payload")
     pt = text(p, "type")
@@ -131,7 +148,7 @@ def blocks(recs: DataFrame) -> DataFrame:
     body, item, event = _whole_text(node(p, "content")), typ == "response_item", typ == "event_msg"
     prole = text(p, "role")
     coded = (F.when(item & (pt == "message") & prole.isin("user", "assistant"), _block(prole, none, body))
-             .when(item & (pt == "message"), _block("system", prole, F.substring(body, 1, SYSTEM_CHARS)))
+             .when(item & (pt == "message"), _block("system", prole, _start(body, limits.system)))
              .when(item & pt.isin(*CALL_ITEMS), _block("tool_use", F.coalesce(filled(p, "name"), pt), F.coalesce(as_text(args), dump(args))))
              .when(item & pt.isin(*CODEX_OUTPUTS), _block("tool_result", none, result_text(node(p, "output"))))
              .when(event & (pt == "user_message"), _block("user", none, _whole_text(node(p, "message"))))
@@ -154,8 +171,10 @@ def blocks(recs: DataFrame) -> DataFrame:
     return every.where("x IS NOT NULL").select(*keep, "pos", "x.*").withColumn("body", stripped(F.coalesce("body", F.lit("")))).where("body <> ''")
 
 
-def clip(body: Column, head: int, tail: int = 0) -> Column:
-    """Start (and end) of a long text with the number of characters left out."""
+def clip(body: Column, head: int | None = None, tail: int = 0) -> Column:
+    """Start (and end) of a long text with the number of characters left out; all of it where no number is given."""
+    if head is None:
+        return body
     n = F.length(body)
     gone = F.concat(F.lit("\n... "), (n - head - tail).cast("string"), F.lit(" chars omitted ..."))
     cut = F.concat(F.substring(body, 1, head), gone)
@@ -164,7 +183,7 @@ def clip(body: Column, head: int, tail: int = 0) -> Column:
     return F.when(n <= head + tail, body).otherwise(cut)
 
 
-def render_slices(shown: DataFrame, max_chars: int = SLICE_CHARS) -> DataFrame:
+def render_slices(shown: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """One transcript per case. codex writes prompts and replies twice; the later copy goes."""
     same = F.struct("kind", "name", F.sha1("body").alias("body"))
     keyed = shown.withColumn("_same", F.when(F.col("fmt") == "codex", F.to_json(same)).otherwise(F.concat_ws(":", "seq", "pos")))
@@ -174,15 +193,18 @@ def render_slices(shown: DataFrame, max_chars: int = SLICE_CHARS) -> DataFrame:
     mark = F.when(F.col("seq") == F.col("focus"), "  <<< CASE FOCUS").otherwise("")
     body = F.col("body")
     n = F.length(body).cast("string")
-    line = (F.when(F.col("kind") == "user", F.concat(at, F.lit("USER:"), mark, F.lit("\n"), clip(body, TEXT_CHARS)))
-            .when(F.col("kind") == "assistant", F.concat(at, F.lit("ASSISTANT:"), mark, F.lit("\n"), clip(body, TEXT_CHARS)))
-            .when(F.col("kind") == "tool_use", F.concat(at, F.lit("TOOL_USE "), F.coalesce(F.nullif("name", F.lit("")), F.lit("?")), F.lit(":"), mark, F.lit("\n"), clip(body, ARGS_CHARS)))
-            .when(F.col("kind") == "system", F.concat(at, F.lit("SYSTEM "), F.coalesce("name", F.lit("")), F.lit(": "), clip(body, SYSTEM_CHARS)))
+    line = (F.when(F.col("kind") == "user", F.concat(at, F.lit("USER:"), mark, F.lit("\n"), clip(body, limits.text)))
+            .when(F.col("kind") == "assistant", F.concat(at, F.lit("ASSISTANT:"), mark, F.lit("\n"), clip(body, limits.text)))
+            .when(F.col("kind") == "tool_use", F.concat(at, F.lit("TOOL_USE "), F.coalesce(F.nullif("name", F.lit("")), F.lit("?")), F.lit(":"), mark, F.lit("\n"), clip(body, limits.args)))
+            .when(F.col("kind") == "system", F.concat(at, F.lit("SYSTEM "), F.coalesce("name", F.lit("")), F.lit(": "), clip(body, limits.system)))
             .otherwise(F.concat(at, F.lit("TOOL_RESULT ("), F.when(F.col("kind") == "tool_error", "ERROR").otherwise("ok"), F.lit(", "), n, F.lit(" chars):"), mark, F.lit("\n"),
-                                clip(body, RESULT_HEAD, RESULT_TAIL))))
+                                clip(body, *(limits.result or ())))))
     # a slice is a few records wide
     whole = first.select("session_id", "focus", "seq", F.struct("seq", "pos", line.alias("line")).alias("_l")).groupBy("session_id", "focus").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["line"]), "\n\n").alias("slice"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    if limits.slice is None:
+        return whole
+    max_chars = limits.slice
     capped = F.when(F.length("slice") > max_chars, F.concat(F.substring("slice", 1, max_chars), F.lit("\n\n[... transcript truncated ...]"))).otherwise(F.col("slice"))
     return whole.withColumn("slice", capped)
 

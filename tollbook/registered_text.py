@@ -277,14 +277,21 @@ def talk_cases(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), "seq", F.lit(2).alias("k_before"), F.lit(1).alias("k_after"))
 
 
-def _slices(fmt):
+SHORT = verdicts.Limits(text=90, args=60, result=(50, 20), system=40, slice=400)
+
+
+def _slices(fmt, limits=verdicts.WHOLE):
     def run(ws, spark, sf_dir):
         cases = talk_cases(spark, sf_dir)
         if fmt == "codex":
             cases = cases.withColumn("seq", F.col("seq") * 2)
         sessions = cases.select("session_id", F.lit(fmt).alias("fmt"), F.lit("talk").alias("repo"))
         windows = verdicts.case_windows(cases, sessions)
-        got = verdicts.render_slices(verdicts.blocks(verdicts.slice_records(windows, records(ws, spark, sf_dir, fmt))))
+        if fmt == "opencode":
+            recs = ws.table("messages", lambda: conversation_messages(_table(spark, sf_dir, "conversations")))
+        else:
+            recs = records(ws, spark, sf_dir, fmt)
+        got = verdicts.render_slices(verdicts.blocks(verdicts.slice_records(windows, recs), limits), limits)
         return got.select("session_id", "focus", "slice", "first_seq", "last_seq")
     return run
 
@@ -371,10 +378,14 @@ TEXT_QUERIES = {
     "label_distribution": lambda ws, s, d: lab.label_distribution(_labels(ws), AGENTS),
     "label_pushback_rate": lambda ws, s, d: lab.pushback_rate(_labels(ws)),
     "label_languages": lambda ws, s, d: lab.value_shares(_labels(ws), "language"),
+    "label_sentiments": lambda ws, s, d: lab.value_shares(_labels(ws), "sentiment"),
     "label_file_mentions": lambda ws, s, d: lab.file_mentions(_labels(ws)),
     "slice_cursor": _slices("cursor"),
     "slice_codex": _slices("codex"),
     "slice_claude_code": _slices("claude_code"),
+    "slice_opencode": _slices("opencode"),
+    "slice_claude_code_cut": _slices("claude_code", SHORT),
+    "slice_opencode_cut": _slices("opencode", SHORT),
     "slice_skips": _skips,
     "verdict_rates": _document_rates,
     "verdict_rows": _verdicts,
