@@ -38,7 +38,7 @@ def sample(r, size=8):
 @pytest.mark.parametrize("cosine, block", [(0.95, 4096), (0.95, 20), (0.8, 40)])
 def test_like_all_pairs(spark, monkeypatch, cosine, block):
     monkeypatch.setattr(n, "BLOCK", block)
-    monkeypatch.setattr(n, "CENTRES", 7)
+    monkeypatch.setattr(n, "SAMPLE", 9)
     rows = sample(np.random.default_rng(block)) + [(900, None), (901, []), (902, [0.0] * 8), (903, [float("nan")] + [1.0] * 7), (904, [None] + [1.0] * 7), (905, [1.0, 0.0]), (906, [2.0, 0.01]), (None, [1.0, 0.0]), (907, [float("inf")] * 8), (908, [1e308] * 8), (909, [1e-308] * 8)]
     rows += [(0, rows[0][1])]  # a repeated row
     table = spark.createDataFrame([(k, v, "x", 1) for k, v in rows], "vec_id long, embedding array<double>, node string, kept int")
@@ -60,3 +60,22 @@ def test_tree_covers_its_points():
 
 def test_empty_table(spark):
     assert n.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_one_large_ball_is_settled_without_moving_vectors(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 50)
+    r = np.random.default_rng(1)
+    centre = r.normal(size=16)
+    rows = [(i, (centre + r.normal(size=16) * 1e-3).tolist()) for i in range(600)] + [(1000 + i, r.normal(size=16).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    moved = []
+    monkeypatch.setattr(n, "parts", lambda amount, per, least=1: moved.append(amount) or max(least, -(-int(amount or 0) // per)))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in n.near_duplicates(table, 0.95).collect()), key=str)
+    assert got == brute(rows, 0.95) and moved[-1] < 200  # pairs of blocks; the ball alone would make as many
+
+
+def test_a_very_long_vector(spark):
+    v = np.random.default_rng(2).normal(size=20_000)
+    rows = [(1, v.tolist()), (2, (v + 0.01).tolist()), (3, (-v).tolist())]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in n.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]

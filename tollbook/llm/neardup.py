@@ -1,12 +1,15 @@
 """Embedding near-dedup: exact pairs above a cosine by dual traversal of cover trees.
 
-Vectors are scaled to length one; equal ones form a class with a weight. Classes are dealt to
-the nearest of a bounded number of top centres (the coarsest level, chosen among a bounded
-sample by hash) and each cell is cut into blocks of a bounded size. In every block a cover
-tree is built: nested levels, each with half the radius of the one above. Pairs of blocks,
-and in them pairs of nodes, are dropped when their centres are farther apart than both
-covering radii and the threshold; when even the farthest members must be within it, all pairs
-are counted at once, which keeps groups of near copies cheap; else both nodes are opened.
+Vectors are scaled to length one; equal ones form a class with a weight. A cover tree is built
+over all classes, level by level across the cluster: a node's children are centred on a net of half its
+radius (halved again until there are two) of a bounded sample of its members, each member goes to the nearest,
+those beyond that radius to a child of their own, and the true covering radius is kept. A node that fits a block is not split further; inside blocks the
+tree goes on in memory, each level with half the radius of the one above.
+
+Pairs of nodes go down the levels as narrow rows (centre, radius): those whose centres are farther
+apart than both covering radii and the threshold are dropped; those whose farthest members must be within it
+are settled where they stand, by their weights, which keeps groups of near copies of any size
+cheap. Only for pairs of blocks that are left the vectors are moved, and traversed in the same way.
 Tasks return link counts per class and a spanning forest of their links, never all pairs.
 
 Results by case: null and zero vectors and those with null or non-finite components link with
@@ -21,13 +24,16 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tollbook.llm.common import few, parts, staged, table
+from tollbook.llm.common import parts, small_batches, staged, table, tidy
 from tollbook.llm.components import components
 
-CENTRES, BLOCK, BUCKET, TILE = 256, 4096, 16, 512
+SAMPLE, BLOCK, BUCKET, TILE = 128, 4096, 16, 512  # members of a node that children's centres are chosen from; members of a block
+MOST_LEVELS = 24  # beyond, what does not fit a block is cut by hash
+PAIRS, MOST_TASKS = 2, 20_000  # pairs of blocks of a task; tasks at most
 SAFE = 1e-6  # rounding in distances from cosines near one; bounds this close to the threshold open the node
 
 
@@ -169,7 +175,7 @@ def traverse(a: Tree, b: Tree | None, weights: np.ndarray, cosine: float) -> Lin
     return links
 
 
-BLOCK_SCHEMA = "block string, cell int, centre array<double>, radius double, nodes array<long>, weights array<long>, points binary, tree binary"
+BLOCK_SCHEMA = "block string, size int, cell string, centre array<double>, radius double, nodes array<long>, weights array<long>, points binary, tree binary"
 
 
 def built(rows: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +184,7 @@ def built(rows: pd.DataFrame) -> pd.DataFrame:
     size = len(rows["unit"].iloc[0]) // 8
     tree, order = Tree.build(np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(-1, size))
     flat = np.stack([tree.start, tree.end, tree.radius, tree.child, tree.children]).astype(np.float64)
-    return pd.DataFrame({"block": [f"{size}-{rows['cell'].iloc[0]}-{rows['salt'].iloc[0]}"], "cell": [rows["cell"].iloc[0]], "centre": [tree.points[0]], "radius": [tree.radius[0]],
+    return pd.DataFrame({"block": [f"{size}-{rows['cell'].iloc[0]}-{rows['salt'].iloc[0]}"], "size": [rows["size"].iloc[0]], "cell": [rows["cell"].iloc[0]], "centre": [tree.points[0]], "radius": [tree.radius[0]],
                          "nodes": [rows["node"].to_numpy()[order]], "weights": [rows["weight"].to_numpy()[order]], "points": [tree.points.tobytes()], "tree": [flat.tobytes()]})
 
 
@@ -204,70 +210,175 @@ def compared(cosine: float):
     return run
 
 
+NODE = "size int, node long, weight long, unit binary, cell string, away double, centre binary"
+
+
+def nets(sample: pd.DataFrame) -> pd.DataFrame:
+    """Children's centres of one node, about as many as make blocks of its members: of a bounded sample some that lie
+    farther apart than half its radius, which is halved again until there are two."""
+    sample = sample.sort_values("rank")
+    points = np.frombuffer(b"".join(sample["unit"]), np.float64).reshape(len(sample), -1)
+    radius = float(sample["radius"].iloc[0])
+    while True:
+        radius /= 2
+        picked = [0]
+        for k in range(1, len(points)):
+            if len(picked) < sample["most"].iloc[0] and (2 - 2 * points[picked] @ points[k] > radius**2).all():
+                picked.append(k)
+        if len(picked) > 1 or radius < 1e-9:
+            break
+    if len(picked) == 1:  # closer than any radius can tell apart: any two
+        picked = list(range(min(2, len(points))))
+    return pd.DataFrame({"size": [sample["size"].iloc[0]], "cell": [sample["cell"].iloc[0]], "centres": [points[picked].tobytes()], "net": [radius]})
+
+
+def dealt(members: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """Some members of a node, each under the nearest of its children's centres: in the child of those within half the
+    radius of the net, or in the child of the others. One member of each child names its centre."""
+    if not len(members):
+        return pd.DataFrame({c.split()[0]: [] for c in NODE.split(", ")})
+    points = np.frombuffer(b"".join(members["unit"]), np.float64).reshape(len(members), -1)
+    held = np.frombuffer(centres["centres"].iloc[0], np.float64).reshape(-1, points.shape[1])
+    at = np.argmax(points @ held.T, axis=1)
+    gap = np.sqrt(((points - held[at]) ** 2).sum(1))
+    cells = np.array([f"{c}.{k}{'' if near else 'f'}" for c, k, near in zip(members["cell"], at, gap <= centres["net"].iloc[0])], object)
+    _, first = np.unique(cells.astype(str), return_index=True)
+    centre = np.full(len(members), None, object)
+    centre[first] = [held[k].tobytes() for k in at[first]]
+    return pd.DataFrame({"size": members["size"].to_numpy(), "node": members["node"].to_numpy(), "weight": members["weight"].to_numpy(), "unit": members["unit"].to_numpy(),
+                         "cell": cells, "away": gap, "centre": centre})
+
+
+def heads(members: DataFrame, parent: Column) -> DataFrame:
+    """The nodes of a level: centre, covering radius, members, weight and one of the members."""
+    found = members.groupBy("size", "cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.min("node").alias("rep"), F.max("centre").alias("centre"))
+    return found.withColumn("parent", parent)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def unpacked(packed: pd.Series) -> pd.Series:
+    """Packed vectors as arrays."""
+    return packed.map(lambda x: np.frombuffer(x, np.float64))
+
+
+class Levels:
+    """The levels of the tree above the blocks, one table each, from the root to nodes that fit a block."""
+
+    def __init__(self, classes: DataFrame, reach: float):
+        members = classes.select(F.octet_length("unit").alias("size"), "node", "weight", "unit", F.lit("r").alias("cell"), F.lit(2.0).alias("away"), F.col("unit").alias("centre"))
+        self.nodes = [staged(heads(members, F.lit("")), "tree-level")]
+        self.members, self.done = staged(members, "tree-members"), []
+        while len(self.nodes) < MOST_LEVELS:
+            large = self.nodes[-1].filter((F.col("n") > BLOCK) & (2 * F.col("radius") > reach - SAFE))  # in a smaller one all link
+            large = large.select("size", "cell", "radius", (F.expr(f"n div {8 * BLOCK}") + 1).cast("int").alias("salts"), F.least(F.lit(SAMPLE), F.expr(f"n div {2 * BLOCK} + 2")).cast("int").alias("most"))
+            if not large.limit(1).count():
+                break
+            self.split(staged(large, "large-nodes"))
+
+    def split(self, large: DataFrame):
+        """One more level: the members of large nodes go under their children, dealt over as many tasks as they need."""
+        inside = self.members.join(large, ["size", "cell"])
+        first = Window.partitionBy("size", "cell").orderBy(F.xxhash64("node"))
+        sample = inside.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE).select("size", "cell", "radius", "most", "unit", "rank")
+        centres = staged(sample.groupBy("size", "cell").applyInPandas(nets, "size int, cell string, centres binary, net double"), "centres")
+        salted = inside.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).select("size", "cell", "salt", "node", "weight", "unit")
+        copies = centres.join(large, ["size", "cell"]).select("size", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "centres", "net")
+        moved = salted.groupBy("size", "cell", "salt").cogroup(copies.groupBy("size", "cell", "salt")).applyInPandas(dealt, NODE)
+        # nodes that fit a block are done: their members are not moved again, and they are their own children
+        self.done.append(self.members.join(large.select("size", "cell"), ["size", "cell"], "left_anti"))
+        self.members = staged(moved, "tree-members")
+        kept = self.nodes[-1].join(large.select("size", "cell"), ["size", "cell"], "left_anti").withColumn("parent", F.col("cell"))
+        split = heads(self.members, F.regexp_replace("cell", "[.][0-9]+f?$", ""))
+        self.nodes.append(staged(split.unionByName(kept.select(split.columns)), "tree-level"))
+
+    def all_members(self) -> DataFrame:
+        """Every class with its node of the last level."""
+        out = self.members
+        for more in self.done:
+            out = out.unionByName(more.select(out.columns))
+        return out
+
+    def dual(self, cosine: float) -> tuple[DataFrame, DataFrame]:
+        """(pairs of nodes of the last level that may hold links, pairs of nodes whose members all link). Pairs go down level by level;
+        those too far apart are dropped, those surely near are settled where they stand."""
+        reach = float(np.sqrt(2 - 2 * cosine))
+        gap = "sqrt(aggregate(zip_with(c, c_2, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))"
+        pairs, settled = None, []
+        for level, nodes in enumerate(self.nodes):
+            own = nodes.select("size", "cell", "parent", "radius", "weight", "rep", "n", unpacked("centre").alias("c"))
+            other = own.select("size", *[F.col(c).alias(f"{c}_2") for c in own.columns if c != "size"])
+            if pairs is None:
+                met = own.join(other, "size").filter("cell = cell_2")
+            else:
+                up = pairs.select("size", F.col("cell").alias("parent"), F.col("cell_2").alias("parent_2"))
+                met = up.join(own, ["size", "parent"]).join(other, ["size", "parent_2"]).filter("parent < parent_2 or cell <= cell_2")
+            met = met.withColumn("gap", F.when(F.col("cell") == F.col("cell_2"), 0.0).otherwise(F.expr(gap))).filter(F.col("gap") <= F.col("radius") + F.col("radius_2") + reach + SAFE)
+            sure = F.when(F.col("cell") == F.col("cell_2"), 2 * F.col("radius")).otherwise(F.col("gap") + F.col("radius") + F.col("radius_2")) <= reach - SAFE
+            met = staged(met.select("size", "cell", "cell_2", "weight", "weight_2", "rep", "rep_2", sure.alias("sure")), "node-pairs")
+            settled.append(met.filter("sure").withColumn("level", F.lit(level)))
+            pairs = met.filter("not sure")
+        whole = settled[0]
+        for more in settled[1:]:
+            whole = whole.unionByName(more)
+        return pairs.select("size", "cell", "cell_2"), whole
+
+    def inherited(self, settled: DataFrame) -> DataFrame:
+        """For nodes of the last level: the weights that all their members link with, and a member all of them hang together with, by what is settled for them and the nodes above."""
+        out = None
+        sides = settled.select("size", "cell", "level", F.col("weight_2").alias("with"), (F.col("cell") == F.col("cell_2")).cast("int").alias("own"), "rep").unionByName(
+            settled.filter("cell <> cell_2").select("size", F.col("cell_2").alias("cell"), "level", F.col("weight").alias("with"), F.lit(0).alias("own"), F.col("rep_2").alias("rep")))
+        each = staged(sides.groupBy("size", "cell", "level").agg(F.sum("with").alias("with"), F.max("own").alias("own"), F.min("rep").alias("hub")), "settled")
+        for level, nodes in enumerate(self.nodes):
+            told = nodes.select("size", "cell", "parent").join(each.filter(F.col("level") == level).drop("level"), ["size", "cell"], "left")
+            if out is None:
+                told = told.select("size", "cell", F.coalesce("with", F.lit(0)).alias("with"), F.coalesce("own", F.lit(0)).alias("own"), "hub")
+            else:
+                up = out.select("size", F.col("cell").alias("parent"), F.col("with").alias("w"), F.col("own").alias("o"), F.col("hub").alias("h"))
+                told = told.join(up, ["size", "parent"]).select("size", "cell", (F.coalesce("with", F.lit(0)) + F.col("w")).alias("with"), F.greatest(F.coalesce("own", F.lit(0)), "o").alias("own"), F.coalesce("h", "hub").alias("hub"))
+            out = told
+        return out
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Every vector (row) with n_links, component_id and kept."""
-    spark = vectors.sparkSession
     rows = staged(units(vectors, key, vector), "units")
     classes = rows.filter("id is not null and direction is not null").groupBy("direction").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    tops: dict[int, list[np.ndarray]] = {}
-    wanted = min(CENTRES, parts(classes.count(), BLOCK))  # about one block to a cell: every pair of blocks that meets is moved
-    for r in classes.orderBy(F.xxhash64("direction")).limit(wanted).select("unit").collect():  # a bounded sample
-        tops.setdefault(len(r["unit"]) // 8, []).append(np.frombuffer(r["unit"], np.float64))
-    centres = {size: np.stack(x) for size, x in tops.items()}
-
-    def dealt(batches):
-        for batch in batches:
-            cells = []
-            for u in batch.column("unit").to_pylist():
-                v = np.frombuffer(u, np.float64)
-                cells.append(int(np.argmax(centres[len(v)] @ v)) if len(v) in centres else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], [*batch.schema.names, "cell"])
-
-    in_cell = classes.select("node", "weight", "unit").mapInArrow(dealt, "node long, weight long, unit binary, cell int")
-    in_cell = staged(in_cell.withColumn("size", F.octet_length("unit")), "cells")
-    pieces = in_cell.groupBy("size", "cell").agg((F.expr(f"count(1) div {BLOCK}") + 1).cast("int").alias("salts"))
-    salted = in_cell.join(few(pieces), ["size", "cell"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    levels = Levels(classes, float(np.sqrt(2 - 2 * cosine)))
+    pairs, settled = levels.dual(cosine)
+    members = staged(levels.all_members().select("size", "cell", "node", "weight", "unit"), "members")
+
+    # blocks of the nodes that are left, and their pairs
+    used = pairs.select("size", "cell").union(pairs.select("size", F.col("cell_2"))).distinct()
+    salts = levels.nodes[-1].join(used, ["size", "cell"]).select("size", "cell", (F.expr(f"(n - 1) div {BLOCK}") + 1).cast("int").alias("salts"))
+    salted = members.join(salts, ["size", "cell"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
     blocks = staged(salted.groupBy("size", "cell", "salt").applyInPandas(built, BLOCK_SCHEMA), "blocks")
-
-    # cells first (at most CENTRES of each length), then blocks: both by centres and covering radii
-    head = blocks.select("block", "cell", F.size("centre").alias("size"), "centre", "radius")
+    head = blocks.select("block", "size", "cell", "centre", "radius")
     near = F.expr(f"sqrt(greatest(0D, 2 - 2 * aggregate(zip_with(centre, centre_2, (x, y) -> x * y), 0D, (s, x) -> s + x))) <= radius + radius_2 + {float(np.sqrt(2 - 2 * cosine)) + SAFE}")
-    spans = {(r["size"], r["cell"]): r for r in head.join(head.groupBy("size", "cell").agg(F.min("block").alias("block")), ["size", "cell", "block"]).collect()}
-    widest = {(r["size"], r["cell"]): r["w"] for r in _widths(head, spans).collect()} if spans else {}
-    reach, cell_pairs = float(np.sqrt(2 - 2 * cosine)) + SAFE, []
-    for (size, i), r in spans.items():
-        for (size_2, j), q in spans.items():
-            if size == size_2 and i <= j:
-                gap = float(np.sqrt(max(0.0, 2 - 2 * np.dot(r["centre"], q["centre"]))))
-                if gap <= widest[size, i] + widest[size, j] + reach:
-                    cell_pairs.append((size, i, j))
-    pairs = spark.createDataFrame(cell_pairs, "size int, cell int, cell_2 int")
-    other = head.select("size", F.col("cell").alias("cell_2"), F.col("block").alias("block_2"), F.col("centre").alias("centre_2"), F.col("radius").alias("radius_2"))
-    met = head.join(F.broadcast(pairs), ["size", "cell"]).join(other, ["size", "cell_2"]).filter("cell < cell_2 or block <= block_2").filter(near).select("block", "block_2")
+    other = head.select("size", *[F.col(c).alias(f"{c}_2") for c in ("block", "cell", "centre", "radius")])
+    met = pairs.join(head, ["size", "cell"]).join(other, ["size", "cell_2"]).filter("cell <> cell_2 or block <= block_2").filter(near).select("block", "block_2")
+    met = staged(met, "block-pairs")
     body = blocks.select("block", "nodes", "weights", "points", "tree")
-    full = met.join(body, "block").join(body.select(*[F.col(c).alias(f"{c}_2") for c in body.columns]), "block_2")
-    found = staged(full.mapInArrow(compared(cosine), "node long, n long, other long"), "links")
+    full = small_batches(met.join(body, "block").join(body.select(*[F.col(c).alias(f"{c}_2") for c in body.columns]), "block_2")).repartition(min(MOST_TASKS, parts(met.count(), PAIRS)), "block", "block_2")
+    found = staged(full.mapInArrow(tidy(compared(cosine)), "node long, n long, other long"), "links")
 
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    parts_of = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = classes.select("direction", "node", "rep", "weight").join(counts, "node", "left").join(parts_of, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    above = members.join(levels.inherited(settled), ["size", "cell"]).select("node", F.col("with"), "own", "hub")
+    above = staged(above, "settled-members")
+    links = found.select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(settled.select(F.col("rep").alias("a"), F.col("rep_2").alias("b"))).unionByName(
+        above.filter("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    parts_of = components(links)
+    named = classes.select("direction", "node", "rep", "weight").join(counts, "node", "left").join(above, "node", "left").join(parts_of, "node", "left").withColumn("part", F.coalesce("component", "node"))
     low = named.groupBy("part").agg(F.min("rep").alias("low"))
-    named = named.join(low, "part").select("direction", "weight", "n", "low")
+    linked = F.coalesce("n", F.lit(0)) + F.coalesce("with", F.lit(0)) - F.coalesce("own", F.lit(0)) * F.col("weight")
+    named = named.join(low, "part").select("direction", "weight", linked.alias("n"), "low")
     out = rows.select("id", "direction").join(named, "direction", "left")
     valid = F.col("id").isNotNull()
     component = F.when(valid, F.coalesce("low", "id"))
-    return out.select(F.col("id").alias(key), F.when(valid, F.coalesce(F.col("weight") - 1 + F.coalesce("n", F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    return out.select(F.col("id").alias(key), F.when(valid, F.coalesce(F.col("weight") - 1 + F.col("n"), F.lit(0))).otherwise(0).cast("long").alias("n_links"),
                       component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _widths(head: DataFrame, spans: dict) -> DataFrame:
-    """Covering radius of each cell around the centre of its first block."""
-    first = head.sparkSession.createDataFrame([(size, cell, list(r["centre"])) for (size, cell), r in spans.items()], "size int, cell int, first array<double>")
-    away = F.expr("sqrt(greatest(0D, 2 - 2 * aggregate(zip_with(centre, first, (x, y) -> x * y), 0D, (s, x) -> s + x)))")
-    return head.join(F.broadcast(first), ["size", "cell"]).groupBy("size", "cell").agg(F.max(away + F.col("radius")).alias("w"))
-
-
 def op8_embedding_neardup(spark, sf_dir):
     """Near-duplicates among all embeddings."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
