@@ -11,7 +11,8 @@ only its runs of ``VERBATIM`` or more equal words count. So a question with othe
 
 A word is a run of non-space characters without the punctuation around it, lower-cased. A
 number is digits with separators, a unit is a word of the list after a number or glued to it,
-a name is a capitalised word. Whether a word is a name cannot always be told by its case, so
+a name is a capitalised word. This list of units is short and number words are plain words, which is the weakest part
+of the method. Whether a word is a name cannot always be told by its case, so
 windows are hashed and looked up in three readings: names are plain words (a copy in other case
 still meets), capitalised words are names inside a sentence, and also at its begin unless they
 are ``COMMON`` words. In a stretch equal words match whatever their case.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import free_name, parts, small_batches, table, tidy
+from tollbook.llm.common import free_name, parts, small_batches, staged, table, tidy
 
 WINDOW, SHARE, SHORT = 8, 0.5, 5
 ENOUGH, VERBATIM = 13, 26  # equal words of an item of any length; such that count in a row although other slots conflict
@@ -261,6 +262,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, ARROW_LEAK)], batch.schema.names)
 
         out = small_batches(out).mapInArrow(tidy(run), T.StructType([*out.schema.fields[:-1], T.StructField(name, LEAK)]))
+        if k < slices - 1:
+            out = staged(out, "leaks")  # the plan of the next slice holds nothing of this one
     return out if text in keep else out.drop(body)
 
 
