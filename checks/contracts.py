@@ -146,6 +146,10 @@ CONTRACTS = {
     "ingest_claude_code_calls": "session_id:s seq:l agent:s model:s output_tokens:l n_text_chars:l n_tool_uses:l text_head:s stop_reason:s",
     "ingest_claude_code_tool_calls": "session_id:s seq:l agent:s msg_id:s tool_use_id:s tool_name:s tool_kind:s file_path_raw:s file_path:s command_head:s input_chars:l old_string_chars:l new_string_chars:l "
                                      "read_offset:l read_limit:l result_chars:l result_hash:s is_error:b error_head:s result_latency_ms:l",
+    "probe_result_texts": "session_id:s seq:l tool_use_id:s text:s",
+    "probe_reply_texts_claude_code": "session_id:s seq:l msg_id:s text:s",
+    "probe_reply_texts_cursor": "session_id:s seq:l msg_id:s text:s",
+    "probe_reply_texts_opencode": "session_id:s seq:l msg_id:s text:s",
     "probe_drops": "probe:s reason:s items:l sampled:l",
     "probe_large_sample": "doc_id:l lang:s",
     "ingest_inventory": "session_id:s agent:s fmt:s status:s filled:b",

@@ -299,3 +299,6 @@ WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 11 =
 SELECT p.probe, q.reason, (SELECT count(*) FROM r WHERE r.probe = p.probe AND r.reason = q.reason) AS items, (SELECT count(*) FROM d) AS sampled
 FROM (SELECT unnest(['read', 'final']) AS probe) p, (SELECT unnest(['no_text', 'empty_text', 'too_short', 'measured']) AS reason) q"""
 SQL["probe_large_sample"] = "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY md5(concat(doc_id, ':11')), doc_id) AS k FROM documents) x WHERE k <= (SELECT count(*) // 3 FROM documents)"
+SQL["probe_result_texts"] = "SELECT sid AS session_id, 2 * turn AS seq, concat('t', turn) AS tool_use_id, text FROM x_talk WHERE role = 'assistant' AND turn % 3 = 1"
+for _fmt in ("claude_code", "cursor", "opencode"):
+    SQL[f"probe_reply_texts_{_fmt}"] = "SELECT sid AS session_id, turn AS seq, concat('m', turn) AS msg_id, text FROM x_talk WHERE role = 'assistant' AND turn % 2 = 1"

@@ -260,3 +260,20 @@ def test_one_large_message_does_not_take_the_others_with_it(spark, monkeypatch):
     messages, errors = transcripts.document_messages(frame)
     assert sorted(r.seq for r in messages.select("seq").collect()) == [0, 2]
     assert [(r.line_no, "too large" in r.exception) for r in errors.collect()] == [(1, True)]
+
+
+def test_only_lines_that_can_matter_are_parsed(spark):
+    from tollbook.ingest import texts
+
+    body = [
+        ("s", 0, '{"type":"assistant","message":{"id":"m1","content":[{"type":"tool_use","id":"t1"}]}}'), ("s", 1, '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id" : "t1","content":"yes"}]}}'),
+        ("s", 2, '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"t2","content":"t1"}]}}'), ("s", 3, '{"id":"t\\u0031","x":1}'), ("s", 4, "no record at all"), ("r", 1, '{"id":"t1"}'), ("s", 5, '{"text":"id t1"}')]
+    lines = spark.createDataFrame([(*b[:2], "claude_code", "r", "claude_code", b[2]) for b in body], "session_id string, seq int, agent string, repo string, fmt string, line string")
+    sampled = spark.createDataFrame([("s", 0, "t1", None)], "session_id string, seq int, tool_use_id string, msg_id string")
+    kept = texts.lines_that_matter(lines, sampled)
+    assert sorted((r.session_id, r.seq) for r in kept.collect()) == [("s", 0), ("s", 1), ("s", 3)]
+    none = spark.createDataFrame([], "session_id string, seq int, v variant")
+    found = texts.records_that_matter(lines, sampled)
+    assert [r.text for r in texts.result_texts(sampled, found, none).collect()] == ["yes"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json") < plan.index("regexp_extract_all")  # plans are read from below: the ids are met first

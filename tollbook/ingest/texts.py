@@ -1,6 +1,7 @@
 """Raw texts behind ledger rows: tool results, tool inputs, final replies.
 
-Sampled keys meet the exploded records by equality on session and id, however far apart."""
+Sampled keys meet the exploded records by equality on session and id, however far apart. Of raw lines only
+those that can matter are parsed: ids are cut from the text first (``records_that_matter``)."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tollbook.functions.variants import as_text, dump, filled, is_object, items, node, text
 from tollbook.ingest import claude_code, codex, cursor, opencode
 from tollbook.ingest.common import of_type, texts_of
+from tollbook.sources.transcripts import parsed_lines, split_errors
 
 
 def _claude(records: DataFrame, typ: str) -> DataFrame:
@@ -17,6 +19,32 @@ def _claude(records: DataFrame, typ: str) -> DataFrame:
         "ts": F.lit(None).cast("timestamp_ntz"), "cwd": F.lit(None).cast("string"), "blocks": items(v, "message.content")})
 
 
+# Keys whose values name a call, a result or a message.
+ID_VALUES = r'"(?:tool_use_id|call_id|callID|id)"\s*:\s*"((?:[^"\\]|\\.)*)"'
+MOST_SAMPLED = 200_000  # sampled rows whose ids are sent to all tasks: some 20 MB
+
+
+def lines_that_matter(lines: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Raw lines (session_id, seq, line, ...) of which a sampled row may need something: they hold one of its ids, as
+    the value of an id key, or stand at its place; nothing is parsed for it. A line with an escape in an id is kept.
+
+    A sample of more than ``MOST_SAMPLED`` rows is met by sessions alone, and its lines are all kept."""
+    names = [c for c in ("tool_use_id", "msg_id") if c in sampled.columns]
+    each = sampled.select("session_id", F.col("seq").cast("long").alias("_at"), F.array_compact(F.array(*names)).alias("_ids"))
+    if each.limit(MOST_SAMPLED + 1).count() > MOST_SAMPLED:
+        return lines.join(each.select("session_id").distinct(), "session_id", "left_semi")
+    wanted = each.groupBy("session_id").agg(F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_ids"), F.collect_set("_at").alias("_at"))
+    found = F.regexp_extract_all("line", F.lit(ID_VALUES), 1)
+    here = F.array_contains("_at", F.col("seq").cast("long"))
+    near = lines.join(F.broadcast(wanted), "session_id")
+    return near.where(here | F.arrays_overlap(found, "_ids") | F.exists(found, lambda x: x.contains("\\"))).select(*lines.columns)
+
+
+def records_that_matter(lines: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Parsed records of the lines of which a sampled row may need something."""
+    return split_errors(parsed_lines(lines_that_matter(lines, sampled)))[0]
+
+
 def result_texts(sampled: DataFrame, records: DataFrame, messages: DataFrame) -> DataFrame:
     """``sampled`` (session_id, seq, tool_use_id, ...) with the text of the first result that
     names the call."""

@@ -6,7 +6,7 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tollbook.ingest import claude_code, codex, cursor, opencode
+from tollbook.ingest import claude_code, codex, cursor, opencode, texts
 from tollbook.ingest.build import build_ledger, gather_facts, ingest_totals
 from tollbook.ingest.common import Parts, in_ledger_shape
 from tollbook.functions.metrics import rows
@@ -195,11 +195,37 @@ def _coverage(ws, spark, sf_dir):
     return probes.coverage(drawn, found, ["doc_id"])
 
 
+def _result_texts(ws, spark, sf_dir):
+    """Results of every third call, found among raw lines by their ids."""
+    c = _table(spark, sf_dir, "conversations")
+    word = F.col("turn").cast("string")
+    sampled = c.where("role = 'assistant' AND turn % 3 = 1").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), (F.col("turn") * 2).cast("int").alias("seq"), F.concat(F.lit("t"), word).alias("tool_use_id"))
+    found = texts.records_that_matter(conversation_tools(c), sampled)
+    return texts.result_texts(sampled, found, _no_messages(ws, spark, sf_dir))
+
+
+def _reply_texts(fmt):
+    def run(ws, spark, sf_dir):
+        c = _table(spark, sf_dir, "conversations")
+        sampled = c.where("role = 'assistant' AND turn % 2 = 1").select(
+            F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").cast("int").alias("seq"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("msg_id"))
+        if fmt == "opencode":
+            messages = conversation_messages(c).join(sampled.select("session_id", "seq").distinct(), ["session_id", "seq"], "left_semi")
+            return texts.reply_texts(sampled, records(ws, spark, sf_dir, "cursor").limit(0), messages)
+        return texts.reply_texts(sampled, texts.records_that_matter(conversation_lines(c, fmt), sampled), _no_messages(ws, spark, sf_dir))
+    return run
+
+
+def _no_messages(ws, spark, sf_dir):
+    return ws.table("messages", lambda: conversation_messages(_table(spark, sf_dir, "conversations"))).limit(0)
+
+
 def _drops(ws, spark, sf_dir):
     """Of all documents, some of which have no text or an empty one here: what the read and the final probe leave out, and why."""
-    texts = numbered_documents(spark, sf_dir)
+    listed = numbered_documents(spark, sf_dir)
     text = F.when(F.col("doc_id") % 7 == 3, F.lit(None).cast("string")).when(F.col("doc_id") % 11 == 5, "").otherwise(F.col("text"))
-    sampled, out = texts.withColumn("text", text), []
+    sampled, out = listed.withColumn("text", text), []
     for probe, measure, least in (("read", probes.measure_read, 500), ("final", probes.measure_final, 0)):
         write = lambda df, name=f"drops_{probe}": ws.table(name, lambda: df)
         with _BUILD:
@@ -368,6 +394,8 @@ TEXT_QUERIES = {
     **{f"probe_extrapolation_{m}": _extrapolated(m) for m in probes.MEASURES},
     "probe_coverage": _coverage,
     "probe_drops": _drops,
+    "probe_result_texts": _result_texts,
+    **{f"probe_reply_texts_{fmt}": _reply_texts(fmt) for fmt in ("claude_code", "cursor", "opencode")},
     "probe_large_sample": _large_sample,
     "prompt_context": lambda ws, s, d: context(ws).withColumn("prev_tools", F.array_join("prev_tools", ",")),
     "label_requests": lambda ws, s, d: _requests(ws),
