@@ -95,3 +95,8 @@ def test_fused_decoding_is_the_same(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate([*texts(200), None])], "doc_id long, text string")
     fused = {r.doc_id: r.decoded for r in p.encode(docs, MODEL, decoded="decoded").collect()}
     assert fused == {r.doc_id: r.decoded for r in p.decode(p.encode(docs, MODEL), MODEL).collect()}
+
+
+def test_counts_refuse_files_that_cut_otherwise(spark):
+    with pytest.raises(ValueError):
+        t.count_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -125,6 +125,13 @@ def _merge(flat, kept, starts, sizes, leaves, merges):
             tree[base + nodes] = np.minimum(tree[base + 2 * nodes], tree[base + 2 * nodes + 1])
 
 
+def spaceless(said: dict) -> bool:
+    """Whether a tokenizer file lower-cases and cuts texts in the one way of which it is known that no pre-token holds white space."""
+    steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return ([n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])] == SPACELESS_NORMALIZERS
+            and steps[0].get("pattern", {}).get("Regex") == SPACELESS and steps[0]["behavior"] == "Removed" and steps[0]["invert"])
+
+
 class Codec:
     """Encoding and decoding by a tokenizer file. Ids are kept as packed 32-bit numbers."""
 
@@ -148,11 +155,7 @@ class Codec:
         self.merges = Merges([(self.vocab[a], self.vocab[b], rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)])
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.spaceless = (
-            [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])] == SPACELESS_NORMALIZERS
-            and steps[0].get("pattern", {}).get("Regex") == SPACELESS and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
-        )
+        self.spaceless = spaceless(said)
         self.words, self.pieces = Kept(), Kept()
         self.load_signs()
         self.load_pieces(self.vocab | self.special, bool(decoder))

@@ -10,7 +10,7 @@
 A word list names a pre-token once per block, so a very common word is no hot key.
 The tokenizer's own normalizer and pre-tokenizer cut the words. Text is first cut at ASCII
 white space, which no pre-token of such a tokenizer spans; only distinct words are then
-looked at. Special strings inside texts count as one token each, the library's default.
+looked at; files that cut otherwise are refused. Special strings inside texts count as one token each, the library's default.
 
 Results by case: a null text counts as empty, with no tokens; a null id is kept; repeated
 rows are counted row by row; a text larger than a block makes a block of its own; an empty
@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollbook.llm.bpe import spaceless
 from tollbook.llm.common import staged, table
 
 BLOCK_BYTES = 32 * 1024 * 1024
@@ -43,7 +44,10 @@ def load(path: str):
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        special = sorted((t["content"] for t in json.load(f)["added_tokens"]), key=len, reverse=True)
+        said = json.load(f)
+    if not spaceless(said):
+        raise ValueError("only tokenizer files whose pre-tokens are lower-cased words without white space are handled")
+    special = sorted((t["content"] for t in said["added_tokens"]), key=len, reverse=True)
     return Tokenizer.from_file(path), re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
 
@@ -162,6 +166,7 @@ def summed(batches):
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Id, n_bytes and n_tokens of every document by the tokenizer file at ``path`` (present on all machines)."""
+    load(path)  # refuses other files before any task does
     cut = staged(blocks(docs.select(F.col(key).cast("long"), F.col(text)), path, block_bytes), "token-blocks")
     words = cut.select("block", F.posexplode("words").alias("pos", "word"))
     lists = piece_counts(words, path).groupBy("block").agg(F.collect_list("packed_count").alias("counts"))
