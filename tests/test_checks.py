@@ -66,3 +66,13 @@ def test_rows_only_queries(spark):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert {r.agent for r in rows} == {"ALL", "claude_code", "codex", "opencode", "cursor"}
+
+
+def test_queries_can_be_listed_without_a_session():
+    """In a process of its own, as this one has a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert told.returncode == 0, told.stderr

@@ -19,14 +19,14 @@ LARGEST, RANDOM = 300, 300
 
 
 def largest_and_random(pool: DataFrame, size: str, by: list[str], per_stratum: int, names: tuple[str, str],
-                       random_from=None) -> DataFrame:
-    """The ``LARGEST`` rows by ``size`` and, apart from those, up to ``per_stratum`` rows of
-    each stratum in hash order, ``RANDOM`` in all."""
-    top = pool.orderBy(F.desc_nulls_last(size), "session_id", "seq").limit(LARGEST)
+                       random_from=None, largest: int = LARGEST, random: int = RANDOM) -> DataFrame:
+    """The ``largest`` rows by ``size`` and, apart from those, up to ``per_stratum`` rows of
+    each stratum in hash order, ``random`` in all."""
+    top = pool.orderBy(F.desc_nulls_last(size), "session_id", "seq").limit(largest)
     rest = pool if random_from is None else pool.where(random_from)
     rest = rest.join(top.select("session_id", "seq"), ["session_id", "seq"], "left_anti")
     order = [hash_order("session_id", "seq"), F.col("session_id"), F.col("seq")]
-    drawn = top_per(rest, by, order, per_stratum).orderBy(*order).limit(RANDOM)
+    drawn = top_per(rest, by, order, per_stratum).orderBy(*order).limit(random)
     return top.withColumn("stratum_pick", F.lit(names[0])).unionByName(drawn.withColumn("stratum_pick", F.lit(names[1])))
 
 
@@ -42,8 +42,8 @@ def rewrite_pool(ws: Workspace) -> DataFrame:
 
 
 @result("c01_rewrite_necessary")
-def rewrite_cases(ws: Workspace) -> DataFrame:
-    picked = largest_and_random(rewrite_pool(ws), "content_chars", ["agent", "mode"], 40, ("top_by_size", "random"))
+def rewrite_cases(ws: Workspace, largest: int = LARGEST, random: int = RANDOM) -> DataFrame:
+    picked = largest_and_random(rewrite_pool(ws), "content_chars", ["agent", "mode"], 40, ("top_by_size", "random"), largest=largest, random=random)
     return picked.select(
         "session_id", "seq", F.lit(10).alias("k_before"), F.lit(5).alias("k_after"), "agent", "mode", "repo", "file_path",
         "content_chars", "input_chars", "max_earlier_read_chars", "rewrite_ratio", "output_usd_estimate", "stratum_pick",

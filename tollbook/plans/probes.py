@@ -197,15 +197,13 @@ def coverage(sampled: DataFrame, measured: DataFrame, key: list[str]) -> DataFra
 
 
 # Why a sampled item is not measured, in the order in which it is looked at.
-DROPS = {
-    "no_text": F.col("text").isNull(), "empty_text": F.col("text") == "", "too_short": F.length("text") < F.col("least"), "measured": F.lit(True),
-}
+DROPS = {"no_text": "text IS NULL", "empty_text": "text = ''", "too_short": "length(text) < least", "measured": "true"}
 
 
 def measured_with_drops(sampled: DataFrame, measure, probe: str, write, least: int = 0) -> tuple[DataFrame, DataFrame]:
     """(measured items, counts by reason) of a sample whose ``text`` was looked for. The reasons are counted by the
     very pass that measures the items (``observe``), which ``write`` carries out (it writes a frame and reads it back)."""
-    reason = F.coalesce(*[F.when(test, name) for name, test in DROPS.items()])
+    reason = F.coalesce(*[F.when(F.expr(test), name) for name, test in DROPS.items()])
     seen = Observation(f"drops_{probe}")
     told = sampled.withColumn("least", F.lit(least)).withColumn("_reason", reason)
     told = told.observe(seen, F.count(F.lit(1)).alias("sampled"), *[F.count_if(F.col("_reason") == name).alias(name) for name in DROPS])

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tollbook.schemas import LEDGER, conform
 
-ROWS_PER_FILE = 50_000
-
 
 @dataclass
 class Ledger:
@@ -38,15 +36,11 @@ def scan_ledger(spark: SparkSession, folder: str) -> Ledger:
     return Ledger(**frames)
 
 
-def write_ledger(ledger: Ledger, folder: str, partition_by: tuple[str, ...] = (), rows_per_file: int = ROWS_PER_FILE) -> None:
+def write_ledger(ledger: Ledger, folder: str, partition_by: tuple[str, ...] = (), rows_per_file: int | None = None) -> None:
     """Write the five tables as zstd Parquet; ``partition_by=("agent",)`` lays the fact
-    tables out for partition pruning."""
+    tables out for partition pruning. Files are as large as the tasks that write them, unless a number of rows is given."""
     for name, df in ledger.tables().items():
-        writer = (
-            df.write.mode("overwrite")
-            .option("compression", "zstd")
-            .option("maxRecordsPerFile", rows_per_file)
-        )
+        writer = df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file or 0)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{folder}/{name}")
