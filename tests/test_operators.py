@@ -72,6 +72,12 @@ def test_quantiles_of_large_groups_and_ties(spark):
         assert [r[0] for r in got] == [r[0] for r in exact] and [x for r in got for x in r[1:]] == pytest.approx([x for r in exact for x in r[1:]], rel=1e-12)
 
 
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, v double")
+    assert [tuple(r) for r in grouped(none, [], [F.count("*").alias("c")], {"m": med("v")}).collect()] == [(0, None)]
+    assert grouped(none, ["k"], [F.count("*").alias("c")], {"m": med("v")}).count() == 0
+
+
 def test_quantiles_move_no_rows(points):
     plan = quantiles(points, ["k"], {"x": (F.col("n"), 0.5)})._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan

@@ -56,21 +56,22 @@ def _ranked(facts: Column, ends: Column, rank: Column) -> Column:
 
 def grouped(df: DataFrame, keys: list[str], aggs: list[Column], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` plus the wanted quantiles, each of a (value, q)."""
-    by = keys or ["_all"]
-    df = df if keys else df.withColumn("_all", F.lit(1))
+    if not keys:  # one row, also of nothing
+        values = grouped(df.withColumn("_all", F.lit(1)), ["_all"], [], wanted).select(F.struct(*wanted)).scalar()
+        return df.agg(*aggs).withColumn("_q", values).select("*", "_q.*").drop("_q")
     names = list(wanted)
-    cells = {f"_v{i}": wanted[n][0].cast("double") for i, n in enumerate(names)}
-    # the first aggregate also holds what else is asked of a group
-    first = df.groupBy(*by).agg(*aggs, *[_bracket(wanted[n][0].cast("double"), wanted[n][1]).alias(f"_b{i}") for i, n in enumerate(names)])
-    values = attach(df.select(*by, *[c.alias(v) for v, c in cells.items()]), first.select(*by, *[f"_b{i}" for i in range(len(names))]), by, "inner")
+    values = {f"_v{i}": wanted[n][0].cast("double") for i, n in enumerate(names)}
+    # the first aggregate also holds what else is asked of a group; its row goes with the values to the second one
+    first = df.groupBy(*keys).agg(*aggs, *[_bracket(wanted[n][0].cast("double"), wanted[n][1]).alias(f"_b{i}") for i, n in enumerate(names)])
+    rows = attach(df.select(*keys, *[c.alias(v) for v, c in values.items()]), first, keys, "inner")
     facts = [_facts(F.col(f"_v{i}"), F.col(f"_b{i}.ends")).alias(f"_f{i}") for i in range(len(names))]
-    out = attach(first, values.groupBy(*by).agg(*facts), by)
+    out = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in first.columns if c not in keys], *facts)
     for i, n in enumerate(names):
         ends, count = F.col(f"_b{i}.ends"), F.col(f"_b{i}.n")
         place = (count - 1) * F.lit(float(wanted[n][1]))
         a, z = (_ranked(F.col(f"_f{i}"), ends, x) for x in (F.floor(place), F.ceil(place)))
         out = out.withColumn(n, F.when(count > 0, a + (z - a) * (place - F.floor(place))))
-    return out.drop(*[f"_{kind}{i}" for kind in "bf" for i in range(len(names))], *([] if keys else by))
+    return out.drop(*[f"_{kind}{i}" for kind in "bf" for i in range(len(names))])
 
 
 def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
