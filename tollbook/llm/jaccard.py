@@ -368,9 +368,12 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     listed = ranges.groupBy("key").agg(F.collect_list(F.struct("group", "low", "high")).alias("met")).filter("size(met) > 1")
     # a query meets the groups after its own; the groups of a key are listed once, not once per node
     asked = placed.select("key", "weight", F.col("node").alias("a"), "part", F.col("group").alias("own")).join(listed, "key")
-    asked = asked.select("a", "weight", F.explode(F.expr("transform(filter(met, g -> g.group > own and not (g.low = part and g.high = part)), g -> g.group)")).alias("group"))
+    met = F.expr("transform(filter(met, g -> g.group > own and not (g.low = part and g.high = part)), g -> g.group)")
+    asked = asked.select("a", "weight", met.alias("met")).filter("size(met) > 0").groupBy("a", "met").agg(F.sum("weight").alias("weight"))
     # a node that shares fewer keys with a whole group than with anything it links with is no query for it
-    queries = asked.groupBy("a", "group").agg(F.sum("weight").alias("common")).join(sets.select(F.col("node").alias("a"), "need"), "a").filter("common >= need").select("a", "group")
+    asked = asked.groupBy("a").agg(F.collect_list(F.struct("met", "weight")).alias("keys")).join(sets.select(F.col("node").alias("a"), "need"), "a")
+    enough = "filter(array_distinct(flatten(keys.met)), g -> aggregate(keys, 0L, (s, k) -> s + if(array_contains(k.met, g), k.weight, 0L)) >= need)"
+    queries = asked.select("a", F.explode(F.expr(enough)).alias("group"))
     queries = staged(queries, "queries")
     found = opened(sets.select(F.col("node").alias("a"), "tokens").join(few(queries), "a"), matrix, percent)
     parts_of = components(links.union(staged(found, "links")))
