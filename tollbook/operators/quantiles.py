@@ -56,16 +56,19 @@ def _ranked(facts: Column, ends: Column, rank: Column) -> Column:
 
 def grouped(df: DataFrame, keys: list[str], aggs: list[Column], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` plus the wanted quantiles, each of a (value, q)."""
-    if not keys:  # one row, also of nothing
-        values = grouped(df.withColumn("_all", F.lit(1)), ["_all"], [], wanted).select(F.struct(*wanted)).scalar()
-        return df.agg(*aggs).withColumn("_q", values).select("*", "_q.*").drop("_q")
     names = list(wanted)
     values = {f"_v{i}": wanted[n][0].cast("double") for i, n in enumerate(names)}
+    facts = [_facts(F.col(f"_v{i}"), F.col(f"_b{i}.ends")).alias(f"_f{i}") for i in range(len(names))]
     # the first aggregate also holds what else is asked of a group; its row goes with the values to the second one
     first = df.groupBy(*keys).agg(*aggs, *[_bracket(wanted[n][0].cast("double"), wanted[n][1]).alias(f"_b{i}") for i, n in enumerate(names)])
-    rows = attach(df.select(*keys, *[c.alias(v) for v, c in values.items()]), first, keys, "inner")
-    facts = [_facts(F.col(f"_v{i}"), F.col(f"_b{i}.ends")).alias(f"_f{i}") for i in range(len(names))]
-    out = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in first.columns if c not in keys], *facts)
+    cells = [c.alias(v) for v, c in values.items()]
+    if keys:
+        rows = attach(df.select(*keys, *cells), first, keys, "inner")
+        out = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in first.columns if c not in keys], *facts)
+    else:  # one row, also of nothing: no join
+        brackets = first.select(F.struct(*[f"_b{i}" for i in range(len(names))])).scalar()
+        found = df.select(*cells, brackets.alias("_b")).select(*values, "_b.*").agg(*facts).select(F.struct(*[f"_f{i}" for i in range(len(names))])).scalar()
+        out = first.withColumn("_f", found).select("*", "_f.*").drop("_f")
     for i, n in enumerate(names):
         ends, count = F.col(f"_b{i}.ends"), F.col(f"_b{i}.n")
         place = (count - 1) * F.lit(float(wanted[n][1]))
