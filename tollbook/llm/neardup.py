@@ -28,12 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import parts, small_batches, staged, table, tidy
+from tollbook.llm.common import small_batches, staged, table, tidy
 from tollbook.llm.components import components
 
 SAMPLE, BLOCK, BUCKET, TILE = 128, 4096, 16, 512  # members of a node that children's centres are chosen from; members of a block
 MOST_LEVELS = 24  # beyond, what does not fit a block is cut by hash
-PAIRS, MOST_TASKS = 2, 20_000  # pairs of blocks of a task; tasks at most
 SAFE = 1e-6  # rounding in distances from cosines near one; bounds this close to the threshold open the node
 
 
@@ -359,7 +358,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id
     met = pairs.join(head, ["size", "cell"]).join(other, ["size", "cell_2"]).filter("cell <> cell_2 or block <= block_2").filter(near).select("block", "block_2")
     met = staged(met, "block-pairs")
     body = blocks.select("block", "nodes", "weights", "points", "tree")
-    full = small_batches(met.join(body, "block").join(body.select(*[F.col(c).alias(f"{c}_2") for c in body.columns]), "block_2")).repartition(min(MOST_TASKS, parts(met.count(), PAIRS)), "block", "block_2")
+    full = small_batches(met.join(body, "block").join(body.select(*[F.col(c).alias(f"{c}_2") for c in body.columns]), "block_2"))
     found = staged(full.mapInArrow(tidy(compared(cosine)), "node long, n long, other long"), "links")
 
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
