@@ -30,19 +30,19 @@ from functools import lru_cache
 from math import ceil, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import few, parts, small_batches, staged, table, tidy
+from tollbook.llm.common import few, parts, slices, small_batches, staged, table, tidy
 from tollbook.llm.components import components
 from tollbook.llm.decontaminate import windows
 
 WORDS_KEPT = 200_000
-BLOCK_DOCS, BLOCK_KEYS = 16_384, 1_000_000
+SLICE_BYTES = 1024 * 1024  # of text whose sets a worker holds at once
+BLOCK_DOCS, BLOCK_KEYS = 16_384, 500_000
 KEYS_PER_TASK = 1_000_000
 GROUP_TOKENS, GROUP_QUERIES = 200_000, 1_000_000  # tokens of a group's members; tokens of the queries beside it in a task
 LEVEL, SLACK, SEEDS = 1.5, 1.3, 4
@@ -84,7 +84,7 @@ def shingled(docs: DataFrame, key: str, text: str, n: int, percent: int | None =
 
     def run(batches):
         words = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
             sets = [shingles(x.as_py(), n, words) for x in batch.column(1)]
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.string())]
             if percent is not None:
@@ -257,14 +257,14 @@ def token_group_matrix(members: DataFrame) -> DataFrame:
     """One row per group: its token union, and for each member its node, size and the places of
     its tokens in the union. ``members`` holds group, node and tokens."""
 
-    def union(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        sets = [np.frombuffer(x, U64) for x in rows["tokens"]]
+    def union(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        sets = [np.frombuffer(x, U64) for x in rows["tokens"].to_pylist()]
         every, places = np.unique(np.concatenate(sets), return_inverse=True)
-        return pd.DataFrame({"group": [rows["group"].iloc[0]], "tokens_union": [every.tobytes()], "nodes": [rows["node"].to_numpy()],
-                             "sizes": [np.array([len(s) for s in sets], np.int64)], "places": [places.astype(np.int32).tobytes()]})
+        return pa.table({"group": rows["group"].slice(0, 1), "tokens_union": [every.tobytes()], "nodes": [rows["node"].to_pylist()], "sizes": [[len(s) for s in sets]],
+                         "places": [places.astype(np.int32).tobytes()]})
 
-    return members.groupBy("group").applyInPandas(union, "group string, tokens_union binary, nodes array<long>, sizes array<long>, places binary")
+    return members.groupBy("group").applyInArrow(union, "group string, tokens_union binary, nodes array<long>, sizes array<long>, places binary")
 
 
 class Group:
@@ -321,19 +321,19 @@ def opened(queries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
     asked = queries.join(few(salts), "group").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
     held = matrix.join(few(salts), "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
-    def bound_and_open(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def bound_and_open(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = []
-        for row in held.itertuples():
-            group = Group(row.tokens_union, row.nodes, row.sizes, row.places, percent)
-            for a, tokens in zip(asked["a"], asked["tokens"]):
-                query = np.frombuffer(tokens, U64)
+        for row in held.to_pylist():
+            group = Group(row["tokens_union"], row["nodes"], row["sizes"], row["places"], percent)
+            for a, tokens in zip(asked["a"].to_pylist(), asked["tokens"]):
+                query = np.frombuffer(tokens.as_py(), U64)
                 at = np.searchsorted(group.union, query)
                 at[at == len(group.union)] = 0
                 group.ask(a, at[group.union[at] == query], len(query), False)
             out += group.links
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return asked.groupBy("group", "salt").cogroup(held.groupBy("group", "salt")).applyInPandas(bound_and_open, "a long, b long")
+    return asked.groupBy("group", "salt").cogroup(held.groupBy("group", "salt")).applyInArrow(bound_and_open, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
