@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+WIDE_ROWS = {"parquet.block.size": str(4 * 1024 * 1024), "parquet.page.size.row.check.min": "1"}
+
+
+def staged(df: DataFrame, label: str, by: str | None = None, wide: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors. ``wide`` rows may have
+    megabytes each; they are written and read in row groups of a few, where else a task holds all rows of a file."""
     path = fresh_folder(df.sparkSession, label)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**WIDE_ROWS if wide else {})
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, n: int, percent: int, key: str = "doc_id
     links = own_class.join(classes, "set_key").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     links = staged(links.union(own_class.join(classes, "set_key").filter("doc <> rep").join(own_class.groupBy("doc").count().filter("count > 1"), "doc").select("rep", "doc")), "links")
     groups = staged(groups_of(shared), "groups")
-    matrix = staged(token_group_matrix(sets.select("node", "tokens").join(few(groups), "node")), "matrix")
+    matrix = staged(token_group_matrix(sets.select("node", "tokens").join(few(groups), "node")), "matrix", wide=True)
     links = links.union(staged(inside(matrix, percent), "links"))
     parts_of = components(links)
 
