@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from tollbook.operators.neighbourhood import pairs_within, rows_in_reach
 from tollbook.operators.numbering import numbered
-from tollbook.operators.quantiles import grouped, med, quantiles
+from tollbook.operators.quantiles import Distinct, grouped, med, quantiles
 from tollbook.operators.ranking import first_row, most_frequent, top_per
 from tollbook.operators.sampling import first_by_hash
 from tollbook.operators.running import Carry, lookahead, lookback, running, span_blocks
@@ -139,3 +139,11 @@ def test_samples_do_not_pass_through_one_task(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in text and "GlobalLimit" not in text
     assert plan.count() == 300_000
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_distinct_counts_keep_their_place_among_aggregates(points, keys):
+    with_null = points.withColumn("k", F.nullif("k", F.lit("k3")))
+    got = grouped(with_null, keys, [F.sum("n").alias("s"), Distinct("d", "n"), F.max("at").alias("m")], {"q": med("v")})
+    want = with_null.groupBy(*keys).agg(F.sum("n").alias("s"), F.count_distinct("n").alias("d"), F.max("at").alias("m"), F.percentile("v", 0.5).alias("q"))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -30,6 +30,14 @@ def test_no_percentile_over_groups_of_unknown_size(big):
         assert "percentile(" not in plan_of(fn(big, **registered.PARAMETERS.get(name, {}))), name
 
 
+def test_no_sketch_for_every_distinct_value(big):
+    """A distinct count beside a sketch would keep a sketch per counted value, all merged in one task."""
+    for name in ("c01_headline", "c02_headline", "t16_task_tool_usage", "t18_interrupts_by_agent", "t18_queue_operations"):
+        lines = plan_of(RESULTS[name](big, **registered.PARAMETERS.get(name, {}))).splitlines()
+        assert any("percentile_approx" in line for line in lines), name
+        assert not any("percentile_approx" in line and "distinct" in line for line in lines), name
+
+
 def test_filters_and_columns_reach_the_scan(ws):
     plan = plan_of(RESULTS["t21_headline"](ws))
     assert re.search(r"PushedFilters: \[IsNotNull\(agent\), EqualTo\(agent,claude_code\)\]", plan)

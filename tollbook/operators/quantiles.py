@@ -10,6 +10,7 @@ before their exchange; there is no window, and no row is moved for its rank.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +19,15 @@ ACCURACY = 10_000
 MARGIN = 3 / ACCURACY  # thrice the sketch's error, on both sides
 
 
+@dataclass(frozen=True)
+class Distinct:
+    """A count of distinct values among the aggregates of ``grouped``. It is taken by an aggregate of its own: beside
+    sketches it would make Spark keep one sketch for every distinct value, all merged by one task."""
+
+    name: str
+    col: str
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """NULL-safe equality on all keys (still a hash-joinable condition)."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -54,8 +64,17 @@ def _ranked(facts: Column, ends: Column, rank: Column) -> Column:
             .when(beyond < facts["high"], ends[1]).otherwise(facts["after"]))
 
 
-def grouped(df: DataFrame, keys: list[str], aggs: list[Column], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], aggs: list[Column | Distinct], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` plus the wanted quantiles, each of a (value, q)."""
+    apart = [(i, a) for i, a in enumerate(aggs) if isinstance(a, Distinct)]
+    if apart:
+        out = grouped(df, keys, [a for a in aggs if not isinstance(a, Distinct)], wanted)
+        counts = df.groupBy(*keys).agg(*[F.count_distinct(a.col).alias(a.name) for _, a in apart])
+        order = list(out.columns)
+        for i, a in apart:
+            order.insert(len(keys) + i, a.name)
+        found = attach(out, counts, keys) if keys else out.withColumns({a.name: counts.select(a.name).scalar() for _, a in apart})
+        return found.select(*order)
     names = list(wanted)
     values = {f"_v{i}": wanted[n][0].cast("double") for i, n in enumerate(names)}
     facts = [_facts(F.col(f"_v{i}"), F.col(f"_b{i}.ends")).alias(f"_f{i}") for i in range(len(names))]

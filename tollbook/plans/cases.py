@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tollbook.functions.metrics import chars_as_tokens, lead_part, ratio, rows, rows_where, usd
-from tollbook.operators.quantiles import attach, med
+from tollbook.operators.quantiles import Distinct, attach, med
 from tollbook.operators.ranking import hash_order, top_per
 from tollbook.plans.catalog_of_results import result
 from tollbook.plans.context import file_visits, rents
@@ -56,7 +56,7 @@ def rewrite_pool_headline(ws: Workspace) -> DataFrame:
     return ws.grouped(
         rewrite_pool(ws), [],
         [rows().alias("pool_of_writes_on_known_files"), F.sum("content_chars").alias("content_chars_in_pool"),
-         F.sum("output_usd_estimate").alias("output_usd_in_pool"), F.count_distinct("session_id").alias("sessions_in_pool")],
+         F.sum("output_usd_estimate").alias("output_usd_in_pool"), Distinct("sessions_in_pool", "session_id")],
         {"median_content_chars": med("content_chars")})
 
 
@@ -85,7 +85,7 @@ def result_pool_headline(ws: Workspace, big: int = 5000) -> DataFrame:
     return ws.grouped(
         result_pool(ws), [],
         [rows().alias("pool_of_tool_results"), rows_where(F.col("result_chars") > big).alias("results_over_5k_chars"),
-         F.sum("rent_usd").alias("rent_usd_in_pool"), F.count_distinct("session_id").alias("sessions_in_pool")],
+         F.sum("rent_usd").alias("rent_usd_in_pool"), Distinct("sessions_in_pool", "session_id")],
         {"median_result_chars": med("result_chars")})
 
 

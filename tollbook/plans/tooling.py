@@ -9,7 +9,7 @@ from tollbook.functions.metrics import (
     at_most, bands, chars_as_tokens, lead_part, pct, ratio, rows, rows_where, sum_where, total, usd, yes, zero,
 )
 from tollbook.operators.neighbourhood import rows_in_reach
-from tollbook.operators.quantiles import med
+from tollbook.operators.quantiles import Distinct, med
 from tollbook.operators.ranking import most_frequent
 from tollbook.operators.running import Carry, running
 from tollbook.plans.catalog_of_results import result
@@ -448,7 +448,7 @@ def subagent_sessions(ws: Workspace) -> DataFrame:
 def task_usage(ws: Workspace) -> DataFrame:
     return ws.grouped(
         ws.tool_facts.where("in_catalog AND tool_kind = 'task'").withColumn("agent", F.col("s_agent")), ["agent"],
-        [rows().alias("task_calls"), F.count_distinct("session_id").alias("sessions"), total("result_chars").alias("_chars"),
+        [rows().alias("task_calls"), Distinct("sessions", "session_id"), total("result_chars").alias("_chars"),
          F.sum(usd(chars_as_tokens(zero("input_chars")), "p_output")).alias("usd_of_the_task_prompts")],
         {"median_result_chars": med("result_chars")},
     ).withColumnRenamed("_chars", "result_chars").orderBy(F.desc("task_calls"), "agent")
@@ -540,7 +540,7 @@ def interrupts(ws: Workspace) -> DataFrame:
 def interrupts_by_agent(ws: Workspace) -> DataFrame:
     return ws.grouped(
         interrupts(ws), ["agent"],
-        [rows().alias("interrupts"), F.count_distinct("session_id").alias("sessions_with_interrupts"), F.sum("sunk_usd").alias("_usd")],
+        [rows().alias("interrupts"), Distinct("sessions_with_interrupts", "session_id"), F.sum("sunk_usd").alias("_usd")],
         {"median_sunk_usd": med("sunk_usd"), "median_sunk_calls": med("sunk_calls")},
     ).withColumnRenamed("_usd", "sunk_usd").withColumn("pct_of_total_usd", pct("sunk_usd", ws.bill_total())).orderBy(
         F.desc("interrupts"), "agent")
@@ -553,7 +553,7 @@ def queue_operations(ws: Workspace) -> DataFrame:
     s = q.join(ws.sessions_x.select("session_id", "agent"), "session_id")
     each = ws.events.where("event_type = 'queue-operation'").select("session_id").join(s, "session_id")
     return ws.grouped(
-        each, ["agent"], [F.count_distinct("session_id").alias("sessions_with_queue_events"), rows().alias("queue_events")],
+        each, ["agent"], [Distinct("sessions_with_queue_events", "session_id"), rows().alias("queue_events")],
         {"median_queue_events_per_session": med("n")},
     ).orderBy(F.desc("queue_events"), "agent")
 
