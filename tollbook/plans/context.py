@@ -99,10 +99,11 @@ def repeat_marks(ws: Workspace) -> DataFrame:
 
     Adding up ``mark`` (or ``mark * result_chars``) over any grouping gives the repeats in
     it: all results less the first ones. The first row of a hash is an aggregate, so a hash
-    shared by a third of all results is reduced before it is exchanged."""
+    shared by a third of all results is reduced before it is exchanged. It takes no positions or
+    prices, so none are worked out for it."""
     def build():
-        cols = ["agent", "tool_kind", "seq", "command_head", "file_path", "result_chars", "in_catalog", "p_input", "p_cache_read"]
-        seen = ws.tool_facts.where("result_hash IS NOT NULL AND coalesce(result_chars, 0) > 0").select(
+        cols = ["agent", "tool_kind", "seq", "command_head", "file_path", "result_chars"]
+        seen = ws.tool_calls.where("session_id IS NOT NULL AND seq IS NOT NULL AND result_hash IS NOT NULL AND coalesce(result_chars, 0) > 0").select(
             "session_id", "result_hash", F.coalesce("tool_use_id", F.lit("")).alias("_tie"), *cols)
         row = F.struct(*cols)
         first = seen.groupBy("session_id", "result_hash").agg(
@@ -113,6 +114,12 @@ def repeat_marks(ws: Workspace) -> DataFrame:
     return ws.table("repeat_marks", build)
 
 
+def priced_marks(ws: Workspace) -> DataFrame:
+    """``repeat_marks`` with the prices of their sessions; sessions that are not listed have none."""
+    attrs = ws.sessions_x.select("session_id", F.lit(True).alias("in_catalog"), "p_input", "p_cache_read")
+    return repeat_marks(ws).join(attrs, "session_id", "left").withColumn("in_catalog", yes("in_catalog"))
+
+
 def _again():
     return F.sum("mark")
 
@@ -142,7 +149,7 @@ def repeats_by_kind(ws: Workspace, min_results: int = 500) -> DataFrame:
 
 @result("t03_usd_by_agent")
 def repeats_usd(ws: Workspace) -> DataFrame:
-    marks = repeat_marks(ws).where("in_catalog")
+    marks = priced_marks(ws).where("in_catalog")
     def cost(price):
         return F.when(F.sum(F.when(F.col(price).isNotNull(), F.col("mark"))) > 0,
                       F.sum(F.col("mark") * usd(chars_as_tokens("result_chars"), price)))
@@ -182,7 +189,7 @@ def repeating_sessions(ws: Workspace, n: int = 20) -> DataFrame:
 def repeats_headline(ws: Workspace) -> DataFrame:
     n, chars = F.sum("is_row"), F.sum(F.col("is_row") * F.col("result_chars"))
     bound = F.sum(F.when(F.col("in_catalog"), F.col("mark") * usd(chars_as_tokens("result_chars"), "p_input")))
-    return repeat_marks(ws).agg(
+    return priced_marks(ws).agg(
         pct(_again_chars(), chars).alias("pct_of_tool_result_chars_exact_repeats"),
         _again().alias("repeated_tool_results"), pct(_again(), n).alias("pct_of_tool_results_repeated"),
         _again_chars().alias("repeated_chars"), bound.alias("usd_lower_bound_fresh_input"))
