@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from tollbook.operators.neighbourhood import pairs_within, rows_in_reach
+from tollbook.operators.neighbourhood import pairs_within, rows_in_reach, sums_behind
 from tollbook.operators.numbering import numbered
 from tollbook.operators.quantiles import Distinct, grouped, med, quantiles
 from tollbook.operators.ranking import first_row, most_frequent, top_per
@@ -147,3 +147,12 @@ def test_distinct_counts_keep_their_place_among_aggregates(points, keys):
     got = grouped(with_null, keys, [F.sum("n").alias("s"), Distinct("d", "n"), F.max("at").alias("m")], {"q": med("v")})
     want = with_null.groupBy(*keys).agg(F.sum("n").alias("s"), F.count_distinct("n").alias("d"), F.max("at").alias("m"), F.percentile("v", 0.5).alias("q"))
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 4096])
+def test_sums_behind_are_range_frames(points, stretch):
+    w = Window.partitionBy("k").orderBy("at").rangeBetween(-10, 0)
+    moved = points.withColumn("at", F.col("at") - 1500)  # positions below zero too
+    want = moved.withColumn("s", F.sum("n").over(w))
+    got = sums_behind(moved, ["k"], "at", 10, F.col("n"), "s", stretch)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

@@ -7,7 +7,7 @@ it and added up. No key is ever ordered or gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def rows_in_reach(df: DataFrame, keys: list[str], position: str, first: int, last: int, name: str,
@@ -21,6 +21,21 @@ def rows_in_reach(df: DataFrame, keys: list[str], position: str, first: int, las
     return shifted.groupBy(*keys, position).agg(F.sum("_held").alias(name))
 
 
+STRETCH = 4096
+
+
+def sums_behind(df: DataFrame, keys: list[str], position: str, reach: int, value: Column, name: str, stretch: int = STRETCH) -> DataFrame:
+    """The sum of a value over the rows at position-reach .. position, for each row that ``df`` holds itself.
+
+    A key is cut into stretches of positions, and rows that the next stretch can see are sent there too, so no key
+    is gathered in one task; rows should be reduced to few per position before."""
+    home, at = F.floor(F.col(position) / F.lit(stretch)), F.floor((F.col(position) + F.lit(reach)) / F.lit(stretch))
+    sent = df.withColumns({"_value": value, "_stretch": F.explode(F.sequence(home, at))})
+    behind = Window.partitionBy(*keys, "_stretch").orderBy(position).rangeBetween(-reach, 0)
+    found = sent.withColumn(name, F.sum("_value").over(behind))
+    return found.where(F.col("_stretch") == home).drop("_value", "_stretch")
+
+
 def pairs_within(left: DataFrame, right: DataFrame, keys: list[str], position: str, first: int, last: int) -> DataFrame:
     """Bounded range join: right rows whose position is left.position+first .. +last.
     Each left row is listed at the few positions it covers and met by equality."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from tollbook.functions.metrics import (
     at_most, bands, call_tie, chars_as_tokens, lead_part, millis_between, pct, rows, rows_where, sum_where, total, usd, yes, zero,
 )
-from tollbook.operators.neighbourhood import pairs_within, rows_in_reach
+from tollbook.operators.neighbourhood import pairs_within, rows_in_reach, sums_behind
 from tollbook.operators.quantiles import med
 from tollbook.operators.running import Carry, lookback, lookahead, running
 from tollbook.plans.catalog_of_results import result
@@ -441,11 +441,13 @@ THRASH_CALLS, THRASH_EDITS = 10, 3
 
 
 def thrash(ws: Workspace) -> DataFrame:
-    """Edits with the number of edits of the same file in the 10 calls up to this one."""
+    """Edits of a file at one call number (``edits`` of them) with the number of edits of the same file in the
+    10 calls up to it. Only call numbers are taken, not what happened to the file before."""
     def build():
-        e = file_visits(ws).where(F.col("tool_kind") != "read").select("session_id", "agent", "file_path", "calls_before")
-        seen = rows_in_reach(e, ["session_id", "file_path"], "calls_before", -THRASH_CALLS, 0, "edits_in_last_10_calls")
-        return e.join(seen, ["session_id", "file_path", "calls_before"])
+        e = ws.tool_calls.where("file_path IS NOT NULL AND tool_kind IN ('edit', 'write')").select("session_id", "seq", "agent", "file_path")
+        e = e.join(ws.sessions.select("session_id"), "session_id").join(ws.seq_pos.select("session_id", "seq", "calls_before"), ["session_id", "seq"])
+        held = e.groupBy("session_id", "file_path", "calls_before", "agent").agg(rows().alias("edits"))
+        return sums_behind(held, ["session_id", "file_path"], "calls_before", THRASH_CALLS, F.col("edits"), "edits_in_last_10_calls")
     return ws.table("thrash", build)
 
 
@@ -466,10 +468,10 @@ def _thrashed():
 
 @result("t20_edit_thrash")
 def edit_thrash(ws: Workspace) -> DataFrame:
-    hot = _thrashed()
+    hot, n = _thrashed(), F.sum("edits")
     return thrash(ws).groupBy("agent").agg(
-        rows().alias("edits"), rows_where(hot).alias("edits_in_a_thrash_window"),
-        pct(rows_where(hot), rows()).alias("pct_of_edits"),
+        n.alias("edits"), zero(sum_where(hot, "edits")).alias("edits_in_a_thrash_window"),
+        pct(zero(sum_where(hot, "edits")), n).alias("pct_of_edits"),
         F.count_distinct(F.when(hot, F.struct("session_id", "file_path"))).alias("distinct_thrashed_files"),
     ).orderBy(F.desc("edits"), "agent")
 
@@ -477,7 +479,7 @@ def edit_thrash(ws: Workspace) -> DataFrame:
 @result("t20_top_thrashed_files")
 def thrashed_files(ws: Workspace, n: int = 20) -> DataFrame:
     return thrash(ws).where(_thrashed()).groupBy("file_path").agg(
-        F.max("agent").alias("agent"), rows().alias("edits_in_thrash_windows"),
+        F.max("agent").alias("agent"), F.sum("edits").alias("edits_in_thrash_windows"),
         F.count_distinct("session_id").alias("sessions"), F.max("edits_in_last_10_calls").alias("worst_burst"),
     ).select(
         lead_part("file_path", 80).alias("file_path_80"), "*").drop("file_path").orderBy(F.desc("edits_in_thrash_windows"), "file_path_80").limit(n)
@@ -487,7 +489,8 @@ def thrashed_files(ws: Workspace, n: int = 20) -> DataFrame:
 def reread_headline(ws: Workspace) -> DataFrame:
     back = _just_written()
     chars = zero("result_chars")
-    t = thrash(ws).agg(rows_where(_thrashed()).alias("n"), pct(rows_where(_thrashed()), rows()).alias("p"))
+    hot = zero(sum_where(_thrashed(), "edits"))
+    t = thrash(ws).agg(hot.alias("n"), pct(hot, F.sum("edits")).alias("p"))
     return file_visits(ws).where(F.col("tool_kind") == "read").agg(
         rows_where(back).alias("reads_of_a_just_written_file"), pct(rows_where(back), rows()).alias("pct_of_all_reads"),
         sum_where(back, chars).alias("reread_chars"),
