@@ -132,8 +132,9 @@ def sleep_durations(ws: Workspace) -> DataFrame:
 
 
 def edit_windows(ws: Workspace) -> DataFrame:
-    """First and last edit of a file by a session."""
-    return edits(ws).where("ts IS NOT NULL AND repo IS NOT NULL").groupBy("repo", "file_path", "session_id").agg(
+    """First and last edit of a file by a session. What followed an edit is not asked, so it is not looked up."""
+    e = ws.tool_calls.where("file_path IS NOT NULL AND tool_kind IN ('edit', 'write') AND seq IS NOT NULL AND ts IS NOT NULL").select("session_id", "file_path", "ts")
+    return e.join(ws.sessions.where("repo IS NOT NULL").select("session_id", "repo"), "session_id").groupBy("repo", "file_path", "session_id").agg(
         F.min("ts").alias("opened"), F.max("ts").alias("closed"))
 
 
