@@ -14,6 +14,7 @@ from tollbook.functions.prompts import human_lines, stripped
 from tollbook.operators.numbering import numbered
 from tollbook.operators.running import Carry, running
 from tollbook.plans.workspace import Workspace
+from tollbook.session import stored
 
 # Label names, sentiments, limits and wordings of a request.
 LABELS = ["new_task", "follow_up", "approval", "correction", "failure_report", "interruption", "question", "meta_other"]
@@ -29,6 +30,15 @@ MODEL_PRICES = {
 OUT_TOKENS_PER_ITEM, OUT_TOKENS_FIXED = 40, 20
 
 
+def prompt_items(prompts: DataFrame, prompt_chars: int | None = None) -> DataFrame:
+    """Every prompt in which a human wrote something, cleaned, and cut where a number of characters is given."""
+    cut = F.col("prompt")
+    if prompt_chars is not None:
+        cut = F.when(F.length(cut) > prompt_chars, F.concat(F.substring(cut, 1, prompt_chars), F.lit(CUT_MARK))).otherwise(cut)
+    plain = prompts.withColumn("prompt", human_lines(F.col("text"))).where("prompt <> ''")
+    return plain.withColumn("prompt", cut)
+
+
 def prompt_context(ws: Workspace, prompts: DataFrame | None = None, tools: DataFrame | None = None, calls: DataFrame | None = None,
                    prompt_chars: int | None = None, head_chars: int | None = None) -> DataFrame:
     """Every human prompt with the reply head before it and the last five tools before it, cut where
@@ -52,6 +62,7 @@ def prompt_context(ws: Workspace, prompts: DataFrame | None = None, tools: DataF
         Carry("tool_no", F.when(F.col("tool_name").isNotNull(), one).otherwise(nil)),
         Carry("prev_text", F.col("head"), "last", inclusive=False),
     ], ws.blocks())
+    line = stored(line, "context")  # prompts and tools are both taken from it
     items = line.where("side = 0").select("session_id", "agent", "repo", "seq", "text", "row_no", "tool_no", "prev_text")
     wanted = items.select("session_id", "seq", F.col("row_no").alias("i_row"), F.col("tool_no").alias("i_tool")).withColumn(
         "tool_no", F.explode(F.sequence(F.col("i_tool") - (LAST_TOOLS - 1), F.col("i_tool")))).where("tool_no > 0")
@@ -60,14 +71,11 @@ def prompt_context(ws: Workspace, prompts: DataFrame | None = None, tools: DataF
     # at most five names per prompt
     names = near.groupBy("session_id", "seq").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("tool_no", "tool_name"))), lambda x: x["tool_name"]).alias("prev_tools"))
-    plain = items.withColumn("prompt", human_lines(F.col("text"))).where("prompt <> ''")
-    cut, head = F.col("prompt"), F.coalesce("prev_text", F.lit(""))
-    if prompt_chars is not None:
-        cut = F.when(F.length(cut) > prompt_chars, F.concat(F.substring(cut, 1, prompt_chars), F.lit(CUT_MARK))).otherwise(cut)
+    head = F.coalesce("prev_text", F.lit(""))
     if head_chars is not None:
         head = F.substring(head, 1, head_chars)
-    return plain.join(names, ["session_id", "seq"], "left").select(
-        "session_id", "agent", "repo", "seq", cut.alias("prompt"), head.alias("prev_text"),
+    return prompt_items(items, prompt_chars).join(names, ["session_id", "seq"], "left").select(
+        "session_id", "agent", "repo", "seq", "prompt", head.alias("prev_text"),
         F.coalesce("prev_tools", F.array().cast("array<string>")).alias("prev_tools"))
 
 

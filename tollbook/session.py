@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins from measured sizes and splits hot join
 # partitions; forceOptimizeSkewedJoin lets it do so even where the join output
@@ -53,3 +53,10 @@ def discard(spark: SparkSession, path: str) -> None:
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new, unique path below the shared folder."""
     return f"{shared_folder(spark)}/tollbook-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back, for frames that a plan uses more than once."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
