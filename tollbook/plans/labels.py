@@ -150,7 +150,7 @@ def repair_counts(coerced_answers: DataFrame, record: str, fields: list[str], or
     """Repairs per field, with the first bad value in ``order``; fields without any are left out."""
     cells = F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"_f_{f}.coerced").alias("c"), F.col(f"_f_{f}.invalid").alias("i"),
-                 shown_value(F.try_variant_get(record, f"$.{f}", "variant")).alias("shown")) for f in fields])
+                 F.when(F.col(f"_f_{f}.coerced") | F.col(f"_f_{f}.invalid"), shown_value(F.try_variant_get(record, f"$.{f}", "variant"))).alias("shown")) for f in fields])
     long = coerced_answers.select(F.struct(*order).alias("_at"), F.explode(cells).alias("x")).select("_at", "x.*")
     return long.where("c OR i").groupBy("field").agg(
         rows_where(F.col("c")).alias("coerced"), rows_where(F.col("i")).alias("invalid"), F.min_by("shown", "_at").alias("first_bad_value")).orderBy("field")
