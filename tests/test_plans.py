@@ -6,7 +6,8 @@ import pytest
 
 from tests.conftest import TESTDATA
 from tollbook import registered
-from tollbook.plans import RESULTS
+from tollbook.plans import RESULTS, Workspace
+from tollbook.sources.testbed import ledger_from_events
 
 
 def plan_of(df) -> str:
@@ -38,6 +39,22 @@ def test_no_sketch_for_every_distinct_value(big):
         assert not any("percentile_approx" in line and "distinct" in line for line in lines), name
 
 
+# Tables that a query must do without: what it returns needs none of their columns.
+NEEDLESS = {
+    "t03_top_repeated_files": {"tool_facts", "seq_pos", "sessions_x", "calls_priced"}, "concurrent_files": {"tool_facts", "seq_pos", "sessions_x", "edits"},
+    "t20_edit_thrash": {"tool_facts", "sessions_x", "file_visits"}, "t23_by_hour_bucket": {"sessions_x", "session_price", "user_turns"},
+    "label_file_mentions": {"batched_items", "tool_calls", "calls"}, "label_repairs": {"batched_items", "tool_calls", "calls"},
+}
+
+
+@pytest.mark.parametrize("name", NEEDLESS)
+def test_no_tables_beyond_need(spark, name, monkeypatch):
+    fresh = Workspace(ledger_from_events(spark.read.parquet(f"{TESTDATA}/events.parquet")))
+    monkeypatch.setattr(registered, "workspace", lambda *a, **k: fresh)
+    registered.queries()[name](spark, TESTDATA)
+    assert fresh._built and not NEEDLESS[name] & set(fresh._built)
+
+
 def test_filters_and_columns_reach_the_scan(ws):
     plan = plan_of(RESULTS["t21_headline"](ws))
     assert re.search(r"PushedFilters: \[IsNotNull\(agent\), EqualTo\(agent,claude_code\)\]", plan)

@@ -480,7 +480,10 @@ def local_starts(ws: Workspace) -> DataFrame:
         offsets = F.create_map(*[F.lit(x) for pair in ZONE_MINUTES.items() for x in pair])
         moved = first.withColumn("offset_min", F.try_element_at(offsets, F.col("timezone"))).where("offset_min IS NOT NULL")
         hour = F.hour(F.col("ts") + F.make_dt_interval(mins=F.col("offset_min")))
-        s = ws.sessions_x.select("session_id", "session_cost_usd", "committed_lines", "n_tool_calls", "n_tool_errors", "mode", "n_calls")
+        # only these columns of a session: its model, version and home folder need counts of all their values
+        s = ws.sessions.select("session_id", F.col("attr_total_committed").alias("committed_lines"))
+        s = s.join(ws.session_bills.select("session_id", "session_cost_usd"), "session_id", "left").join(ws.session_tools, "session_id", "left").select(
+            "session_id", "session_cost_usd", "committed_lines", zero("n_tool_calls").alias("n_tool_calls"), zero("n_tool_errors").alias("n_tool_errors"))
         return moved.withColumn("local_hour", hour.cast("long")).withColumn(
             "hour_bucket", bands("local_hour", [(6, NIGHT), (18, DAY)], EVENING)).drop("ts").join(s, "session_id")
     return ws.table("local_starts", build)

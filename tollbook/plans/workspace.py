@@ -211,10 +211,10 @@ class Workspace:
     # -- sessions ---------------------------------------------------------------
 
     @property
-    def sessions_x(self) -> DataFrame:
+    def session_bills(self) -> DataFrame:
+        """Sums over the model calls of a session."""
         def build():
-            p = self.calls_priced
-            bill = p.groupBy("session_id").agg(
+            return self.calls_priced.groupBy("session_id").agg(
                 F.max("agent").alias("calls_agent"),
                 rows().alias("n_calls"),
                 rows_where(F.col("is_sidechain")).alias("n_sidechain_calls"),
@@ -228,10 +228,22 @@ class Workspace:
                 F.sum("ctx_tokens").alias("ctx_tokens"),
                 F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
                 rows_where(F.col("speed") == "fast").alias("n_fast_calls"))
-            usual = most_frequent(p, "session_id", {"harness_version": "harness_version", "cwd": "cwd"})
-            tools = self.tool_calls.groupBy("session_id").agg(
+        return self.table("session_bills", build)
+
+    @property
+    def session_tools(self) -> DataFrame:
+        """Sums over the tool calls of a session."""
+        def build():
+            return self.tool_calls.groupBy("session_id").agg(
                 rows().alias("n_tool_calls"), rows_where(F.col("is_error")).alias("n_tool_errors"),
                 total("result_chars").alias("tool_result_chars"))
+        return self.table("session_tools", build)
+
+    @property
+    def sessions_x(self) -> DataFrame:
+        def build():
+            p = self.calls_priced
+            usual = most_frequent(p, "session_id", {"harness_version": "harness_version", "cwd": "cwd"})
             typed = self.user_turns.groupBy("session_id").agg(
                 rows_where(~yes("is_meta") & (F.col("human_chars") > 0)).alias("n_human_turns"),
                 total("human_chars").alias("human_chars"),
@@ -241,7 +253,7 @@ class Workspace:
             s = self.sessions.select(
                 "session_id", F.col("agent").alias("_agent"), "repo", "created_at", "bytes", "models", "detected_format",
                 "attr_agent_percentage", F.col("attr_total_committed").alias("committed_lines"))
-            for side in (bill, usual, tools, typed, self.session_price):
+            for side in (self.session_bills, usual, self.session_tools, typed, self.session_price):
                 s = s.join(side, "session_id", "left")
             counters = ["n_calls", "n_sidechain_calls", "n_unpriced_calls", "n_fast_calls", "n_tool_calls",
                         "n_tool_errors", "tool_result_chars", "n_human_turns", "human_chars", "n_interrupts"]
