@@ -192,3 +192,25 @@ def test_tool_inputs_of_messages(spark):
     asked = spark.createDataFrame([("s", 1, f"k{i}") for i in range(1, 8)], "session_id string, seq int, tool_use_id string")
     got = {r.tool_use_id: json.loads(r.j) for r in tool_inputs(asked, records, messages).withColumn("j", F.to_json("inp")).collect()}
     assert got == {"k1": {"filePath": "/a", "content": "é"}, "k2": {"command": "echo hi"}, "k3": {"a": 1, "filePath": '/q"x'}, "k4": {"filePath": "/c"}, "k5": {"z": 2}, "k6": {"filePath": "/d", "n": 1}}
+
+
+def test_deflated_sizes_copy_no_text():
+    """Memory beside the column stays that of one text's output."""
+    import tracemalloc
+    import zlib
+
+    import pyarrow as pa
+
+    from tollbook.functions.measures import deflated_sizes
+
+    texts = ["é" * 2_000_000, None, "", *(str(i) * 400_000 for i in range(10, 20))]
+    column = pa.array(texts)
+    tracemalloc.start()
+    got = deflated_sizes(column).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [None if t is None else len(zlib.compress(t.encode(), 6)) for t in texts] and peak < 1_000_000
+
+
+def test_python_gets_small_batches(ws):
+    assert int(ws.spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 * 1024 * 1024
