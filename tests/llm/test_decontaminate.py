@@ -95,3 +95,20 @@ def test_names_that_begin_sentences():
     assert found(item, PAD + "Carol has 3 apples. Dave has 4 apples. " + PAD) == [(6, 8, 2)]
     assert found(item, PAD + "Carol has 5 apples. Dave has 7 apples. " + PAD) == [(4, 8, 4)]
     assert found(item, PAD + "Carol likes 5 apples. Dave sold 7 pears. " + PAD) == []
+
+
+def test_runs_of_letters_ask_no_number_pattern(monkeypatch):
+    """Most runs are words, which cannot be numbers; their facts are those of the full look."""
+    from tollbook.llm import decontaminate as d
+
+    runs = ["Straße", "word,", "hours", "\"Anna\"", "(km).", "İ", "x", "中文。", "the", "The"]
+    full = [d.Lexicon.fact(r) for r in runs]
+
+    class Never:
+        def fullmatch(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(d, "NUMBER", Never())
+    assert [d.Lexicon.fact(r) for r in runs] == full
+    assert [f[1] for f in full] == [d.PLAIN, d.PLAIN, d.UNIT, d.PLAIN, d.UNIT, *[d.PLAIN] * 5]
+    assert [f[2] for f in full] == [2, 0, 0, 2, 0, 2, 0, 0, 0, 1] and [f[3] for f in full] == [0, 0, 0, 0, 1, 0, 0, 0, 0, 0]

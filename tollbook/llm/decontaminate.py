@@ -97,17 +97,23 @@ class Lexicon(dict):
 
     @staticmethod
     def fact(run: str) -> tuple[int, int, int, int, int]:
-        bare = run if run.isalpha() else EDGE.sub("", run)
+        if letters := run.isalpha():
+            bare = run
+        else:
+            bare = EDGE.sub("", run)
+            letters = bare.isalpha()
         sign = run[:1] if run[:1] in "$€£" else ""
         low = (bare or ("%" if run == "%" else "")).lower()
         kind = PLAIN
-        if NUMBER.fullmatch(bare) or (m := GLUED.fullmatch(bare)) and m[2].lower() in UNITS or bare.isdigit():
+        if letters:  # no number can match
+            kind = UNIT if low in UNITS else PLAIN
+        elif NUMBER.fullmatch(bare) or (m := GLUED.fullmatch(bare)) and m[2].lower() in UNITS or bare.isdigit():
             kind = NUM
         elif low in UNITS:
             kind = UNIT
         ends = run.rstrip("\"')]»”’")[-1:] in ".!?:…"
-        title = 0 if not (bare.istitle() and bare.isalpha()) else 1 if low in COMMON else 2
-        return xxhash.xxh64_intdigest((sign + low.casefold()).encode("utf-8", "replace")), kind, title, ends, bool(low)
+        title = 0 if not (letters and bare.istitle()) else 1 if low in COMMON else 2
+        return xxhash.xxh64_intdigest((sign + (low if low.isascii() else low.casefold())).encode("utf-8", "replace")), kind, title, ends, bool(low)
 
 
 def template(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
