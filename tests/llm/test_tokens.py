@@ -100,3 +100,12 @@ def test_fused_decoding_is_the_same(spark):
 def test_counts_refuse_files_that_cut_otherwise(spark):
     with pytest.raises(ValueError):
         t.count_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_words_of_one_stretch_share_its_ids():
+    """A word that is one stretch holds no copy of the ids."""
+    from tollbook.llm.pieces import Pieces
+
+    pieces = Pieces.of([("a", 1, -1.0), ("b", 2, -2.0), ("ab", 3, -0.5), ("▁", 4, -3.0), ("▁ab", 5, -0.4)])
+    assert pieces.encode("ab") == [5] and pieces.encode("ab?") == [5, 0]
+    assert pieces.words[" ab"] is pieces.stems["▁ab"]

@@ -64,7 +64,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def slices(batch, column: str, most: int = 4 * 1024 * 1024):
+SLICE_BYTES = 4 * 1024 * 1024
+
+
+def slices(batch, column: str, most: int = SLICE_BYTES):
     """A batch in slices whose texts (or numbers) in ``column`` have about ``most`` bytes, or that hold one row."""
     values = batch.column(column)
     listed = pa.types.is_list(values.type) or pa.types.is_large_list(values.type)
@@ -78,6 +81,14 @@ def slices(batch, column: str, most: int = 4 * 1024 * 1024):
         start = end
 
 
+def released() -> None:
+    """Leave a worker's free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """A function of batches that leaves a worker's free memory to the system when its task ends: workers are
     kept for later tasks, and what each kind of task once needed would add up."""
@@ -86,15 +97,12 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            released()
 
     return whole
 
 
-def added(df: DataFrame, fields: list, source: str, make) -> DataFrame:
+def added(df: DataFrame, fields: list, source: str, make, most: int = SLICE_BYTES) -> DataFrame:
     """Rows with further columns (in the place of columns of their names, in any case of letters): ``make`` gives
     them for the column ``source`` of a slice of a batch, which bounds what a worker holds."""
     from pyspark.sql import types as T
@@ -108,7 +116,7 @@ def added(df: DataFrame, fields: list, source: str, make) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *make(part.column(column))], [*kept, *[f.name for f in fields]])
 
     return small_batches(used).mapInArrow(tidy(run), T.StructType([*[df.schema[c] for c in kept], *fields]))

@@ -23,6 +23,7 @@ column are replaced, the rest are kept."""
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.llm.common import Kept, added, table
+from tollbook.llm.common import SLICE_BYTES, Kept, added, released, table
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -120,6 +121,7 @@ class Pieces:
         last: list[str | None] = [None] * (size + 1)
         if self.rule == "merges":
             rows: list[dict | None] = [self.row(None), *last[1:]]
+            known = self.pairs.get
             for at, (n, piece) in self.automaton.iter(word):  # of pieces with one end, longer ones come first
                 at += 1
                 if rows[at] is None:
@@ -132,7 +134,9 @@ class Pieces:
                         self.known += 1
                     if good:
                         last[at] = piece
-                        rows[at] = self.row(piece)
+                        if (row := known(piece)) is None:
+                            row = self.row(piece)
+                        rows[at] = row
         else:
             best: list[float | None] = [0.0] + [None] * size
             ends: list[list[str]] = [[] for _ in range(size)]
@@ -153,8 +157,13 @@ class Pieces:
 
     def stem_ids(self, stem: str) -> list[int]:
         """Ids of a stretch that pieces may span."""
+        pieces, ids = self.split(stem), self.ids
+        try:
+            return [ids[piece] for piece in pieces]
+        except KeyError:  # some characters are in no piece
+            pass
         out: list[int] = []
-        for piece in self.split(stem):
+        for piece in pieces:
             if (i := self.ids.get(piece)) is not None:
                 out.append(i)
             elif self.byte_ids:
@@ -185,9 +194,9 @@ class Pieces:
         stretches = self.stretches([w.replace(" ", MARK) for w in new])
         stems = self.stems.missing(set().union(*stretches))
         for stem in stems:
-            self.stems[stem] = np.array(self.stem_ids(stem), np.int32).tobytes()
+            self.stems[stem] = array("i", self.stem_ids(stem)).tobytes()
         for word, own in zip(new, stretches):
-            self.words[word] = b"".join([self.stems[s] for s in own])
+            self.words[word] = self.stems[own[0]] if len(own) == 1 else b"".join([self.stems[s] for s in own])
         self.stems.without_long(stems)
         return new
 
@@ -228,7 +237,9 @@ class Pieces:
 @lru_cache(2)
 def loaded(path: str, rule: str) -> Pieces:
     """The pieces of a file, kept for the later tasks of a Python worker."""
-    return Pieces(path, rule)
+    pieces = Pieces(path, rule)
+    released()  # what the model's own library took
+    return pieces
 
 
 def _encoded(column, pieces: Pieces) -> pa.ListArray:
@@ -239,9 +250,11 @@ def _encoded(column, pieces: Pieces) -> pa.ListArray:
     return pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32)))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_ids", rule: str = "merges", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_ids", rule: str = "merges", decoded: str | None = None,
+           slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Documents with their ids by the model file at ``path`` (present on all machines), and, where ``decoded``
-    names a column, the text that the ids decode to, in the same pass."""
+    names a column, the text that the ids decode to, in the same pass. A worker holds the words of ``slice_bytes`` of
+    texts, or of one text."""
     fields = [T.StructField(name, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def make(texts):
@@ -249,7 +262,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "token_id
         ids = _encoded(texts, pieces)
         return [ids, pieces.decode_column(ids)] if decoded else [ids]
 
-    return added(docs, fields, text, make)
+    return added(docs, fields, text, make, slice_bytes)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded", rule: str = "merges") -> DataFrame:
