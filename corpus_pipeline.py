@@ -75,7 +75,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     name = free_name(docs, "_decoded")
-    out = pieces.encode(docs, path, decoded=name)
+    out = pieces.encode(docs, path, decoded=name, slice_bytes=1024 * 1024)  # earlier stages leave executors little memory
     return out.withColumns({"n_tokens": F.size("token_ids").cast("long"), "exact": F.col(name).eqNullSafe(F.col("text"))}).drop(name)
 
 
