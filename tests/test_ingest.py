@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tollbook.ingest import codex, opencode
 from tollbook.ingest.build import build_ledger, ingest_totals
 from tollbook.sources.catalog import missing_ids, plan_inputs, scan_catalog, skipped_agents
 from tollbook.sources.ledger import scan_ledger, write_ledger
@@ -277,3 +278,11 @@ def test_only_lines_that_can_matter_are_parsed(spark):
     assert [r.text for r in texts.result_texts(sampled, found, none).collect()] == ["yes"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("from_json") < plan.index("regexp_extract_all")  # plans are read from below: the ids are met first
+
+
+@pytest.mark.parametrize("harness, joins", [(codex, 2), (opencode, 0)])
+def test_prompts_do_not_wait_for_a_state_they_do_not_use(spark, harness, joins):
+    """Each running value is a join; codex has one to count echoes and one to look up what accounts for them."""
+    names = ["session_id", "agent", "repo", "fmt", "version", "directory"]
+    records = spark.range(1).select(*[F.lit("x").alias(n) for n in names], F.col("id").cast("int").alias("seq"), F.parse_json(F.format_string('{"a": %d}', "id")).alias("v"))
+    assert harness.parse(records).user_turns._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins

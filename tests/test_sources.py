@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,24 @@ def test_inventory(spark, tmp_path):
         ("unplanned_file", "stray", None, None, 1), ("unknown_id", "nobody", None, None, None)], key=str)
     totals = {(r.status, r.agent): (r.sessions, r.bytes) for r in inventory.inventory_totals(found).collect()}
     assert totals["skipped_agent", "aider"] == (2, 1) and totals["present", "codex"] == (1, 2)
+
+
+def test_a_text_is_parsed_once(spark):
+    lines = spark.range(1).select(F.lit("s").alias("session_id"), F.lit(0).alias("seq"), F.format_string('{"a": %d}', "id").alias("line"))
+    assert t.parsed_lines(lines)._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_pieces_tell_their_quotes_and_depth(spark, tmp_path):
+    from tollbook.sources.documents import scan_pieces
+    pieces = ["plain text", "", '{"a": "b', 'c]"', '"x": [{"y": "}\\"]"', "]}", 'a"{"b"[["c', "\\\\", '{\n"\n', '"']
+    (tmp_path / "p.jsonl").write_bytes(",".join(pieces).encode())
+
+    def told(piece):
+        parts = re.sub(r"(?s)\\.", "", piece).split('"')
+        deep = lambda odd: sum("".join(parts[odd::2]).count(c) for c in "{[") - sum("".join(parts[odd::2]).count(c) for c in "}]")
+        return piece, (len(parts) - 1) % 2, deep(0), deep(1)
+
+    got = scan_pieces(spark, [str(tmp_path / "p.jsonl")])
+    assert [tuple(r) for r in got.orderBy("_split", "_at").select("piece", "quotes", "outside", "inside").collect()] == [told(p) for p in pieces]
+    # plain text is not taken apart
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()

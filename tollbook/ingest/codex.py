@@ -36,6 +36,7 @@ def parse(records: DataFrame, span: int | None = None) -> Parts:
     counted = (F.col("typ") == "event_msg") & (F.col("ptype") == "token_count")
     closes = F.coalesce(counted & is_object(node(p, "info")), F.lit(False))
     r = r.withColumn("closes", closes)
+    turns = _turns(r, span)  # of no state
     # the state as of each record, and the response it belongs to
     r = running(r, ["session_id"], ["seq"], [
         Carry("model", F.when(context, filled(p, "model")), "last"),
@@ -47,7 +48,7 @@ def parse(records: DataFrame, span: int | None = None) -> Parts:
     ], blocks).withColumn("segment", F.coalesce("segment", F.lit(0)))
     item = r.where("typ = 'response_item'")
     tools = attach_results(_tool_calls(item), _outputs(item))
-    return Parts(_calls(r, item), tools, _turns(r, item, span), _events(r))
+    return Parts(_calls(r, item), tools, turns, _events(r))
 
 
 def _calls(r: DataFrame, item: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def _outputs(item: DataFrame) -> DataFrame:
         failed.alias("explicit"), F.col("ts").alias("result_ts"))
 
 
-def _turns(r: DataFrame, item: DataFrame, span: int | None) -> DataFrame:
+def _turns(r: DataFrame, span: int | None) -> DataFrame:
     """User messages, plus echoed ones that no user message accounts for: of the echoes of a
     text as many are dropped, from the first on, as there are messages with that text."""
     blocks = span_blocks("seq", span) if span else span_blocks("seq")
@@ -124,7 +125,7 @@ def _turns(r: DataFrame, item: DataFrame, span: int | None) -> DataFrame:
     message = node(p, "message")
     typed = r.where("typ = 'event_msg' AND ptype = 'user_message'").select(
         *ROW, "ts", F.when(is_text(message), as_text(message)).otherwise(F.coalesce(dump(message), F.lit(""))).alias("_body"))
-    echoed = item.where((F.col("ptype") == "message") & (text(p, "role") == "user")).select(*ROW, "ts", joined(node(p, "content")).alias("_body"))
+    echoed = r.where((F.col("typ") == "response_item") & (F.col("ptype") == "message") & (text(p, "role") == "user")).select(*ROW, "ts", joined(node(p, "content")).alias("_body"))
     accounted = typed.groupBy("session_id", "_body").agg(F.count(F.lit(1)).alias("_known"))
     nth = running(echoed, ["session_id", "_body"], ["seq"], [Carry("_nth", F.lit(1).cast("long"))], blocks)
     extra = nth.join(accounted, ["session_id", "_body"], "left").where(F.col("_nth") > F.coalesce("_known", F.lit(0)))

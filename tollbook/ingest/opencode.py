@@ -26,16 +26,18 @@ def parse(messages: DataFrame, span: int | None = None) -> Parts:
         "cwd": filled(i, "path.cwd"), "model": F.coalesce(shown(i, "modelID"), shown(i, "model.modelID")), "msg_id": shown(i, "id"),
         "parent_id": shown(i, "parentID"), "finish": shown(i, "finish")})
     blocks = span_blocks("seq", span) if span else span_blocks("seq")
-    m = running(m, ["session_id"], ["seq"], [Carry("root", filled(i, "path.root"), "last")], blocks)
-    asked, said = m.where("role = 'user'"), m.where("role IS NULL OR role <> 'user'")
+    said = "role IS NULL OR role <> 'user'"
+    # the last root so far is asked of tools alone
+    rooted = running(m, ["session_id"], ["seq"], [Carry("root", filled(i, "path.root"), "last")], blocks).where(said)
+    asked, said = m.where("role = 'user'"), m.where(said)
     parts = _parts(said)
-    return Parts(_calls(said, parts), _tools(parts), _turns(asked), odd.unionByName(_events(asked, parts)))
+    return Parts(_calls(said, parts), _tools(_parts(rooted, "root")), _turns(asked), odd.unionByName(_events(asked, parts)))
 
 
-def _parts(said: DataFrame) -> DataFrame:
+def _parts(said: DataFrame, *more: str) -> DataFrame:
     """Parts of a message, numbered by the step they belong to. The window is one message."""
     b = F.col("b")
-    keep = [*ROW, "ts", "cwd", "root", "directory", "model", "msg_id", "parent_id", "version", "finish", "role"]
+    keep = [*ROW, "ts", "cwd", "directory", "model", "msg_id", "parent_id", "version", "finish", "role", *more]
     p = said.select(*keep, F.posexplode("parts").alias("pos", "b")).where(is_object(b)).withColumn("ptype", shown(b, "type"))
     before = Window.partitionBy("session_id", "seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return p.withColumn("step", F.coalesce(F.sum(F.when(F.col("ptype") == "step-finish", 1).otherwise(0)).over(before), F.lit(0)))

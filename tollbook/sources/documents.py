@@ -34,12 +34,16 @@ def _depth_change(text: Column) -> Column:
 
 def scan_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Pieces of files with the quotes they hold (odd or even) and their change of depth when they begin outside and inside a string."""
-    piece = F.col("piece")
-    parts = F.split(F.regexp_replace(piece, r"(?s)\\.", ""), '"', -1)
-    beside = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+    bare = F.col("bare")
+    unquoted = lambda text: F.regexp_replace(text, r'"[^"]*("|\z)', "")
     read = spark.read.text(paths, lineSep=",").select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("piece"))
-    return read.select(*AT, "piece", ((F.size(parts) - 1) % 2).alias("quotes"), _depth_change(beside(0)).alias("outside"), _depth_change(beside(1)).alias("inside"))
+    # without escapes; NULL for the many pieces of plain text, which change nothing
+    read = read.withColumn("bare", F.when(F.col("piece").rlike(r'["\[\]{}]'), F.regexp_replace("piece", r"(?s)\\.", "")))
+    quotes = (F.length(bare) - F.length(F.translate(bare, '"', ""))) % 2
+    read = read.select(*AT, "piece", quotes.alias("quotes"), unquoted(bare).alias("_outside"), unquoted(F.concat(F.lit('"'), bare)).alias("_inside"))
+    return read.select(*AT, "piece", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in (
+        ("quotes", F.col("quotes")), ("outside", _depth_change(F.col("_outside"))), ("inside", _depth_change(F.col("_inside"))))])
 
 
 def _before(rows: DataFrame, by: list[str], order: str, name: str, value: Column) -> DataFrame:

@@ -23,12 +23,17 @@ DOCUMENT = "struct<info:string,parts:string,messages:array<{}>>"
 
 
 def _only(text: Column, kind: str) -> Column:
-    """The one JSON value that a text holds; NULL for none or several, or text after it."""
+    """The one JSON value that a text holds; NULL for none or several, or text after it. The text is parsed once: what is asked
+    of the parsed list is asked inside a filter, as Spark parses anew for each mention behind a condition."""
     mark = f'"{END_MARK}"' if kind == "variant" else f'{{"info":"{END_MARK}"}}'
     parsed = F.from_json(F.concat(F.lit("["), text, F.lit(f",{mark}]")), f"array<{kind}>", LONG_STRINGS)
-    end = F.get(parsed, F.lit(1))
-    end = F.try_variant_get(end, "$", "string") if kind == "variant" else end["info"]
-    return F.when((F.size(parsed) == 2) & (end == END_MARK), F.get(parsed, F.lit(0)))
+
+    def alone(found: Column) -> Column:
+        end = F.get(found, F.lit(1))
+        end = F.try_variant_get(end, "$", "string") if kind == "variant" else end["info"]
+        return (F.size(found) == 2) & (end == END_MARK)
+
+    return F.get(F.get(F.filter(F.array(parsed), alone), F.lit(0)), F.lit(0))
 
 
 def record(text: Column) -> Column:
@@ -41,6 +46,11 @@ def refusal(text: Column) -> Column:
     return F.when(F.octet_length(text) > RECORD_BYTES, "ValueError: record is too large to be parsed").otherwise("ValueError: line is not valid JSON")
 
 
+def filled_line(line: Column) -> Column:
+    """Whether a line holds more than white space."""
+    return line.rlike(r"\S")
+
+
 def placed(rows: DataFrame, name: str) -> DataFrame:
     """Rows of files with their 0-based number in their file. ``_at`` follows the rows that one task reads of a
     split; the rows of earlier splits are added. Only counts are exchanged, never text."""
@@ -67,7 +77,7 @@ def scan_jsonl(spark: SparkSession, folder: str, plan: DataFrame, files: Planned
     one task."""
     files = files or planned_files(spark, folder, plan)
     lines = placed(_lines(files, files.paths(documents=False), lineSep="\n"), "seq")
-    some = lines.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    some = lines.where(filled_line(F.col("line")))
     return files.with_session(some, F.col("_file")).select(*SESSION_COLUMNS, "seq", "line")
 
 
@@ -119,7 +129,7 @@ def large_document_messages(files: PlannedFiles, paths: list[str]) -> tuple[Data
     errors = listed.where("v IS NULL").select("session_id", F.col("seq").alias("line_no"), F.col("refused").alias("exception"))
     messages = listed.where("v IS NOT NULL").drop("refused")
 
-    lines = placed(_lines(files, of_kind["other"]), "line_no").where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+    lines = placed(_lines(files, of_kind["other"]), "line_no").where(filled_line(F.col("line")))
     bad = files.with_session(lines.where(record(F.col("line")).isNull()), F.col("_file")).select("session_id", "line_no", refusal(F.col("line")).alias("exception"))
     # messages by line are numbered without the lines between them
     tried = _lines(files, of_kind["other"]).withColumn("v", record(F.col("line"))).where(F.col("v").isNotNull() & is_object(F.col("v"))).drop("line", "_at").withColumn("_at", F.monotonically_increasing_id())
