@@ -139,3 +139,13 @@ def test_pieces_tell_their_quotes_and_depth(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("_split", "_at").select("piece", "quotes", "outside", "inside").collect()] == [told(p) for p in pieces]
     # plain text is not taken apart
     assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sessions_are_looked_up_by_cheap_steps(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"n": 1}\n')
+    lines = t.scan_jsonl(spark, str(tmp_path), spark.createDataFrame([("a", "codex", "r", "codex")], PLAN))
+    assert [(r.session_id, r.fmt, r.seq) for r in lines.collect()] == [("a", "codex", 0)]
+    # at every place of a path a search for the last name would start anew
+    assert "regexp_extract" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    paths = spark.createDataFrame([(p,) for p in ("/x/a.jsonl", "a b.jsonl", "/x.jsonl/b", "/x/", "/x/a.jsonl.jsonl")], "p string")
+    assert [r[0] for r in paths.select(inventory.session_of(F.col("p"))).collect()] == ["a", "a b", "b", "", "a.jsonl"]

@@ -18,7 +18,7 @@ ROW_BYTES = 400  # about what a session takes in a broadcast table
 
 def session_of(path: Column) -> Column:
     """Session key: the file name without its ending."""
-    return F.regexp_replace(F.regexp_extract(path, "([^/]+)$", 1), r"\.jsonl$", "")
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.jsonl$", "")
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -51,12 +51,14 @@ def filled_line(line: Column) -> Column:
     return line.rlike(r"\S")
 
 
-def placed(rows: DataFrame, name: str) -> DataFrame:
+def placed(rows: DataFrame, name: str, files: PlannedFiles | None = None) -> DataFrame:
     """Rows of files with their 0-based number in their file. ``_at`` follows the rows that one task reads of a
-    split; the rows of earlier splits are added. Only counts are exchanged, never text."""
+    split; the rows of earlier splits are added. Only counts are exchanged, never text. With ``files`` rows get the columns of their session, looked up once for each split."""
     splits = rows.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("_file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    if files:
+        starts = files.with_session(starts, F.col("_file"))
     # one row per split of a file
     return rows.join(F.broadcast(starts), ["_file", "_split"]).withColumn(name, (F.col("_base") + F.col("_at")).cast("int")).drop("_base")
 
@@ -76,9 +78,9 @@ def scan_jsonl(spark: SparkSession, folder: str, plan: DataFrame, files: Planned
     inside its split plus the lines of the splits before it, so no file has to pass through
     one task."""
     files = files or planned_files(spark, folder, plan)
-    lines = placed(_lines(files, files.paths(documents=False), lineSep="\n"), "seq")
+    lines = placed(_lines(files, files.paths(documents=False), lineSep="\n"), "seq", files)
     some = lines.where(filled_line(F.col("line")))
-    return files.with_session(some, F.col("_file")).select(*SESSION_COLUMNS, "seq", "line")
+    return some.select(*SESSION_COLUMNS, "seq", "line")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
