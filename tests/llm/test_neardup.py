@@ -86,3 +86,42 @@ def test_a_very_long_vector(spark):
     rows = [(1, v.tolist()), (2, (v + 0.01).tolist()), (3, (-v).tolist())]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in n.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def exchanged(spark):
+    """Bytes that tasks have written for exchanges so far."""
+    found = spark._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_vectors_are_exchanged_once_however_many_pairs_of_blocks_are_left(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 50)
+    monkeypatch.setattr(n, "SAMPLE", 9)
+    r = np.random.default_rng(5)
+    points = r.normal(size=(4000, 64))
+    points[700:800] = points[:100] + r.normal(size=(100, 64)) * 0.1
+    rows = [(i, x.tolist()) for i, x in enumerate(points)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = exchanged(spark)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in n.near_duplicates(table, 0.95).collect()), key=str)
+    assert exchanged(spark) - before < 2 * points.nbytes
+    units = np.stack([n.unit(x) for x in points])
+    near = units @ units.T >= 0.95
+    assert [x[1] for x in sorted(got)] == (near.sum(axis=1) - 1).tolist() and sum(x[3] for x in got) == 3900
+
+
+@pytest.mark.parametrize("size", [64, 500])
+def test_bounds_along_a_basis_lose_nothing(size):
+    r = np.random.default_rng(size)
+    points = n.scaled(np.concatenate([r.normal(size=(1800, size)), *[r.normal(size=size) + r.normal(size=(150, size)) * s for s in (1e-9, 0.01, 0.2, 0.24, 0.3)]]).astype(np.float32))
+    points = points[r.permutation(len(points))]
+    weights, basis = r.integers(1, 5, len(points)), np.linalg.qr(r.normal(size=(size, n.BASIS)))[0]
+    near = points @ points.T >= 0.95
+    np.fill_diagonal(near, False)
+    for used in (None, basis):
+        tree, order = n.Tree.build(points)
+        links = n.traverse(tree, None, weights[order], 0.95, used)
+        assert (links.count == (near @ weights)[order]).all()
+        (a, first), (b, second) = n.Tree.build(points[:1300]), n.Tree.build(points[1300:])
+        links = n.traverse(a, b, np.concatenate([weights[:1300][first], weights[1300:][second]]), 0.95, used)
+        assert (links.count == np.concatenate([(near[:1300, 1300:] @ weights[1300:])[first], (near[1300:, :1300] @ weights[:1300])[second]])).all()
