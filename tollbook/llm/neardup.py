@@ -33,11 +33,11 @@ from tollbook.llm import common
 from tollbook.llm.common import few, parts, small_batches, staged, table, tidy
 from tollbook.llm.components import components
 
-SAMPLE, BLOCK, BUCKET, TILE = 128, 4096, 16, 512  # members of a cell that children's centres are chosen from; members of a block
-BLOCK_BYTES, WIDE, SMALL = 4 * 1024 * 1024, 1024, 16  # of a block of long vectors; columns of a tile; cells of this part of a block share one
+SAMPLE, BLOCK, BUCKET, TILE = 512, 4096, 16, 256  # members of a cell that children's centres are chosen from; members of a block
+BLOCK_BYTES, WIDE, SMALL = 4 * 1024 * 1024, 1024, 16  # of a block of long vectors; columns of a tile; cells of up to this part of a block share one, and so much of a block is sampled for each child
 MOST_LEVELS, MOST_BYTES = 24, 64 * 1024 * 1024  # levels, and bytes of centres; beyond, what does not fit a block is cut by hash
 BASIS, LONGEST = 20, 1024  # directions that bound distances before all components do; components up to which they are looked for
-HEADS = 16_384  # blocks up to which their centres are broadcast
+HEADS, KEPT_BYTES = 16_384, 32 * 1024 * 1024  # blocks up to which their centres are broadcast; vectors of blocks that a worker keeps as trees
 SAFE = 1e-6  # rounding in distances from cosines near one; bounds this close to the threshold open the node
 
 
@@ -107,7 +107,7 @@ class Tree:
 
     def __init__(self, start, end, radius, child, children, points):
         self.start, self.end, self.radius, self.child, self.children, self.points = start, end, radius, child, children, points
-        self.single, self.low = end - start == 1, None
+        self.single, self.low, self.first = end - start == 1, None, {}
 
     @classmethod
     def build(cls, points: np.ndarray) -> tuple[Tree, np.ndarray]:
@@ -165,6 +165,17 @@ class Tree:
         one = np.ones(len(nodes))
         return np.concatenate([c, np.stack([r, half, one] if left else [r, one, half], axis=1).astype(np.float32)], axis=1)
 
+    def opened(self, i: int, basis: np.ndarray | None, more: float, left: bool) -> tuple:
+        """Centres of a node's children, their mean and their lifted rows; those of the root are kept, as blocks meet many others."""
+        if i or left not in self.first:
+            nodes = self.below(i)
+            centres = self.points[self.start[nodes]]
+            found = centres, centres.mean(axis=0), self.lifted(nodes, basis, more, left)
+            if i:
+                return found
+            self.first[left] = found
+        return self.first[left]
+
 
 class Links:
     """Weights linked to each point, and labels of what hangs together."""
@@ -212,16 +223,29 @@ def traverse(a: Tree, b: Tree | None, weights: np.ndarray, cosine: float, basis:
             whole(i, i)
             continue
         left, right = a.below(i), b.below(j)
-        large = len(left) * len(right) > TILE
+        large, most = len(left) * len(right) > TILE, None
         if large:
-            above, beside = a.lifted(left, basis, reach + SAFE, True), b.lifted(right, basis, 0, False).T.copy()
+            (c, middle, above), (d, other_middle, beside) = a.opened(i, basis, reach + SAFE, True), b.opened(j, basis, 0, False)
+            if not alike:  # along the line through both middles nothing near is farther apart than the threshold either
+                line = middle - other_middle
+                line /= max(np.sqrt(line @ line), 1e-300)
+                low, high = c @ line - a.radius[left] - reach - SAFE, d @ line + b.radius[right]
+                keep, other = np.flatnonzero(low <= high.max()), np.flatnonzero(high >= low.min())
+                if not len(keep):
+                    continue
+                keep, other = keep[np.argsort(low[keep])], other[np.argsort(-high[other])]
+                left, right, above, beside = left[keep], right[other], above[keep], beside[other]
+                most = np.searchsorted(-high[other], -low[keep], "right")  # columns that a row may be near to
+            beside = beside.T.copy()
         for p in range(0, len(left), TILE):
             for q in range(0, len(right), WIDE):
-                rows, cols = left[p: p + TILE], right[q: q + WIDE]
+                rows, cols = left[p: p + TILE], right[q: q + WIDE if most is None else min(q + WIDE, most[p])]
+                if not len(cols):
+                    break
                 if alike and cols[-1] < rows[0]:
                     continue
                 if large:
-                    room = np.matmul(above[p: p + TILE], beside[:, q: q + WIDE], out=held[: len(rows) * len(cols)].reshape(len(rows), len(cols)))
+                    room = np.matmul(above[p: p + TILE], beside[:, q: q + len(cols)], out=held[: len(rows) * len(cols)].reshape(len(rows), len(cols)))
                     some = np.flatnonzero(room.max(axis=1) >= -slack)
                     if not len(some):
                         continue
@@ -328,15 +352,15 @@ def surveyed(vectors: DataFrame, cells: Cells, new: dict, rates: dict, rate: flo
                 some = fresh & (rank < np.array([rates.get((size, c), rate) for c in cell.tolist()]))
                 if some.any():
                     k = int(some.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([size] * k, pa.int32()), pa.array(cell[some]), pa.nulls(k, pa.int64()), pa.array(rank[some]), pa.array([p.tobytes() for p in points[some]], pa.binary())], LEVEL_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array([size] * k, pa.int32()), pa.array(cell[some]), pa.nulls(k, pa.int64()), pa.array(rank[some]), pa.array([g.tobytes() for g in given[some]], pa.binary())], LEVEL_NAMES)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([c for _, c in found], pa.int64()), pa.array([n for n, _ in found.values()], pa.int64()),
                                               pa.array([w for _, w in found.values()], pa.float64()), pa.nulls(len(found), pa.binary())], LEVEL_NAMES)
 
-    return vectors.mapInArrow(tidy(run), "size int, cell long, n long, away double, unit binary")
+    return vectors.mapInArrow(tidy(run), "size int, cell long, n long, away double, given binary")
 
 
-LEVEL_NAMES = ["size", "cell", "n", "away", "unit"]
+LEVEL_NAMES = ["size", "cell", "n", "away", "given"]
 
 
 def _sums(cell: np.ndarray, away: np.ndarray):
@@ -351,7 +375,7 @@ def nets(sample: pd.DataFrame) -> pd.DataFrame:
     """Children's centres of one cell, about as many as make blocks of its members: of a bounded sample some that lie
     farther apart than half its radius, which is halved again until there are two."""
     sample = sample.sort_values("away").head(SAMPLE)
-    points = np.frombuffer(b"".join(sample["unit"]), np.float64).reshape(len(sample), -1)
+    points = scaled(np.concatenate([_vectors(g, int(sample["size"].iloc[0])) for g in sample["given"]]))
     radius = float(sample["radius"].iloc[0])
     while True:
         radius /= 2
@@ -368,28 +392,28 @@ def nets(sample: pd.DataFrame) -> pd.DataFrame:
 
 def grown(vectors: DataFrame, n: int, reach: float) -> Cells:
     """The tree of centres: its cells fit a block, or all members link."""
-    cells, new, rates, rate, spark = Cells(), {}, {}, 4 * SAMPLE / max(1, n), vectors.sparkSession
+    cells, new, rates, rate, spark = Cells(), {}, {}, 8 * SAMPLE / max(1, n), vectors.sparkSession
     if n <= 16:  # the least a block holds
         return cells
     for _ in range(MOST_LEVELS):
         level = staged(surveyed(vectors, cells, new, rates, rate), "tree-level")
         counts = level.filter("n is not null").groupBy("size", "cell").agg(F.sum("n").alias("n"), F.max("away").alias("radius")).collect()
         cells.n.update({(r["size"], r["cell"]): r["n"] for r in counts})
-        large = [(r["size"], r["cell"], r["radius"], min(SAMPLE, r["n"] // (2 * fits(r["size"])) + 2)) for r in counts if r["n"] > fits(r["size"]) and 2 * r["radius"] > reach - SAFE]
+        large = [(r["size"], r["cell"], r["radius"], min(SAMPLE, 5 * r["n"] // (4 * fits(r["size"])) + 1)) for r in counts if r["n"] > fits(r["size"]) and 2 * r["radius"] > reach - SAFE]
         if not large or cells.bytes > MOST_BYTES:
             break
         if not cells.split:
             for size in {s for s, *_ in large if BASIS + 16 < s <= LONGEST}:
-                some = np.array([np.frombuffer(r["unit"], np.float64) for r in level.filter(f"unit is not null and size = {size}").select("unit").limit(8 * SAMPLE).collect()])
+                some = np.array([scaled(_vectors(r["given"], size))[0] for r in level.filter(f"given is not null and size = {size}").select("given").limit(8 * SAMPLE).collect()])
                 cells.basis[size] = np.linalg.eigh(np.cov(some.T))[1][:, -BASIS:] if len(some) > 1 else np.eye(size)[:, :BASIS]
         wanted = F.broadcast(spark.createDataFrame(large, "size int, cell long, radius double, most int"))
         new, rates = dict(cells.next), {}
-        for r in level.filter("unit is not null").join(wanted, ["size", "cell"]).groupBy("size", "cell").applyInPandas(nets, "size int, cell long, centres binary, net double").collect():
+        for r in level.filter("given is not null").join(wanted, ["size", "cell"]).groupBy("size", "cell").applyInPandas(nets, "size int, cell long, centres binary, net double").collect():
             size, cell = r["size"], r["cell"]
             centres = np.frombuffer(r["centres"], np.float64).reshape(-1, size)
             first = cells.next.get(size, 1)
             cells.add(size, cell, centres, r["net"])
-            rates |= dict.fromkeys(((size, c) for c in range(first, cells.next[size])), 4 * SAMPLE * len(centres) / cells.n[size, cell])
+            rates |= dict.fromkeys(((size, c) for c in range(first, cells.next[size])), max(4, fits(size) // SMALL) * len(centres) / cells.n[size, cell])
         new = {size: new.get(size, 1) for size in cells.next}
         if not rates:
             break
@@ -451,7 +475,7 @@ def compared(cosine: float, bases: dict):
         def block(batch, k, end):
             at = batch.column(f"at{end}")[k].as_py()
             if at not in kept:
-                if len(kept) > 8:
+                if sum(t.points.nbytes for _, _, t in kept.values()) > KEPT_BYTES:
                     kept.clear()
                 weights = batch.column(f"weights{end}")[k].values.to_numpy()
                 flat = np.frombuffer(batch.column(f"tree{end}")[k].as_buffer(), np.float64).reshape(5, -1)
