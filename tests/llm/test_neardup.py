@@ -125,3 +125,15 @@ def test_bounds_along_a_basis_lose_nothing(size):
         (a, first), (b, second) = n.Tree.build(points[:1300]), n.Tree.build(points[1300:])
         links = n.traverse(a, b, np.concatenate([weights[:1300][first], weights[1300:][second]]), 0.95, used)
         assert (links.count == np.concatenate([(near[:1300, 1300:] @ weights[1300:])[first], (near[1300:, :1300] @ weights[:1300])[second]])).all()
+
+
+def test_few_pairs_of_blocks_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 40)
+    monkeypatch.setattr(n, "HEADS", 0)  # centres of many blocks are not broadcast
+    r = np.random.default_rng(8)
+    rows = [np.eye(16)[k // 2] * (-1) ** k + r.normal(size=16) * 0.07 for k in range(24) for _ in range(30)] + [np.eye(16)[15] + r.normal(size=16) * 0.07 for _ in range(70)]
+    rows = [(i, x.tolist()) for i, x in enumerate(rows)]
+    plans, few = [], n.few
+    monkeypatch.setattr(n, "few", lambda df: plans.append(df.columns) or few(df))
+    got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in n.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()), key=str)
+    assert ["at", "at_2"] in plans and got == brute(rows, 0.95)
